@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from loomwise.llm import bpe, decontaminate, line_dedup, url_rules
+from loomwise.llm import bpe, decontaminate, langid, line_dedup, url_rules
 
 
 def queries() -> dict:
     return {
         "op1_decontaminate": decontaminate.op1_decontaminate,
+        "op2_language_id": langid.op2_language_id,
         "op3_bpe": bpe.op3_bpe,
         "op4_line_dedup": line_dedup.op4_line_dedup,
         "op10_url_rules": url_rules.op10_url_rules,
