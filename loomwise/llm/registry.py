@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomwise.llm import bpe, decontaminate, langid, line_dedup, url_rules
+from loomwise.llm import bpe, decontaminate, langid, line_dedup, near_dup, url_rules
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_language_id": langid.op2_language_id,
         "op3_bpe": bpe.op3_bpe,
         "op4_line_dedup": line_dedup.op4_line_dedup,
+        "op8_near_dup": near_dup.op8_near_dup,
         "op10_url_rules": url_rules.op10_url_rules,
     }
 
@@ -19,5 +20,6 @@ def oracle_sql() -> dict:
     return {
         "op1_decontaminate": decontaminate.ORACLE_SQL,
         "op4_line_dedup": line_dedup.ORACLE_SQL,
+        "op8_near_dup": near_dup.ORACLE_SQL,
         "op10_url_rules": url_rules.ORACLE_SQL,
     }
