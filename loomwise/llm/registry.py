@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomwise.llm import bpe, decontaminate, langid, line_dedup, near_dup, url_rules
+from loomwise.llm import bpe, decontaminate, langid, line_dedup, near_dup, topk, url_rules, warc
 
 
 def queries() -> dict:
@@ -11,6 +11,8 @@ def queries() -> dict:
         "op2_language_id": langid.op2_language_id,
         "op3_bpe": bpe.op3_bpe,
         "op4_line_dedup": line_dedup.op4_line_dedup,
+        "op6_exact_topk": topk.op6_exact_topk,
+        "op7_warc": warc.op7_warc,
         "op8_near_dup": near_dup.op8_near_dup,
         "op10_url_rules": url_rules.op10_url_rules,
     }
@@ -20,6 +22,8 @@ def oracle_sql() -> dict:
     return {
         "op1_decontaminate": decontaminate.ORACLE_SQL,
         "op4_line_dedup": line_dedup.ORACLE_SQL,
+        "op6_exact_topk": topk.ORACLE_SQL,
+        "op7_warc": warc.ORACLE_SQL,
         "op8_near_dup": near_dup.ORACLE_SQL,
         "op10_url_rules": url_rules.ORACLE_SQL,
     }
