@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomwise.llm import bpe, decontaminate, langid, line_dedup, near_dup, topk, url_rules, warc
+from loomwise.llm import bpe, decontaminate, langid, line_dedup, near_dup, shards, topk, url_rules, warc
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op6_exact_topk": topk.op6_exact_topk,
         "op7_warc": warc.op7_warc,
         "op8_near_dup": near_dup.op8_near_dup,
+        "op9_sharding": shards.op9_sharding,
         "op10_url_rules": url_rules.op10_url_rules,
     }
 
@@ -25,5 +26,6 @@ def oracle_sql() -> dict:
         "op6_exact_topk": topk.ORACLE_SQL,
         "op7_warc": warc.ORACLE_SQL,
         "op8_near_dup": near_dup.ORACLE_SQL,
+        "op9_sharding": shards.ORACLE_SQL,
         "op10_url_rules": url_rules.ORACLE_SQL,
     }
