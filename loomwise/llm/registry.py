@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomwise.llm import bpe, decontaminate, langid, line_dedup, near_dup, shards, topk, url_rules, warc
+from loomwise.llm import bpe, decontaminate, langid, line_dedup, lm_score, near_dup, shards, topk, url_rules, warc
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_language_id": langid.op2_language_id,
         "op3_bpe": bpe.op3_bpe,
         "op4_line_dedup": line_dedup.op4_line_dedup,
+        "op5_lm_score": lm_score.op5_lm_score,
         "op6_exact_topk": topk.op6_exact_topk,
         "op7_warc": warc.op7_warc,
         "op8_near_dup": near_dup.op8_near_dup,
