@@ -189,13 +189,14 @@ def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def encode_documents(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", path: str | None = None) -> DataFrame:
-    """The documents with ids (array of int) and decoded (what the ids decode to) added.
+def encode_documents(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", path: str | None = None, decode: bool = True) -> DataFrame:
+    """The documents with ids (array of int) and, unless ``decode`` is false, decoded (what the ids decode to) added.
 
     The vocabulary is opened where the task runs: ``path``, or ``vocabulary`` in the public tokenizers package.
     """
-    schema = T.StructType([f for f in docs.schema.fields if f.name not in ("ids", "decoded")] + [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
-    keep = schema.names[:-2]
+    new = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())][: 1 + decode]
+    keep = [c for c in docs.columns if c not in ("ids", "decoded")]
+    schema = T.StructType([docs.schema[c] for c in keep] + new)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _load(path or vocabulary_path(vocabulary))
@@ -206,7 +207,9 @@ def encode_documents(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", pat
                 ids = [bpe.encode(t) if t else [] for t in texts]
                 offsets = np.cumsum([0, *map(len, ids)], dtype=np.int32)
                 flat = np.fromiter(chain.from_iterable(ids), np.int32, int(offsets[-1]))
-                arrays = [part.column(c) for c in keep] + [pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array([bpe.decode(x) for x in ids], pa.string())]
+                arrays = [part.column(c) for c in keep] + [pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))]
+                if decode:
+                    arrays.append(pa.array([bpe.decode(x) for x in ids], pa.string()))
                 yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
     return docs.mapInArrow(run, schema)

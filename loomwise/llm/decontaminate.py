@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwise.llm.common import ascii_lower, row_key
+from loomwise.llm.common import ascii_lower, broadcast_if_small, row_key, written
 
 #: Between words: ASCII that is neither a letter nor a digit.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -116,7 +116,9 @@ def without_spans(text: Column, hit_words: Column) -> Column:
 
 def decontaminate(docs: DataFrame, items: DataFrame, n: int = 10, remove: str = "documents", set_limit: int = SET_LIMIT) -> DataFrame:
     """Documents without those that hold a window (``remove="documents"``), or without the hit spans (``"spans"``)."""
-    spans = spans_of(find_hits(docs, items, n, set_limit)).select(F.col("doc_id").alias("s_id"), F.col("rk").alias("s_rk"), "hit_words")
+    spans = written(docs.sparkSession, spans_of(find_hits(docs, items, n, set_limit)).select(F.col("doc_id").alias("s_id"), F.col("rk").alias("s_rk"), "hit_words"), "spans")
+    if remove == "documents":
+        spans = broadcast_if_small(spans.select("s_id", "s_rk"))
     same = docs.doc_id.eqNullSafe(spans.s_id) & (row_key(docs.text) == spans.s_rk)
     if remove == "documents":
         return docs.join(spans, same, "left_anti")

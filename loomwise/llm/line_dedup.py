@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwise.llm.common import ascii_lower, broadcast_if_small, row_key, written
+from loomwise.llm.common import ascii_lower, broadcast_if_small, forget, row_key, written
 from loomwise.session import remove_path, scratch_path
 
 SPACE = " \t\n\x0b\x0c\r"
@@ -68,6 +68,11 @@ class LineRuns:
     def paths(self) -> list[str]:
         return [p for level in self.levels for p in level]
 
+    def clear(self) -> None:
+        for p in self.paths():
+            remove_path(self.spark, p)
+        self.levels = [[]]
+
     def unseen(self, keys: DataFrame) -> DataFrame:
         """Rows of keys whose h is in no run."""
         for p in self.paths():
@@ -81,7 +86,7 @@ class LineRuns:
         fresh = self.unseen(run.select("h", "owner"))
         known = run.join(fresh.select("h", F.lit(True).alias("new")), "h", "left")
         self._store(known.select("h", "n_docs", F.when(F.col("new"), F.col("owner")).alias("owner")), 0)
-        remove_path(self.spark, run.inputFiles()[0].rsplit("/", 1)[0]) if run.inputFiles() else None
+        forget(run)
         level = 0
         while len(self.levels[level]) >= self.fanout:
             old, self.levels[level] = self.levels[level], []
@@ -115,14 +120,17 @@ def dropped_lines(spark: SparkSession, docs: DataFrame, min_chars: int = 20, min
     lines = parts[0]
     for p in parts[1:]:
         lines = lines.unionByName(p)
-    frequent = broadcast_if_small(written(spark, runs.frequent(min_docs).select("h", "owner"), "frequent"))
-    lost = lines.join(frequent, "h").where(F.col("doc") != F.col("owner"))
-    return lost.groupBy("doc", "rk").agg(F.array_sort(F.collect_set("pos")).alias("drops"))
+    frequent = written(spark, runs.frequent(min_docs).select("h", "owner"), "frequent")
+    lost = lines.join(broadcast_if_small(frequent), "h").where(F.col("doc") != F.col("owner"))
+    drops = written(spark, lost.groupBy("doc", "rk").agg(F.array_sort(F.collect_set("pos")).alias("drops")), "drops")
+    forget(frequent, *parts)
+    runs.clear()
+    return drops
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, **kw) -> DataFrame:
     """The documents with columns kept_text, n_lines and n_dropped added."""
-    drops = broadcast_if_small(written(spark, dropped_lines(spark, docs, **kw), "drops"), 200_000)
+    drops = broadcast_if_small(dropped_lines(spark, docs, **kw), 200_000)
     same = (_id(docs.doc_id) == drops.doc) & (row_key(docs.text) == drops.rk)
     lines = F.split(F.coalesce(docs.text, F.lit("")), "\n")
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(drops.drops, i)), "\n")

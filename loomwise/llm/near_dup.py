@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwise.llm.common import broadcast_if_small, written
+from loomwise.llm.common import broadcast_if_small, forget, written
 
 WIDTH = 5
 POSITIONS, ERRORS, BITS = 60, 1, 16
@@ -192,6 +192,7 @@ def components(edges: DataFrame, spark: SparkSession, name: str = "components")
         step = tied.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         step = written(spark, step, name)
         same = step.join(now, ["u", "v"], "left_anti").isEmpty() and step.count() == now.count()
+        forget(now)
         now = step
         if same:
             break
@@ -220,7 +221,9 @@ def _confirm(spark: SparkSession, docs: DataFrame, sigs: DataFrame, pairs: DataF
     left, right = sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("ga")), sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("gb"))
     shared = F.size(F.array_intersect("ga", "gb"))
     linked = close.join(left, "a").join(right, "b").select("a", "b", shared.alias("i"), (F.size("ga") + F.size("gb")).alias("s"))
-    return written(spark, linked.where((F.col("i") * 100) >= (F.col("s") - F.col("i")) * percent).select("a", "b"), f"{name}-links")
+    links = written(spark, linked.where((F.col("i") * 100) >= (F.col("s") - F.col("i")) * percent).select("a", "b"), f"{name}-links")
+    forget(close, ids, sets)
+    return links
 
 
 def near_duplicates(
@@ -246,7 +249,7 @@ def near_duplicates(
     keys = index_keys(reps, positions, chunks, errors, bits)
     shared = keys.groupBy("key").agg(F.min("id").alias("low"), F.count("*").alias("n")).where("n > 1").select("key", "low")
     members = written(spark, keys.join(shared, "key"), "members")
-    stars = members.where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b")).distinct()
+    stars = written(spark, members.where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b")).distinct(), "pairs")
     links = _confirm(spark, known, reps, stars, percent, threshold, width, "stars")
     comps = written(spark, components(links, spark), "comps")
 
@@ -261,6 +264,7 @@ def near_duplicates(
     cross = cross.join(stars, ["a", "b"], "left_anti")  # those are settled
     more = _confirm(spark, known, reps, cross, percent, threshold, width, "cross")
     final = written(spark, components(links.union(more), spark), "comps")
+    forget(members, stars, links, comps, rest, more)
 
     # a class of equal sets takes the component of its representative
     of_class = reps.join(final, "id", "left").select("fp", F.coalesce("comp", "id").alias("comp"))
