@@ -7,10 +7,72 @@ as the next one's docs. All stages but the last return the columns of documents.
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from loomwise.llm.bpe import encode_documents
+from loomwise.llm.common import broadcast_if_small, forget, written
+from loomwise.llm.decontaminate import decontaminate
+from loomwise.llm.langid import train
+from loomwise.llm.line_dedup import dedup_lines
+from loomwise.llm.near_dup import near_duplicates
+
+#: A prediction with less than this share of the posterior is no language.
+LEAST_SCORE = 0.5
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language: those without letters or with an unsure prediction go; a missing lang is filled in."""
+    columns = docs.columns
+    found = train(spark, docs.select("doc_id", "text", "lang")).predict(docs)
+    kept = found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
+    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without lines that three documents share, but for the largest doc_id that holds them."""
+    columns = docs.columns
+    found = dedup_lines(spark, docs).withColumn("text", F.when(F.col("n_dropped") > 0, F.col("kept_text")).otherwise(F.col("text")))
+    return found.withColumn("n_chars", F.length("text").cast("long")).select(*columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, that with the smallest doc_id; rows without doc_id stay."""
+    kept = near_duplicates(spark, docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    kept = broadcast_if_small(written(spark, kept, "kept"))
+    one = docs.join(kept, "doc_id", "left_semi")
+    if not docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
+        order = Window.partitionBy("doc_id").orderBy(F.desc(F.length("text")), "text")
+        one = one.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+    return one.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no window of ten words of a benchmark item."""
+    return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, n_tokens and the token ids of every document."""
+    return encode_documents(docs, decode=False).select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("bpe_encoding", bpe_encoding),
+]
+
+#: Language ID, BPE and near-duplicate groups over joined links are beyond a SQL statement; tests hold them against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (name, stage) in enumerate(STAGES):
+        before, docs = docs, written(spark, stage(spark, docs, sf_dir), name)
+        if k:
+            forget(before)
     return docs
