@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwise.queries import grading
+from loomwise.queries import grading, similar
 
-MODULES = [grading]
+MODULES = [grading, similar]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
