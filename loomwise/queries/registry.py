@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwise.queries import grading, similar
+from loomwise.queries import grading, sequences, similar, tables
 
-MODULES = [grading, similar]
+MODULES = [grading, similar, sequences, tables]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grading.grade_slice(spark, sf_dir)
+    """Grade, drop duplicates, pick a sequence."""
+    return tables.flagship_sequence(spark, sf_dir)
 
 
 def queries() -> dict:

@@ -54,3 +54,9 @@ def remove_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def cut(df):
+    """The same rows with their lineage cut by a checkpoint in the shared folder."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint()
