@@ -101,8 +101,9 @@ class LineRuns:
 
 def batches_of(docs: DataFrame, n: int) -> list[Column]:
     """Conditions that cut documents into about n parts by doc_id, the largest ids first; nulls come last."""
-    cuts = sorted(set(docs.select(F.col("doc_id").cast("double").alias("d")).approxQuantile("d", [k / n for k in range(1, n)], 0.02)), reverse=True)
-    cuts = [int(c) for c in cuts]
+    shares = [k / n for k in range(1, n)]
+    got = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), shares, 1000)).first()[0] if shares else None  # n - 1 numbers
+    cuts = sorted(set(got or []), reverse=True)
     doc = F.col("doc_id").cast("long")
     out, above = [], F.lit(True)
     for c in cuts:

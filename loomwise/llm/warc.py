@@ -87,6 +87,7 @@ def _page_record(page_id, url, html, refers) -> bytes:
 
 def write_archives(spark: SparkSession, pages: DataFrame, folder: str, min_bytes: int = MIN_BYTES) -> DataFrame:
     """Write pages (page_id, url, html) as archives into ``folder``; a row for each archive: path, records, bytes."""
+    pages = pages.select("page_id", "url", "html")
     low = F.lit(-(2**63))
     html = F.coalesce("html", F.lit(""))
     page = F.coalesce(F.col("page_id").cast("long"), low)
@@ -153,8 +154,8 @@ class _Bytes:
                 return zlib.decompressobj(31).decompress(head, 16).startswith(VERSION)
             except zlib.error:
                 return False
-        # a version line stands alone and a field follows it
-        return bool(re.match(rb"WARC/1\.\d\r?\n[A-Za-z-]+:", head)) and (at == 0 or self.read(at - 1, 1) == b"\n")
+        # a field follows a version line
+        return bool(re.match(rb"WARC/1\.\d\r?\n[A-Za-z-]+:", head))
 
 
 class Damaged(Exception):
