@@ -41,7 +41,7 @@ CLASSES = 32
 DIM = 1 << 16
 BLOCK = 1024
 ROWS = 512
-CACHE = 400_000
+CACHE = 300_000
 #: Tokens of one gradient step.
 STEP = 4096
 LN10 = float(np.log(10))
@@ -85,6 +85,7 @@ class Classes:
     def __init__(self, endings: list[str], n: int = CLASSES):
         self.n, self.of = n, {e: k + 1 for k, e in enumerate(endings)}
         self.first = len(endings) + 1
+        self.short = {e.encode("utf-8"): k for e, k in self.of.items() if e.isascii() and len(e) == 2}
 
     @staticmethod
     def learn(counts: DataFrame, n: int = CLASSES) -> Classes:
@@ -92,6 +93,9 @@ class Classes:
         return Classes([r["e"] for r in top.collect()], n)
 
     def __call__(self, token: bytes) -> int:
+        k = self.short.get(token[-2:])  # two ASCII bytes are the last two characters
+        if k is not None:
+            return k
         if token == END:
             return 0
         e = token.decode("utf-8")[-2:]
@@ -120,25 +124,26 @@ class _Codes(dict):
     def __init__(self, m: Model):
         super().__init__()
         self.m = m
-        self.hash, self.cls, self.count = np.zeros(CACHE + 1, np.uint32), np.zeros(CACHE + 1, np.int64), np.zeros(CACHE + 1, np.int64)
         self.restart()
 
     def restart(self) -> None:
         self.clear()
         self.names: list[bytes] = []
+        self.hash, self.cls, self.count = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
         assert self[END] == 0
 
     def __missing__(self, w: bytes) -> int:
-        k = len(self)
-        if k > CACHE:  # a batch of ROWS texts may hold more words than the cache
-            grow = lambda a: np.concatenate([a, np.zeros_like(a)])
-            if k >= len(self.hash):
-                self.hash, self.cls, self.count = grow(self.hash), grow(self.cls), grow(self.count)
-        self[w] = k
+        self[w] = k = len(self.names)
         self.names.append(w)
-        self.hash[k], self.cls[k], self.count[k] = crc32(w), self.m.classes(w), self.m.head.get(w, -1)
         return k
 
+    def complete(self) -> None:
+        """Fill the arrays for the tokens that came since the last time."""
+        new = self.names[len(self.hash) :]
+        add = lambda a, values: np.concatenate([a, np.fromiter(values, a.dtype, len(new))])
+        self.hash, self.cls = add(self.hash, map(crc32, new)), add(self.cls, map(self.m.classes, new))
+        self.count = add(self.count, (self.m.head.get(w, -1) for w in new))
+
 
 def _features(h: np.ndarray, place: np.ndarray, dim: int) -> np.ndarray:
     """Rows of the weights for each token: h are token hashes, place the positions in their texts."""
@@ -151,7 +156,7 @@ def _features(h: np.ndarray, place: np.ndarray, dim: int) -> np.ndarray:
 
 def _encode(codes: _Codes, texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Codes of all tokens of some texts, the text of each, and its position there."""
-    if len(codes) > CACHE // 2:
+    if len(codes) > CACHE:
         codes.restart()
     flat, sizes = [], []
     for t in texts:
@@ -159,56 +164,62 @@ def _encode(codes: _Codes, texts: list) -> tuple[np.ndarray, np.ndarray, np.ndar
         flat += toks
         flat.append(0)
         sizes.append(len(toks) + 1)
+    codes.complete()
     doc = np.repeat(np.arange(len(texts)), sizes)
     start = np.cumsum([0, *sizes[:-1]])
     return np.array(flat, np.int64), doc, np.arange(len(flat)) - start[doc]
 
 
-def _log_softmax(m: Model, weights: np.ndarray, f: np.ndarray) -> np.ndarray:
-    z = weights[f[0]]
+def _softmax(m: Model, weights: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Logits, their exponentials and the sums of those, a row for each token."""
+    z = weights.take(f[0], 0)
     for row in f[1:]:
-        z += weights[row]
+        z += weights.take(row, 0)
     z += m.bias
-    z -= z.max(1, keepdims=True)
-    z -= np.log(np.exp(z).sum(1, keepdims=True))
-    return z
+    if z.max(initial=0) > 60:  # exp would come near the end of float32
+        z -= z.max(1, keepdims=True)
+    e = np.exp(z)
+    return z, e, e @ np.ones(e.shape[1], np.float32)
 
 
 def _train_task(m: Model, rate: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = m.value
         codes, w = _Codes(model), model.weights.copy()
-        square, met = np.full(len(w), 1e-2, np.float32), np.zeros(len(w), np.int64)
+        square, met = np.full(len(w), 1e-2, np.float32), np.zeros(len(w), np.int32)
         for b in batches:
             for at in range(0, b.num_rows, ROWS):
                 token, _, place = _encode(codes, b.column("text").slice(at, ROWS).to_pylist())
                 f, cls = _features(codes.hash[token], place, len(w)), codes.cls[token]
                 for s in range(0, len(token), STEP):
                     part = f[:, s : s + STEP]
-                    g = -np.exp(_log_softmax(model, w, part))
+                    _, g, total = _softmax(model, w, part)
+                    g *= (-1 / total)[:, None]
                     g[np.arange(len(g)), cls[s : s + STEP]] += 1
                     rows = part.reshape(-1)
                     order = np.argsort(rows.astype(np.uint16) if len(w) <= 1 << 16 else rows, kind="stable")
                     rows = rows[order]
                     first = np.nonzero(np.diff(rows, prepend=-1))[0]
-                    step = np.add.reduceat(g[order % len(g)], first)
+                    step = np.add.reduceat(g.take(order % len(g), 0), first)
                     rows, times = rows[first], np.diff(first, append=len(rows))
-                    square[rows] += (step**2).mean(1)
-                    w[rows] += rate * step / np.sqrt(square[rows])[:, None]
+                    square[rows] += np.einsum("ij,ij->i", step, step) / step.shape[1]
+                    step *= (rate / np.sqrt(square[rows]))[:, None]
+                    w[rows] += step
                     met[rows] += times
         w -= model.weights
-        w *= met[:, None]
         blocks = [k for k in range(len(w) // BLOCK) if met[k * BLOCK : (k + 1) * BLOCK].any()]
         cut = lambda a: pa.array([a[k * BLOCK : (k + 1) * BLOCK].tobytes() for k in blocks], pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), cut(met), cut(w.astype(np.float32))], ["block", "met", "moved"])
+        yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), cut(met), cut(w.astype(np.float16))], ["block", "met", "moved"])
 
     return run
 
 
 def _sum_blocks(t: pa.Table) -> pa.Table:
-    met = sum(np.frombuffer(x.as_py(), np.int64) for x in t.column("met"))
-    moved = sum(np.frombuffer(x.as_py(), np.float32).astype(float) for x in t.column("moved"))
-    return pa.table({"block": t.column("block")[:1], "met": pa.array([met.tobytes()], pa.binary()), "moved": pa.array([moved.astype(np.float32).tobytes()], pa.binary())})
+    """The mean of the tasks' steps for one block of rows, each weighted by how often the task met the row."""
+    times = [np.frombuffer(x.as_py(), np.int32).astype(float) for x in t.column("met")]
+    moved = sum(np.frombuffer(x.as_py(), np.float16).reshape(BLOCK, -1).astype(float) * n[:, None] for x, n in zip(t.column("moved"), times, strict=True))
+    mean = moved / np.maximum(sum(times), 1)[:, None]
+    return pa.table({"block": t.column("block")[:1], "moved": pa.array([mean.astype(np.float32).tobytes()], pa.binary())})
 
 
 def train(spark: SparkSession, docs: DataFrame, rounds: int = 2, rate: float = 0.25, head: int = HEAD) -> tuple[Model, DataFrame]:
@@ -218,18 +229,25 @@ def train(spark: SparkSession, docs: DataFrame, rounds: int = 2, rate: float = 0
     counts = counts.withColumn("cls", classes.column(F.col("token")))
     per_class = {r["cls"]: r for r in counts.groupBy("cls").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()}
     n_k, v_k = (np.array([per_class[k][x] if k in per_class else 0 for k in range(classes.n)], float) for x in ("n", "v"))
-    top = counts.orderBy(F.desc("c"), "token").limit(head).toPandas()  # at most ``head`` rows
+    # a histogram of counts in narrow bins says which of them the head can hold
+    bin_ = F.floor(F.log2("c") * 16)
+    cut, held = 1 << 30, 0
+    for r in sorted(counts.groupBy(bin_.alias("b")).count().collect(), reverse=True):
+        held += r["count"]
+        if held > head:
+            break
+        cut = r["b"]
+    top = counts.where(bin_ >= cut).select("token", "c").toPandas()  # at most ``head`` rows
     words = {t.encode("utf-8"): int(c) for t, c in zip(top["token"], top["c"], strict=True)}
     m = Model(classes, words, int(n_k.sum()), int(v_k.sum()), n_k, v_k)
     turn = F.coalesce(F.pmod(F.xxhash64("doc_id", F.lit("turn")), F.lit(rounds)), F.lit(0))
     out = "block int, met binary, moved binary"
     for k in range(rounds if m.n else 0):
         now = spark.sparkContext.broadcast(m)
-        moved = docs.where(turn == k).select("text").mapInArrow(_train_task(now, rate), out).groupBy("block").applyInArrow(_sum_blocks, out)
+        moved = docs.where(turn == k).select("text").mapInArrow(_train_task(now, rate), out).groupBy("block").applyInArrow(_sum_blocks, "block int, moved binary")
         for r in moved.collect():  # the weights once: their size is fixed
             rows = slice(r["block"] * BLOCK, (r["block"] + 1) * BLOCK)
-            met = np.frombuffer(r["met"], np.int64)[:, None]
-            m.weights[rows] += np.frombuffer(r["moved"], np.float32).reshape(BLOCK, -1) / np.maximum(met, 1)
+            m.weights[rows] += np.frombuffer(r["moved"], np.float32).reshape(BLOCK, -1)
         now.unpersist()
     return m, counts
 
@@ -248,8 +266,8 @@ def _score_task(m):
                 log_class = np.empty(len(token))
                 f = _features(codes.hash[token], place, len(model.weights))
                 for s in range(0, len(token), STEP):
-                    z = _log_softmax(model, model.weights, f[:, s : s + STEP])
-                    log_class[s : s + STEP] = z[np.arange(len(z)), cls[s : s + STEP]] / LN10
+                    z, _, total = _softmax(model, model.weights, f[:, s : s + STEP])
+                    log_class[s : s + STEP] = (z[np.arange(len(z)), cls[s : s + STEP]] - np.log(total)) / LN10
                 known = count >= 0
                 log_c = np.log10(np.maximum(count, 0) + 0.1)
                 add = lambda x, d=doc, n=n: np.bincount(d, x, n)

@@ -11,10 +11,13 @@ within the threshold meets in some key.
 
 Documents with equal sets are one class from the start. Keys are over class
 representatives. Within a key, members are first paired with the smallest one
-only; confirmed links are closed into components. Then whatever a key still
-holds in different components is paired, the minority of the key against all
-its other components, so that no link is lost and copies are never expanded
-into all pairs. Every link is confirmed on the full sets.
+only; confirmed links are closed into components. Then what a key still holds
+in different components is compared, the minority of the key against all its
+other components, so that no link is lost and copies are never expanded into
+all pairs. This is done on arrays in blocks of bounded size: a longer signature
+of the documents concerned rules out most, by a threshold of its own set in the
+same way, and a pair is put out by its first common key alone. Every link is
+confirmed on the full sets.
 
 Defined results. Null texts and texts without words have an empty set and are
 linked with nothing, not even with each other. Fewer words than a shingle make
@@ -38,6 +41,10 @@ from loomwise.llm.common import broadcast_if_small, forget, written
 
 WIDTH = 5
 POSITIONS, ERRORS, BITS = 60, 1, 16
+#: Of the longer signature that is compared within keys.
+FINE_POSITIONS, FINE_BITS = 512, 8
+#: Members of a key that one block holds.
+BLOCK = 2048
 ROWS = 512
 M64 = (1 << 64) - 1
 CACHE = 400_000
@@ -174,7 +181,115 @@ def index_keys(reps: DataFrame, positions: int, chunks: int, errors: int, bits:
                 symbols = np.frombuffer(b"".join(b.column("sig").to_pylist()), "<u2" if bits <= 16 else np.int64).reshape(-1, positions)
                 yield pa.RecordBatch.from_arrays([b.column("id"), _lists(keys_of(symbols, chunks, errors))], ["id", "keys"])
 
-    return reps.select("id", "sig").mapInArrow(run, "id long, keys array<long>").select("id", F.explode("keys").alias("key"))
+    return reps.select("id", "sig").mapInArrow(run, "id long, keys array<long>").select("id", F.posexplode("keys").alias("tag", "key"))
+
+
+def fine_signatures(docs: DataFrame, ids: DataFrame, repeated: bool, width: int) -> DataFrame:
+    """id and the longer signature of the documents with the given ids (doc_id)."""
+
+    def sign_sets(ids: pa.Array, sets: list[np.ndarray], sign: Signer) -> pa.RecordBatch:
+        rows = sign(sets).astype(np.uint8) if sets else np.zeros((0, FINE_POSITIONS), np.uint8)
+        return pa.RecordBatch.from_arrays([ids, pa.array([r.tobytes() for r in rows], pa.binary())], ["id", "fine"])
+
+    def of_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sign = Signer(FINE_POSITIONS, FINE_BITS)
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                part = whole.slice(at, ROWS)
+                yield sign_sets(part.column("doc_id"), [shingles(t, width) for t in part.column("text").to_pylist()], sign)
+
+    def of_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sign = Signer(FINE_POSITIONS, FINE_BITS)
+        for b in batches:
+            yield sign_sets(b.column("doc_id"), [np.array(g, np.int64).view(np.uint64) for g in b.column("grams").to_pylist()], sign)
+
+    wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(broadcast_if_small(ids), "doc_id", "left_semi")
+    if repeated:
+        sets = full_sets(wanted, width).groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("grams"))).alias("grams"))
+        return sets.mapInArrow(of_sets, "id long, fine binary")
+    return wanted.mapInArrow(of_texts, "id long, fine binary")
+
+
+def _compare(ids, comp, minor, tag, sig, fine, limit: int, positions: int, chunks: int, errors: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (a, b) of one block of a key whose first common key this is and whose fine signatures are close."""
+    m, o = np.nonzero(minor)[0], np.arange(len(ids))
+    found = []
+    step = max(1, (1 << 24) // (len(ids) * FINE_POSITIONS))
+    for at in range(0, len(m), step):
+        rows = m[at : at + step]
+        open_ = comp[rows, None] != comp[None, :]
+        # two of the minority meet twice: once is enough
+        open_ &= ~minor[None, :] | (ids[rows, None] > ids[None, :])
+        i, j = np.nonzero(open_)
+        if 4 * len(i) < open_.size:
+            far = (fine[rows[i]] != fine[j]).sum(1)
+        else:
+            far = (fine[rows, None, :] != fine[None, o, :]).sum(2)[i, j]
+        near = far <= limit
+        found.append(np.stack([rows[i[near]], j[near]]))
+    x, y = np.concatenate(found, 1) if found else np.zeros((2, 0), int)
+    if not len(x):
+        return x, y
+    used = np.unique(np.concatenate([x, y]))
+    keys = keys_of(np.frombuffer(b"".join(sig[k] for k in used), "<u2").reshape(-1, positions), chunks, errors)
+    same = keys[np.searchsorted(used, x)] == keys[np.searchsorted(used, y)]
+    first = same.argmax(1) == tag
+    x, y = ids[x[first]], ids[y[first]]
+    return np.maximum(x, y), np.minimum(x, y)
+
+
+def cross_pairs(spark: SparkSession, docs: DataFrame, reps: DataFrame, placed: DataFrame, similarity: float, repeated: bool, positions: int, chunks: int, errors: int, width: int) -> DataFrame:
+    """Distinct pairs (a, b) that share a key, are in different components and have close fine signatures.
+
+    placed has key, tag, id and comp. The largest component of a key is its main one;
+    all others are compared with it and among themselves, in blocks.
+    """
+    by_comp = placed.groupBy("key", "comp").count()
+    mixed = by_comp.groupBy("key").agg(F.max(F.struct("count", "comp")).alias("most"), F.sum("count").alias("n"), F.count("*").alias("c")).where("c > 1")
+    mixed = mixed.select("key", F.col("most.comp").alias("main"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    rest = written(spark, placed.join(mixed, "key"), "rest")
+    ids = written(spark, rest.select(F.col("id").alias("doc_id")).distinct(), "rest-ids")
+    fine = written(spark, fine_signatures(docs, ids, repeated, width).join(reps.select("id", "sig"), "id"), "fine")
+    block = lambda salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col("blocks")).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    cols = ["key", "tag", "id", "comp", "main"]
+    left = rest.where("comp <> main").select(*cols, F.lit(True).alias("is_left"), block(0).alias("p"), every.alias("q"))
+    right = rest.select(*cols, F.lit(False).alias("is_left"), every.alias("p"), block(0).alias("q"))
+    # a document on both sides of a block stands there once
+    rows = left.union(right).groupBy("key", "p", "q", "tag", "id", "comp").agg(F.max("is_left").alias("minor"), F.min("is_left").alias("only"))
+    rows = rows.join(fine, "id").select("key", "p", "q", "tag", "id", "comp", "minor", "sig", "fine")
+    limit = allowed(FINE_POSITIONS, similarity, FINE_BITS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def of(t: pa.Table) -> pa.RecordBatch:
+            place = np.stack([t.column(c).to_numpy() for c in ("key", "p", "q")], 1)
+            edges = np.concatenate([[0], np.nonzero((place[1:] != place[:-1]).any(1))[0] + 1, [len(place)]])
+            ids, comp, minor, tags = (t.column(c).to_numpy() for c in ("id", "comp", "minor", "tag"))
+            sig, fine = t.column("sig").to_pylist(), np.frombuffer(b"".join(t.column("fine").to_pylist()), np.uint8).reshape(-1, FINE_POSITIONS)
+            got = [_compare(ids[a:b], comp[a:b], minor[a:b], tags[a], sig[a:b], fine[a:b], limit, positions, chunks, errors) for a, b in zip(edges, edges[1:], strict=False) if b - a > 1]
+            x, y = (np.concatenate([g[k] for g in got]) if got else np.zeros(0, np.int64) for k in (0, 1))
+            return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)), pa.array(y.astype(np.int64))], ["a", "b"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t = pa.Table.from_batches([*held, b])
+            # the last group may go on in the next batch
+            place = np.stack([t.column(c).to_numpy() for c in ("key", "p", "q")], 1)
+            ends = np.nonzero((place[1:] != place[:-1]).any(1))[0]
+            cut = int(ends[-1]) + 1 if len(ends) else 0
+            if cut:
+                yield of(t.slice(0, cut))
+            held = t.slice(cut).combine_chunks().to_batches()
+        if held:
+            yield of(pa.Table.from_batches(held))
+
+    out = rows.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(run, "a long, b long")
+    pairs = written(spark, out.distinct(), "cross")
+    forget(rest, ids, fine)
+    return pairs
 
 
 def components(edges: DataFrame, spark: SparkSession, name: str = "components") -> DataFrame:
@@ -241,7 +356,8 @@ def near_duplicates(
     known = docs.where("doc_id IS NOT NULL")
     sigs = written(spark, signatures(known, positions, bits, width), "signatures")
     again = sigs.groupBy("doc_id").count().where("count > 1")
-    if not again.isEmpty():  # repeated ids: join their texts' sets by signing the joined set
+    repeated = not again.isEmpty()
+    if repeated:  # repeated ids: join their texts' sets by signing the joined set
         sigs = written(spark, _joined(known, sigs, again, positions, bits, width), "signatures")
     classes = sigs.where("fp IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles"))
     reps = written(spark, classes.select("id", "sig", "n_shingles", "fp"), "classes")
@@ -254,17 +370,12 @@ def near_duplicates(
     comps = written(spark, components(links, spark), "comps")
 
     # what the keys still hold in different components
-    placed = members.select("key", "id").join(comps, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
-    by_comp = placed.groupBy("key", "comp").count()
-    mixed = by_comp.groupBy("key").agg(F.max(F.struct("count", "comp")).alias("most"), F.count("*").alias("n")).where("n > 1").select("key", F.col("most.comp").alias("main"))
-    rest = written(spark, placed.join(mixed, "key"), "rest")
-    minor = rest.where("comp <> main").select("key", F.col("id").alias("x"), F.col("comp").alias("cx"))
-    other = rest.select("key", F.col("id").alias("y"), F.col("comp").alias("cy"))
-    cross = minor.join(other, "key").where("cx <> cy").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
-    cross = cross.join(stars, ["a", "b"], "left_anti")  # those are settled
-    more = _confirm(spark, known, reps, cross, percent, threshold, width, "cross")
+    placed = members.select("key", "tag", "id").join(comps, "id", "left").select("key", "tag", "id", F.coalesce("comp", "id").alias("comp"))
+    cross = cross_pairs(spark, known, reps, placed, percent / 100, repeated, positions, chunks, errors, width)
+    new = cross.join(stars, ["a", "b"], "left_anti")  # those are settled
+    more = _confirm(spark, known, reps, new, percent, threshold, width, "cross")
     final = written(spark, components(links.union(more), spark), "comps")
-    forget(members, stars, links, comps, rest, more)
+    forget(members, stars, links, comps, cross, more)
 
     # a class of equal sets takes the component of its representative
     of_class = reps.join(final, "id", "left").select("fp", F.coalesce("comp", "id").alias("comp"))
