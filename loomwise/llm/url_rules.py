@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwise.llm.common import ascii_lower, broadcast_if_small
+from loomwise.session import cut
 
 #: The rules of the registered query, with their hosts, paths and verdicts.
 RULES = [
@@ -84,7 +85,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", group
     hosts = rules.groupBy("key").agg(F.count("*").alias("n_rules"))
     counted = points.groupBy("key").agg(F.count("*").alias("n_pages"))
     salts = F.ceil(F.col("n_pages") / F.greatest(F.lit(group_rows), 8 * F.col("n_rules"))).cast("int")
-    hosts = hosts.join(counted, "key").select("key", salts.alias("n_salts")).checkpoint()
+    hosts = cut(hosts.join(counted, "key").select("key", salts.alias("n_salts")))
     held = broadcast_if_small(hosts)
 
     bytes_of = lambda c: F.encode(c, "utf-8")
