@@ -36,7 +36,7 @@ from loomwise.llm.common import written
 
 #: Stands for the end of a text; no word holds a space.
 END = b" "
-HEAD = 50_000
+HEAD = 200_000
 CLASSES = 32
 DIM = 1 << 16
 BLOCK = 1024
