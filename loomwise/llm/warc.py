@@ -290,8 +290,8 @@ def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
                 if rows:
                     yield pd.DataFrame(rows, columns=names)
 
-    # one row for each archive: dealt out so that tasks read them side by side
-    return archives.select("path").repartition("path").mapInPandas(run, RECORD)
+    # one row for each archive: a stated number of tasks, as Spark would join such small partitions into one
+    return archives.select("path").repartition(max(1, archives.count()), "path").mapInPandas(run, RECORD)
 
 
 def op7_warc(spark, sf_dir):
