@@ -272,8 +272,10 @@ def _score_task(m):
                 log_c = np.log10(np.maximum(count, 0) + 0.1)
                 add = lambda x, d=doc, n=n: np.bincount(d, x, n)
                 rare = np.nonzero(~known)[0]
-                names = pa.array([codes.names[k] for k in token[rare].tolist()], pa.binary()).cast(pa.string())
-                ends = np.searchsorted(doc[rare], np.arange(n + 1)).astype(np.int32)
+                each, tf = np.unique(doc[rare] * len(codes.names) + token[rare], return_counts=True)
+                rare_doc, rare_token = np.divmod(each, len(codes.names))
+                names = pa.array([codes.names[k] for k in rare_token.tolist()], pa.binary()).cast(pa.string())
+                ends = np.searchsorted(rare_doc, np.arange(n + 1)).astype(np.int32)
                 cols = [
                     part.column("doc_id"),
                     part.column("held_out"),
@@ -281,7 +283,7 @@ def _score_task(m):
                     pa.array(np.bincount(doc[known], minlength=n)),
                     pa.array(add(np.where(known, log_c - base, 0.0))),
                     pa.array(add(log_class + np.where(known, log_c - share[cls], 0.0))),
-                    pa.ListArray.from_arrays(pa.array(ends), names),
+                    pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([names, pa.array(tf, pa.int64())], ["token", "tf"])),
                 ]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "n_tokens", "head_known", "head_base", "head_score", "rare"])
 
@@ -290,12 +292,12 @@ def _score_task(m):
 
 def score(spark: SparkSession, docs: DataFrame, m: Model, counts: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of docs (doc_id, held_out, text)."""
-    out = "doc_id long, held_out boolean, n_tokens long, head_known long, head_base double, head_score double, rare array<string>"
+    out = "doc_id long, held_out boolean, n_tokens long, head_known long, head_base double, head_score double, rare array<struct<token: string, tf: long>>"
     now = spark.sparkContext.broadcast(m)
     each = docs.select(F.col("doc_id").cast("long"), "held_out", "text").mapInArrow(_score_task(now), out)
     # the row number is drawn once, when the table is written
     each = written(spark, each.withColumn("row", F.monotonically_increasing_id()), "scored")
-    rare = each.select("row", F.explode("rare").alias("token")).groupBy("row", "token").agg(F.count("*").alias("tf"))
+    rare = each.select("row", F.inline("rare"))
     joined = rare.join(counts.select("token", "c"), "token", "left").withColumn("cls", m.classes.column(F.col("token")))
     total = F.array(*[F.lit(float(x)) for x in np.log10(m.class_n + 0.1 * (m.class_v + 1))])
     log_c = F.log10(F.coalesce("c", F.lit(0)) + F.lit(0.1))
