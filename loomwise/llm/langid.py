@@ -257,8 +257,12 @@ def train(
     p = np.repeat((1 / rank / (1 / rank).sum())[:, None], width, 1)
     if not languages:
         return LanguageModel([], np.zeros(1), p, path, vocabulary)
+    # hashes below a bound hold twice the documents wanted of a language, however common it is; only those are ranked
+    bounds = F.create_map(*[F.lit(x) for lang, c in share for x in (lang, min(1.0, 2 * docs_per_language / c))])
     few = Window.partitionBy("lang").orderBy("o", "doc_id")
-    chosen = labelled.select("doc_id", "lang", F.xxhash64("doc_id").alias("o")).where(F.col("lang").isin(languages)).withColumn("r", F.row_number().over(few)).where(F.col("r") <= docs_per_language)
+    hashed = labelled.select("doc_id", "lang", F.shiftrightunsigned(F.xxhash64("doc_id"), 1).alias("o")).where(F.col("lang").isin(languages))
+    near = hashed.where(F.col("o") / F.lit(2.0**63) <= F.try_element_at(bounds, F.col("lang")))
+    chosen = near.withColumn("r", F.row_number().over(few)).where(F.col("r") <= docs_per_language)
     chosen = broadcast_if_small(written(spark, chosen.select("doc_id", "lang"), "sample"))
     text = labelled.join(chosen, ["doc_id", "lang"], "left_semi")
     words = text.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1))).alias("w"))
