@@ -12,6 +12,17 @@ from loomwise.functions.vectors import TINY, dot, hamming, norm, scaled
 from loomwise.session import remove_path, scratch_path
 
 
+def _dealt(df: DataFrame, block: int) -> DataFrame:
+    """Rows (id, v, is_left) of each pair p <= q of blocks, so that every pair of rows meets once; blocks go by a hash of the id."""
+    n = max(1, -(-df.count() // block))
+    of = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    rows = df.select("id", "v", of.alias("k"))
+    # a row of block k meets the blocks k .. n - 1 as the left side and 0 .. k as the right
+    left = rows.select("id", "v", F.lit(True).alias("is_left"), F.col("k").alias("p"), F.explode(F.sequence(F.col("k"), F.lit(n - 1))).alias("q"))
+    right = rows.select("id", "v", F.lit(False).alias("is_left"), F.explode(F.sequence(F.lit(0), F.col("k"))).alias("p"), F.col("k").alias("q"))
+    return left.unionByName(right)
+
+
 def edges(df: DataFrame, threshold: float, exact: bool = True, block: int = 1024) -> DataFrame:
     """(a, b, cos) for every pair a < b of ids with cosine above the threshold; df has id and unit v.
 
@@ -19,12 +30,7 @@ def edges(df: DataFrame, threshold: float, exact: bool = True, block: int = 1024
     group, multiplied as matrices. A margin below the threshold is kept and, with
     ``exact``, decided by the sequential dot product, as SQL would.
     """
-    n = max(1, -(-df.count() // block))
-    of = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    rows = df.select("id", "v", of.alias("k"))
-    # a row of block k meets the blocks k .. n - 1 as the left side and 0 .. k as the right
-    left = rows.select("id", "v", F.lit(True).alias("is_left"), F.col("k").alias("p"), F.explode(F.sequence(F.col("k"), F.lit(n - 1))).alias("q"))
-    right = rows.select("id", "v", F.lit(False).alias("is_left"), F.explode(F.sequence(F.lit(0), F.col("k"))).alias("p"), F.col("k").alias("q"))
+    dealt = _dealt(df, block)
 
     def multiply(g: pd.DataFrame) -> pd.DataFrame:
         l, r = g[g["is_left"]], g[~g["is_left"]]
@@ -40,7 +46,7 @@ def edges(df: DataFrame, threshold: float, exact: bool = True, block: int = 1024
         va, vb = np.where(swap, vb, va), np.where(swap, va, vb)
         return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "va": va, "vb": vb})
 
-    near = left.unionByName(right).groupBy("p", "q").applyInPandas(multiply, "a long, b long, va array<double>, vb array<double>")
+    near = dealt.groupBy("p", "q").applyInPandas(multiply, "a long, b long, va array<double>, vb array<double>")
     return near.select("a", "b", dot(F.col("va"), F.col("vb")).alias("cos")).where(F.col("cos") > threshold)
 
 
@@ -156,10 +162,34 @@ def classify(df: DataFrame, anchors: DataFrame, temperature: float = 8.0) -> Dat
     return df.select("id", F.explode("x").alias("x"), "t").select("id", "x.niche", (F.col("x.e") / (F.col("t") + TINY)).alias("prob"))
 
 
-def diversity(df: DataFrame) -> DataFrame:
-    """mean (1 less the mean pair cosine, not below 0; 0 for fewer than two rows) and worst (1 less the largest; 0.5 for one row)."""
-    pairs = edges_sql(df, -2.0)
-    got = pairs.agg(F.avg("cos").alias("m"), F.max("cos").alias("x"))
+def largest_cosine(df: DataFrame, block: int = 1024) -> DataFrame:
+    """x, the largest cosine of two rows (null for fewer than two): one number for each pair of blocks, then their largest."""
+
+    def multiply(g: pd.DataFrame) -> pd.DataFrame:
+        l, r = g[g["is_left"]], g[~g["is_left"]]
+        if l.empty or r.empty:
+            return pd.DataFrame({"x": []})
+        sims = np.stack(l["v"].to_numpy()) @ np.stack(r["v"].to_numpy()).T
+        if g["p"].iloc[0] == g["q"].iloc[0]:
+            sims[l["id"].to_numpy()[:, None] >= r["id"].to_numpy()] = -np.inf
+        return pd.DataFrame({"x": [sims.max()]})
+
+    most = _dealt(df, block).groupBy("p", "q").applyInPandas(multiply, "x double")
+    return most.where(F.col("x") > float("-inf")).agg(F.max("x").alias("x"))
+
+
+def diversity(df: DataFrame, block: int = 1024) -> DataFrame:
+    """mean (1 less the mean pair cosine, not below 0; 0 for fewer than two rows) and worst (1 less the largest; 0.5 for one row).
+
+    The cosines of all pairs add up to half of what the squared norm of the
+    vectors' sum exceeds the sum of their squared norms by. Ids are unique.
+    """
+    rows = df.where("v IS NOT NULL").select("id", "v")
+    sums = rows.select(F.posexplode("v").alias("k", "y")).groupBy("k").agg(F.sum("y").alias("s"), F.sum(F.col("y") * F.col("y")).alias("o"))
+    total = sums.agg(F.sum(F.col("s") * F.col("s")).alias("s"), F.sum("o").alias("o"))
+    n = F.col("n").cast("double")
+    mean = F.when(n > 1, (F.col("s") - F.col("o")) / (n * (n - 1)))
+    got = total.crossJoin(rows.agg(F.count("*").alias("n"))).crossJoin(largest_cosine(rows, block)).select(mean.alias("m"), "x")
     return got.select(F.coalesce(F.greatest(F.lit(0.0), 1 - F.col("m")), F.lit(0.0)).alias("mean_diversity"), F.coalesce(1 - F.col("x"), F.lit(0.5)).alias("worst_diversity"))
 
 
