@@ -4,6 +4,8 @@ import numpy as np
 import pytest
 
 from loomwise.operators import similarity
+from loomwise.plans import grading
+from loomwise.queries import sequences
 
 
 def vectors(spark, n, dims=8, seed=5):
@@ -34,3 +36,14 @@ def test_lsh_edges_recall(spark):
     want = {(int(a), int(b)) for a, b in zip(*np.nonzero(np.triu(cos > 0.35, 1)), strict=True)}
     got = {(r["a"], r["b"]) for r in similarity.lsh_edges(df, 0.35).collect()}
     assert got <= want and len(got) >= 0.9 * len(want) and len(want) > 100
+
+
+def test_portfolio_sees_400_rows(spark, monkeypatch):
+    """120 equal vectors lead by score; the unlike ones behind them make the better set."""
+    eye = np.eye(8).tolist()
+    rows = [(k, eye[0] if k < 120 else eye[k % 8], 0.9 if k < 120 else 0.8, 0.5) for k in range(200)]
+    df = spark.createDataFrame(rows, "idx long, v array<double>, score double, personal double")
+    monkeypatch.setattr(grading, "graded", lambda spark, d: df)
+    got = sequences.portfolio_topn(spark, "").collect()
+    assert len(got) == 5 and sum(r["idx"] >= 120 for r in got) == 4
+    assert got[0]["value"] == pytest.approx((0.9 + 4 * 0.8) / 5 + 0.5 + 1)
