@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomwise.llm.bpe import encode_documents
-from loomwise.llm.common import broadcast_if_small, forget, written
+from loomwise.llm.common import broadcast_if_small, forget, row_key, written
 from loomwise.llm.decontaminate import decontaminate
 from loomwise.llm.langid import train
 from loomwise.llm.line_dedup import dedup_lines
@@ -22,9 +22,15 @@ LEAST_SCORE = 0.5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language: those without letters or with an unsure prediction go; a missing lang is filled in."""
+    """Documents in a language: those without letters or with an unsure prediction go; a missing lang is filled in.
+
+    Where no document has a lang to learn from, all with letters stay.
+    """
     columns = docs.columns
-    found = train(spark, docs.select("doc_id", "text", "lang")).predict(docs)
+    model = train(spark, docs.select("doc_id", "text", "lang"))
+    if not model.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    found = model.predict(docs)
     kept = found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
     return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*columns)
 
@@ -37,16 +43,33 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that with the smallest doc_id; rows without doc_id stay."""
+    """One document of each group of near-duplicates, that with the smallest doc_id; rows without doc_id stay.
+
+    Rows that repeat a doc_id with other text are documents of their own; of a
+    group's rows with the smallest doc_id the longest text stays.
+    """
+    if not docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return _near_dedup_rows(spark, docs)
     kept = near_duplicates(spark, docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     kept = broadcast_if_small(written(spark, kept, "kept"))
     one = docs.join(kept, "doc_id", "left_semi")
-    if not docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
-        order = Window.partitionBy("doc_id").orderBy(F.desc(F.length("text")), "text")
-        one = one.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
     return one.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
 
 
+def _near_dedup_rows(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """The same where ids repeat: doc_id and text together are a row's key."""
+    keyed = docs.where("doc_id IS NOT NULL").withColumn("_u", F.xxhash64("doc_id", row_key(F.col("text"))))
+    ids = keyed.select("_u", "doc_id", "text").dropDuplicates(["_u"])
+    found = near_duplicates(spark, ids.select(F.col("_u").alias("doc_id"), "text")).select(F.col("doc_id").alias("_u"), "component_id")
+    order = F.struct("doc_id", -F.length("text"), "_u")
+    kept = ids.join(found, "_u").groupBy("component_id").agg(F.min_by("_u", order).alias("_u")).select("_u")
+    kept = broadcast_if_small(written(spark, kept, "kept"))
+    # rows that repeat as a whole text under one id: one of them
+    again = Window.partitionBy("_u").orderBy(*[c for c in docs.columns if c not in ("doc_id", "text")], "doc_id")
+    one = keyed.join(kept, "_u", "left_semi").withColumn("_n", F.row_number().over(again)).where("_n = 1")
+    return one.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+
+
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of ten words of a benchmark item."""
     return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
