@@ -32,8 +32,10 @@ from loomwise.llm.common import broadcast_if_small, written
 
 WORD = re.compile(r"[^\W\d_]+")
 START = "▁"
-#: Words up to this length go through the vectorised forward pass; longer ones alone, with rescaling.
+#: Words up to this length go through the vectorised forward pass; longer ones alone, with rescaling or in logarithms.
 LONG = 40
+#: Numbers held for each of the two passes over a long word.
+CELLS = 4_000_000
 #: Words whose log-probabilities a worker keeps.
 CACHE = 400_000
 ROWS = 1024
@@ -153,9 +155,12 @@ class Pieces:
         out = np.zeros(p.shape)
         by: dict[int, list[int]] = {}
         for k, w in enumerate(words):
-            if len(w) <= LONG:
-                by.setdefault(len(w), []).append(k)
+            by.setdefault(len(w), []).append(k)
         for size, which in by.items():
+            if size > LONG:
+                for k in which:
+                    self._expected_long(words[k], counts[k], p, out)
+                continue
             x = np.array([self.codes(words[k]) for k in which], np.int32)
             alpha, beta = np.zeros((2, size + 2, len(which), p.shape[1]))
             alpha[0] = beta[-1] = 1
@@ -171,6 +176,25 @@ class Pieces:
                     out[:, lang] += np.bincount(piece, use[:, lang], self.n)
         return out
 
+    def _expected_long(self, word: str, count: np.ndarray, p: np.ndarray, out: np.ndarray) -> None:
+        """Add one long word's expected uses to out, in logarithms; a few languages at a time, for memory."""
+        x = np.array([self.codes(word)], np.int32)
+        n = x.shape[1]
+        met = np.nonzero(count)[0]
+        width = max(1, CELLS // (n + 1))
+        spans = [(i, k, piece[0]) for i, k, _, piece in self.spans(x)]
+        for at in range(0, len(met), width):
+            langs = met[at : at + width]
+            logs = np.log(p[:, langs])
+            alpha, beta = np.full((2, n + 1, len(langs)), -np.inf)
+            alpha[0] = beta[n] = 0
+            for i, k, piece in spans:
+                alpha[i + k] = np.logaddexp(alpha[i + k], alpha[i] + logs[piece])
+            for i, k, piece in reversed(spans):
+                rest = beta[i + k] + logs[piece]
+                beta[i] = np.logaddexp(beta[i], rest)
+                out[piece, langs] += count[langs] * np.exp(alpha[i] + rest - alpha[n])
+
 
 _LOADED: dict[str, Pieces] = {}
 
@@ -242,14 +266,14 @@ def train(
     labelled: DataFrame,
     docs_per_language: int = 1500,
     rounds: int = 3,
-    max_languages: int = 256,
+    max_languages: int | None = None,
     vocabulary: str = "piece_bpe_32k.model",
     path: str | None = None,
 ) -> LanguageModel:
-    """Learn from labelled documents (doc_id, text, lang). The max_languages most frequent languages are learned."""
+    """Learn from labelled documents (doc_id, text, lang). All languages are learned, or the max_languages most frequent."""
     labelled = labelled.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
-    share = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
-    share = sorted((r["lang"], r["count"]) for r in share)
+    share = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang")
+    share = sorted((r["lang"], r["count"]) for r in (share if max_languages is None else share.limit(max_languages)).collect())
     languages = [x for x, _ in share]
     pieces = _load(path, vocabulary)
     n, width = pieces.n, max(1, len(languages))

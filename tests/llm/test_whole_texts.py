@@ -1,10 +1,39 @@
-"""No document is lost on the way."""
+"""No word, language or document is lost on the way."""
 
+import numpy as np
 import pytest
 
+from loomwise.llm import langid
+
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
+def test_expected_counts_of_long_words(monkeypatch):
+    p = langid._load(None, "piece_bpe_32k.model")
+    rng = np.random.default_rng(3)
+    probs = rng.random((p.n, 3)) + 0.01
+    probs /= probs.sum(0)
+    words = ["nationstation", "zeitungundkeit", "x"]
+    counts = np.array([[2.0, 0, 1], [1, 3, 0], [0, 1, 1]])
+    want = p.expected(words, counts, probs)
+    monkeypatch.setattr(langid, "LONG", 0)
+    assert p.expected(words, counts, probs) == pytest.approx(want)
+    monkeypatch.setattr(langid, "CELLS", 1)
+    assert p.expected(words, counts, probs) == pytest.approx(want)
+    monkeypatch.undo()
+    long = "nation" * 500
+    used = p.expected([long], np.array([[1.0, 0, 2]]), probs).sum(0)
+    assert np.isfinite(used).all() and used[0] > 0 and used[1] == 0 and used[2] > 0
+
+
+def test_all_languages_are_learned(spark):
+    rows = [(k, f"{'abcdefghijklmnopq'[k % 16]}x {'abcdefghijklmnopq'[k // 16]}", f"l{k:03}") for k in range(260)]
+    labelled = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    few = langid.train(spark, labelled.where("doc_id < 20"), rounds=1, max_languages=5)
+    assert len(few.languages) == 5
+    assert len(langid.train(spark, labelled, rounds=1).languages) == 260
+
+
 def test_pipeline_keeps_texts_of_one_id_apart(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
