@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomwise.llm.bpe import encode_documents
-from loomwise.llm.common import broadcast_if_small, forget, row_key, written
+from loomwise.llm.common import broadcast_if_small, forget, fresh, row_key, written
 from loomwise.llm.decontaminate import decontaminate
 from loomwise.llm.langid import train
 from loomwise.llm.line_dedup import dedup_lines
@@ -30,15 +30,16 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = train(spark, docs.select("doc_id", "text", "lang"))
     if not model.languages:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    found = model.predict(docs)
-    kept = found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
-    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*columns)
+    pred, score = fresh(columns, "lang_pred", "score")
+    kept = model.predict(docs, (pred, score)).where((F.col(pred) != "und") & (F.col(score) >= LEAST_SCORE))
+    return kept.withColumn("lang", F.coalesce("lang", pred)).select(*columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without lines that three documents share, but for the largest doc_id that holds them."""
     columns = docs.columns
-    found = dedup_lines(spark, docs).withColumn("text", F.when(F.col("n_dropped") > 0, F.col("kept_text")).otherwise(F.col("text")))
+    kept, n, dropped = fresh(columns, "kept_text", "n_lines", "n_dropped")
+    found = dedup_lines(spark, docs, (kept, n, dropped)).withColumn("text", F.when(F.col(dropped) > 0, F.col(kept)).otherwise(F.col("text")))
     return found.withColumn("n_chars", F.length("text").cast("long")).select(*columns)
 
 
@@ -58,15 +59,16 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def _near_dedup_rows(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The same where ids repeat: doc_id and text together are a row's key."""
-    keyed = docs.where("doc_id IS NOT NULL").withColumn("_u", F.xxhash64("doc_id", row_key(F.col("text"))))
-    ids = keyed.select("_u", "doc_id", "text").dropDuplicates(["_u"])
-    found = near_duplicates(spark, ids.select(F.col("_u").alias("doc_id"), "text")).select(F.col("doc_id").alias("_u"), "component_id")
-    order = F.struct("doc_id", -F.length("text"), "_u")
-    kept = ids.join(found, "_u").groupBy("component_id").agg(F.min_by("_u", order).alias("_u")).select("_u")
+    key, place = fresh(docs.columns, "row_id", "row_place")
+    keyed = docs.where("doc_id IS NOT NULL").withColumn(key, F.xxhash64("doc_id", row_key(F.col("text"))))
+    ids = keyed.select(F.col(key).alias("u"), "doc_id", "text").dropDuplicates(["u"])
+    found = near_duplicates(spark, ids.select(F.col("u").alias("doc_id"), "text")).select(F.col("doc_id").alias("u"), "component_id")
+    order = F.struct("doc_id", -F.length("text"), "u")
+    kept = ids.join(found, "u").groupBy("component_id").agg(F.min_by("u", order).alias(key)).select(key)
     kept = broadcast_if_small(written(spark, kept, "kept"))
     # rows that repeat as a whole text under one id: one of them
-    again = Window.partitionBy("_u").orderBy(*[c for c in docs.columns if c not in ("doc_id", "text")], "doc_id")
-    one = keyed.join(kept, "_u", "left_semi").withColumn("_n", F.row_number().over(again)).where("_n = 1")
+    again = Window.partitionBy(key).orderBy(*[c for c in docs.columns if c not in ("doc_id", "text")], "doc_id")
+    one = keyed.join(kept, key, "left_semi").withColumn(place, F.row_number().over(again)).where(F.col(place) == 1)
     return one.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
 
 

@@ -16,8 +16,8 @@ Defined results. A null or empty text has no tokens and decodes to an empty
 text. The strings of special tokens in a text become special tokens, as the
 vocabulary's library does. Decoding joins the tokens' strings by one space, as
 the library does for a vocabulary without a decoder. Rows repeat as they come;
-other columns pass through :func:`encode_documents`. Caches are cleared when
-they reach their bound.
+other columns pass through :func:`encode_documents`, but for those with the
+names of the new ones. Caches are cleared when they reach their bound.
 """
 
 from __future__ import annotations
@@ -36,10 +36,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomwise.llm.common import held, others, slices
+
 #: Entries of each worker's caches.
-CACHE = 300_000
-#: Rows of an output batch.
-ROWS = 256
+CACHE = 150_000
+#: Rows of an output batch, and bytes of their texts.
+ROWS, SIZE = 256, 2 << 20
 #: A symbol that ends a word is moved by this much; byte symbols are below it.
 END = 1000
 NEVER = 1 << 30
@@ -173,13 +175,8 @@ class WordBpe:
         return " ".join([names[i] for i in ids])
 
 
-_LOADED: dict[str, WordBpe] = {}
-
-
 def _load(path: str) -> WordBpe:
-    if path not in _LOADED:
-        _LOADED[path] = WordBpe(path)
-    return _LOADED[path]
+    return held(("bpe", path), lambda: WordBpe(path))
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
@@ -195,14 +192,13 @@ def encode_documents(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", pat
     The vocabulary is opened where the task runs: ``path``, or ``vocabulary`` in the public tokenizers package.
     """
     new = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())][: 1 + decode]
-    keep = [c for c in docs.columns if c not in ("ids", "decoded")]
+    keep = others(docs.columns, *[f.name for f in new])
     schema = T.StructType([docs.schema[c] for c in keep] + new)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _load(path or vocabulary_path(vocabulary))
         for whole in batches:
-            for at in range(0, whole.num_rows, ROWS):
-                part = whole.slice(at, ROWS)
+            for part in slices(whole, ROWS, SIZE):
                 texts = part.column("text").to_pylist()
                 ids = [bpe.encode(t) if t else [] for t in texts]
                 offsets = np.cumsum([0, *map(len, ids)], dtype=np.int32)

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +23,45 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """Names that no column has (Spark tells no case apart): each with as many underscores in front as it takes."""
+    taken, out = {c.lower() for c in columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = "_" + n
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
+def others(columns: list[str], *names: str) -> list[str]:
+    """The columns but those with one of these names."""
+    gone = {n.lower() for n in names}
+    return [c for c in columns if c.lower() not in gone]
+
+
+def slices(batch: pa.RecordBatch, rows: int = 1024, size: int = 4 << 20, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """Parts of an Arrow batch of at most ``rows`` rows and, unless one row has more, ``size`` bytes of text."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = int(ends[at - 1]) if at else 0
+        end = max(at + 1, min(at + rows, int(np.searchsorted(ends, before + size, "right"))))
+        yield batch.slice(at, end - at)
+        at = end
+
+
+_HELD: dict = {}
+
+
+def held(key, make: Callable):
+    """What a worker keeps from task to task: one thing, so that operators that follow each other don't add up."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def row_key(text: Column) -> Column:
     """Tells apart rows that repeat a doc_id with other text; the same on every attempt of a task."""
     return F.xxhash64(F.coalesce(text, F.lit("")), text.isNull())

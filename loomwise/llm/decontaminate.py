@@ -122,8 +122,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, n: int = 10, remove: str =
     same = docs.doc_id.eqNullSafe(spans.s_id) & (row_key(docs.text) == spans.s_rk)
     if remove == "documents":
         return docs.join(spans, same, "left_anti")
-    text = F.when(F.col("hit_words").isNull(), docs.text).otherwise(without_spans(docs.text, F.col("hit_words")))
-    return docs.join(spans, same, "left").select(*[text.alias(c) if c == "text" else docs[c] for c in docs.columns])
+    text = F.when(spans.hit_words.isNull(), docs.text).otherwise(without_spans(docs.text, spans.hit_words))
+    return docs.join(spans, same, "left").select(*[text.alias(c) if c.lower() == "text" else docs[c] for c in docs.columns])
 
 
 def op1_decontaminate(spark, sf_dir):

@@ -13,8 +13,10 @@ cover all documents, whole texts.
 
 Words are runs of letters, lower-cased, with a start mark. Defined results: a
 null text or one without letters gives ``und`` with score 0. A document without
-doc_id or lang is never learned from. Ties go to the language that sorts first.
-Without any training document every text is ``und``. Rows repeat as they come.
+doc_id or lang is never learned from. Languages are told apart as they are
+written, ``en`` from ``EN``. Ties go to the language that sorts first. Without
+any training document every text is ``und``. Rows repeat as they come; other
+columns pass through, but for those with the names of the new ones.
 """
 
 from __future__ import annotations
@@ -24,21 +26,23 @@ from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from loomwise.llm.common import broadcast_if_small, written
+from loomwise.llm.common import broadcast_if_small, forget, held, others, slices, written
 
 WORD = re.compile(r"[^\W\d_]+")
 START = "▁"
 #: Words up to this length go through the vectorised forward pass; longer ones alone, with rescaling or in logarithms.
 LONG = 40
-#: Numbers held for each of the two passes over a long word.
-CELLS = 4_000_000
-#: Words whose log-probabilities a worker keeps.
-CACHE = 400_000
-ROWS = 1024
+#: Numbers held by a pass over the words of a length, or by each of the two over a long word.
+CELLS = 1_000_000
+#: Bytes of words and their log-probabilities that a task keeps, and what a word takes besides its numbers.
+CACHE, WORD_BYTES = 48 << 20, 200
+#: Text that is scored at once.
+ROWS, SIZE = 1024, 2 << 20
 
 
 class Pieces:
@@ -124,14 +128,21 @@ class Pieces:
                 for k in which:
                     out[k] = self._log_forward_long(words[k], p)
                 continue
-            x = np.array([self.codes(words[k]) for k in which], np.int32)
-            alpha = np.zeros((size + 2, len(which), p.shape[1]))
-            alpha[0] = 1
-            for i, k, at, piece in self.spans(x):
-                alpha[i + k, at] += alpha[i, at] * p[piece]
-            out[which] = np.log(alpha[-1])
+            for some in self._blocks(which, size, p.shape[1]):
+                x = np.array([self.codes(words[k]) for k in some], np.int32)
+                alpha = np.zeros((size + 2, len(some), p.shape[1]))
+                alpha[0] = 1
+                for i, k, at, piece in self.spans(x):
+                    alpha[i + k, at] += alpha[i, at] * p[piece]
+                out[some] = np.log(alpha[-1])
         return out
 
+    @staticmethod
+    def _blocks(which: list[int], size: int, width: int) -> Iterator[list[int]]:
+        """Words of one length, so many at a time that a pass stays within CELLS."""
+        step = max(1, CELLS // ((size + 2) * width))
+        return (which[at : at + step] for at in range(0, len(which), step))
+
     def _log_forward_long(self, word: str, p: np.ndarray) -> np.ndarray:
         x = np.array([self.codes(word)], np.int32)
         n = x.shape[1]
@@ -161,19 +172,20 @@ class Pieces:
                 for k in which:
                     self._expected_long(words[k], counts[k], p, out)
                 continue
-            x = np.array([self.codes(words[k]) for k in which], np.int32)
-            alpha, beta = np.zeros((2, size + 2, len(which), p.shape[1]))
-            alpha[0] = beta[-1] = 1
-            spans = list(self.spans(x))
-            for i, k, at, piece in spans:
-                alpha[i + k, at] += alpha[i, at] * p[piece]
-            weight = counts[which] / alpha[-1]
-            for i, k, at, piece in reversed(spans):
-                use = beta[i + k, at] * p[piece]
-                beta[i, at] += use
-                use = use * alpha[i, at] * weight[at]
-                for lang in range(p.shape[1]):
-                    out[:, lang] += np.bincount(piece, use[:, lang], self.n)
+            for some in self._blocks(which, size, p.shape[1]):
+                x = np.array([self.codes(words[k]) for k in some], np.int32)
+                alpha, beta = np.zeros((2, size + 2, len(some), p.shape[1]))
+                alpha[0] = beta[-1] = 1
+                spans = list(self.spans(x))
+                for i, k, at, piece in spans:
+                    alpha[i + k, at] += alpha[i, at] * p[piece]
+                weight = counts[some] / alpha[-1]
+                for i, k, at, piece in reversed(spans):
+                    use = beta[i + k, at] * p[piece]
+                    beta[i, at] += use
+                    use = use * alpha[i, at] * weight[at]
+                    for lang in range(p.shape[1]):
+                        out[:, lang] += np.bincount(piece, use[:, lang], self.n)
         return out
 
     def _expected_long(self, word: str, count: np.ndarray, p: np.ndarray, out: np.ndarray) -> None:
@@ -196,17 +208,12 @@ class Pieces:
                 out[piece, langs] += count[langs] * np.exp(alpha[i] + rest - alpha[n])
 
 
-_LOADED: dict[str, Pieces] = {}
-
-
 def _load(path: str | None, vocabulary: str) -> Pieces:
     if path is None:
         import public_tokenizers
 
         path = public_tokenizers.path(vocabulary)
-    if path not in _LOADED:
-        _LOADED[path] = Pieces(path)
-    return _LOADED[path]
+    return held(("pieces", path), lambda: Pieces(path))
 
 
 class LanguageModel:
@@ -215,46 +222,64 @@ class LanguageModel:
     def __init__(self, languages: list[str], priors: np.ndarray, p: np.ndarray, path: str | None, vocabulary: str):
         self.languages, self.priors, self.p, self.path, self.vocabulary = languages, priors, p, path, vocabulary
 
-    def predict(self, docs: DataFrame) -> DataFrame:
-        """docs (any columns, one of them text) with lang_pred and score added."""
+    def predict(self, docs: DataFrame, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+        """docs (any columns, one of them text) with the language and its score added under ``names``."""
         model = docs.sparkSession.sparkContext.broadcast(self)
-        schema = docs.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
+        keep = others(docs.columns, *names)
+        schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
 
-        def run(batches):
-            m = model.value
-            scorer = _Scorer(m)
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            scorer = _Scorer(model.value)
             for whole in batches:
-                for at in range(0, len(whole), ROWS):
-                    part = whole.iloc[at : at + ROWS]
-                    langs, scores = scorer(part["text"].tolist())
-                    yield part.assign(lang_pred=langs, score=scores)
+                for part in slices(whole, ROWS, SIZE):
+                    langs, scores = scorer(part.column("text").to_pylist())
+                    yield pa.RecordBatch.from_arrays([part.column(c) for c in keep] + [pa.array(langs, pa.string()), pa.array(scores)], names=schema.names)
 
-        return docs.mapInPandas(run, schema)
+        return docs.mapInArrow(run, schema)
 
 
 class _Scorer:
+    """Scores texts; keeps the log-probabilities of words up to CACHE bytes."""
+
     def __init__(self, m: LanguageModel):
         self.m = m
         self.pieces = _load(m.path, m.vocabulary)
         self.index: dict[str, int] = {}
-        self.logp = np.zeros((0, len(m.languages)))
+        self.logp = np.zeros((1024, len(m.languages)))
+        self.room = CACHE // (WORD_BYTES + 8 * len(m.languages))
+
+    def _add(self, new: list[str]) -> None:
+        at, end = len(self.index), len(self.index) + len(new)
+        if end > len(self.logp):
+            grown = np.zeros((max(end, min(2 * len(self.logp), self.room)), self.logp.shape[1]))
+            grown[:at] = self.logp[:at]
+            self.logp = grown
+        self.logp[at:end] = self.pieces.log_forward(new, self.m.p)
+        self.index.update(zip(new, range(at, end), strict=True))
 
     def __call__(self, texts: list) -> tuple[list[str], np.ndarray]:
         words = [WORD.findall(t.lower()) if isinstance(t, str) else [] for t in texts]
         if not self.m.languages:
             return ["und"] * len(texts), np.zeros(len(texts))
         sizes = [len(w) for w in words]
-        if len(self.index) > CACHE:
-            self.index, self.logp = {}, self.logp[:0]
-        index = self.index
+        doc = np.repeat(np.arange(len(texts)), sizes)
         flat = list(chain.from_iterable(words))
-        new = list({w: 0 for w in flat if w not in index})
+        total = np.tile(self.m.priors, (len(texts), 1))
+        # words beyond LONG are seldom met again: they are scored where they stand
+        for k in [k for k, w in enumerate(flat) if len(w) > LONG]:
+            total[doc[k]] += self.pieces.log_forward([flat[k]], self.m.p)[0]
+        short = [k for k, w in enumerate(flat) if len(w) <= LONG]
+        if len(short) < len(flat):
+            flat, doc = [flat[k] for k in short], doc[short]
+        new = list({w: 0 for w in flat if w not in self.index})
+        if len(self.index) + len(new) > self.room:
+            self.index, self.logp = {}, self.logp[:1024]
+            new = list(dict.fromkeys(flat))
         if new:
-            index.update(zip(new, range(len(index), len(index) + len(new)), strict=True))
-            self.logp = np.concatenate([self.logp, self.pieces.log_forward(new, self.m.p)])
-        at = np.fromiter([index[w] for w in flat], np.int64, len(flat))
-        doc = np.repeat(np.arange(len(texts)), sizes)
-        total = np.stack([np.bincount(doc, self.logp[at, k], len(texts)) for k in range(len(self.m.languages))], 1) + self.m.priors
+            self._add(new)
+        at = np.fromiter([self.index[w] for w in flat], np.int64, len(flat))
+        for k in range(total.shape[1]):
+            total[:, k] += np.bincount(doc, self.logp[at, k], len(texts))
         best = total.argmax(1)
         score = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
         none = np.array(sizes) == 0
@@ -282,34 +307,41 @@ def train(
     if not languages:
         return LanguageModel([], np.zeros(1), p, path, vocabulary)
     # hashes below a bound hold twice the documents wanted of a language, however common it is; only those are ranked
-    bounds = F.create_map(*[F.lit(x) for lang, c in share for x in (lang, min(1.0, 2 * docs_per_language / c))])
+    by_lang = lambda values: F.try_element_at(F.create_map(*[F.lit(x) for pair in zip(languages, values, strict=True) for x in pair]), F.col("lang"))
+    bound = by_lang([min(1.0, 2 * docs_per_language / c) for _, c in share])
     few = Window.partitionBy("lang").orderBy("o", "doc_id")
-    hashed = labelled.select("doc_id", "lang", F.shiftrightunsigned(F.xxhash64("doc_id"), 1).alias("o")).where(F.col("lang").isin(languages))
-    near = hashed.where(F.col("o") / F.lit(2.0**63) <= F.try_element_at(bounds, F.col("lang")))
-    chosen = near.withColumn("r", F.row_number().over(few)).where(F.col("r") <= docs_per_language)
-    chosen = broadcast_if_small(written(spark, chosen.select("doc_id", "lang"), "sample"))
-    text = labelled.join(chosen, ["doc_id", "lang"], "left_semi")
-    words = text.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1))).alias("w"))
-    words = written(spark, words.groupBy("w").pivot("lang", languages).count().na.fill(0), "words")
-    cols = [f"`{x}`" for x in languages]
+    hashed = labelled.select("doc_id", "lang", F.shiftrightunsigned(F.xxhash64("doc_id"), 1).alias("o"))
+    chosen = hashed.where(F.col("o") / F.lit(2.0**63) <= bound).withColumn("r", F.row_number().over(few)).where(F.col("r") <= docs_per_language)
+    sample = written(spark, chosen.select("doc_id", "lang"), "sample")
+    text = labelled.join(broadcast_if_small(sample), ["doc_id", "lang"], "left_semi")
+    uses = text.select(by_lang(list(range(len(languages)))).alias("k"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1))).alias("w"))
+    words = written(spark, uses.groupBy("w", "k").count().groupBy("w").agg(F.collect_list("k").alias("ks"), F.collect_list("count").alias("ns")), "words")
 
     for _ in range(rounds):
         now = spark.sparkContext.broadcast(p)
 
-        def expect(batches, now=now):
-            pieces, total = _load(path, vocabulary), 0
-            for b in batches:
-                total = total + pieces.expected(b["w"].tolist(), b.iloc[:, 1:].to_numpy(float), now.value)
-            if not isinstance(total, int):
-                used = np.nonzero(total.sum(1))[0]
-                yield pd.DataFrame({"piece": used, "uses": list(total[used])})
-
-        each = words.select("w", *cols).mapInPandas(expect, "piece long, uses array<double>")
+        def expect(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
+            pieces, total = _load(path, vocabulary), np.zeros(now.value.shape)
+            step = max(1, CELLS // total.shape[1])
+            for whole in batches:
+                for at in range(0, whole.num_rows, step):
+                    b = whole.slice(at, step)
+                    counts = np.zeros((b.num_rows, total.shape[1]))
+                    row = np.repeat(np.arange(b.num_rows), b.column("ks").value_lengths().to_numpy())
+                    counts[row, b.column("ks").flatten().to_numpy()] = b.column("ns").flatten().to_numpy()
+                    total += pieces.expected(b.column("w").to_pylist(), counts, now.value)
+            used = np.nonzero(total.sum(1))[0]
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(used) + 1, dtype=np.int32) * total.shape[1]), pa.array(total[used].reshape(-1)))
+            yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int64)), lists], ["piece", "uses"])
+
+        each = words.mapInArrow(expect, "piece long, uses array<double>")
         summed = each.groupBy("piece").agg(*[F.sum(F.get("uses", F.lit(k))).alias(f"u{k}") for k in range(width)])
         got = summed.toPandas()  # a row for each piece of the vocabulary at most
         counts = np.zeros((n, width))
         counts[got["piece"].to_numpy(int)] = got.drop(columns="piece").to_numpy(float)
         p = (counts + 0.05) / (counts + 0.05).sum(0)
+        now.unpersist()
+    forget(sample, words)
     priors = np.log(np.array([c for _, c in share], float) / sum(c for _, c in share))
     return LanguageModel(languages, priors, p, path, vocabulary)
 
@@ -321,5 +353,4 @@ def _part(n: int):
 def op2_language_id(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = train(spark, docs.select("doc_id", "text", "lang").where((_part(4) != 2) & F.col("doc_id").isNotNull()))
-    held = (_part(4) == 2).alias("held_out")
-    return model.predict(docs.select("doc_id", held, "text")).select("doc_id", "held_out", "lang_pred", "score")
+    return model.predict(docs.select("doc_id", (_part(4) == 2).alias("held_out"), "text")).select("doc_id", "held_out", "lang_pred", "score")

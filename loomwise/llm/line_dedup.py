@@ -18,7 +18,7 @@ Defined results. A null or empty text is one empty line. Lines shorter than
 ``min_chars`` code points after stripping always stay. A null doc_id sorts
 lowest. Each row is a document; rows that repeat a doc_id hold lines of the
 same owner, so all of them keep such a line. Empty tables give empty results;
-other columns pass through.
+other columns pass through, but for those with the names of the new ones.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwise.llm.common import ascii_lower, broadcast_if_small, forget, row_key, written
+from loomwise.llm.common import ascii_lower, broadcast_if_small, forget, others, row_key, written
 from loomwise.session import remove_path, scratch_path
 
 SPACE = " \t\n\x0b\x0c\r"
@@ -129,18 +129,22 @@ def dropped_lines(spark: SparkSession, docs: DataFrame, min_chars: int = 20, min
     return drops
 
 
-def dedup_lines(spark: SparkSession, docs: DataFrame, **kw) -> DataFrame:
-    """The documents with columns kept_text, n_lines and n_dropped added."""
+NAMES = ("kept_text", "n_lines", "n_dropped")
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, names: tuple[str, str, str] = NAMES, **kw) -> DataFrame:
+    """The documents with the kept text, and the numbers of lines and of dropped lines, added under ``names``."""
     drops = broadcast_if_small(dropped_lines(spark, docs, **kw), 200_000)
     same = (_id(docs.doc_id) == drops.doc) & (row_key(docs.text) == drops.rk)
     lines = F.split(F.coalesce(docs.text, F.lit("")), "\n")
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(drops.drops, i)), "\n")
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), drops.drops)
+    kept = F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
     n_lines = (F.length(F.coalesce(docs.text, F.lit(""))) - F.length(F.replace(F.coalesce(docs.text, F.lit("")), F.lit("\n"), F.lit(""))) + 1).cast("long")
     return docs.join(drops, same, "left").select(
-        *[docs[c] for c in docs.columns],
-        F.when(drops.drops.isNull(), F.coalesce(docs.text, F.lit(""))).otherwise(kept).alias("kept_text"),
-        n_lines.alias("n_lines"),
-        F.coalesce(F.size(drops.drops), F.lit(0)).cast("long").alias("n_dropped"),
+        *[docs[c] for c in others(docs.columns, *names)],
+        F.when(drops.drops.isNull(), F.coalesce(docs.text, F.lit(""))).otherwise(kept).alias(names[0]),
+        n_lines.alias(names[1]),
+        F.coalesce(F.size(drops.drops), F.lit(0)).cast("long").alias(names[2]),
     )
 
 

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwise.llm.common import broadcast_if_small, forget, written
+from loomwise.llm.common import broadcast_if_small, forget, held, slices, written
 
 WIDTH = 5
 POSITIONS, ERRORS, BITS = 60, 1, 16
@@ -45,9 +45,10 @@ POSITIONS, ERRORS, BITS = 60, 1, 16
 FINE_POSITIONS, FINE_BITS = 512, 8
 #: Members of a key that one block holds.
 BLOCK = 2048
-ROWS = 512
+#: Texts taken at once, and their bytes.
+ROWS, SIZE = 512, 4 << 20
 M64 = (1 << 64) - 1
-CACHE = 400_000
+CACHE = 200_000
 
 
 def allowed(positions: int, similarity: float, bits: int, miss: float = 3e-6) -> int:
@@ -82,15 +83,13 @@ class _Words(dict):
         return h
 
 
-_WORDS = _Words()
-
-
 def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word shingles of a text."""
     words = text.encode("utf-8").lower().split() if text else []
     if not words:
         return np.zeros(0, np.uint64)
-    h = _mix(np.fromiter([_WORDS[w] for w in words], np.uint64, len(words)))
+    known = held("words", _Words)
+    h = _mix(np.fromiter([known[w] for w in words], np.uint64, len(words)))
     n = min(width, len(h))
     out = np.full(len(h) - n + 1, n, np.uint64)
     for k in range(n):
@@ -144,8 +143,7 @@ def signatures(docs: DataFrame, positions: int = POSITIONS, bits: int = BITS, wi
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sign = Signer(positions, bits)
         for whole in batches:
-            for at in range(0, whole.num_rows, ROWS):
-                part = whole.slice(at, ROWS)
+            for part in slices(whole, ROWS, SIZE):
                 sets = [shingles(t, width) for t in part.column("text").to_pylist()]
                 full = [k for k, s in enumerate(sets) if len(s)]
                 sigs: list = [None] * len(sets)
@@ -163,8 +161,7 @@ def full_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, ROWS):
-                part = whole.slice(at, ROWS)
+            for part in slices(whole, ROWS, SIZE):
                 sets = [shingles(t, width).view(np.int64) for t in part.column("text").to_pylist()]
                 offsets = np.cumsum([0, *map(len, sets)], dtype=np.int32)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets)))], ["doc_id", "grams"])
@@ -194,8 +191,7 @@ def fine_signatures(docs: DataFrame, ids: DataFrame, repeated: bool, width: int)
     def of_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sign = Signer(FINE_POSITIONS, FINE_BITS)
         for whole in batches:
-            for at in range(0, whole.num_rows, ROWS):
-                part = whole.slice(at, ROWS)
+            for part in slices(whole, ROWS, SIZE):
                 yield sign_sets(part.column("doc_id"), [shingles(t, width) for t in part.column("text").to_pylist()], sign)
 
     def of_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
