@@ -97,18 +97,38 @@ def reasoning(df: DataFrame) -> DataFrame:
     return df.withColumn("reasoning", F.concat_ws(" | ", F.lower("grade"), F.array_join(bars, " "), F.concat(F.lit("best "), ordered[0].a), F.concat(F.lit("weakest "), ordered[4].a)))
 
 
+def _quality_stats(col: str) -> list[Column]:
+    return [F.min(col).alias("_q_lo"), F.max(col).alias("_q_hi"), F.count(col).alias("_q_n")]
+
+
+def _quality_of(col: str) -> Column:
+    wide = stretched(F.col(col), F.col("_q_lo"), F.col("_q_hi"), 0.80, 0.20, 1.0)
+    return F.when(F.col("_q_n") < 2, clip(F.col(col), 0.20, 1.0)).otherwise(wide)
+
+
+def _rated_stats(col: str, rated: Column) -> list[Column]:
+    seen = F.when(rated, F.col(col))
+    return [F.min(seen).alias("_r_lo"), F.max(seen).alias("_r_hi")]
+
+
+def _rated_of(col: str) -> Column:
+    return clip((F.col(col) - F.col("_r_lo")) / F.greatest(F.col("_r_hi") - F.col("_r_lo"), F.lit(1e-6)), 0.0, 1.0)
+
+
 def quality_norm(df: DataFrame, col: str, to: str) -> DataFrame:
     """Stretch a quality over the batch to [0.20, 1]; a batch of one row is only clipped."""
-    both = with_batch(df, F.min(col).alias("_lo"), F.max(col).alias("_hi"), F.count(col).alias("_n"))
-    wide = stretched(F.col(col), F.col("_lo"), F.col("_hi"), 0.80, 0.20, 1.0)
-    return both.withColumn(to, F.when(F.col("_n") < 2, clip(F.col(col), 0.20, 1.0)).otherwise(wide)).drop("_lo", "_hi", "_n")
+    return with_batch(df, *_quality_stats(col)).withColumn(to, _quality_of(col)).drop("_q_lo", "_q_hi", "_q_n")
 
 
 def stretch_by_rated(df: DataFrame, col: str, rated: Column, to: str) -> DataFrame:
     """Stretch with the minimum and maximum of the rated rows, applied to all rows."""
-    seen = F.when(rated, F.col(col))
-    both = with_batch(df, F.min(seen).alias("_lo"), F.max(seen).alias("_hi"))
-    return both.withColumn(to, clip((F.col(col) - F.col("_lo")) / F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1e-6)), 0.0, 1.0)).drop("_lo", "_hi")
+    return with_batch(df, *_rated_stats(col, rated)).withColumn(to, _rated_of(col)).drop("_r_lo", "_r_hi")
+
+
+def batch_stretch(df: DataFrame, quality: str, quality_to: str, col: str, rated: Column, to: str) -> DataFrame:
+    """:func:`quality_norm` and :func:`stretch_by_rated` from one aggregate of the batch."""
+    both = with_batch(df, *_quality_stats(quality), *_rated_stats(col, rated))
+    return both.withColumns({quality_to: _quality_of(quality), to: _rated_of(col)}).drop("_q_lo", "_q_hi", "_q_n", "_r_lo", "_r_hi")
 
 
 ARCHETYPES = ["geo", "night", "lay", "messy", "max"]

@@ -1,8 +1,8 @@
 """Ordered selections from a pool: fronts, beams, dynamic programming and greedy slots.
 
-Pools are bounded by the top scores (``top``). Each step is a scan of the pool
-with one row of state, or a join of a few states with the pool; ties go to the
-smaller idx, so that results do not depend on partitioning.
+Each step is a scan of the rows with one row of state, or a join of a few states
+with them; where a sequencer states a pool, it is bounded by the top scores
+(``top``). Ties go to the smaller idx, so that results do not depend on partitioning.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwise.functions.vectors import dot
-from loomwise.session import cut
+from loomwise.session import cut, materialised
 
 #: Weights (composition, human, mood, diversity) of the narrative roles.
 ROLES = {
@@ -162,33 +162,55 @@ def _slot_fit(slot: int) -> Column:
     return F.when(F.expr(need), fit).otherwise(F.greatest(F.lit(0.0), fit - penalty))
 
 
-def viterbi(df: DataFrame, flow: float, div: float, time: float, n_valid: int, target: int = 5) -> DataFrame:
+def viterbi(df: DataFrame, flow: float, div: float, time: float, n_valid: int, target: int = 5, block: int = 1024) -> DataFrame:
     """The best assignment of rows to slots (seq, total); neighbours differ, later repeats are allowed.
 
-    df is a bounded pool with pos, the place among all valid rows.
+    df has pos, the place among all valid rows. In each slot every row looks for
+    its best predecessor among all rows, in pairs of blocks that are one group
+    each; a row's bests of the blocks are then compared. Ties go to the smaller place.
     """
-    own = lambda s: _slot_fit(s) * 0.25 + F.col("score") * 0.10
-    state = df.select("idx", "pos", "v", "light", F.array("idx").alias("seq"), own(0).alias("total"))
+    own = lambda s: (_slot_fit(s) * 0.25 + F.col("score") * 0.10).alias("x")
+    n = max(1, -(-n_valid // block))
+    of = F.pmod(F.xxhash64("idx"), F.lit(n)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    def best(g: pd.DataFrame) -> pd.DataFrame:
+        now, last = g[g["is_now"]], g[~g["is_now"]].sort_values("pos")
+        if now.empty or last.empty:
+            return pd.DataFrame({"idx": [], "total": [], "before": [], "o": []})
+        sims = np.stack(now["v"].to_numpy()) @ np.stack(last["v"].to_numpy()).T
+        at = lambda c: (now[c].to_numpy()[:, None], last[c].to_numpy()[None, :])
+        (x, old), (pos, p_pos), (light, p_light), (idx, p_idx) = (at(c) for c in ("x", "pos", "light", "idx"))
+        step = old + x + sims * flow + (1.0 - sims) * div + (1.0 - np.abs(p_pos - pos) / max(n_valid - 1, 1)) * time + np.abs(light - p_light) * 0.05
+        step[idx == p_idx] = -np.inf
+        j = step.argmax(1)
+        top = step[np.arange(len(now)), j]
+        out = pd.DataFrame({"idx": now["idx"].to_numpy(), "total": top, "before": last["idx"].to_numpy()[j], "o": -last["pos"].to_numpy()[j]})
+        return out[np.isfinite(top)]
+
+    cols = ["idx", "pos", "v", "light", "x"]
+    state = cut(df.select("idx", "pos", F.array("idx").alias("seq"), own(0).alias("total")))
     for s in range(1, target):
-        prev = state.select(F.col("idx").alias("p_idx"), F.col("pos").alias("p_pos"), F.col("v").alias("p_v"), F.col("light").alias("p_light"), F.col("seq").alias("p_seq"), F.col("total").alias("p_total"))
-        both = df.withColumn("_own", own(s)).crossJoin(F.broadcast(prev)).where("idx <> p_idx").withColumn("_sim", dot(F.col("p_v"), F.col("v")))
-        near = 1.0 - F.abs(F.col("p_pos") - F.col("pos")) / max(n_valid - 1, 1)
-        step = F.col("p_total") + F.col("_own") + F.col("_sim") * flow + (1.0 - F.col("_sim")) * div + near * time + F.abs(F.col("light") - F.col("p_light")) * 0.05
-        best = both.groupBy("idx").agg(F.max(F.struct(step.alias("total"), (-F.col("p_pos")).alias("o"), F.col("p_seq").alias("seq"))).alias("m"), F.first("pos").alias("pos"), F.first("v").alias("v"), F.first("light").alias("light"))
-        state = best.select("idx", "pos", "v", "light", F.concat("m.seq", F.array("idx")).alias("seq"), F.col("m.total").alias("total"))
+        now = df.select("idx", "pos", "v", "light", own(s)).select(*cols, F.lit(True).alias("is_now"), of.alias("p"), every.alias("q"))
+        last = df.select("idx", "pos", "v", "light").join(state.select("idx", F.col("total").alias("x")), "idx")
+        last = last.select(*cols, F.lit(False).alias("is_now"), every.alias("p"), of.alias("q"))
+        found = now.unionByName(last).groupBy("p", "q").applyInPandas(best, "idx long, total double, before long, o long")
+        won = found.groupBy("idx").agg(F.max(F.struct("total", "o", "before")).alias("m")).select("idx", "m.*")
+        before = state.select(F.col("idx").alias("before"), "seq")
+        state = cut(won.join(before, "before").select("idx", F.concat("seq", F.array("idx")).alias("seq"), "total").join(df.select("idx", "pos"), "idx"))
     return state.orderBy(F.desc("total"), "pos").limit(1).select("seq", "total")
 
 
-def without_repeats(seq: list[int], pool: list[int]) -> list[int]:
-    """Repeats replaced by the best unused of a pool in order of score; a sequence of a few frames."""
-    spare = [i for i in pool if i not in seq]
-    out: list[int] = []
-    for i in seq:
-        if i not in out:
-            out.append(i)
-        elif spare:
-            out.append(spare.pop(0))
-    return out
+def without_repeats(best: DataFrame, df: DataFrame) -> DataFrame:
+    """A sequence of a few frames (seq) whose repeats are replaced by the best rows that it doesn't hold, by score."""
+    flat = best.select(F.explode("seq").alias("idx")).distinct()
+    spare = df.select("idx", "score").join(F.broadcast(flat), "idx", "left_anti").orderBy(F.desc("score"), "idx").limit(10)
+    spare = spare.agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("o"), "idx"))), lambda x: x.idx).alias("spare"))
+    again = lambda i: F.array_contains(F.slice("seq", F.lit(1), i), F.get("seq", i))
+    # how many repeats come before place i says which spare row it gets
+    before = lambda i: F.size(F.filter(F.sequence(F.lit(0), i), again)) - 1
+    fixed = F.transform("seq", lambda x, i: F.when(again(i), F.get("spare", before(i))).otherwise(x))
+    return best.crossJoin(F.broadcast(spare)).withColumn("seq", F.filter(fixed, lambda x: x.isNotNull())).drop("spare")
 
 
 def assign_roles(df: DataFrame, target: int = 5, roles: dict = ROLES) -> list:
@@ -204,6 +226,23 @@ def assign_roles(df: DataFrame, target: int = 5, roles: dict = ROLES) -> list:
     return picked
 
 
+def assign_roles_by(df: DataFrame, by: list[str], roles: dict = ROLES) -> DataFrame:
+    """by, pos, slot, idx and value: :func:`assign_roles` for every group at once, a round a role.
+
+    A round is one aggregate by group of the rows not yet taken, so no group is gathered.
+    """
+    left, picked, state = df, None, None
+    for slot, (name, w) in enumerate(roles.items()):
+        value = F.col("score") if state is None else role_fit(w) * 0.6 + (1.0 - dot(F.col("_last"), F.col("v"))) * w[3] + F.col("score") * 0.2
+        pool = left if state is None else left.join(state, by)
+        row = F.struct(value.alias("value"), "score", (-F.col("idx")).alias("o"), "idx", "v")
+        now = materialised(pool.groupBy(*by).agg(F.max(row).alias("m")).select(*by, F.lit(slot).alias("pos"), F.lit(name).alias("slot"), "m.idx", "m.value", F.col("m.v").alias("_last")), "roles")
+        picked = now if picked is None else picked.unionByName(now)
+        state = now.select(*by, "_last")
+        left = df.join(picked.select(*by, "idx"), [*by, "idx"], "left_anti")
+    return picked.drop("_last")
+
+
 def greedy_slots(df: DataFrame, slots: list[str], thresholds: list[float], sim_limit: float = 0.82) -> list:
     """One row a slot under fitness, cluster and similarity limits; similarity alone may be relaxed.
 

@@ -9,47 +9,118 @@ from pyspark.sql import functions as F
 
 from loomwise.functions.scalar import file_name
 from loomwise.functions.vectors import TINY, dot, hamming, norm, scaled
-from loomwise.session import remove_path, scratch_path
+from loomwise.operators.store import numbered
+from loomwise.session import forget, materialised, remove_path, scratch_path
 
 
-def _dealt(df: DataFrame, block: int) -> DataFrame:
-    """Rows (id, v, is_left) of each pair p <= q of blocks, so that every pair of rows meets once; blocks go by a hash of the id."""
-    n = max(1, -(-df.count() // block))
-    of = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    rows = df.select("id", "v", of.alias("k"))
-    # a row of block k meets the blocks k .. n - 1 as the left side and 0 .. k as the right
-    left = rows.select("id", "v", F.lit(True).alias("is_left"), F.col("k").alias("p"), F.explode(F.sequence(F.col("k"), F.lit(n - 1))).alias("q"))
-    right = rows.select("id", "v", F.lit(False).alias("is_left"), F.explode(F.sequence(F.lit(0), F.col("k"))).alias("p"), F.col("k").alias("q"))
-    return left.unionByName(right)
+#: Rows of a block, cells that a similarity join makes at most, and rows of a bank that is broadcast.
+BLOCK, CELLS, BANK_ROWS = 1024, 512, 4096
 
 
-def edges(df: DataFrame, threshold: float, exact: bool = True, block: int = 1024) -> DataFrame:
-    """(a, b, cos) for every pair a < b of ids with cosine above the threshold; df has id and unit v.
+def _paired(rows: DataFrame, block: int, *by: str) -> DataFrame:
+    """Rows as the sides (is_left) of each pair p <= q of their group's blocks, so that every pair of rows meets once.
 
-    Rows are dealt into blocks by a hash of their id; a pair of blocks is one
-    group, multiplied as matrices. A margin below the threshold is kept and, with
-    ``exact``, decided by the sequential dot product, as SQL would.
+    A group has a block for every ``block`` rows, dealt by a hash of the id. A row
+    of block k meets the blocks k to n - 1 as the left side and 0 to k as the right.
+    """
+    sizes = rows.groupBy(*by).agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("_n"), F.count("*").alias("_c")).where("_c > 1").drop("_c")
+    dealt = (rows.join(sizes, [*by]) if by else rows.crossJoin(F.broadcast(sizes))).withColumn("_k", F.pmod(F.xxhash64("id"), F.col("_n")).cast("int"))
+    left = dealt.withColumns({"is_left": F.lit(True), "p": F.col("_k")}).withColumn("q", F.explode(F.sequence(F.col("_k"), F.col("_n") - 1)))
+    right = dealt.withColumns({"is_left": F.lit(False), "q": F.col("_k")}).withColumn("p", F.explode(F.sequence(F.lit(0), F.col("_k"))))
+    return left.unionByName(right).drop("_n", "_k")
+
+
+def _products(g: pd.DataFrame, least: float, further: str | None = None, scale: float = 1.0) -> pd.DataFrame:
+    """Pairs a < b of a block pair with a dot product, less a scaled difference of another column, above ``least``."""
+    l, r = g[g["is_left"]], g[~g["is_left"]]
+    if l.empty or r.empty:
+        return pd.DataFrame({"a": [], "b": [], "va": [], "vb": []})
+    sims = np.stack(l["v"].to_numpy()) @ np.stack(r["v"].to_numpy()).T
+    if further:
+        sims -= np.abs(l[further].to_numpy()[:, None] - r[further].to_numpy()[None, :]) / scale
+    i, j = np.nonzero(sims > least - 1e-6)
+    a, b = l["id"].to_numpy()[i], r["id"].to_numpy()[j]
+    keep = a < b if g["p"].iloc[0] == g["q"].iloc[0] and not ("probe" in g and g["probe"].iloc[0]) else a != b
+    i, j, a, b = i[keep], j[keep], a[keep], b[keep]
+    swap = a > b
+    va, vb = l["v"].to_numpy()[i], r["v"].to_numpy()[j]
+    va, vb = np.where(swap, vb, va), np.where(swap, va, vb)
+    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "va": va, "vb": vb})
+
+
+def _cells(rows: DataFrame, n: int, threshold: float, block: int) -> DataFrame:
+    """Block pairs like :func:`_paired` for rows around pivots, without pairs of cells too far apart to hold an edge.
+
+    Every row's home is the cell of its nearest pivot, of n / block pivots (CELLS at
+    most) with the smallest hashes. By the triangle inequality of angles a row can
+    only have an edge into a cell whose pivot is within the cell's radius and the
+    threshold's angle; it probes those of smaller number, and no others. Cells and
+    their probes are cut into blocks of bounded size.
     """
-    dealt = _dealt(df, block)
+    k = min(CELLS, n // block)
+    near = rows.orderBy(F.xxhash64("id"), "id").limit(k).toPandas()  # the pivots: CELLS rows at most
+    pivots = np.stack(near["v"].to_numpy())
+    pivots /= np.linalg.norm(pivots, axis=1, keepdims=True) + TINY
+    reach = float(np.arccos(min(1.0, threshold))) + 1e-6
+
+    def angles(v: pd.Series) -> np.ndarray:
+        x = np.stack(v.to_numpy())
+        return np.arccos(np.clip(x @ pivots.T / (np.linalg.norm(x, axis=1, keepdims=True) + TINY), -1, 1))
+
+    def homes(batches):
+        for b in batches:
+            x = angles(b["v"])
+            yield b.assign(cell=x.argmin(1), angle=x.min(1))
+
+    home = materialised(rows.mapInPandas(homes, "id long, v array<double>, cell int, angle double"), "homes")
+    radius = np.full(k, -np.inf)
+    for r in home.groupBy("cell").agg(F.max("angle").alias("r")).collect():  # a row a cell
+        radius[r["cell"]] = r["r"]
+
+    def probes(batches):
+        for b in batches:
+            near = (angles(b["v"]) <= radius + reach) & (np.arange(k) < b["cell"].to_numpy()[:, None])
+            row, cell = np.nonzero(near)
+            yield pd.DataFrame({"id": b["id"].to_numpy()[row], "v": b["v"].to_numpy()[row], "cell": cell})
+
+    probe = materialised(home.mapInPandas(probes, "id long, v array<double>, cell int"), "probes")
+    inside = _paired(home.select("id", "v", "cell"), block, "cell").withColumn("probe", F.lit(False))
+    blocks = lambda df, to: df.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias(to))
+    sizes = F.broadcast(blocks(home, "n_h").join(blocks(probe, "n_p"), "cell"))  # a row a cell
+    of = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = probe.join(sizes, "cell").select("id", "v", "cell", F.lit(True).alias("is_left"), of("n_p").alias("p"), every("n_h").alias("q"))
+    right = home.join(sizes, "cell").select("id", "v", "cell", F.lit(False).alias("is_left"), every("n_p").alias("p"), of("n_h").alias("q"))
+    return inside.unionByName(left.unionByName(right).withColumn("probe", F.lit(True)))
+
+
+def edges(df: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    """(a, b, cos) for every pair a < b of ids with cosine above the threshold; df has id and unit v.
 
-    def multiply(g: pd.DataFrame) -> pd.DataFrame:
-        l, r = g[g["is_left"]], g[~g["is_left"]]
-        if l.empty or r.empty:
-            return pd.DataFrame({"a": [], "b": [], "va": [], "vb": []})
-        sims = np.stack(l["v"].to_numpy()) @ np.stack(r["v"].to_numpy()).T
-        i, j = np.nonzero(sims > threshold - 1e-6)
-        a, b = l["id"].to_numpy()[i], r["id"].to_numpy()[j]
-        keep = a < b if g["p"].iloc[0] == g["q"].iloc[0] else a != b
-        i, j, a, b = i[keep], j[keep], a[keep], b[keep]
-        swap = a > b
-        va, vb = l["v"].to_numpy()[i], r["v"].to_numpy()[j]
-        va, vb = np.where(swap, vb, va), np.where(swap, va, vb)
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "va": va, "vb": vb})
-
-    near = dealt.groupBy("p", "q").applyInPandas(multiply, "a long, b long, va array<double>, vb array<double>")
+    Rows are dealt into blocks; a pair of blocks is one group, multiplied as
+    matrices. From two blocks on, rows are first gathered around pivots, and pairs
+    of cells too far apart for the threshold never meet. A margin below the
+    threshold is kept and decided by the sequential dot product, as SQL would.
+    """
+    rows = materialised(df.select("id", "v"), "vectors")
+    n = rows.count()
+    if n >= 2 * block and threshold > 0:
+        groups = _cells(rows, n, threshold, block).groupBy("cell", "probe", "p", "q")
+    else:
+        groups = _paired(rows, block).groupBy("p", "q")
+    near = groups.applyInPandas(lambda g: _products(g, threshold), "a long, b long, va array<double>, vb array<double>")
     return near.select("a", "b", dot(F.col("va"), F.col("vb")).alias("cos")).where(F.col("cos") > threshold)
 
 
+def near_pairs(rows: DataFrame, by: list[str], limit: float, window_s: float = 1.0, block: int = BLOCK) -> DataFrame:
+    """Pairs a < b of a group with 1 - cos and the difference of t over ``window_s`` together below ``limit``."""
+    found = _paired(rows.select(*by, "id", "v", "t"), block, *by).groupBy(*by, "p", "q")
+    near = found.applyInPandas(lambda g: _products(g, 1 - limit, "t", window_s), "a long, b long, va array<double>, vb array<double>")
+    time = lambda s: rows.select(F.col("id").alias(s), F.col("t").alias(f"t{s}"))
+    far = 1 - dot(F.col("va"), F.col("vb")) + F.abs(F.col("ta") - F.col("tb")) / F.lit(window_s)
+    return near.join(time("a"), "a").join(time("b"), "b").where(far < limit).select("a", "b")
+
+
 def edges_sql(df: DataFrame, threshold: float) -> DataFrame:
     """The same as a plain theta join, the reference form for small tables."""
     a, b = df.select(F.col("id").alias("a"), F.col("v").alias("va")), df.select(F.col("id").alias("b"), F.col("v").alias("vb"))
@@ -120,12 +191,40 @@ def nearest(df: DataFrame, query: Column, k: int, where: Column | None = None) -
     return pool.withColumn("cos", dot(F.col("v"), query)).withColumn("distance", 1 - F.col("cos")).orderBy(F.desc("cos"), "id").limit(k)
 
 
-def topk_mean(df: DataFrame, bank: DataFrame, k: int = 5) -> DataFrame:
-    """id and the mean of the k largest dot products with a bank of vectors; the bank is one broadcast row."""
-    one = bank.agg(F.collect_list("v").alias("bank"))
-    sims = F.transform("bank", lambda b: dot(F.col("v"), b))
-    top = F.slice(F.reverse(F.array_sort(sims)), 1, k)
-    return df.crossJoin(F.broadcast(one)).select("id", top.alias("t")).select("id", (F.aggregate("t", F.lit(0.0), lambda s, x: s + x) / F.when(F.size("t") > 0, F.size("t"))).alias("mean_sim"))
+def bank_similarities(df: DataFrame, bank: DataFrame, k: int, bank_rows: int = BANK_ROWS, block: int = 2 * BLOCK) -> DataFrame:
+    """id and t, the k largest dot products with a bank of vectors, largest first.
+
+    A bank of up to ``bank_rows`` rows is one broadcast row; beyond that, rows and
+    bank meet in pairs of blocks, and the bests of the blocks are compared.
+    """
+    n_bank = bank.count()
+    if n_bank <= bank_rows:
+        one = bank.agg(F.collect_list("v").alias("bank"))
+        sims = F.transform("bank", lambda b: dot(F.col("v"), b))
+        return df.crossJoin(F.broadcast(one)).select("id", F.slice(F.reverse(F.array_sort(sims)), 1, k).alias("t"))
+    n_l, n_r = max(1, -(-df.count() // block)), -(-n_bank // block)
+    of = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = df.select("id", "v", F.lit(True).alias("is_left"), of(n_l).alias("p"), every(n_r).alias("q"))
+    right = bank.select("id", "v", F.lit(False).alias("is_left"), every(n_l).alias("p"), of(n_r).alias("q"))
+
+    def best(g: pd.DataFrame) -> pd.DataFrame:
+        l, r = g[g["is_left"]], g[~g["is_left"]]
+        if l.empty or r.empty:
+            return pd.DataFrame({"id": [], "s": []})
+        top = -np.sort(-(np.stack(l["v"].to_numpy()) @ np.stack(r["v"].to_numpy()).T), axis=1)[:, :k]
+        return pd.DataFrame({"id": np.repeat(l["id"].to_numpy(), top.shape[1]), "s": top.reshape(-1)})
+
+    found = left.unionByName(right).groupBy("p", "q").applyInPandas(best, "id long, s double")
+    order = Window.partitionBy("id").orderBy(F.desc("s"))
+    few = found.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k)
+    return few.groupBy("id").agg(F.reverse(F.array_sort(F.collect_list("s"))).alias("t"))
+
+
+def topk_mean(df: DataFrame, bank: DataFrame, k: int = 5, bank_rows: int = BANK_ROWS) -> DataFrame:
+    """id and the mean of the k largest dot products with a bank of vectors; null for an empty bank."""
+    t = bank_similarities(df, bank, k, bank_rows)
+    return t.select("id", (F.aggregate("t", F.lit(0.0), lambda s, x: s + x) / F.when(F.size("t") > 0, F.size("t"))).alias("mean_sim"))
 
 
 def duplicate_score(hash_a: Column, hash_b: Column, cos: Column) -> Column:
@@ -162,7 +261,7 @@ def classify(df: DataFrame, anchors: DataFrame, temperature: float = 8.0) -> Dat
     return df.select("id", F.explode("x").alias("x"), "t").select("id", "x.niche", (F.col("x.e") / (F.col("t") + TINY)).alias("prob"))
 
 
-def largest_cosine(df: DataFrame, block: int = 1024) -> DataFrame:
+def largest_cosine(df: DataFrame, block: int = BLOCK) -> DataFrame:
     """x, the largest cosine of two rows (null for fewer than two): one number for each pair of blocks, then their largest."""
 
     def multiply(g: pd.DataFrame) -> pd.DataFrame:
@@ -174,11 +273,11 @@ def largest_cosine(df: DataFrame, block: int = 1024) -> DataFrame:
             sims[l["id"].to_numpy()[:, None] >= r["id"].to_numpy()] = -np.inf
         return pd.DataFrame({"x": [sims.max()]})
 
-    most = _dealt(df, block).groupBy("p", "q").applyInPandas(multiply, "x double")
+    most = _paired(df.select("id", "v"), block).groupBy("p", "q").applyInPandas(multiply, "x double")
     return most.where(F.col("x") > float("-inf")).agg(F.max("x").alias("x"))
 
 
-def diversity(df: DataFrame, block: int = 1024) -> DataFrame:
+def diversity(df: DataFrame, block: int = BLOCK) -> DataFrame:
     """mean (1 less the mean pair cosine, not below 0; 0 for fewer than two rows) and worst (1 less the largest; 0.5 for one row).
 
     The cosines of all pairs add up to half of what the squared norm of the
@@ -193,44 +292,43 @@ def diversity(df: DataFrame, block: int = 1024) -> DataFrame:
     return got.select(F.coalesce(F.greatest(F.lit(0.0), 1 - F.col("m")), F.lit(0.0)).alias("mean_diversity"), F.coalesce(1 - F.col("x"), F.lit(0.5)).alias("worst_diversity"))
 
 
-def greedy_dedup(spark: SparkSession, df: DataFrame, threshold: float) -> DataFrame:
-    """Rows kept when taken by score, best first, each dropped if near a row kept before; df has id, v, score.
+def first_come(spark: SparkSession, rows: DataFrame, better: DataFrame) -> DataFrame:
+    """id of the rows that stay when taken in an order, each dropped if near a row that stayed before it.
 
-    A row's fate is settled by its better neighbours: it stays when none of them
-    stays, and goes when one does. Rounds settle all rows whose neighbours are
-    settled, so the result is that of the sequential pass.
+    ``better`` has each near pair in order (better, worse). A row's fate is settled by
+    its better neighbours: it stays when none of them stays, and goes when one does.
+    Rounds settle all rows whose neighbours are settled, so the result is that of
+    the sequential pass.
     """
+    as_better = lambda df: df.select(F.col("id").alias("better"))
+    open_ = better.select(F.col("worse").alias("id")).distinct()
+    kept = materialised(rows.select("id").join(open_, "id", "left_anti"), "kept")
+    n = kept.count()
+    while True:
+        gone = materialised(better.join(as_better(kept), "better", "left_semi").select(F.col("worse").alias("id")).distinct(), "gone")
+        live = better.join(as_better(gone), "better", "left_anti").join(as_better(kept), "better", "left_anti")
+        free = open_.join(gone, "id", "left_anti").join(live.select(F.col("worse").alias("id")).distinct(), "id", "left_anti")
+        now = materialised(kept.union(free).distinct(), "kept")
+        forget(kept, gone)
+        if now.count() == n:
+            return now
+        kept, n = now, now.count()
+
+
+def greedy_dedup(spark: SparkSession, df: DataFrame, threshold: float) -> DataFrame:
+    """Rows kept when taken by score, best first, each dropped if near a row kept before; df has id, v, score."""
     pairs = edges(df.select("id", "v"), threshold).select("a", "b")
     scores = df.select("id", "score")
     p = pairs.join(scores.withColumnsRenamed({"id": "a", "score": "sa"}), "a").join(scores.withColumnsRenamed({"id": "b", "score": "sb"}), "b")
     a_first = (F.col("sa") > F.col("sb")) | ((F.col("sa") == F.col("sb")) & (F.col("a") < F.col("b")))
-    path = scratch_path(spark, "better")
-    p.select(F.when(a_first, F.col("a")).otherwise(F.col("b")).alias("better"), F.when(a_first, F.col("b")).otherwise(F.col("a")).alias("worse")).write.parquet(path)
-    better = spark.read.schema("better long, worse long").parquet(path)
-    open_ = better.select(F.col("worse").alias("id")).distinct()
-    kept = df.select("id").join(open_, "id", "left_anti")
-    gone = None
-    while True:
-        hit = better.join(kept.select(F.col("id").alias("better")), "better", "left_semi").select(F.col("worse").alias("id")).distinct()
-        gone = scratch_path(spark, "gone")
-        hit.write.parquet(gone)
-        dropped = spark.read.schema("id long").parquet(gone)
-        live = better.join(dropped.select(F.col("id").alias("better")), "better", "left_anti").join(kept.select(F.col("id").alias("better")), "better", "left_anti")
-        blocked = live.select(F.col("worse").alias("id")).distinct()
-        free = open_.join(dropped, "id", "left_anti").join(blocked, "id", "left_anti")
-        keep_path = scratch_path(spark, "kept")
-        kept.select("id").union(free).distinct().write.parquet(keep_path)
-        now = spark.read.schema("id long").parquet(keep_path)
-        if now.count() == kept.count():
-            return df.join(now, "id", "left_semi")
-        kept = now
-
-
-def add_to_bank(spark: SparkSession, batch: DataFrame, bank: DataFrame, threshold: float = 0.97) -> DataFrame:
+    better = materialised(p.select(F.when(a_first, F.col("a")).otherwise(F.col("b")).alias("better"), F.when(a_first, F.col("b")).otherwise(F.col("a")).alias("worse")), "better")
+    return df.join(first_come(spark, df, better), "id", "left_semi")
+
+
+def add_to_bank(spark: SparkSession, batch: DataFrame, bank: DataFrame, threshold: float = 0.97, bank_rows: int = BANK_ROWS) -> DataFrame:
     """Rows of a batch that are near neither the bank nor an earlier row of the batch that was added; by id."""
-    one = bank.agg(F.collect_list("v").alias("bank"))
-    close = F.coalesce(F.array_max(F.transform("bank", lambda b: dot(F.col("v"), b))), F.lit(-2.0))
-    new = batch.crossJoin(F.broadcast(one)).where(close <= threshold).drop("bank")
+    close = bank_similarities(batch, bank, 1, bank_rows).where(F.coalesce(F.try_element_at("t", F.lit(1)), F.lit(-2.0)) > threshold)
+    new = batch.join(close.select("id"), "id", "left_anti")
     return greedy_dedup(spark, new.withColumn("score", -F.col("id").cast("double")), threshold)
 
 
@@ -272,6 +370,7 @@ def preference_rank(pairs: DataFrame, items: DataFrame, seed: int = 42) -> DataF
 
 
 def adjacent_pairs(df: DataFrame, order: str = "exif_ts", by: str = "label") -> DataFrame:
-    """Each row of a group with the next one in order."""
-    nxt = Window.partitionBy(by).orderBy(order, "id")
-    return df.select(by, F.col("id").alias("a"), F.lead("id").over(nxt).alias("b")).where("b IS NOT NULL")
+    """Each row of a group with the next one in order; rows are numbered by ranges, so a group may be of any size."""
+    rows = numbered(df.select(by, order, "id"), by, order, "id", to="n")
+    nxt = rows.select(F.col(by).alias("_by"), F.col("id").alias("b"), (F.col("n") - 1).alias("n"))
+    return rows.join(nxt, "n").where(F.col(by).eqNullSafe(F.col("_by"))).select(by, F.col("id").alias("a"), "b")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomwise.functions.scalar import file_name
+from loomwise.session import materialised
 
 
 def upsert(table: DataFrame, new: DataFrame, key: str = "path") -> DataFrame:
@@ -18,6 +19,11 @@ def upsert(table: DataFrame, new: DataFrame, key: str = "path") -> DataFrame:
     return table.join(last, key, "left_anti").unionByName(last.select(*table.columns))
 
 
+def lookup(table: DataFrame, keys: DataFrame, key: str = "path") -> DataFrame:
+    """The table's rows with one of the keys; absent keys are left out. Spark broadcasts the keys only if they are small."""
+    return table.join(keys.select(key), key, "left_semi")
+
+
 def update_only(table: DataFrame, new: DataFrame, columns: list[str], key: str = "path") -> DataFrame:
     """The table's rows with columns replaced where ``new`` has the key; nothing is inserted."""
     other = new.select(F.col(key).alias("_k"), *[F.col(c).alias(f"_{c}") for c in columns])
@@ -75,17 +81,28 @@ def export_paths(df: DataFrame, dest: str, grades: list[str]) -> DataFrame:
     return named.select(F.col("path").alias("source"), F.concat_ws("/", F.lit(dest), "grade", final).alias("target"))
 
 
-def story_names(df: DataFrame, role_pos: Column) -> DataFrame:
-    """NN_role_name for the frames that succeeded, in the order of their roles; one story, so a small table."""
-    order = Window.orderBy(role_pos, "path")
-    ok = df.where("ok").withColumn("_n", F.row_number().over(order))
-    return ok.select("path", F.format_string("%02d_%s_%s", F.col("_n"), F.lower("role"), file_name(F.col("path"))).alias("name"))
+def numbered(df: DataFrame, *order: str, to: str = "n") -> DataFrame:
+    """Rows numbered from 0 in a total order, without one task for all of them.
+
+    Rows are sorted by ranges and written with their place in their range; a table
+    with a row a range says how many rows come before it.
+    """
+    placed = materialised(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id()), "numbered")
+    part, mine = F.shiftright("_place", 33), F.col("_place").bitwiseAND((1 << 33) - 1)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    sizes = placed.groupBy(part.alias("_part")).count().select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_base"))
+    return placed.join(F.broadcast(sizes), part == F.col("_part")).withColumn(to, F.col("_base") + mine).drop("_place", "_part", "_base")
+
+
+def story_names(df: DataFrame, role_pos: str) -> DataFrame:
+    """NN_role_name for the frames that succeeded, in the order of the column role_pos, then path."""
+    ok = numbered(df.where("ok"), role_pos, "path", to="_n")
+    return ok.select("path", F.format_string("%02d_%s_%s", F.col("_n") + 1, F.lower("role"), file_name(F.col("path"))).alias("name"))
 
 
 def tokens(df: DataFrame, order: str = "path") -> DataFrame:
-    """path and a token IMG_00, IMG_01 ... in order, for a bounded list of candidates."""
-    n = F.row_number().over(Window.orderBy(order)) - 1
-    return df.withColumn("token", F.format_string("IMG_%02d", n))
+    """The rows with a token IMG_00, IMG_01 ... in order."""
+    return numbered(df, order, to="_n").withColumn("token", F.format_string("IMG_%02d", F.col("_n"))).drop("_n")
 
 
 class Snapshots:

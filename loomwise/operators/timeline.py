@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomwise.operators import similarity
+from loomwise.session import materialised
+
 
 def segment_events(df: DataFrame, by: list[str], ts: str = "exif_ts", id_: str = "id", gap: float = 900.0) -> DataFrame:
     """Add event (from 0) within each group: a new one when more than ``gap`` seconds pass.
@@ -35,31 +36,30 @@ def events_by_range(df: DataFrame, ts: str = "exif_ts", id_: str = "id", gap: fl
     return inner.join(F.broadcast(edge.select("_slice", "_base")), "_slice").withColumn("event", F.col("_base") + F.col("_in")).drop("_slice", "_s", "_in", "_base")
 
 
-def consolidate_bursts(df: DataFrame, by: list[str], window_s: float = 30.0, limit: float = 0.6) -> DataFrame:
+def consolidate_bursts(spark: SparkSession, df: DataFrame, by: list[str], window_s: float = 30.0, limit: float = 0.6) -> DataFrame:
     """One hero a burst, with burst_size: within a group the first free row takes later rows nearer than ``limit``.
 
     Distance is 1 - cos plus the time difference over ``window_s`` (without time
-    stamps: no time part). df has id, v, exif_ts, score and the group's columns; a
-    group is one event, bounded by the time gap that made it.
+    stamps: no time part). df has id, v, exif_ts, score and the group's columns.
+    The first rows of bursts are those that no earlier first row is near; they are
+    found in rounds over the near pairs, and every other row goes to the earliest
+    first row near it. Near pairs come from blocks, so a group may be of any size.
     """
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["exif_ts", "id"], kind="stable").reset_index(drop=True)
-        v, ts = np.stack(g["v"].to_numpy()), g["exif_ts"].to_numpy()
-        free, out = np.ones(len(g), bool), []
-        for i in range(len(g)):
-            if free[i]:
-                near = 1 - v[i:] @ v[i] + (np.abs(ts[i:] - ts[i]) / window_s if window_s > 0 and ts.max() > 0 else 0)
-                mine = i + np.nonzero(free[i:] & (near < limit))[0]
-                mine = mine if i in mine else np.concatenate([[i], mine])
-                free[mine] = False
-                part = g.loc[mine]
-                out.append(part.sort_values(["score", "id"], ascending=[False, True]).head(1)[[*by, "id", "score"]].assign(burst_size=len(mine)))
-        return pd.concat(out)
-
-    kinds = dict(df.dtypes)
-    schema = ", ".join(f"{c} {kinds[c]}" for c in [*by, "id"]) + ", score double, burst_size long"
-    return df.groupBy(*by).applyInPandas(run, schema)
+    timed = df.groupBy(*by).agg((F.max("exif_ts") > 0).alias("_timed"))
+    gap = F.when(F.col("_timed") & F.lit(window_s > 0), F.col("exif_ts")).otherwise(0.0)
+    rows = materialised(df.join(timed, by).select(*by, "id", "v", "exif_ts", "score", gap.alias("t")), "rows")
+    near = similarity.near_pairs(rows, by, limit, window_s or 1.0)
+    order = lambda s: F.struct(F.col(f"ts_{s}"), F.col(s))
+    times = rows.select("id", "exif_ts")
+    timed = near.join(times.withColumnsRenamed({"id": "a", "exif_ts": "ts_a"}), "a").join(times.withColumnsRenamed({"id": "b", "exif_ts": "ts_b"}), "b")
+    first = order("a") < order("b")
+    both = materialised(timed.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("better"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("worse"), F.least("ts_a", "ts_b").alias("ts")), "near")
+    heads = similarity.first_come(spark, rows.select("id"), both.select("better", "worse"))
+    taken = both.join(heads.select(F.col("id").alias("better")), "better", "left_semi").groupBy(F.col("worse").alias("id")).agg(F.min(F.struct("ts", "better")).alias("m")).select("id", F.col("m.better").alias("head"))
+    taken = taken.join(heads, "id", "left_anti").unionByName(heads.select("id", F.col("id").alias("head")))
+    best = F.max(F.struct("score", (-F.col("id")).alias("o"))).alias("m")
+    hero = rows.join(taken, "id").groupBy(*by, "head").agg(best, F.count("*").alias("burst_size"))
+    return hero.select(*by, (-F.col("m.o")).alias("id"), F.col("m.score").alias("score"), "burst_size")
 
 
 def in_time_order(df: DataFrame, ts: str = "exif_ts") -> DataFrame:

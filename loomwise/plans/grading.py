@@ -7,22 +7,25 @@ from pyspark.sql import functions as F
 
 from loomwise.operators import scoring
 from loomwise.plans import items as src
+from loomwise.session import materialised
 
 
 def graded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items with sims, aspects, genre, score, confidence and grade."""
+    """Items with sims, aspects, genre, score, confidence and grade.
+
+    What needs no statistics of the batch is written once; the statistics, one
+    aggregate, and the rows are both read from there.
+    """
     vectors = src.units(spark, sf_dir)
     df = scoring.prompt_similarities(src.items(spark, sf_dir), src.prompts(vectors))
-    return scoring.draft_score(scoring.calibrate(scoring.discriminants(df)))
+    return scoring.draft_score(scoring.calibrate(materialised(scoring.discriminants(df), "items")))
 
 
 def fused(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Graded items with quality, fineart, archetype weights, fused and final."""
     df = graded(spark, sf_dir)
-    df = scoring.quality_norm(df.withColumn("q0", scoring.empty_route_quality(F.col("comp"), F.col("light"))), "q0", "quality")
-    df = df.withColumn("disqualified", F.col("idx") % 23 == 0)
-    df = scoring.stretch_by_rated(df.withColumn("fa0", F.get("sims", F.lit(29))), "fa0", ~F.col("disqualified"), "fineart")
-    df = scoring.archetype_weights(df)
+    df = df.withColumns({"q0": scoring.empty_route_quality(F.col("comp"), F.col("light")), "disqualified": F.col("idx") % 23 == 0, "fa0": F.get("sims", F.lit(29))})
+    df = scoring.archetype_weights(scoring.batch_stretch(df, "q0", "quality", "fa0", ~F.col("disqualified"), "fineart"))
     df = df.withColumns(
         {
             "over_shoulder": F.col("idx") % 7 == 0,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomwise.operators import scoring, selection, timeline
+from loomwise.operators import scoring, selection, store, timeline
 from loomwise.plans import grading
 from loomwise.queries.grading import r6, s6
 
@@ -25,13 +25,14 @@ A = scoring.ASPECTS
 G = grading.SQL
 
 
-def pool(spark, d, k=300):
-    g = grading.graded(spark, d)
-    return selection.top(g.withColumn("cluster_id", F.col("idx") % 40 - 20), k)
+def pool(spark, d, k: int | None = None):
+    """All graded rows with their lineage cut, or where a sequencer states a pool the k best."""
+    g = grading.graded(spark, d).withColumn("cluster_id", F.col("idx") % 40 - 20)
+    return selection.cut(g) if k is None else selection.top(g, k)
 
 
-def P(k: int = 300) -> str:
-    return f"{G}, p AS (SELECT *, idx % 40 - 20 AS cluster_id FROM g ORDER BY score DESC, idx LIMIT {k})"
+def P(k: int | None = None) -> str:
+    return f"{G}, p AS (SELECT *, idx % 40 - 20 AS cluster_id FROM g" + (")" if k is None else f" ORDER BY score DESC, idx LIMIT {k})")
 
 
 def _beats(a: str, b: str, cols) -> str:
@@ -48,7 +49,7 @@ def _role(w) -> str:
 
 
 def _pareto_sql() -> str:
-    out = f"{P()}, ev AS (SELECT *, sum(st) OVER (ORDER BY exif_ts, idx) AS event FROM (SELECT *, CASE WHEN exif_ts - lag(exif_ts) OVER (ORDER BY exif_ts, idx) > 900 THEN 1 ELSE 0 END AS st FROM p))"
+    out = f"{P(300)}, ev AS (SELECT *, sum(st) OVER (ORDER BY exif_ts, idx) AS event FROM (SELECT *, CASE WHEN exif_ts - lag(exif_ts) OVER (ORDER BY exif_ts, idx) > 900 THEN 1 ELSE 0 END AS st FROM p))"
     cols = ["o1", "o2", "o3", "o4", "o5"]
     for k, (name, w) in enumerate(selection.ROLES.items()):
         raw = [w[0] * 0.8 + 0.10, 0.25, w[3], 0.10, 0.10]
@@ -68,7 +69,7 @@ OUT = {"pos": "int", "slot": "string", "idx": "long", "value": "double"}
 
 @query("pareto_sequence", _pareto_sql())
 def pareto_sequence(spark, d):
-    df = selection.cut(timeline.events_by_range(pool(spark, d), id_="idx"))
+    df = selection.cut(timeline.events_by_range(pool(spark, d, 300), id_="idx"))
     return selection.as_frame(df, selection.pareto_sequence(df), OUT).withColumn("value", F.round("value", 6))
 
 
@@ -97,15 +98,16 @@ def pareto3_sequence(spark, d):
     return selection.as_frame(df, selection.pareto3_sequence(df), OUT).withColumn("value", F.round("value", 6))
 
 
-def _beam_sql() -> str:
-    out = f"{P()}, b0 AS (SELECT [idx] AS seq, score AS total, v AS last FROM p ORDER BY score DESC, idx LIMIT 4)"
+def beam_steps() -> str:
+    """CTEs b0 to b4, the states of the beam over the rows of p."""
+    out = ", b0 AS (SELECT [idx] AS seq, score AS total, v AS last FROM p ORDER BY score DESC, idx LIMIT 4)"
     for k, w in enumerate(list(selection.ROLES.values())[1:], 1):
         gain = f"score * CAST(0.40 AS DOUBLE) + {_role(w)} * 0.30 + (1.0 - abs((list_inner_product(last, v) + 1.0) / 2.0 - 0.55)) * 0.30"
         out += f", b{k} AS (SELECT list_append(seq, idx) AS seq, total + ({gain}) AS total, v AS last FROM p, b{k - 1} WHERE NOT list_contains(seq, idx) ORDER BY 2 DESC, 1 LIMIT 4)"
-    return out + " SELECT seq, round(total, 6) AS total FROM b4"
+    return out
 
 
-@query("beam_sequence", _beam_sql())
+@query("beam_sequence", f"{P()}{beam_steps()} SELECT seq, round(total, 6) AS total FROM b4")
 def beam_sequence(spark, d):
     return selection.beam(pool(spark, d)).select("seq", *r6("total"))
 
@@ -117,23 +119,19 @@ def _viterbi_sql() -> str:
         cond = " OR ".join("p." + x for x in need.split(" OR ")) if need != "true" else "true"
         return f"(CASE WHEN {cond} THEN {fit} ELSE greatest(0.0, {fit} - {pen}) END * 0.25 + p.score * 0.10)"
 
-    out = f"{G}, p AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY idx) - 1 AS pos, count(*) OVER () AS nv FROM g) ORDER BY score DESC, idx LIMIT 40), d0 AS (SELECT idx, pos, v, light, [idx] AS seq, {own(0)} AS total FROM p)"
+    out = f"{G}, p AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY idx) - 1 AS pos, count(*) OVER () AS nv FROM g)), d0 AS (SELECT idx, pos, v, light, [idx] AS seq, {own(0)} AS total FROM p)"
     for s in range(1, 5):
         step = f"q.total + {own(s)} + list_inner_product(q.v, p.v) * CAST(0.5 AS DOUBLE) + (1.0 - list_inner_product(q.v, p.v)) * CAST(0.3 AS DOUBLE) + (1.0 - abs(q.pos - p.pos) / CAST(greatest(p.nv - 1, 1) AS DOUBLE)) * CAST(0.2 AS DOUBLE) + abs(p.light - q.light) * 0.05"
         out += f", d{s} AS (SELECT idx, pos, v, light, list_append(qs, idx) AS seq, total FROM (SELECT p.idx, p.pos, p.v, p.light, q.seq AS qs, {step} AS total, row_number() OVER (PARTITION BY p.idx ORDER BY {step} DESC, q.pos) AS r FROM p, d{s - 1} q WHERE p.idx <> q.idx) WHERE r = 1)"
-    return out + " SELECT seq, round(total, 6) AS total FROM d4 ORDER BY total DESC, pos LIMIT 1"
+    out += ", w AS (SELECT seq, total FROM d4 ORDER BY total DESC, pos LIMIT 1), sp AS (SELECT list(idx ORDER BY score DESC, idx) AS spare FROM g WHERE NOT list_contains((SELECT seq FROM w), idx))"
+    again = "list_contains(seq[1:i - 1], seq[i])"
+    return out + f" SELECT list_filter(list_transform(range(1, len(seq) + 1), lambda i: CASE WHEN {again} THEN spare[len(list_filter(range(1, i + 1), lambda j: list_contains(seq[1:j - 1], seq[j])))] ELSE seq[i] END), lambda x: x IS NOT NULL) AS seq, round(total, 6) AS total FROM w, sp"
 
 
 @query("viterbi_sequence", _viterbi_sql())
 def viterbi_sequence(spark, d):
-    g = grading.graded(spark, d)
-    n = g.count()
-    best = selection.top(g, 40)
-    # the place by idx among all rows: how many have a smaller one
-    before = F.broadcast(best.select(F.col("idx").alias("i")))
-    pos = g.select(F.col("idx").alias("j")).join(before, F.col("j") < F.col("i")).groupBy("i").agg(F.count("*").alias("pos"))
-    df = selection.cut(best.join(pos, best.idx == pos.i, "left").withColumn("pos", F.coalesce("pos", F.lit(0))))
-    return selection.viterbi(df, 0.5, 0.3, 0.2, n).select("seq", *r6("total"))
+    g = selection.cut(store.numbered(grading.graded(spark, d), "idx", to="pos"))
+    return selection.without_repeats(selection.viterbi(g, 0.5, 0.3, 0.2, g.count()), g).select("seq", *r6("total"))
 
 
 def _roles_sql() -> str:
@@ -151,21 +149,21 @@ def role_assign(spark, d):
     return selection.as_frame(df, selection.assign_roles(df), OUT).withColumn("value", F.round("value", 6))
 
 
-def fitted(spark, d, k=60):
-    """A pool with fit_<slot>, match and lum01."""
-    df = pool(spark, d, k)
+def fitted(spark, d):
+    """All graded rows with fit_<slot>, match and lum01."""
+    df = pool(spark, d)
     wide = scoring.slot_fitness(df).groupBy("idx").pivot("slot", scoring.SLOTS).agg(F.first("fitness"))
     wide = wide.select(F.col("idx").alias("i"), *[F.col(s).alias(f"fit_{s}") for s in scoring.SLOTS])
     out = df.join(wide, df.idx == wide.i).withColumns({"match": scoring.brief_match(F.col("score"), F.col("log")), "lum01": F.col("lum") / 255})
     return selection.cut(out.drop("i"))
 
 
-def _fit_sql(k: int = 60) -> str:
+def _fit_sql() -> str:
     from loomwise.queries.grading import _SLOT_SQL
 
     words = " + ".join(f"contains(lower(log), '{w}')::INT" for w in scoring.MATCH_WORDS)
     fits = _SLOT_SQL.replace("FROM g, mm", "FROM p, mm").replace("SELECT path,", "SELECT idx,")
-    return f"""{P(k)}, mm AS (SELECT avg(lum / 255) AS m FROM p), sf AS ({fits}),
+    return f"""{P()}, mm AS (SELECT avg(lum / 255) AS m FROM p), sf AS ({fits}),
 w AS (SELECT idx AS i, {", ".join(f"max(fitness) FILTER (WHERE slot = '{s}') AS fit_{s}" for s in scoring.SLOTS)} FROM sf GROUP BY idx),
 c AS (SELECT p.*, w.*, 0.6 * score + 0.25 * least(1.0, length(log) / 400.0) + 0.15 * least(1.0, ({words}) / 4.0) AS match, lum / 255 AS lum01 FROM p JOIN w ON i = idx)""".replace("c AS (SELECT *, least", "c AS (SELECT *, least").replace("\nc AS (SELECT p.*", "\nfc AS (SELECT p.*")
 
@@ -192,8 +190,12 @@ def greedy_slots(spark, d):
     return selection.as_frame(df, selection.greedy_slots(df, scoring.SLOTS, [0.25] * 5, 0.20), OUT).withColumn("value", F.round("value", 6))
 
 
+#: Rows of each slot, the fittest of all, that the exact search combines.
+PER_SLOT = 8
+
+
 def _best_sql(limit: float = 0.25) -> str:
-    out = _fit_sql() + "".join(f", t{k} AS (SELECT idx, v, match, lum01, cluster_id FROM fc WHERE fit_{s} >= 0.25 ORDER BY fit_{s} DESC, idx LIMIT 5)" for k, s in enumerate(scoring.SLOTS))
+    out = _fit_sql() + "".join(f", t{k} AS (SELECT idx, v, match, lum01, cluster_id FROM fc WHERE fit_{s} >= 0.25 ORDER BY fit_{s} DESC, idx LIMIT {PER_SLOT})" for k, s in enumerate(scoring.SLOTS))
     t = [f"t{k}" for k in range(5)]
     pairs = [(a, b) for i, a in enumerate(t) for b in t[i + 1 :]]
     ok = " AND ".join(f"{a}.idx <> {b}.idx AND NOT ({a}.cluster_id >= 0 AND {a}.cluster_id = {b}.cluster_id)" for a, b in pairs)
@@ -206,7 +208,7 @@ SELECT seq, round(total, 6) AS total FROM z WHERE worst <= {limit} ORDER BY tota
 
 @query("nsga_sequence", _best_sql())
 def nsga_sequence(spark, d):
-    return selection.best_assignment(fitted(spark, d), scoring.SLOTS, per_slot=5, sim_limit=0.25).select("seq", *r6("total"))
+    return selection.best_assignment(fitted(spark, d), scoring.SLOTS, per_slot=PER_SLOT, sim_limit=0.25).select("seq", *r6("total"))
 
 
 PREDICATES = [None, "human > 0.45 AND faces > 0", "tech > 0.55 OR comp > 0.60", "light < 0.40 OR narr < 0.50", "overall_c > 0.50 AND faces = 0"]

@@ -137,7 +137,7 @@ def dup_groups(spark, d):
     return similarity.duplicate_groups(clustered(spark, d))
 
 
-_POOL = "pool AS (SELECT id, v, score, row_number() OVER (ORDER BY score DESC, id) AS r FROM sc WHERE id < 120)"
+_POOL = "pool AS (SELECT id, v, score, row_number() OVER (ORDER BY score DESC, id) AS r FROM sc)"
 
 
 @query(
@@ -148,19 +148,19 @@ w AS (SELECT CAST(0 AS BIGINT) AS r, CAST([] AS BIGINT[]) AS kept UNION ALL
 SELECT unnest(kept) AS id FROM w WHERE r = (SELECT max(r) FROM w)""",
 )
 def greedy_dedup(spark, d):
-    return similarity.greedy_dedup(spark, scored(spark, d).where("id < 120"), round(NEAR - 0.1, 2)).select("id")
+    return similarity.greedy_dedup(spark, scored(spark, d), round(NEAR - 0.1, 2)).select("id")
 
 
 @query(
     "bank_add",
-    f"""{U}, n AS (SELECT id, v, row_number() OVER (ORDER BY id) AS r FROM u WHERE id >= 36 AND id < 150 AND NOT EXISTS (SELECT 1 FROM u b WHERE b.id < 36 AND list_inner_product(b.v, u.v) > 0.30)),
+    f"""{U}, n AS (SELECT id, v, row_number() OVER (ORDER BY id) AS r FROM u WHERE id >= 36 AND NOT EXISTS (SELECT 1 FROM u b WHERE b.id < 36 AND list_inner_product(b.v, u.v) > 0.30)),
 w AS (SELECT CAST(0 AS BIGINT) AS r, CAST([] AS BIGINT[]) AS kept UNION ALL
   SELECT w.r + 1, CASE WHEN EXISTS (SELECT 1 FROM n k WHERE list_contains(w.kept, k.id) AND list_inner_product(k.v, p.v) > 0.30) THEN w.kept ELSE list_append(w.kept, p.id) END FROM w JOIN n p ON p.r = w.r + 1)
 SELECT unnest(kept) AS id FROM w WHERE r = (SELECT max(r) FROM w)""",
 )
 def bank_add(spark, d):
     u = items.units(spark, d)
-    return similarity.add_to_bank(spark, u.where("id >= 36 AND id < 150"), u.where("id < 36"), 0.30).select("id")
+    return similarity.add_to_bank(spark, u.where("id >= 36"), u.where("id < 36"), 0.30).select("id")
 
 
 _CENTRE = "c0 AS (SELECT label, k, sum(v[k]) AS s FROM u, range(1, 65) t(k) GROUP BY ALL), c1 AS (SELECT label, list(s ORDER BY k) AS s FROM c0 GROUP BY label), c2 AS (SELECT label, s, sqrt(list_inner_product(s, s)) AS n FROM c1)"
@@ -200,9 +200,9 @@ def prototype_classify(spark, d):
     return similarity.classify(s, similarity.prototypes(s)).select("id", "niche", *r6("prob"))
 
 
-@query("pair_diversity", f"{U}, p AS (SELECT list_inner_product(a.v, b.v) AS c FROM u a JOIN u b ON a.id < b.id WHERE b.id < 60) SELECT round(greatest(0.0, 1 - avg(c)), 6) AS mean_diversity, round(1 - max(c), 6) AS worst_diversity FROM p")
+@query("pair_diversity", f"{U}, p AS (SELECT list_inner_product(a.v, b.v) AS c FROM u a JOIN u b ON a.id < b.id) SELECT round(greatest(0.0, 1 - avg(c)), 6) AS mean_diversity, round(1 - max(c), 6) AS worst_diversity FROM p")
 def pair_diversity(spark, d):
-    return similarity.diversity(items.units(spark, d).where("id < 60")).select(*r6("mean_diversity", "worst_diversity"))
+    return similarity.diversity(items.units(spark, d)).select(*r6("mean_diversity", "worst_diversity"))
 
 
 @query("adjacent_pairs", f"{U}, p AS (SELECT label, idx AS a, lead(idx) OVER (PARTITION BY label ORDER BY exif_ts, idx) AS b FROM it) SELECT * FROM p WHERE b IS NOT NULL")
@@ -223,9 +223,13 @@ def kmeans_labels(spark, d):
 
 @query("preference_rank")
 def preference_rank(spark, d):
+    """Learns from neighbours in time of one label that were judged apart."""
     it = items.items(spark, d).select(F.col("idx").alias("id"), "v", "label", "personal")
-    w, l = it.where("personal > 0.5").select(F.col("id").alias("winner"), "label"), it.where("personal < 0.5").select(F.col("id").alias("loser"), "label")
-    return similarity.preference_rank(w.join(l, "label"), it)
+    near = similarity.adjacent_pairs(items.items(spark, d).withColumnRenamed("idx", "id"))
+    judged = lambda s: it.select(F.col("id").alias(s), F.col("personal").alias(f"p{s}"))
+    both = near.join(judged("a"), "a").join(judged("b"), "b").where("pa <> pb")
+    pairs = both.select(F.when(F.col("pa") > F.col("pb"), F.col("a")).otherwise(F.col("b")).alias("winner"), F.when(F.col("pa") > F.col("pb"), F.col("b")).otherwise(F.col("a")).alias("loser"))
+    return similarity.preference_rank(pairs, it)
 
 
 @query("ensemble_mean", f"{U}, c0 AS (SELECT k, sum(v[k]) AS s FROM u, range(1, 65) t(k) WHERE id < 5 GROUP BY k), c1 AS (SELECT list(s ORDER BY k) AS s FROM c0) SELECT {s6('m')} FROM (SELECT unnest(list_transform(s, lambda x: x / (sqrt(list_inner_product(s, s)) + 1e-9))) AS m FROM c1)")

@@ -37,18 +37,24 @@ def _events(spark, d):
     return s.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-@query("stream_sessions")
+#: Sessions that the last watermark, an hour behind the newest event, has closed.
+_SESSIONS = """WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 15 MINUTE THEN 0 ELSE 1 END AS st FROM events),
+s AS (SELECT *, sum(st) OVER (PARTITION BY user_id ORDER BY ts, st DESC ROWS UNBOUNDED PRECEDING) AS k FROM e)
+SELECT user_id, epoch_us(min(ts)) AS start_us, epoch_us(max(ts) + INTERVAL 15 MINUTE) AS stop_us, count(*) AS n FROM s GROUP BY user_id, k HAVING max(ts) + INTERVAL 15 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR"""
+
+
+@query("stream_sessions", _SESSIONS)
 def stream_sessions(spark, d):
     out = scratch_path(spark, "sessions")
     _finished(jobs.append_to(jobs.sessions(_events(spark, d), "user_id"), out, scratch_path(spark, "ck")))
-    return spark.read.parquet(out)
+    return spark.read.parquet(out).select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("stop").alias("stop_us"), "n")
 
 
-@query("stream_windows")
+@query("stream_windows", "SELECT event_type, epoch_us(h) AS start_us, count(*) AS n, round(sum(value), 4) AS total FROM (SELECT *, date_trunc('hour', ts) AS h FROM events) GROUP BY event_type, h HAVING h + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR")
 def stream_windows(spark, d):
     out = scratch_path(spark, "windows")
     _finished(jobs.append_to(jobs.windowed_counts(_events(spark, d), "event_type"), out, scratch_path(spark, "ck")))
-    return spark.read.parquet(out)
+    return spark.read.parquet(out).select("event_type", F.unix_micros("start").alias("start_us"), "n", F.round("total", 4).alias("total"))
 
 
 @query("watch_upsert", "SELECT 'p' || event_id AS path, event_type AS grade, value AS score FROM events UNION ALL SELECT 'p' || range, 'kept', 0.5 FROM range(10000000, 10000005)")
@@ -61,7 +67,11 @@ def watch_upsert(spark, d):
     return table.read()
 
 
-@query("stream_feedback")
+@query(
+    "stream_feedback",
+    """WITH c AS (SELECT DISTINCT 'p' || (event_id % 500) AS path, [0.28, 0.50, 0.72][event_id % 3 + 1] AS o, [0.28, 0.50, 0.72][user_id % 3 + 1] AS w FROM events)
+SELECT path, CAST(greatest(o, w) AS DOUBLE) AS winner, CAST(least(o, w) AS DOUBLE) AS loser, w > o AS upgrade FROM c WHERE o <> w""",
+)
 def stream_feedback(spark, d):
     e = _events(spark, d)
     rows = e.select(F.concat(F.lit("p"), F.col("event_id") % 500).alias("path"), (F.col("event_id") % 3).cast("int").alias("old_level"), (F.col("user_id") % 3).cast("int").alias("new_level"), "ts")
@@ -70,7 +80,10 @@ def stream_feedback(spark, d):
     return spark.read.parquet(out)
 
 
-@query("folder_scan")
+_FILES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+@query("folder_scan", "SELECT * FROM (VALUES " + ", ".join(f"('{n}.parquet')" for n in _FILES) + ") t(name)")
 def folder_scan(spark, d):
     found = files.scan(spark, [d, d], ["parquet"])
     return files.listing(found).select("name")
@@ -81,9 +94,13 @@ def scan_fingerprint(spark, d):
     return files.fingerprint(files.scan(spark, [d], ["parquet"], recursive=True)).select(file_name(F.col("path")).alias("name"), "fingerprint")
 
 
-@query("positional_zip", "SELECT vec_id AS pos, CASE WHEN vec_id < 100 THEN 'p' || vec_id END AS path FROM embeddings")
+@query("positional_zip", "SELECT vec_id AS pos, 'p' || doc_id AS path FROM embeddings LEFT JOIN labels ON doc_id = vec_id")
 def positional_zip(spark, d):
-    meta = spark.range(1).select(F.transform(F.sequence(F.lit(0), F.lit(99)), lambda k: F.concat(F.lit("p"), k)).alias("path"))
+    # the metadata as parallel arrays for a hundred positions each
+    first = (F.floor(F.col("doc_id") / 100) * 100).cast("long").alias("first")
+    known = items.table(spark, d, "labels").groupBy(first).agg(F.collect_set("doc_id").alias("ids"))
+    at = F.sequence(F.col("first"), F.col("first") + 99)
+    meta = known.select("first", F.transform(at, lambda k: F.when(F.array_contains("ids", k), F.concat(F.lit("p"), k))).alias("path"))
     v = items.table(spark, d, "embeddings").select(F.col("vec_id").alias("pos"))
     return files.zipped(v, meta, ["path"]).select("pos", "path")
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomwise.functions import scalar
-from loomwise.operators import constraints, gallery, niche, scoring, store, timeline
+from loomwise.operators import constraints, gallery, niche, scoring, selection, similarity, store, timeline
 from loomwise.plans import grading, items
+from loomwise.queries import sequences
 from loomwise.queries.grading import r6, s6
 from loomwise.session import cut, scratch_path
 
@@ -24,15 +25,14 @@ def query(name: str, sql: str | None = None):
 
 
 G = grading.SQL
-#: A table of stored rows and one of new rows over the embeddings, as paths with scores.
-SQL_T = "WITH t AS (SELECT 'f' || (vec_id % 4) || '/img_' || vec_id || '.jpg' AS path, CAST((vec_id * 31) % 100 AS DOUBLE) / 100 AS score, CAST((vec_id * 17) % 100 AS DOUBLE) / 100 AS personal FROM embeddings WHERE vec_id < 300), n AS (SELECT 'f' || (vec_id % 4) || '/img_' || vec_id || '.jpg' AS path, CAST((vec_id * 57) % 100 AS DOUBLE) / 100 AS score, CAST((vec_id * 13) % 100 AS DOUBLE) / 100 AS personal FROM embeddings WHERE vec_id >= 200 AND vec_id < 400)"
+_ROW = "'f' || (id % 4) || '/img_' || id || '.jpg' AS path, CAST((id * {a}) % 100 AS DOUBLE) / 100 AS score, CAST((id * {b}) % 100 AS DOUBLE) / 100 AS personal"
+#: A table of stored rows, one of each embedding, and one of new rows, one of each label: about half of these are stored as well.
+SQL_T = f"WITH t AS (SELECT {_ROW.format(a=31, b=17)} FROM (SELECT vec_id AS id FROM embeddings)), n AS (SELECT {_ROW.format(a=57, b=13)} FROM (SELECT doc_id AS id FROM labels))"
 
 
 def stored(spark, d):
-    e = items.table(spark, d, "embeddings")
-    path = F.concat(F.lit("f"), F.col("vec_id") % 4, F.lit("/img_"), "vec_id", F.lit(".jpg"))
-    make = lambda where, a, b: e.where(where).select(path.alias("path"), (((F.col("vec_id") * a) % 100).cast("double") / 100).alias("score"), (((F.col("vec_id") * b) % 100).cast("double") / 100).alias("personal"))
-    return make("vec_id < 300", 31, 17), make("vec_id >= 200 AND vec_id < 400", 57, 13)
+    make = lambda name, key, a, b: items.table(spark, d, name).select(F.col(key).alias("id")).selectExpr(*_ROW.format(a=a, b=b).split(", "))
+    return make("embeddings", "vec_id", 31, 17), make("labels", "doc_id", 57, 13)
 
 
 @query("table_scan", f"{SQL_T} SELECT path, score FROM t WHERE score >= 0.45")
@@ -40,10 +40,11 @@ def table_scan(spark, d):
     return stored(spark, d)[0].where("score >= 0.45").select("path", "score")
 
 
-@query("bulk_lookup", f"{SQL_T} SELECT * FROM t WHERE path IN ('f0/img_0.jpg', 'f1/img_5.jpg', 'f3/none.jpg', 'it''s')")
+@query("bulk_lookup", f"{SQL_T} SELECT * FROM t WHERE path IN (SELECT path FROM n UNION SELECT * FROM (VALUES ('f3/none.jpg'), ('it''s')))")
 def bulk_lookup(spark, d):
-    keys = spark.createDataFrame([("f0/img_0.jpg",), ("f1/img_5.jpg",), ("f3/none.jpg",), ("it's",)], "path string")
-    return stored(spark, d)[0].join(F.broadcast(keys), "path", "left_semi")
+    t, n = stored(spark, d)
+    keys = n.select("path").union(spark.createDataFrame([("f3/none.jpg",), ("it's",)], "path string"))
+    return store.lookup(t, keys)
 
 
 @query("row_count", f"{SQL_T} SELECT count(*) AS n FROM t")
@@ -153,7 +154,7 @@ SELECT path, printf('%02d_%s_%s', row_number() OVER (ORDER BY rp, path), lower(r
 def story_manifest(spark, d):
     t = stored(spark, d)[0].where("score > 0.95")
     rp = F.round(F.col("score") * 100).cast("int") % 5
-    return store.story_names(t.select("path", F.concat(F.lit("Role"), rp).alias("role"), rp.alias("rp"), F.lit(True).alias("ok")), F.col("rp"))
+    return store.story_names(t.select("path", F.concat(F.lit("Role"), rp).alias("role"), rp.alias("rp"), F.lit(True).alias("ok")), "rp")
 
 
 @query("tokenize_candidates", f"{SQL_T} SELECT path, score, printf('IMG_%02d', row_number() OVER (ORDER BY path) - 1) AS token FROM t WHERE score > 0.8")
@@ -188,16 +189,16 @@ def gallery_filter_grade(spark, d):
     return gallery.visible(gallery.rows(_gallery(spark, d)), grades=["Strong", "Mid"]).select("path")
 
 
-@query("gallery_sort", f"{SQL_G} SELECT path, CASE grade WHEN 'Strong' THEN 0 WHEN 'Mid' THEN 1 ELSE 2 END AS g, {s6('score')} FROM gr ORDER BY g, gr.score DESC, path LIMIT 100")
+@query("gallery_sort", f"{SQL_G} SELECT path, CASE grade WHEN 'Strong' THEN 0 WHEN 'Mid' THEN 1 ELSE 2 END AS g, {s6('score')} FROM gr")
 def gallery_sort(spark, d):
-    g = _gallery(spark, d).withColumn("g", gallery.grade_order(F.col("grade"))).orderBy("g", F.desc("score"), "path").limit(100)
+    g = _gallery(spark, d).withColumn("g", gallery.grade_order(F.col("grade"))).orderBy("g", F.desc("score"), "path")
     return g.select("path", "g", *r6("score"))
 
 
-@query("star_sort", f"{SQL_G} SELECT path, stars FROM gr ORDER BY (coalesce(stars, 0) = 3) DESC, coalesce(stars, 0) DESC, path LIMIT 100")
+@query("star_sort", f"{SQL_G} SELECT path, stars FROM gr")
 def star_sort(spark, d):
     s = F.coalesce("stars", F.lit(0))
-    return _gallery(spark, d).orderBy((s == 3).desc(), s.desc(), "path").limit(100).select("path", "stars")
+    return _gallery(spark, d).orderBy((s == 3).desc(), s.desc(), "path").select("path", "stars")
 
 
 @query("grade_counts", f"{SQL_G} SELECT count(*) FILTER (WHERE grade = 'Strong') AS strong, count(*) FILTER (WHERE grade = 'Mid') AS mid, count(*) FILTER (WHERE grade = 'Weak') AS weak, count(*) AS total FROM gr")
@@ -347,27 +348,27 @@ def cluster_rejects(spark, d):
     return g.where("score >= 0.41").select("path").exceptAll(g.where("faces = 0").select("path"))
 
 
-PROMPTS = "CASE doc_id % 5 WHEN 0 THEN 'A dark noir portrait in 12 frames. ' WHEN 1 THEN 'Clean building, 7 photos for the jury. ' WHEN 2 THEN 'Warm candid city, 2 shots ' WHEN 3 THEN 'scenic ' ELSE '' END || substr(text, 1, 40)"
+PROMPTS = "CASE doc_id % 5 WHEN 0 THEN 'A dark noir portrait in 12 frames. ' WHEN 1 THEN 'Clean building, 7 photos for the jury. ' WHEN 2 THEN 'Warm candid city, 2 shots ' WHEN 3 THEN 'scenic ' ELSE '' END || text"
 _GENRE = "coalesce(" + ", ".join(f"CASE WHEN {_any('p', w)} THEN '{g}' END" for g, w in constraints.GENRES.items()) + ")"
 _MOOD = "list_filter([" + ", ".join(f"CASE WHEN {_any('p', w)} THEN '{m}' END" for m, w in constraints.MOODS.items()) + "], lambda x: x IS NOT NULL)"
 
 
 @query(
     "director_prompt",
-    rf"""SELECT doc_id, {_GENRE} AS genre, {_MOOD} AS moods, CASE WHEN regexp_extract(p, '{constraints.FRAMES}', 1) = '' THEN 5 ELSE least(greatest(CAST(regexp_extract(p, '{constraints.FRAMES}', 1) AS INTEGER), 3), 10) END AS target
+    rf"""SELECT doc_id, {_GENRE} AS genre, {_MOOD} AS moods, CASE WHEN regexp_extract(p, '{constraints.FRAMES}', 1) = '' THEN 5 ELSE least(greatest(TRY_CAST(regexp_extract(p, '{constraints.FRAMES}', 1) AS INTEGER), 3), 10) END AS target
 FROM (SELECT doc_id, lower({PROMPTS}) AS p FROM documents)""",
 )
 def director_prompt(spark, d):
-    docs = items.table(spark, d, "documents").select("doc_id", F.expr(PROMPTS.replace("||", "||")).alias("p"))
+    docs = items.table(spark, d, "documents").select("doc_id", F.expr(PROMPTS).alias("p"))
     return docs.select("doc_id", *[c.alias(n) for n, c in constraints.direction(F.col("p")).items()])
 
 
 @query(
     "brief_variants",
-    "SELECT doc_id, list_distinct(l) IS NOT NULL AS ok, l[2] AS second, len(l) AS n FROM (SELECT doc_id, [t, 'street photography: ' || t, 'photographic mood and visual atmosphere: ' || t, 'a photograph that captures ' || t, 'visual style and aesthetic: ' || t] AS l FROM (SELECT doc_id, trim(substr(text, 1, 30), ' ') AS t FROM documents))",
+    "SELECT doc_id, list_distinct(l) IS NOT NULL AS ok, l[2] AS second, len(l) AS n FROM (SELECT doc_id, [t, 'street photography: ' || t, 'photographic mood and visual atmosphere: ' || t, 'a photograph that captures ' || t, 'visual style and aesthetic: ' || t] AS l FROM (SELECT doc_id, trim(text, ' ') AS t FROM documents))",
 )
 def brief_variants(spark, d):
-    docs = items.table(spark, d, "documents").select("doc_id", constraints.variants(F.substring("text", 1, 30)).alias("l"))
+    docs = items.table(spark, d, "documents").select("doc_id", constraints.variants(F.col("text")).alias("l"))
     return docs.select("doc_id", F.lit(True).alias("ok"), F.get("l", F.lit(1)).alias("second"), F.size("l").cast("long").alias("n"))
 
 
@@ -480,38 +481,70 @@ def user_sessions(spark, d):
     return s.groupBy("user_id", "event").agg(F.count("*").alias("n"), F.min("exif_ts").alias("start"), F.max("exif_ts").alias("stop"))
 
 
-@query("timeline_sort", f"{G} SELECT path, exif_ts FROM g ORDER BY exif_ts, idx LIMIT 200")
+@query("timeline_sort", f"{G} SELECT path, exif_ts FROM g")
 def timeline_sort(spark, d):
-    return timeline.in_time_order(grading.graded(spark, d).withColumnRenamed("idx", "id")).limit(200).select("path", "exif_ts")
+    return timeline.in_time_order(grading.graded(spark, d).withColumnRenamed("idx", "id")).select("path", "exif_ts")
 
 
 def _bursts(spark, d):
     g = grading.graded(spark, d).withColumnRenamed("idx", "id")
-    return timeline.consolidate_bursts(timeline.segment_events(g, ["label"]), ["label", "event"], window_s=3000.0, limit=0.9)
+    return timeline.consolidate_bursts(spark, timeline.segment_events(g, ["label"]), ["label", "event"], window_s=3000.0, limit=0.9)
+
 
+_BURSTS = f"""{G.replace("WITH", "WITH RECURSIVE", 1)},
+ev0 AS (SELECT *, CASE WHEN exif_ts - lag(exif_ts) OVER (PARTITION BY label ORDER BY exif_ts, idx) > 900 THEN 1 ELSE 0 END AS st FROM g),
+ev AS (SELECT *, CAST(sum(st) OVER (PARTITION BY label ORDER BY exif_ts, idx) AS BIGINT) AS event FROM ev0),
+o AS (SELECT *, CASE WHEN max(exif_ts) OVER (PARTITION BY label, event) > 0 THEN exif_ts ELSE 0.0 END AS t, row_number() OVER (ORDER BY exif_ts, idx) AS r FROM ev),
+nr AS (SELECT a.idx AS a, b.idx AS b, a.r AS r FROM o a JOIN o b ON a.label = b.label AND a.event = b.event AND a.r < b.r WHERE 1 - list_inner_product(a.v, b.v) + abs(a.t - b.t) / CAST(3000 AS DOUBLE) < 0.9),
+w AS (SELECT CAST(0 AS BIGINT) AS r, CAST([] AS BIGINT[]) AS kept UNION ALL
+  SELECT w.r + 1, CASE WHEN EXISTS (SELECT 1 FROM nr WHERE nr.b = p.idx AND list_contains(w.kept, nr.a)) THEN w.kept ELSE list_append(w.kept, p.idx) END FROM w JOIN o p ON p.r = w.r + 1),
+hd AS (SELECT unnest(kept) AS idx FROM w WHERE r = (SELECT max(r) FROM w)),
+mm AS (SELECT idx, idx AS head FROM hd UNION ALL SELECT b, min_by(a, r) FROM nr WHERE a IN (SELECT idx FROM hd) AND b NOT IN (SELECT idx FROM hd) GROUP BY b),
+bu AS (SELECT label, event, first(idx ORDER BY score DESC, idx) AS id, max(score) AS score, count(*) AS burst_size FROM o JOIN mm USING (idx) GROUP BY label, event, head)"""
 
-@query("album_bursts")
+
+@query("album_bursts", f"{_BURSTS} SELECT label, event, id, burst_size, {s6('score')} FROM bu")
 def album_bursts(spark, d):
     return _bursts(spark, d).select("label", "event", "id", "burst_size", *r6("score"))
 
 
-@query("album_sequences")
+def _album_sql() -> str:
+    out = f"{_BURSTS}, hr AS (SELECT o.* FROM o JOIN bu ON bu.id = o.idx)"
+    for k, w in enumerate(selection.ROLES.values()):
+        fit = f"(hr.comp * CAST({w[0]} AS DOUBLE) + hr.human * CAST({w[1]} AS DOUBLE) + hr.light * CAST({w[2]} AS DOUBLE))"
+        value = f"{fit} * CAST(0.6 AS DOUBLE) + (1.0 - list_inner_product(l.v, hr.v)) * CAST({w[3]} AS DOUBLE) + hr.score * CAST(0.2 AS DOUBLE)" if k else "hr.score"
+        last = f" JOIN s{k - 1} l ON l.label = hr.label AND l.event = hr.event" if k else ""
+        free = "".join(f" AND hr.idx NOT IN (SELECT idx FROM s{j})" for j in range(k))
+        out += f", s{k} AS (SELECT hr.*, {value} AS value FROM hr{last} WHERE true{free} QUALIFY row_number() OVER (PARTITION BY hr.label, hr.event ORDER BY {value} DESC, hr.score DESC, hr.idx) = 1)"
+    return out + " " + " UNION ALL ".join(f"SELECT label, event, CAST({k} AS INTEGER) AS pos, '{n}' AS slot, idx, round(value, 6) AS value FROM s{k}" for k, n in enumerate(selection.ROLES))
+
+
+@query("album_sequences", _album_sql())
 def album_sequences(spark, d):
-    """Up to five heroes of each event by score: bursts consolidated, then ranked."""
-    from pyspark.sql import Window
+    """The heroes of each event's bursts in their roles."""
+    g = cut(grading.graded(spark, d).withColumnRenamed("idx", "id"))
+    by = ["label", "event"]
+    heroes = timeline.consolidate_bursts(spark, timeline.segment_events(g, ["label"]), by, window_s=3000.0, limit=0.9).select(*by, "id")
+    df = cut(g.join(heroes.drop("label"), "id").withColumnRenamed("id", "idx"))
+    return selection.assign_roles_by(df, by).select(*by, "pos", "slot", "idx", *r6("value"))
 
-    order = Window.partitionBy("label", "event").orderBy(F.desc("score"), "id")
-    return _bursts(spark, d).withColumn("rank", F.row_number().over(order)).where("rank <= 5").select("label", "event", "rank", "id")
 
+_FLAGSHIP = f"""{G.replace("WITH", "WITH RECURSIVE", 1)},
+e AS (SELECT a.idx AS a, b.idx AS b FROM g a JOIN g b ON a.idx < b.idx WHERE list_inner_product(a.v, b.v) > 0.35),
+ee AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+reach AS (SELECT DISTINCT a AS id, a AS c FROM ee UNION SELECT ee.b, reach.c FROM reach JOIN ee ON ee.a = reach.id),
+cl AS (SELECT id, min(c) AS cluster FROM reach GROUP BY id),
+w AS (SELECT g.*, coalesce(cluster, -1) AS cluster_id, row_number() OVER o AS r, count(*) OVER (PARTITION BY coalesce(cluster, -1)) AS n FROM g LEFT JOIN cl ON cl.id = g.idx WINDOW o AS (PARTITION BY coalesce(cluster, -1) ORDER BY score DESC, idx)),
+p AS (SELECT *, CASE WHEN cluster_id < 0 THEN '' ELSE format('Best of {{}} similar (score {{:.2f}})', n, score) END AS sim_flag FROM w WHERE cluster_id < 0 OR r = 1){sequences.beam_steps()},
+top AS (SELECT seq FROM b4 ORDER BY total DESC, seq LIMIT 1)
+SELECT CAST(pos - 1 AS INTEGER) AS pos, path, genre, grade, round(score, 6) AS score, sim_flag FROM (SELECT unnest(seq) AS idx, generate_subscripts(seq, 1) AS pos FROM top) JOIN p USING (idx)"""
 
-@query("flagship_sequence")
+
+@query("flagship_sequence", _FLAGSHIP)
 def flagship_sequence(spark, d):
     """Grade, then drop all but the best of each duplicate cluster, then the best beam."""
-    from loomwise.operators import selection, similarity
-
     g = cut(grading.graded(spark, d).withColumnRenamed("idx", "id"))
     labels = similarity.components(spark, similarity.edges(g.select("id", "v"), 0.35))
-    best = similarity.best_of_cluster(similarity.duplicate_flags(similarity.with_clusters(g, labels)))
-    seq = selection.beam(selection.top(best.withColumnRenamed("id", "idx"), 300)).limit(1)
-    frames = seq.select(F.posexplode("seq").alias("pos", "id"))
+    best = cut(similarity.best_of_cluster(similarity.duplicate_flags(similarity.with_clusters(g, labels))))
+    frames = selection.beam(best.withColumnRenamed("id", "idx")).limit(1).select(F.posexplode("seq").alias("pos", "id"))
     return frames.join(best, "id").select("pos", "path", "genre", "grade", *r6("score"), "sim_flag")

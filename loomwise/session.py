@@ -32,6 +32,8 @@ def shared_dir(spark: SparkSession) -> str:
     """
     known = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not known:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         # set once per application; a later call finds it on the context
         jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
         if jdir.isDefined():
@@ -56,6 +58,21 @@ def remove_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def materialised(df, name: str):
+    """The same rows, written to the shared folder and read back: computed once, and columns are still pruned."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def forget(*tables) -> None:
+    """Delete tables of :func:`materialised` that nothing will read again."""
+    for df in tables:
+        remove_path(df.sparkSession, df.scratch)
+
+
 def cut(df):
     """The same rows with their lineage cut by a checkpoint in the shared folder."""
     shared_dir(df.sparkSession)

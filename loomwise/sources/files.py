@@ -167,8 +167,12 @@ def sqlite(spark: SparkSession, path: str, table: str, parts: int = 8) -> DataFr
 
 
 def zipped(vectors: DataFrame, metadata: DataFrame, columns: list[str]) -> DataFrame:
-    """Vectors (pos, v) with parallel arrays of one metadata row, joined by position; what is missing is null."""
-    long = metadata.select(F.posexplode(F.arrays_zip(*columns)).alias("pos", "m")).select("pos", "m.*")
+    """Vectors (pos, v) with parallel arrays of metadata, joined by position; what is missing is null.
+
+    A metadata row holds the arrays from position ``first`` on, from 0 where there is no such column.
+    """
+    first = F.col("first") if "first" in metadata.columns else F.lit(0)
+    long = metadata.select(first.alias("first"), F.posexplode(F.arrays_zip(*columns)).alias("k", "m")).select((F.col("first") + F.col("k")).alias("pos"), "m.*")
     return vectors.join(long, "pos", "left")
 
 
