@@ -311,6 +311,11 @@ def preference_loss(winner: Column, loser: Column, beta: float = 0.1) -> Column:
     return F.log1p(F.exp(-beta * (winner - loser)))
 
 
+def personal_floor(least: float) -> Column:
+    """Whether a row passes a floor of its personal score; none for a floor of 0."""
+    return F.lit(True) if least <= 0 else F.col("personal") >= least
+
+
 def skip_by_confidence(confidence: Column, threshold: float = 0.88) -> Column:
     return confidence > threshold
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwise.operators import similarity
@@ -36,7 +36,7 @@ def events_by_range(df: DataFrame, ts: str = "exif_ts", id_: str = "id", gap: fl
     return inner.join(F.broadcast(edge.select("_slice", "_base")), "_slice").withColumn("event", F.col("_base") + F.col("_in")).drop("_slice", "_s", "_in", "_base")
 
 
-def consolidate_bursts(spark: SparkSession, df: DataFrame, by: list[str], window_s: float = 30.0, limit: float = 0.6) -> DataFrame:
+def consolidate_bursts(df: DataFrame, by: list[str], window_s: float = 30.0, limit: float = 0.6) -> DataFrame:
     """One hero a burst, with burst_size: within a group the first free row takes later rows nearer than ``limit``.
 
     Distance is 1 - cos plus the time difference over ``window_s`` (without time
@@ -54,7 +54,7 @@ def consolidate_bursts(spark: SparkSession, df: DataFrame, by: list[str], window
     timed = near.join(times.withColumnsRenamed({"id": "a", "exif_ts": "ts_a"}), "a").join(times.withColumnsRenamed({"id": "b", "exif_ts": "ts_b"}), "b")
     first = order("a") < order("b")
     both = materialised(timed.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("better"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("worse"), F.least("ts_a", "ts_b").alias("ts")), "near")
-    heads = similarity.first_come(spark, rows.select("id"), both.select("better", "worse"))
+    heads = similarity.first_come(df.sparkSession, rows.select("id"), both.select("better", "worse"))
     taken = both.join(heads.select(F.col("id").alias("better")), "better", "left_semi").groupBy(F.col("worse").alias("id")).agg(F.min(F.struct("ts", "better")).alias("m")).select("id", F.col("m.better").alias("head"))
     taken = taken.join(heads, "id", "left_anti").unionByName(heads.select("id", F.col("id").alias("head")))
     best = F.max(F.struct("score", (-F.col("id")).alias("o"))).alias("m")

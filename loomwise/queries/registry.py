@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwise.queries import grading, sequences, similar, streams, tables
+from loomwise.queries import briefs, grading, sequences, similar, streams, tables
 
-MODULES = [grading, similar, sequences, tables, streams]
+MODULES = [grading, similar, sequences, tables, streams, briefs]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

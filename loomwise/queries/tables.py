@@ -488,7 +488,7 @@ def timeline_sort(spark, d):
 
 def _bursts(spark, d):
     g = grading.graded(spark, d).withColumnRenamed("idx", "id")
-    return timeline.consolidate_bursts(spark, timeline.segment_events(g, ["label"]), ["label", "event"], window_s=3000.0, limit=0.9)
+    return timeline.consolidate_bursts(timeline.segment_events(g, ["label"]), ["label", "event"], window_s=3000.0, limit=0.9)
 
 
 _BURSTS = f"""{G.replace("WITH", "WITH RECURSIVE", 1)},
@@ -524,7 +524,7 @@ def album_sequences(spark, d):
     """The heroes of each event's bursts in their roles."""
     g = cut(grading.graded(spark, d).withColumnRenamed("idx", "id"))
     by = ["label", "event"]
-    heroes = timeline.consolidate_bursts(spark, timeline.segment_events(g, ["label"]), by, window_s=3000.0, limit=0.9).select(*by, "id")
+    heroes = timeline.consolidate_bursts(timeline.segment_events(g, ["label"]), by, window_s=3000.0, limit=0.9).select(*by, "id")
     df = cut(g.join(heroes.drop("label"), "id").withColumnRenamed("id", "idx"))
     return selection.assign_roles_by(df, by).select(*by, "pos", "slot", "idx", *r6("value"))
 

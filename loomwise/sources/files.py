@@ -187,17 +187,49 @@ def fallback_rows(found: DataFrame, score: float, limit: int | None = None) -> D
     return out.orderBy("path").limit(limit) if limit else out
 
 
-def write_catalog(df: DataFrame, path: str) -> None:
-    """Write rows without their vectors as JSON lines to a new folder that is renamed into place when whole."""
+def write_catalog(df: DataFrame, path: str, saved_at: str | None = None) -> None:
+    """Write rows without their vectors as a new version of a catalog: photos, folders and when it was saved.
+
+    A version is a folder of JSON lines; its description names the parents of its
+    paths, and is renamed into place when all is written, which publishes the version.
+    Older versions stay, so a lost driver leaves the one before in force.
+    """
+    import datetime
     import uuid
 
     spark = df.sparkSession
-    temp = f"{path}.{uuid.uuid4().hex}"
-    df.drop("embedding", "v").write.json(temp)
+    name = uuid.uuid4().hex[:12]
+    slim = df.drop("embedding", "v")
+    slim.write.json(f"{path}/photos-{name}")
+    folder = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
+    spark.read.json(f"{path}/photos-{name}").select(folder.alias("folder")).distinct().write.json(f"{path}/folders-{name}")
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    about = {"name": name, "saved_at": saved_at or datetime.datetime.now(datetime.UTC).strftime("%Y-%m-%dT%H:%M:%SZ"), "schema": slim.schema.jsonValue()}
+    temp = hadoop.Path(f"{path}/.{name}")
+    out = fs.create(temp, False)
+    out.write(bytearray(json.dumps(about).encode()))
+    out.close()
+    n = len(_versions(fs, hadoop, path))
+    if not fs.rename(temp, hadoop.Path(f"{path}/catalog-{n:08d}-{name}.json")):
+        raise OSError(f"could not publish the catalog in {path}")
+
+
+def _versions(fs, hadoop, path: str) -> list[str]:
+    root = hadoop.Path(path)
+    names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
+    return sorted(n for n in names if n.startswith("catalog-"))
+
+
+def read_catalog(spark: SparkSession, path: str, part: str = "photos") -> DataFrame:
+    """The photos, or the folders, of the newest version of a catalog."""
+    from pyspark.sql.types import StructType
+
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     fs = hadoop.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(hadoop.Path(path), True)
-    fs.rename(hadoop.Path(temp), hadoop.Path(path))
+    about = json.loads(spark.read.text(f"{path}/{_versions(fs, hadoop, path)[-1]}", wholetext=True).first()[0])
+    schema = StructType.fromJson(about["schema"]) if part == "photos" else "folder string"
+    return spark.read.schema(schema).json(f"{path}/{part}-{about['name']}")
 
 
 def sidecar(path: str, rating: int, score: float) -> str:

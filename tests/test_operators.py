@@ -171,12 +171,15 @@ def test_store_merges(spark):
 def test_constraints(spark):
     with pytest.raises(ValueError):
         constraints.require_pool(spark.range(4))
-    b = constraints.boundary("Liminal city", "warm golden", {"Opener": "x" * 41, "Subject": "x" * 21, "Contrast": ""})
-    assert b == {"slot_thresholds": [0.30, 0.25, 0.20], "sim_limit": 0.78, "color_emphasis": "warm", "require_people": False}
-    r = constraints.rule_set("Deserted grid at night", ["grid", "lines"], ["golden"], ["night"], [], [])
-    assert r == {"hard_filter_people": True, "geometric_priority": "Medium", "lighting_mood": "low-key night", "keywords": ["deserted", "grid"]}
-    w = constraints.role_weights(["melancholic", "cinematic"], selection.ROLES)
-    assert all(sum(x) == pytest.approx(1.0) for x in w.values()) and all(min(x) > 0 for x in w.values())
+    texts = {"brief": F.lit("Deserted grid at night"), "theme": F.lit("Liminal city"), "colours": F.lit("warm golden")}
+    got = {n: one(spark, c) for n, c in constraints.brief_settings(texts).items()}
+    assert got == {"people_wanted": "false", "sim_limit": "0.78", "tone": "warm", "hard_filter": "no people", "lighting": "low-key night", "geometric_priority": "Medium", "keywords": ["desert", "grid"]}
+    assert [one(spark, constraints.slot_threshold(F.lit("x" * n))) for n in (41, 21, 0)] == [0.30, 0.25, 0.20]
+    prompts = spark.createDataFrame([(1, ["melancholic", "cinematic"]), (2, [])], "key long, moods array<string>")
+    roles = spark.createDataFrame([(r, *w) for r, w in selection.ROLES.items()], "role string, comp double, human double, mood double, div double")
+    for r in constraints.shifted_roles(prompts, roles).collect():
+        w = (r["comp"], r["human"], r["mood"], r["div"])
+        assert w == selection.ROLES[r["role"]] if r["key"] == 2 else sum(w) == pytest.approx(1.0) and min(w) > 0
     assert one(spark, constraints.accept_niche(F.lit(0.9), F.lit("Street"), ["Street"])) == "Street"
 
 
@@ -232,9 +235,11 @@ def test_sources(spark, tmp_path):
     rows = files.sqlite(spark, str(tmp_path / "t.db"), "e", 4).orderBy("path").collect()
     assert len(rows) == 25 and rows[0]["embedding"] is None and rows[1]["embedding"] == [1.0, 2.0] and rows[0]["grade"] == "Mid"
 
-    df = spark.createDataFrame([("p", 0.5, [1.0])], "path string, score double, embedding array<double>")
+    df = spark.createDataFrame([("d/p", 0.5, [1.0]), ("d/q", 0.6, [1.0])], "path string, score double, embedding array<double>")
+    files.write_catalog(df.limit(1), str(tmp_path / "cat"))
     files.write_catalog(df, str(tmp_path / "cat"))
-    assert spark.read.json(str(tmp_path / "cat")).columns == ["path", "score"]
+    assert sorted(map(tuple, files.read_catalog(spark, str(tmp_path / "cat")).collect())) == [("d/p", 0.5), ("d/q", 0.6)]
+    assert [r["folder"] for r in files.read_catalog(spark, str(tmp_path / "cat"), "folders").collect()] == ["d"]
     (tmp_path / "c.json").write_text('{"photos": [{"path": "a"}, {"path": "b"}], "saved_at": "x"}')
     assert files.catalog(spark, str(tmp_path / "c.json")).count() == 2
     (tmp_path / "f.json").write_text('{"locked": ["a", "b"]}')
@@ -245,7 +250,7 @@ def test_stream_sessions_match_the_batch_form(spark):
     from loomwise.queries import streams, tables
 
     d = "/root/testdata/sf0.001"
-    stream = {(r["user_id"], r["start"].timestamp(), r["n"]) for r in streams.stream_sessions(spark, d).collect()}
+    stream = {(r["user_id"], r["start_us"] / 1e6, r["n"]) for r in streams.stream_sessions(spark, d).collect()}
     batch = {(r["user_id"], r["start"], r["n"]) for r in tables.user_sessions(spark, d).collect()}
     assert len(stream) > 0.9 * len(batch)
     starts = {(u, int(s)) for u, s, _ in batch}

@@ -47,3 +47,63 @@ def test_portfolio_sees_400_rows(spark, monkeypatch):
     got = sequences.portfolio_topn(spark, "").collect()
     assert len(got) == 5 and sum(r["idx"] >= 120 for r in got) == 4
     assert got[0]["value"] == pytest.approx((0.9 + 4 * 0.8) / 5 + 0.5 + 1)
+
+
+def clustered(n, dims=8, seed=3):
+    """Vectors around a few centres, so that cells lie apart."""
+    rng = np.random.default_rng(seed)
+    v = rng.normal(size=(12, dims))[rng.integers(0, 12, n)] + rng.normal(size=(n, dims)) * 0.15
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.97])
+def test_edges_around_pivots_lose_no_pair(spark, threshold):
+    v = clustered(300)
+    df = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "id long, v array<double>")
+    cos = v @ v.T
+    want = {(int(a), int(b)) for a, b in zip(*np.nonzero(np.triu(cos > threshold, 1)), strict=True)}
+    got = [(r["a"], r["b"]) for r in similarity.edges(df, threshold, block=20).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    if threshold > 0.9:  # most rows probe no other cell
+        probes = similarity._cells(df, 300, threshold, 20).where("probe AND is_left").select("id", "cell").distinct().count()
+        assert probes < 300 * 14 / 4
+
+
+def test_bank_of_any_size(spark):
+    v = clustered(120)
+    rows = [(k, x.tolist()) for k, x in enumerate(v)]
+    df, bank = spark.createDataFrame(rows[:70], "id long, v array<double>"), spark.createDataFrame(rows[70:], "id long, v array<double>")
+    small = {r["id"]: r["mean_sim"] for r in similarity.topk_mean(df, bank).collect()}
+    large = {r["id"]: r["mean_sim"] for r in similarity.topk_mean(df, bank, bank_rows=10).collect()}
+    assert small.keys() == large.keys() and all(small[k] == pytest.approx(large[k]) for k in small)
+    assert {r["id"] for r in similarity.add_to_bank(spark, df, bank, 0.9).collect()} == {r["id"] for r in similarity.add_to_bank(spark, df, bank, 0.9, bank_rows=10).collect()}
+
+
+@pytest.mark.parametrize("timed", [True, False])
+def test_bursts_are_those_of_the_sequential_pass(spark, timed, monkeypatch):
+    from loomwise.operators import timeline
+
+    monkeypatch.setattr(similarity, "BLOCK", 16)
+    rng = np.random.default_rng(2)
+    v, ts = clustered(80), rng.integers(1, 200, 80).astype(float) * timed
+    score, event = rng.integers(0, 5, 80) / 4, rng.integers(0, 2, 80)
+    rows = [(int(event[k]), k, v[k].tolist(), float(ts[k]), float(score[k])) for k in range(80)]
+    df = spark.createDataFrame(rows, "event int, id long, v array<double>, exif_ts double, score double")
+    want = set()
+    for e in (0, 1):
+        free = sorted((k for k in range(80) if event[k] == e), key=lambda k: (ts[k], k))
+        while free:
+            i = free[0]
+            mine = [j for j in free if j == i or 1 - v[i] @ v[j] + abs(ts[i] - ts[j]) / 30 < 0.6]
+            free = [j for j in free if j not in mine]
+            want.add((e, min(mine, key=lambda j: (-score[j], j)), len(mine)))
+    got = {(r["event"], r["id"], r["burst_size"]) for r in timeline.consolidate_bursts(df, ["event"]).collect()}
+    assert got == want
+
+
+def test_numbers_follow_the_order(spark):
+    from loomwise.operators import store
+
+    df = spark.range(1000).selectExpr("id", "id * 7919 % 1000 AS x").repartition(7)
+    assert all(r["x"] == r["n"] for r in store.numbered(df, "x").collect())
+    assert store.numbered(df.limit(0), "x").count() == 0
