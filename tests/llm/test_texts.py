@@ -128,8 +128,15 @@ def test_lm_base_scores_are_exact_and_the_model_is_a_distribution(spark, head):
         n, known, total, base = want[r["doc_id"]]
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (n, known, total)
         assert r["base_score"] == pytest.approx(base) and np.isfinite(r["score"]) and r["score"] < 0
-    z, e, total = lm_score._softmax(model, model.weights, np.arange(8).reshape(4, 2))
+    w = np.random.default_rng(1).normal(size=(8, len(model.bias))).astype(np.float32)
+    z, e, total = lm_score._softmax(model.bias, w, np.arange(8).reshape(4, 2))
     assert (e / total[:, None]).sum(1) == pytest.approx(1, abs=1e-4) and np.allclose(np.exp(z), e)
+    # the units of a class share all of its probability, also when pairs have weights
+    shares = np.bincount(model.cls, model.share, len(model.bias))
+    assert shares == pytest.approx(1)
+    met = np.nonzero(model.cls == model.cls[0])[0]
+    v, log_sum = lm_score.pair_weights(np.arange(1.0, len(met) + 1), model.share[met], np.zeros(len(met), int))
+    assert np.sum(model.share[met] * np.exp(v - log_sum[0])) == pytest.approx(1)
     # in a class, known words and one unseen share all of its probability
     for k, c in enumerate(model.class_n):
         mine = sum(r["c"] + 0.1 for r in counts.where(F.col("cls") == k).collect()) + 0.1
@@ -143,6 +150,49 @@ def test_lm_without_training_rows(spark):
     assert r["base_score"] == 0 and r["n_known"] == 0 and np.isfinite(r["score"])
 
 
+def test_pair_weights_are_where_the_gradient_vanishes():
+    n, share, group = np.array([5.0, 1, 1, 40]), np.array([0.1, 0.2, 0.05, 0.3]), np.array([0, 0, 1, 1])
+    w, log_sum = lm_score.pair_weights(n, share, group, steps=200)
+    met = np.array([6.0, 6, 41, 41])
+    assert n - met * share * np.exp(w - log_sum[group]) - w / lm_score.PRIOR == pytest.approx(0, abs=1e-6)
+
+
+def test_events_survive_packing():
+    rng = np.random.default_rng(0)
+    last = np.sort(rng.integers(0, 1 << 32, 50, np.uint32).repeat(rng.integers(1, 9, 50)))
+    n = len(last)
+    rows, unit, doc = [rng.integers(0, 1 << 16, n).astype(np.uint16) for _ in range(3)], rng.integers(0, 1 << 20, n).astype(np.uint32), rng.integers(0, 1 << 16, n).astype(np.uint16)
+    got = lm_score._unpack(lm_score._pack(last, rows, unit, doc))
+    assert (got[0] == last).all() and all((a == b).all() for a, b in zip(got[1], rows, strict=True)) and (got[2] == unit).all() and (got[3] == doc).all()
+
+
+@pytest.mark.parametrize("shard", [lm_score.SHARD, 2000])
+def test_lm_tells_held_out_order(spark, shard):
+    """Held-out texts score above their base, and above the same words shuffled, with one shard or many."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(4)
+    words = [f"{a}{b}{c}on" for a in "bcdfglmnpr" for b in "aeiou" for c in "tvz"]  # of one class
+    after = {w: rng.sample(words, 3) for w in words}
+
+    def text(n=40):
+        out = [rng.choice(words)]
+        while len(out) < n:
+            out.append(rng.choice(after[out[-1]]))
+        return out
+
+    texts = [text() for _ in range(400)]
+    rows = [(k, " ".join(t), False) for k, t in enumerate(texts)] + [(1000 + k, " ".join(t), True) for k, t in enumerate(text() for _ in range(40))]
+    rows += [(2000 + k, " ".join(rng.sample(t.split(), 40)), True) for k, (_, t, _) in enumerate(rows[400:440])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, held_out boolean")
+    model, counts = lm_score.train(spark, docs.where(~F.col("held_out")), shard=shard)
+    assert (model.shards == 1) == (shard == lm_score.SHARD)
+    got = {r["doc_id"]: r for r in lm_score.score(spark, docs, model, counts).collect()}
+    held = [got[1000 + k] for k in range(40)]
+    assert sum(r["score"] > r["base_score"] + 10 for r in held) == 40
+    assert sum(got[1000 + k]["score"] > got[2000 + k]["score"] + 10 for k in range(40)) == 40
+
+
 def grams(t):
     w = (t or "").encode().lower().split()
     return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
