@@ -5,11 +5,14 @@ temporary name that is renamed when it is whole, so that a repeated task leaves
 the same file. Of equal payloads (SHA-256 and length) of at least ``min_bytes``
 the largest page_id becomes a response, the others are revisits that refer to it.
 
-The reader works on any mix of gzip members and plain records. A member that
-does not decompress, or a record whose version line, length, end or digests are
-wrong, is quarantined: the reader searches for the next valid member or version
-line, goes on there, and logs the gap of bytes with the reason. It reads in
-chunks and holds one record at a time.
+The reader works on any mix of gzip members and plain records; a member may hold
+several records, and header lines may be folded. A member that does not
+decompress, or a record whose version line, length, end or digests are wrong, is
+quarantined: the reader searches for the next valid member or version line, goes
+on there, and logs the gap of bytes with the reason. Digests are SHA-1 in base32
+or hex of either case; those of other algorithms are not verified. It reads in
+chunks, and a record's digests are taken as its bytes pass, so that without
+``payloads`` a record of any length needs no more memory than a chunk.
 
 Defined results. A null html is an empty payload. A null page_id sorts lowest.
 Rows that repeat the largest page_id with the same payload are all responses.
@@ -36,8 +39,8 @@ from loomwise.session import scratch_path
 MIN_BYTES = 1000
 CHUNK = 1 << 18
 MAGIC, VERSION = b"\x1f\x8b\x08", b"WARC/1."
-#: A record larger than this is taken for damage.
-MAX_RECORD = 1 << 30
+#: A record's header is at most so long.
+HEADER = 1 << 20
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {}\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -166,25 +169,65 @@ class Damaged(Exception):
         self.reason, self.end = reason, end
 
 
-def _inflate(src: _Bytes, at: int) -> tuple[bytes, int]:
-    z, parts, n, pos = zlib.decompressobj(31), [], 0, at
-    while not z.eof:
-        data = src.read(pos, CHUNK)
-        if not data:
-            raise Damaged("member is cut short")
-        pos += len(data)
-        try:
-            parts.append(z.decompress(data))
-        except zlib.error:
-            raise Damaged("member does not decompress") from None
-        n += len(parts[-1])
-        if n > MAX_RECORD:
-            raise Damaged("member is too large")
-    return b"".join(parts), pos - len(z.unused_data)
+class _Window:
+    """The bytes of a member as they are inflated, or of the file itself, read forward."""
+
+    def __init__(self, src: _Bytes, at: int, packed: bool):
+        self.src, self.at, self.held = src, at, b""
+        self.z = zlib.decompressobj(31) if packed else None
+        self.over = False
+
+    def _more(self) -> None:
+        data = self.src.read(self.at, CHUNK)
+        if self.z is None:
+            self.at += len(data)
+            self.over = not data
+        else:
+            try:
+                out = self.z.decompress(data, 4 * CHUNK)
+            except zlib.error:
+                raise Damaged("member does not decompress") from None
+            if not data and not out and not self.z.eof:
+                raise Damaged("member is cut short")
+            # what the limit left over is read again
+            self.at += len(data) - len(self.z.unused_data if self.z.eof else self.z.unconsumed_tail)
+            data = out
+            self.over = self.z.eof
+        self.held += data
+
+    def end(self) -> int:
+        """Where the bytes not yet taken begin, or, of a member, where it ends."""
+        return self.at if self.z else self.at - len(self.held)
+
+    def empty(self) -> bool:
+        while not self.held and not self.over:
+            self._more()
+        return not self.held
+
+    def until(self, mark: bytes, most: int) -> bytes:
+        """The bytes before a mark, which is taken as well."""
+        while (stop := self.held.find(mark)) < 0:
+            if self.over or len(self.held) > most:
+                raise Damaged("header does not end")
+            self._more()
+        out, self.held = self.held[:stop], self.held[stop + len(mark) :]
+        return out
+
+    def take(self, n: int) -> Iterator[bytes]:
+        """The next n bytes, in pieces."""
+        while n:
+            if not self.held:
+                if self.over:
+                    raise Damaged("length differs")
+                self._more()
+                continue
+            piece, self.held = self.held[:n], self.held[n:]
+            n -= len(piece)
+            yield piece
 
 
 def _fields(head: bytes) -> dict[str, str]:
-    lines = head.decode("utf-8", "replace").split("\r\n")
+    lines = re.sub(rb"\r\n[ \t]+", b" ", head).decode("utf-8", "replace").split("\r\n")
     if not re.fullmatch(r"WARC/1\.\d", lines[0]):
         raise Damaged("no version line")
     out: dict[str, str] = {}
@@ -193,69 +236,94 @@ def _fields(head: bytes) -> dict[str, str]:
         if not colon:
             raise Damaged("bad header line")
         out[k.strip().lower()] = v.strip()
-    if not out.get("content-length", "").isdigit():
+    if not re.fullmatch(r"[0-9]+", out.get("content-length", "")):
         raise Damaged("no length")
     return out
 
 
-def _checked(fields: dict[str, str], block: bytes) -> tuple[dict[str, str], bytes]:
-    """The record's fields and payload, after its digests are verified."""
-    if fields.get("warc-block-digest", "").startswith("sha1:") and fields["warc-block-digest"] != _sha1(block):
+def sha1_of(said: str) -> str | None:
+    """The hex form of a SHA-1 digest field in base32 or hex; null for another algorithm or form."""
+    kind, _, value = said.partition(":")
+    if kind.strip().lower().replace("-", "") != "sha1":
+        return None
+    value = value.strip()
+    if re.fullmatch(r"[0-9A-Fa-f]{40}", value):
+        return value.lower()
+    if re.fullmatch(r"[A-Za-z2-7]{32}", value):
+        return base64.b32decode(value.upper()).hex()
+    return None
+
+
+def _record(src: _Window, payloads: bool) -> tuple[dict[str, str], int, str, bytes | None]:
+    """The next record's fields, payload size and SHA-1, and payload if wanted, after its digests are verified."""
+    fields = _fields(src.until(b"\r\n\r\n", HEADER))
+    of_block, of_payload, size, kept = hashlib.sha1(), hashlib.sha1(), 0, []
+    http = b"" if fields.get("content-type", "").startswith("application/http") else None
+    for piece in src.take(int(fields["content-length"])):
+        of_block.update(piece)
+        if http is not None:  # still in the header of the response
+            http += piece
+            _, blank, piece = http.partition(b"\r\n\r\n")
+            if not blank:
+                if len(http) > HEADER:
+                    raise Damaged("the response's header does not end")
+                continue
+            http = None
+        of_payload.update(piece)
+        size += len(piece)
+        if payloads:
+            kept.append(piece)
+    if b"".join(src.take(4)) != b"\r\n\r\n":
+        raise Damaged("length differs")
+    said = sha1_of(fields.get("warc-block-digest", ""))
+    if said and said != of_block.hexdigest():
         raise Damaged("block digest differs")
-    payload = block
-    if fields.get("content-type", "").startswith("application/http"):
-        payload = block.partition(b"\r\n\r\n")[2]
-    said = fields.get("warc-payload-digest", "")
-    if fields.get("warc-type") == "response" and said.startswith("sha1:") and said != _sha1(payload):
+    said = sha1_of(fields.get("warc-payload-digest", ""))
+    if fields.get("warc-type") == "response" and said and said != of_payload.hexdigest():
         raise Damaged("payload digest differs")
-    return fields, payload
-
-
-def _member_record(src: _Bytes, at: int) -> tuple[dict[str, str], bytes, int]:
-    data, end = _inflate(src, at)
-    try:
-        head, blank, rest = data.partition(b"\r\n\r\n")
-        fields = _fields(head)
-        n = int(fields["content-length"])
-        if not blank or rest[n:] != b"\r\n\r\n":
-            raise Damaged("length differs")
-        return *_checked(fields, rest[:n]), end
-    except Damaged as e:
-        raise Damaged(e.reason, end) from None
-
-
-def _plain_record(src: _Bytes, at: int) -> tuple[dict[str, str], bytes, int]:
-    head = src.read(at, 1 << 16)
-    stop = head.find(b"\r\n\r\n")
-    if stop < 0:
-        raise Damaged("header does not end")
-    fields = _fields(head[:stop])
-    n = int(fields["content-length"])
-    if n > MAX_RECORD:
-        raise Damaged("record is too large")
-    block, end = src.read(at + stop + 4, n + 4), at + stop + 8 + n
-    if len(block) != n + 4 or block[n:] != b"\r\n\r\n":
-        raise Damaged("length differs")
-    return *_checked(fields, block[:n]), end
+    return fields, size, of_payload.hexdigest(), b"".join(kept) if payloads else None
 
 
-def salvage(f) -> Iterator[tuple]:
-    """("record", offset, length, fields, payload) and ("gap", offset, length, reason) that tile the file in order."""
+def _member_records(src: _Bytes, at: int, payloads: bool) -> tuple[list[tuple], int]:
+    """All records of a member, and where it ends."""
+    window, out, broken = _Window(src, at, True), [], None
+    while broken is None and not window.empty():
+        try:
+            out.append(_record(window, payloads))
+        except Damaged as e:
+            if "member" in e.reason:  # no end is known
+                raise
+            broken = e.reason
+    while not window.over:  # the rest of a member that holds a broken record
+        window.held = b""
+        window._more()
+    if broken:
+        raise Damaged(broken, window.end())
+    return out, window.end()
+
+
+def salvage(f, payloads: bool = True) -> Iterator[tuple]:
+    """("record", offset, length, fields, size, sha1, payload) and ("gap", offset, length, reason) that tile the file in order.
+
+    The records of one member share its offset and length.
+    """
     src, at = _Bytes(f), 0
     while at < src.size:
         start = src.read(at, 8)
         try:
             if start.startswith(MAGIC):
-                fields, payload, end = _member_record(src, at)
+                records, end = _member_records(src, at, payloads)
             elif start.startswith(VERSION):
-                fields, payload, end = _plain_record(src, at)
+                window = _Window(src, at, False)
+                records, end = [_record(window, payloads)], window.end()
             else:
                 raise Damaged("neither a member nor a version line")
         except Damaged as e:
             end = e.end or src.find(at + 1)
             yield "gap", at, end - at, e.reason
         else:
-            yield "record", at, end - at, fields, payload
+            for r in records:
+                yield "record", at, end - at, *r
         at = end
 
 
@@ -272,18 +340,17 @@ def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
                 fs, name = _open_fs(path)
                 rows, held = [], 0
                 with fs.open_input_file(name) as f:
-                    for got in salvage(f):
+                    for got in salvage(f, payloads):
                         if got[0] == "gap":
                             rows.append((path, *got[1:3], got[3], *[None] * 7))
                         else:
-                            fields, payload = got[3:]
-                            digest = fields.get("warc-payload-digest", "").removeprefix("sha1:")
-                            length = fields.get("x-payload-length")
-                            rows.append(
-                                (path, *got[1:3], None, fields.get("warc-type"), fields.get("warc-record-id"), fields.get("warc-target-uri"), fields.get("warc-refers-to"))
-                                + (base64.b32decode(digest).hex() if digest else None, int(length) if length else len(payload), payload if payloads else None)
-                            )
-                            held += len(payload) * payloads
+                            fields, size, sha1, payload = got[3:]
+                            length = fields.get("x-payload-length", "")
+                            of = [fields.get(k) for k in ("warc-type", "warc-record-id", "warc-target-uri", "warc-refers-to")]
+                            # a revisit names the digest and size of the payload that it leaves out
+                            digest = sha1_of(fields.get("warc-payload-digest", "")) or (sha1 if of[0] != "revisit" else None)
+                            rows.append((path, *got[1:3], None, *of, digest, int(length) if re.fullmatch(r"[0-9]{1,18}", length) else size, payload))
+                            held += len(payload or b"")
                         if len(rows) >= 1000 or held > 1 << 24:
                             yield pd.DataFrame(rows, columns=names)
                             rows, held = [], 0
@@ -291,7 +358,7 @@ def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
                     yield pd.DataFrame(rows, columns=names)
 
     # one row for each archive: a stated number of tasks, as Spark would join such small partitions into one
-    return archives.select("path").repartition(max(1, archives.count()), "path").mapInPandas(run, RECORD)
+    return archives.select("path").repartition(max(1, archives.count())).mapInPandas(run, RECORD)
 
 
 def op7_warc(spark, sf_dir):
