@@ -17,8 +17,10 @@ and gives every query a floor for its k-th best score before the others start.
 Defined results. Null vectors, vectors with a null or non-finite component, and
 rows with a null id take no part. A shorter vector is filled up with zeros. Of
 rows that repeat an id, the largest vector stands. Ties go to the smaller id; a
-query with fewer candidates than k gets all of them. Components of any size give
-exact scores, held to the range of a long. Empty tables give empty results.
+query with fewer candidates than k gets all of them. Vectors of any length and
+components of any size give exact scores, held to the range of a long: sums of
+products are taken where float64 holds them exactly, over DIMS components at a
+time, and of large components over limbs of 20 bits. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -31,13 +33,46 @@ from pyspark.sql import functions as F
 from loomwise.llm.common import written
 
 LEVELS = (4, 16)
-#: Components up to this size are multiplied in float64 without rounding, with room for a column number.
-FAST = 1 << 20
+#: Bits of a component, and components, whose products float64 adds up without rounding.
+LIMB, DIMS = 20, 1024
 COLUMNS = 2048
 NONE = np.iinfo(np.int64).min
 LONG = (-(1 << 63), (1 << 63) - 1)
 
 
+def _dot(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Inner products of rows of whole numbers of up to LIMB bits, in int64."""
+    out = np.zeros((len(x), len(y)), np.int64)
+    for at in range(0, x.shape[1], DIMS):
+        out += (x[:, at : at + DIMS] @ y[:, at : at + DIMS].T).astype(np.int64)
+    return out
+
+
+def _limbs(x: np.ndarray) -> list[np.ndarray]:
+    """The lowest four limbs of whole numbers in two's complement; what is above doesn't count in 64 bits."""
+    cut = [np.floor(x / 2.0 ** (LIMB * k)) for k in range(5)]
+    return [low - high * 2.0**LIMB for low, high in zip(cut, cut[1:], strict=False)]
+
+
+def products(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Exact inner products of rows of whole numbers in float64, held to the range of a long."""
+    if max(np.abs(x).max(initial=0), np.abs(y).max(initial=0)) <= 1 << LIMB:
+        return _dot(x, y)
+    total = np.zeros((len(x), len(y)), np.uint64)
+    a, b = _limbs(x), _limbs(y)
+    for i in range(4):
+        for j in range(4 - i):  # further ones are multiples of 2^64
+            total += _dot(a[i], b[j]).view(np.uint64) << np.uint64(LIMB * (i + j))
+    out = total.view(np.int64).copy()
+    with np.errstate(over="ignore", invalid="ignore"):
+        near, slack = x @ y.T, (np.abs(x) @ np.abs(y).T) * (x.shape[1] + 4) * 2.0**-52
+        sure = np.abs(near) + slack < 2.0**62
+    for i, j in zip(*np.nonzero(~sure), strict=True):  # near or beyond the range of a long: in whole numbers without bound
+        value = sum(int(p) * int(q) for p, q in zip(x[i], y[j], strict=True))
+        out[i, j] = min(max(value, LONG[0] + 1), LONG[1])
+    return out
+
+
 def _matrix(column: pa.ChunkedArray, dims: int) -> np.ndarray:
     """floor(64 x) as float64, one row for each vector, filled up with zeros."""
     lists = column.combine_chunks()
@@ -63,14 +98,16 @@ def _best(q: np.ndarray, qid: np.ndarray, floor: np.ndarray, c: np.ndarray, cid:
     c, cid = c[order], cid[order]
     rows, scores, ids = (np.zeros(0, np.int64) for _ in range(3))
     floor = floor.copy()
-    norm = np.sqrt((q**2).sum(1)).max(initial=0)
-    q_levels = [bounds(q, s) for s in LEVELS]
+    small = max(np.abs(q).max(initial=0), np.abs(c).max(initial=0))
+    bounded = small < 1e100  # beyond, squares leave the range of float64
+    norm = np.sqrt((q**2).sum(1)).max(initial=0) if bounded else 0
+    q_levels = [bounds(q, s) for s in LEVELS] if bounded else []
     for at in range(0, len(c), COLUMNS):
         part, pid = c[at : at + COLUMNS], cid[at : at + COLUMNS]
-        slack = 1e-9 * norm * np.sqrt((part**2).sum(1)).max(initial=0) + 1e-3
-        least = np.where(floor == NONE, -np.inf, floor.astype(float)) - slack
         alive = np.ones((len(q), len(part)), bool)
-        for s, ql in zip(LEVELS, q_levels, strict=True):
+        for s, ql in zip(LEVELS, q_levels, strict=False):
+            slack = 1e-9 * norm * np.sqrt((part**2).sum(1)).max(initial=0) + 1e-3
+            least = np.where(floor == NONE, -np.inf, floor.astype(float)) - slack
             on, cols = np.nonzero(alive.any(1))[0], np.nonzero(alive.any(0))[0]
             if not len(on):
                 break
@@ -78,22 +115,15 @@ def _best(q: np.ndarray, qid: np.ndarray, floor: np.ndarray, c: np.ndarray, cid:
         on, cols = np.nonzero(alive.any(1))[0], np.nonzero(alive.any(0))[0]
         if not len(on):
             continue
-        if alive.sum() < 0.05 * len(on) * len(cols):  # few survivors: one by one
+        if alive.sum() < 0.05 * len(on) * len(cols) and small <= 1 << LIMB and q.shape[1] <= DIMS:  # few survivors: one by one
             r, j = np.nonzero(alive)
             value = np.einsum("ij,ij->i", q[r], part[j]).astype(np.int64)
         else:
-            exact = (q[on] @ part[cols].T).astype(np.int64)
-            # the score, then the smaller id, in one number
-            key = exact * COLUMNS + (COLUMNS - 1 - np.arange(len(cols)))
-            key[~alive[np.ix_(on, cols)] | (qid[on, None] == pid[cols])] = NONE
-            if key.shape[1] > k:
-                top = np.argpartition(key, key.shape[1] - k, axis=1)[:, -k:]
-            else:
-                top = np.broadcast_to(np.arange(key.shape[1]), key.shape)
-            r = np.repeat(np.arange(len(on)), top.shape[1])
-            j = top.reshape(-1)
-            real = key[r, j] != NONE
-            r, j = r[real], j[real]
+            exact = products(q[on], part[cols])
+            exact[~alive[np.ix_(on, cols)] | (qid[on, None] == pid[cols])] = NONE
+            # all that reach the k-th best of these columns: ties are settled below
+            at_k = np.partition(exact, exact.shape[1] - k, axis=1)[:, -k] if exact.shape[1] > k else np.full(len(on), NONE)
+            r, j = np.nonzero((exact >= at_k[:, None]) & (exact != NONE))
             value, r, j = exact[r, j], on[r], cols[j]
         real = qid[r] != pid[j]
         r, j, value = r[real], j[real], value[real]
@@ -109,18 +139,6 @@ def _best(q: np.ndarray, qid: np.ndarray, floor: np.ndarray, c: np.ndarray, cid:
     return rows, scores, ids
 
 
-def _best_large(q: np.ndarray, qid: np.ndarray, c: np.ndarray, cid: np.ndarray, k: int):
-    """The same for components of any size, in whole numbers without bound."""
-    whole = [[int(v) for v in row] for row in c]
-    rows, scores, ids = [], [], []
-    for r, row in enumerate(q):
-        row = [int(v) for v in row]
-        each = [(-min(max(sum(a * b for a, b in zip(row, w, strict=True)), LONG[0] + 1), LONG[1]), int(i)) for w, i in zip(whole, cid, strict=True) if i != qid[r]]
-        for s, i in sorted(each)[:k]:
-            rows.append(r), scores.append(-s), ids.append(i)
-    return np.array(rows, np.int64), np.array(scores, np.int64), np.array(ids, np.int64)
-
-
 def _group(k: int):
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
@@ -132,10 +150,7 @@ def _group(k: int):
         dims = max(1, pa.compute.max(pa.compute.list_value_length(t.column("v"))).as_py())
         x = _matrix(t.column("v"), dims)
         q, c, qid, cid = x[is_query], x[~is_query], ids[is_query], ids[~is_query]
-        if np.abs(x).max(initial=0) <= FAST and dims <= 1024:
-            rows, scores, found = _best(q, qid, floors[is_query], c, cid, k)
-        else:
-            rows, scores, found = _best_large(q, qid, c, cid, k)
+        rows, scores, found = _best(q, qid, floors[is_query], c, cid, k)
         return pa.table([qid[rows], found, scores], schema=schema)
 
     return run
