@@ -3,32 +3,43 @@
 Each arrival is appended as a run of small immutable Parquet shards. Runs are
 put into tiers by size, a factor of ``ratio`` apart; when ``fanout`` runs share a
 tier they are merged into one run whose shards have the target size. The store's
-state is a manifest, a JSON file with a version number that names the live runs.
-A commit writes the next number to a temporary file and renames it; the rename
-fails if the number exists, so that of two writers one must try again, and a
-reader sees a whole version or the one before. Nothing is changed in place:
-what a version no longer names stays readable until :meth:`ShardStore.vacuum`.
+state is a manifest, a JSON file with a version number that names the live runs
+and the schema. A commit writes the next number's manifest under another name and
+then gives it its own, which fails if another writer has done so; that one's
+version is read and the change is tried again on it. A reader sees a whole version
+or the one before. Nothing is changed in place: what a version no longer names
+stays readable until :meth:`ShardStore.vacuum`, which keeps the newest versions and
+whatever is younger than a grace period, such as a run not yet committed.
 
 Merging rewrites rows with Spark's reader and writer, without a shuffle; a row
 is rewritten once for each tier it climbs, so about the logarithm of the data.
 
 Defined results. Rows are kept as they come: nulls, repeated rows, empty and
-very long texts, further columns. An empty arrival adds no run. A merge in which
-an executor is lost is done again by Spark; one whose driver is lost leaves the
-old version in force.
+very long texts. Columns that only later arrivals have are added to the schema and
+null in earlier rows; a column of another type raises ValueError before anything
+is written. An empty arrival adds its columns but no run. A merge in which an
+executor is lost is done again by Spark; one whose driver is lost leaves the old
+version in force.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import os
+import time
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomwise.session import scratch_path
 
+#: Times that a commit is tried, and the seconds that vacuum leaves alone.
+TRIES, GRACE = 20, 24 * 3600.0
+
 
 class Conflict(Exception):
     """Another writer has committed this version."""
@@ -62,14 +73,33 @@ class ShardStore:
     def commit(self, manifest: dict) -> None:
         """Publish the next version, or raise Conflict if its number is taken."""
         name = f"v{manifest['version']:08d}.json"
-        temp = self._path("manifests", f".{name}.{uuid.uuid4().hex}")
+        temp, final = self._path("manifests", f".{name}.{uuid.uuid4().hex}"), self._path("manifests", name)
         out = self.fs.create(temp, False)
         out.write(bytearray(json.dumps(manifest).encode()))
         out.close()
-        final = self._path("manifests", name)
-        if self.fs.exists(final) or not self.fs.rename(temp, final):
+        try:
+            if self.fs.getScheme() == "file":  # renaming would overwrite; a link does not
+                os.link(temp.toUri().getPath(), final.toUri().getPath())
+            else:
+                none = self.spark.sparkContext._gateway.new_array(self.hadoop.Options.Rename, 0)
+                self.hadoop.FileContext.getFileContext(temp.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration()).rename(temp, final, none)
+        except Exception:
+            if self.fs.exists(final):
+                raise Conflict(name) from None
+            raise
+        finally:
             self.fs.delete(temp, False)
-            raise Conflict(name)
+
+    def _change(self, change: Callable[[dict], dict]) -> None:
+        """Commit a change of the newest manifest, on the one of another writer if that came first."""
+        for n in range(TRIES):
+            now = self.manifest()
+            try:
+                return self.commit(change(now) | {"version": now["version"] + 1})
+            except Conflict:
+                if n + 1 == TRIES:
+                    raise
+                time.sleep(0.01 * 2 ** min(n, 7))
 
     # -- runs -------------------------------------------------------------
     def _run(self, name: str) -> dict | None:
@@ -86,22 +116,28 @@ class ShardStore:
         """0 around the target size, one more for each factor of ratio above it, one less for each below."""
         return math.ceil(math.log(max(1, run["bytes"]) / self.target_bytes, self.ratio))
 
+    @staticmethod
+    def _with(schema: dict | None, more: T.StructType) -> dict:
+        """A schema with the columns of another; Spark tells no case apart."""
+        fields = {f.name.lower(): f for f in T.StructType.fromJson(schema)} if schema else {}
+        for f in more:
+            known = fields.setdefault(f.name.lower(), T.StructField(f.name, f.dataType, True))
+            if known.dataType.simpleString() != f.dataType.simpleString():
+                raise ValueError(f"column {f.name}: the store has {known.dataType.simpleString()}, the arrival {f.dataType.simpleString()}")
+        return T.StructType(list(fields.values())).jsonValue()
+
     def append(self, arrival: DataFrame) -> None:
-        now = self.manifest()
-        if now["schema"] is None:
-            now["schema"] = arrival.schema.jsonValue()
-        if arrival.isEmpty():
+        """Add an arrival as a run."""
+        self._with(self.manifest()["schema"], arrival.schema)
+        run = self._write(arrival)
+        if run and self.spark.read.parquet(f"{self.root}/runs/{run['name']}").isEmpty():
             run = None
-        else:
-            run = self._write(arrival)
-        self.commit(now | {"version": now["version"] + 1, "runs": now["runs"] + [run] * (run is not None)})
+        self._change(lambda now: now | {"schema": self._with(now["schema"], arrival.schema), "runs": now["runs"] + [run] * (run is not None)})
 
     def read(self, version: int | None = None) -> DataFrame:
         """The rows of a version, with the column _shard: the run and file that hold the row."""
-        from pyspark.sql.types import StructType
-
         now = self.manifest(version)
-        schema = StructType.fromJson(now["schema"]) if now["schema"] else StructType()
+        schema = T.StructType.fromJson(now["schema"]) if now["schema"] else T.StructType()
         paths = [f"{self.root}/runs/{r['name']}" for r in now["runs"]]
         if not paths:
             return self.spark.createDataFrame([], schema).withColumn("_shard", F.lit(None).cast("string"))
@@ -114,37 +150,47 @@ class ShardStore:
         return next((by[t] for t in sorted(by) if len(by[t]) >= self.fanout), [])
 
     def merge(self, runs: list[dict]) -> None:
-        """Merge runs into one with shards of the target size, and commit that."""
+        """Merge runs into one with shards of the target size, and commit that; Conflict if one is no longer live."""
         paths = [f"{self.root}/runs/{r['name']}" for r in runs]
         n = max(1, round(sum(r["bytes"] for r in runs) / self.target_bytes))
-        new = self._write(self.spark.read.parquet(*paths).coalesce(n))
-        now = self.manifest()
+        new = self._write(self.spark.read.schema(T.StructType.fromJson(self.manifest()["schema"])).parquet(*paths).coalesce(n))
         gone = {r["name"] for r in runs}
-        if not gone <= {r["name"] for r in now["runs"]}:
-            raise Conflict("a run that was merged is no longer live")
-        self.commit(now | {"version": now["version"] + 1, "runs": [r for r in now["runs"] if r["name"] not in gone] + [new]})
 
-    def compact(self, vacuum: bool = False) -> int:
+        def swapped(now: dict) -> dict:
+            if not gone <= {r["name"] for r in now["runs"]}:
+                raise LookupError
+            return now | {"runs": [r for r in now["runs"] if r["name"] not in gone] + [new]}
+
+        try:
+            self._change(swapped)
+        except LookupError:
+            self.fs.delete(self._path("runs", new["name"]), True)
+            raise Conflict("a run that was merged is no longer live") from None
+
+    def compact(self, vacuum: bool = False, **kw) -> int:
         """Merge until no tier holds fanout runs; the number of merges."""
         n = 0
         while runs := self._mergeable(self.manifest()["runs"]):
             self.merge(runs)
             n += 1
             if vacuum:
-                self.vacuum()
+                self.vacuum(**kw)
         return n
 
-    def vacuum(self) -> None:
-        """Delete runs that the newest version does not name, and the older manifests."""
-        now = self.manifest()
-        live = {r["name"] for r in now["runs"]}
-        if self.fs.exists(self._path("runs")):
-            for s in self.fs.listStatus(self._path("runs")):
-                if s.getPath().getName() not in live:
-                    self.fs.delete(s.getPath(), True)
-        for s in self.fs.listStatus(self._path("manifests")):
-            if s.getPath().getName() != f"v{now['version']:08d}.json":
-                self.fs.delete(s.getPath(), False)
+    def vacuum(self, keep: int = 2, grace: float = GRACE) -> None:
+        """Delete manifests but the newest ``keep``, and runs that those don't name, if older than ``grace`` seconds.
+
+        A grace of 0 is for a store with one writer: a run not yet committed would go.
+        """
+        before = (time.time() - grace) * 1000
+        kept = range(max(1, self.version() - keep + 1), self.version() + 1)
+        names = {f"v{v:08d}.json" for v in kept}
+        live = {r["name"] for v in kept for r in self.manifest(v)["runs"]}
+        for folder, stay in (("runs", live), ("manifests", names)):
+            if self.fs.exists(self._path(folder)):
+                for s in self.fs.listStatus(self._path(folder)):
+                    if s.getPath().getName() not in stay and s.getModificationTime() <= before:
+                        self.fs.delete(s.getPath(), True)
 
 
 def arrivals(docs: DataFrame, n: int = 4) -> list[DataFrame]:
@@ -157,7 +203,7 @@ def op9_sharding(spark, sf_dir):
     store = ShardStore(spark, scratch_path(spark, "store"), target_bytes=32 << 20)
     for a in arrivals(docs):
         store.append(a)
-        store.compact(vacuum=True)
+        store.compact(vacuum=True, grace=0)  # this query's own store
     return store.read().select("doc_id", "lang", "source", "n_chars", F.octet_length("text").cast("long").alias("text_bytes"), F.sha2("text", 256).alias("text_sha256"))
 
 
