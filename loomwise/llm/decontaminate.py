@@ -1,9 +1,11 @@
 """Benchmark decontamination with DataFrame functions only.
 
 The normalised n-grams of the test items form a hash set that is broadcast
-(behind a check of its size; beyond it Spark joins by shuffle). The scan hashes
-each window of a document's words, probes the set, and compares the words of a
-hit before it counts, so equal hashes of other words do no harm.
+(behind a check of its size). One scan of the documents hashes the windows of all
+lengths that the set has, probes it, and compares the words of a hit before it
+counts, so equal hashes of other words do no harm. A set too large to broadcast
+is joined by shuffle on the hashes alone; the words of the few candidates are
+then compared with those of their documents.
 
 Defined results. Null texts and texts without words have no words and no hits.
 An item with fewer than ``n`` words, but not none, is one window. Items with a
@@ -36,10 +38,6 @@ def _window_hash(hashes: Column, start: Column, length: int) -> Column:
     return F.xxhash64(*[F.get(hashes, start + F.lit(k)) for k in range(length)], F.lit(length))
 
 
-def _hasher(length: int):
-    return lambda start: _window_hash(F.col("wh"), start, length)
-
-
 def windows_of(items: DataFrame, n: int = 10) -> DataFrame:
     """Distinct windows (n_words, win, items) of the test items."""
     each = items.select(F.col("item_id").cast("string").alias("item_id"), words_of(F.col("text")).alias("w")).where(F.size("w") > 0)
@@ -62,17 +60,26 @@ def find_hits(docs: DataFrame, items: DataFrame, n: int = 10, set_limit: int = S
 
     split = docs.select("doc_id", row_key(F.col("text")).alias("rk"), words_of(F.col("text")).alias("w"))
     hashed = split.select("doc_id", "rk", "w", F.transform("w", lambda w: F.xxhash64(w)).alias("wh"))
-    found = None
-    for k in lengths:
-        each = F.transform(F.sequence(zero, F.size("wh") - k), _hasher(k))
-        # outer: a plain explode would make Spark compute the hashes twice, once to filter empty arrays
-        scan = hashed.where(F.size("wh") >= k).select("doc_id", "rk", "w", each.alias("hs")).select("doc_id", "rk", "w", F.posexplode_outer("hs").alias("pos", "h"))
-        mine = probe.where(F.col("n_words") == k)
-        if sum(sizes.values()) <= set_limit:
-            mine = F.broadcast(mine)
-        hit = scan.join(mine, (scan.h == mine.h) & (F.slice(scan.w, scan.pos + 1, F.lit(k)) == mine.win)).select("doc_id", "rk", "pos", "n_words", "items")
-        found = hit if found is None else found.unionByName(hit)
-    return found
+    none = F.array().cast("array<bigint>")
+
+    def windows(k: int) -> Column:
+        return F.when(F.size("wh") >= k, F.transform(F.sequence(zero, F.size("wh") - k), lambda i: _window_hash(F.col("wh"), i, k))).otherwise(none)
+
+    # the windows of all lengths in one array: those of a length begin where the shorter ones end
+    each = F.concat(*[windows(k) for k in lengths])
+    count = lambda k: F.greatest(zero, F.size("w") - (k - 1))
+    begin = F.coalesce(*[F.when(F.col("n_words") == k, sum((count(j) for j in lengths if j < k), zero)) for k in lengths])
+    # outer: a plain explode would make Spark compute the hashes twice, once to filter empty arrays
+    scan = hashed.select("doc_id", "rk", "w", each.alias("hs")).select("doc_id", "rk", "w", F.posexplode_outer("hs").alias("at", "h"))
+    pos = (F.col("at") - begin).alias("pos")
+    same = (pos >= 0) & (F.slice("w", pos + 1, F.col("n_words")) == F.col("win"))
+    if sum(sizes.values()) <= set_limit:
+        found = scan.join(F.broadcast(probe), "h")
+    else:
+        near = scan.select("doc_id", "rk", "at", "h").join(probe, "h").withColumnsRenamed({"doc_id": "c_id", "rk": "c_rk"})
+        near = written(docs.sparkSession, near, "candidates")
+        found = split.dropDuplicates(["doc_id", "rk"]).join(near, split.doc_id.eqNullSafe(F.col("c_id")) & (split.rk == F.col("c_rk")))
+    return found.where(same).select("doc_id", "rk", pos, "n_words", "items")
 
 
 def spans_of(hits: DataFrame) -> DataFrame:
@@ -105,13 +112,10 @@ def without_spans(text: Column, hit_words: Column) -> Column:
     # words and gaps alternate: piece i is word i // 2 if the text starts with a word, else (i - 1) // 2
     first = F.when(F.rlike(text, F.lit(r"^[A-Za-z0-9[^\x00-\x7F]]")), 0).otherwise(1)
 
-    def kept(piece, i):
-        k = i - first
-        word, after = F.floor(k / 2).cast("int"), k % 2 != 0
-        gone = F.array_contains(hit_words, word)
-        return F.when(after, ~(gone & F.array_contains(hit_words, word + 1))).otherwise(~gone)
-
-    return F.array_join(F.filter(pieces, kept), "")
+    words = F.transform(hit_words, lambda x: 2 * x + first)
+    between = F.transform(F.filter(hit_words, lambda x, i: F.coalesce(F.get(hit_words, i + 1) == x + 1, F.lit(False))), lambda x: 2 * x + 1 + first)
+    stay = F.array_except(F.sequence(F.lit(0), F.size(pieces) - 1), F.concat(words, between))
+    return F.when(F.size(pieces) == 0, text).otherwise(F.array_join(F.transform(stay, lambda i: F.get(pieces, i)), ""))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, n: int = 10, remove: str = "documents", set_limit: int = SET_LIMIT) -> DataFrame:
