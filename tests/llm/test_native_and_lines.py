@@ -70,6 +70,18 @@ def test_decontaminate_removes_documents_or_spans(spark):
     assert texts[1] == "x  y" and texts[2] == "a  and another ." and texts[3] is None and texts[5] == "... !!! ???"
 
 
+def test_windows_of_many_lengths_by_broadcast_and_by_shuffle(spark):
+    items = [("a", "one two three"), ("b", " ".join(f"w{k}" for k in range(14))), ("c", "w3 w4"), ("d", "zz"), ("e", None), (None, "w9 w10 w11")]
+    docs = [(1, "zz one two three zz " + items[1][1]), (1, "zz one two three zz " + items[1][1]), (2, "w3"), (3, None), (None, "x w3 w4 zz"), (4, " ".join(["w3 w4"] * 3000))]
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string")
+    by = [sorted(map(repr, dec.report(d, i, set_limit=limit).collect())) for limit in (0, 500)]
+    assert by[0] == by[1] and len(by[0]) == len(docs)
+    hit = {r["doc_id"]: (len(r["hit_words"]), r["items"]) for r in dec.report(d, i).collect()}
+    assert hit == {1: (19, ["a", "b", "c", "d"]), 2: (0, []), 3: (0, []), None: (3, ["c", "d"]), 4: (6000, ["c"])}
+    clean = {r["doc_id"]: r["text"] for r in dec.decontaminate(d, i, remove="spans").collect()}
+    assert clean[1] == "" and clean[2] == "w3" and clean[3] is None and clean[None] == "x " and clean[4] == ""
+
+
 def test_decontaminate_empty_tables(spark):
     docs, items = frames(spark)
     assert dec.report(docs.limit(0), items).count() == 0
@@ -99,7 +111,7 @@ def brute_lines(rows, least=20, docs=3):
     for d, t in rows:
         for x in set(map(key, (t or "").split("\n"))):
             if len(x) >= least:
-                held.setdefault(x, []).append(low(d))
+                held.setdefault(x, set()).add(low(d))  # rows that repeat a doc_id are one document, as in the SQL
     gone = {k: max(v) for k, v in held.items() if len(v) >= docs}
     out = []
     for d, t in rows:
@@ -119,14 +131,34 @@ def test_line_dedup_matches_brute_force(spark):
 
 
 def test_line_runs_levels_and_anti_join(spark):
-    runs = ld.LineRuns(spark, fanout=2)
+    runs = ld.LineRuns(spark, keep=3, fanout=2)
     for k in range(4):
         docs = spark.createDataFrame([(100 - k, f"line number {k} is long enough\nthis line is in every batch")], "doc_id long, text string")
         runs.add(ld.lines_of(docs, 20))
-    assert [len(x) for x in runs.levels] == [0, 0, 1]
-    top = runs.frequent(4).collect()
+    assert [len(x) for x in runs.state["levels"]] == [0, 0, 1]
+    top = runs.frequent().collect()
     assert len(top) == 1 and top[0]["owner"] == 100
-    assert runs.unseen(runs.frequent(1).select("h")).count() == 0
+    # what the runs have settled is not added again, what is larger is
+    again = spark.createDataFrame([(bytes(top[0]["h"]), [50]), (bytes(top[0]["h"]), [200]), (b"new", [1])], "h binary, docs array<bigint>")
+    assert sorted(r["docs"][0] for r in runs.unsettled(again).collect()) == [1, 200]
+
+
+def test_line_runs_are_kept_and_take_batches_in_any_order(spark):
+    """Owners and counts after calls in any order, a repeated one among them, are those of one call."""
+    rows = [(k, f"only document {k} has this line\nthis line is in all documents\n" + ("some of the documents have this" if k % 3 else "")) for k in range(12)]
+    parts = [rows[4:8], rows[8:], rows[:4], rows[4:8]]
+    folder = ld.scratch_path(spark, "kept-runs")
+    for p in parts:
+        ld.LineRuns(spark, folder=folder).add(ld.lines_of(spark.createDataFrame(p, "doc_id long, text string"), 20))
+    owners = {bytes(r["h"]): r["owner"] for r in ld.LineRuns(spark, folder=folder).frequent().collect()}
+    once = ld.LineRuns(spark)
+    once.add(ld.lines_of(spark.createDataFrame(rows, "doc_id long, text string"), 20))
+    assert owners == {bytes(r["h"]): r["owner"] for r in once.frequent().collect()} and sorted(owners.values()) == [11, 11]
+    late = spark.createDataFrame([(50, rows[0][1])], "doc_id long, text string")
+    got = ld.dedup_lines(spark, late, folder=folder).first()
+    assert got["n_dropped"] == 0  # the largest document, with all that came before
+    older = ld.dedup_lines(spark, spark.createDataFrame(rows[:1], "doc_id long, text string"), folder=folder).first()
+    assert older["n_dropped"] == 1
 
 
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/es/ok", "allow"), ("EXAMPLE.org", "/es/ok/no", "block"), ("", "/", "block"), (None, "/", "block"), ("a.b.example.org", "", "block")]
