@@ -10,8 +10,9 @@ chunks; so each chunk is indexed once for every choice of ``errors`` symbols to
 within the threshold meets in some key.
 
 Documents with equal sets are one class from the start. Keys are over class
-representatives. Within a key, members are first paired with the smallest one
-only; confirmed links are closed into components. Then what a key still holds
+representatives. Within a key, members are first paired with one of them only,
+that which shares most keys with others, so that the many keys of a large group
+agree on few; confirmed links are closed into components. Then what a key still holds
 in different components is compared, the minority of the key against all its
 other components, so that no link is lost and copies are never expanded into
 all pairs. This is done on arrays in blocks of bounded size: a longer signature
@@ -359,9 +360,13 @@ def near_duplicates(
     reps = written(spark, classes.select("id", "sig", "n_shingles", "fp"), "classes")
 
     keys = index_keys(reps, positions, chunks, errors, bits)
-    shared = keys.groupBy("key").agg(F.min("id").alias("low"), F.count("*").alias("n")).where("n > 1").select("key", "low")
+    shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = written(spark, keys.join(shared, "key"), "members")
-    stars = written(spark, members.where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b")).distinct(), "pairs")
+    met = members.groupBy("id").agg(F.sum("n").alias("met"))
+    hubs = members.select("key", "id").join(met, "id").groupBy("key").agg(F.max(F.struct("met", (-F.col("id")).alias("o"))).alias("m"))
+    hubs = hubs.select("key", (-F.col("m.o")).alias("hub"))
+    spokes = members.select("key", "id").join(hubs, "key").where("id <> hub")
+    stars = written(spark, spokes.select(F.greatest("id", "hub").alias("a"), F.least("id", "hub").alias("b")).distinct(), "pairs")
     links = _confirm(spark, known, reps, stars, percent, threshold, width, "stars")
     comps = written(spark, components(links, spark), "comps")
 
