@@ -119,7 +119,7 @@ def pareto3_sequence(df: DataFrame, target: int = 5) -> list:
         worst = F.greatest(*[dot(F.col("v"), F.lit(list(r["v"]))) for r in picked]) if len(picked) > 1 else dot(F.col("v"), F.lit(list(picked[0]["v"]))) if picked else None
         div = F.lit(0.5) if worst is None else F.least(F.greatest(1.0 - worst, F.lit(0.0)), F.lit(1.0))
         obj = {"o_sem": F.col("semantic"), "o_pers": F.col("personal"), "o_div": div}
-        front = _front_of(cut(pool.withColumns(obj)), list(obj))
+        front = pareto_front(pool.withColumns(obj), list(obj))
         value = sum((F.col(o) * (x / sum(w)) for o, x in zip(obj, w, strict=True)), F.lit(0.0))
         row = front.withColumn("value", value).orderBy(F.desc("value"), "idx").withColumn("slot", F.lit(name)).withColumn("pos", F.lit(slot)).first()
         if row is None:

@@ -33,7 +33,7 @@ def events_by_range(df: DataFrame, ts: str = "exif_ts", id_: str = "id", gap: fl
     order = Window.orderBy("_slice")  # a row for each slice of time
     jump = F.when(F.col("lo") - F.lag("hi").over(order) > gap, 1).otherwise(0)
     edge = edge.withColumn("_jump", jump).withColumn("_base", F.sum(F.col("_jump")).over(order) + F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return inner.join(F.broadcast(edge.select("_slice", "_base")), "_slice").withColumn("event", F.col("_base") + F.col("_in")).drop("_slice", "_s", "_in", "_base")
+    return inner.join(edge.select("_slice", "_base"), "_slice").withColumn("event", F.col("_base") + F.col("_in")).drop("_slice", "_s", "_in", "_base")
 
 
 def consolidate_bursts(df: DataFrame, by: list[str], window_s: float = 30.0, limit: float = 0.6) -> DataFrame:

@@ -215,6 +215,13 @@ def lsh_edges(spark, d):
     return similarity.lsh_edges(items.units(spark, d), NEAR).select("a", "b", *r6("cos"))
 
 
+@query("cell_search")
+def cell_search(spark, d):
+    """The twenty nearest rows of each row whose id is divisible by 20, by the index; tests measure its recall."""
+    u = items.units(spark, d)
+    return similarity.CellIndex(u).search(u.where("id % 20 = 0"), probes=12).select("query_id", "rank", "id", *r6("cos"))
+
+
 @query("kmeans_labels")
 def kmeans_labels(spark, d):
     g = grading.graded(spark, d).where("score > 0.20").select(F.col("idx").alias("id"), "v")

@@ -67,6 +67,14 @@ def watch_upsert(spark, d):
     return table.read()
 
 
+@query("stream_history", "SELECT user_id, list(event_id ORDER BY ts, event_id) AS items FROM (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 25) GROUP BY user_id")
+def stream_history(spark, d):
+    rows = jobs.histories(_events(spark, d).withColumn("at", F.unix_micros("ts")), "user_id", "event_id", "at")
+    table = Snapshots(spark, scratch_path(spark, "history"), rows.schema)
+    _finished(jobs.upsert_into(rows, table, scratch_path(spark, "ck"), "user_id"))
+    return table.read()
+
+
 @query(
     "stream_feedback",
     """WITH c AS (SELECT DISTINCT 'p' || (event_id % 500) AS path, [0.28, 0.50, 0.72][event_id % 3 + 1] AS o, [0.28, 0.50, 0.72][user_id % 3 + 1] AS w FROM events)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,7 +21,8 @@ def watch(spark: SparkSession, folder: str, schema: T.StructType, pattern: str =
 
 def upsert_into(stream: DataFrame, table: Snapshots, checkpoint: str, key: str = "path") -> StreamingQuery:
     """Merge each batch into a table of snapshots. A batch that is run again merges to the same rows."""
-    return stream.writeStream.foreachBatch(lambda batch, _: table.upsert(batch, key)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    write = stream.writeStream.foreachBatch(lambda batch, _: table.upsert(batch, key)).outputMode("update")
+    return write.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def sessions(stream: DataFrame, by: str, ts: str = "ts", gap: str = "15 minutes", late: str = "1 hour") -> DataFrame:
@@ -44,6 +48,25 @@ def windowed_counts(stream: DataFrame, by: str, ts: str = "ts", size: str = "1 h
     return counted.select(by, F.col("w.start").alias("start"), "n", "total")
 
 
+def histories(stream: DataFrame, by: str, item: str, at: str, keep: int = 25) -> DataFrame:
+    """by and items, the last ``keep`` items of each key by the long ``at``, then item: a row a key whenever rows of it come.
+
+    The state is the last items alone, and a batch is cut to as many as it is read,
+    so a key of any number of rows takes no more memory.
+    """
+    kinds = dict(stream.dtypes)
+
+    def update(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        held = list(zip(*state.get, strict=True)) if state.exists else []
+        for b in batches:
+            held = sorted({*held, *zip(b[at].tolist(), b[item].tolist(), strict=True)})[-keep:]
+        state.update(tuple(map(list, zip(*held, strict=True))))
+        yield pd.DataFrame({by: [key[0]], "items": [[i for _, i in held]]})
+
+    out, kept = f"{by} {kinds[by]}, items array<{kinds[item]}>", f"at array<bigint>, items array<{kinds[item]}>"
+    return stream.select(by, item, at).groupBy(by).applyInPandasWithState(update, out, kept, "update", "NoTimeout")
+
+
 def feedback_into(stream: DataFrame, path: str, checkpoint: str, late: str = "1 day") -> StreamingQuery:
     """Pairs of winner and loser scores from changed grades (path, old_level, new_level, ts), each change once."""
     fresh = stream.withWatermark("ts", late).dropDuplicatesWithinWatermark(["path", "old_level", "new_level"])
