@@ -56,7 +56,9 @@ CACHE = 300_000
 #: Tokens of one gradient step.
 STEP = 4096
 #: Events and documents that a task collects before it packs them.
-EVENTS, DOCS = 1 << 20, 1 << 15
+EVENTS, DOCS = 1 << 20, 1 << 13
+#: Bits of a packed unit; a document's number, and the bit that keeps its events from training, have the rest of 32.
+UNIT, HELD = 18, DOCS
 #: Variance of the prior of the pairs' weights, and steps to find them.
 PRIOR, NEWTON = 4.0, 8
 LN10 = float(np.log(10))
@@ -131,6 +133,8 @@ class Model:
     """What tasks need: classes and head counts; of fixed size whatever the corpus."""
 
     def __init__(self, classes: Classes, head: dict[bytes, int], n: int, v: int, class_n: np.ndarray, class_v: np.ndarray, shard: int = SHARD):
+        if len(head) + classes.n > 1 << UNIT:
+            raise ValueError(f"the head and the classes are more than {1 << UNIT} units")
         self.classes, self.n, self.v, self.class_n, self.class_v = classes, n, v, class_n, class_v
         self.total = class_n + 0.1 * (class_v + 1)
         self.bias = np.log(self.total / self.total.sum()).astype(np.float32)
@@ -259,26 +263,24 @@ def pair_weights(n: np.ndarray, share: np.ndarray, group: np.ndarray, prior: flo
 
 
 def _pack(last: np.ndarray, rows: list[np.ndarray], unit: np.ndarray, doc: np.ndarray) -> bytes:
-    """Events in the order of their last words: each distinct last word once, with its number of events."""
+    """Events in the order of their last words: a last word once for a run of up to 255 events, with their number."""
     first = np.nonzero(np.diff(last, prepend=np.uint32(~last[0])))[0]
-    times = np.diff(first, append=len(last)).astype(np.uint32)
-    head = np.array([len(last), len(first)], np.uint32)
-    arrays = [head, last[first], times, *rows, unit.astype(np.uint16), (unit >> 16).astype(np.uint8), doc]
-    return b"".join([a.tobytes() for a in arrays])
+    times = np.diff(first, append=len(last))
+    runs = -(-times // 255)
+    lasts, sizes = np.repeat(last[first], runs), np.full(int(runs.sum()), 255, np.uint8)
+    sizes[np.cumsum(runs) - 1] = times - 255 * (runs - 1)
+    head = np.array([len(last), len(lasts)], np.uint32)
+    return b"".join([a.tobytes() for a in [head, lasts, unit.astype(np.uint32) | doc.astype(np.uint32) << np.uint32(UNIT), *rows, sizes]])
 
 
 def _unpack(data: bytes) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
     n, m = (int(x) for x in np.frombuffer(data, np.uint32, 2))
     at, out = 8, []
-    for kind, size in ((np.uint32, m), (np.uint32, m), *[(np.uint16, n)] * 4, (np.uint8, n), (np.uint16, n)):
+    for kind, size in ((np.uint32, m), (np.uint32, n), *[(np.uint16, n)] * 3, (np.uint8, m)):
         out.append(np.frombuffer(data, kind, size, at))
         at += out[-1].nbytes
-    last, times, *rows, low, high, doc = out
-    return np.repeat(last, times), rows, low.astype(np.int32) | high.astype(np.int32) << 16, doc
-
-
-#: The bit of an event's document number that keeps it from training.
-HELD = 1 << 15
+    last, both, *rows, sizes = out
+    return np.repeat(last, sizes), rows, (both & np.uint32((1 << UNIT) - 1)).astype(np.int32), (both >> np.uint32(UNIT)).astype(np.uint16)
 
 
 def _deal_task(m):

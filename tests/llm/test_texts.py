@@ -159,9 +159,9 @@ def test_pair_weights_are_where_the_gradient_vanishes():
 
 def test_events_survive_packing():
     rng = np.random.default_rng(0)
-    last = np.sort(rng.integers(0, 1 << 32, 50, np.uint32).repeat(rng.integers(1, 9, 50)))
+    last = np.sort(rng.integers(0, 1 << 32, 50, np.uint32).repeat(rng.integers(1, 900, 50)))
     n = len(last)
-    rows, unit, doc = [rng.integers(0, 1 << 16, n).astype(np.uint16) for _ in range(3)], rng.integers(0, 1 << 20, n).astype(np.uint32), rng.integers(0, 1 << 16, n).astype(np.uint16)
+    rows, unit, doc = [rng.integers(0, 1 << 16, n).astype(np.uint16) for _ in range(3)], rng.integers(0, 1 << lm_score.UNIT, n).astype(np.uint32), rng.integers(0, 2 * lm_score.DOCS, n).astype(np.uint16)
     got = lm_score._unpack(lm_score._pack(last, rows, unit, doc))
     assert (got[0] == last).all() and all((a == b).all() for a, b in zip(got[1], rows, strict=True)) and (got[2] == unit).all() and (got[3] == doc).all()
 
