@@ -22,8 +22,8 @@ def graded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fused(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Graded items with quality, fineart, archetype weights, fused and final."""
-    df = graded(spark, sf_dir)
+    """Graded items with quality, fineart, archetype weights, fused and final; graded rows are written once, for the second statistics."""
+    df = materialised(graded(spark, sf_dir), "graded")
     df = df.withColumns({"q0": scoring.empty_route_quality(F.col("comp"), F.col("light")), "disqualified": F.col("idx") % 23 == 0, "fa0": F.get("sims", F.lit(29))})
     df = scoring.archetype_weights(scoring.batch_stretch(df, "q0", "quality", "fa0", ~F.col("disqualified"), "fineart"))
     df = df.withColumns(
