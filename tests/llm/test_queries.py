@@ -171,4 +171,4 @@ def test_pipeline_against_brute_force(spark, tmp_path):
         ids = library.encode(t or "", add_special_tokens=False).ids
         want[d] = (lang[d], len(ids), ids)
     assert got == want
-    assert not {900, 901, 902, 904, 905} & set(got) and 903 not in got
+    assert not {900, 901, 902, 905} & set(got)  # nothing to tell a language by, or a passage of the benchmark
