@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomwise.llm import bpe, decontaminate, langid, line_dedup, lm_score, near_dup, shards, topk, url_rules, warc
+from loomwise.llm import align, bpe, decontaminate, langid, line_dedup, lm_score, near_dup, shards, topk, url_rules, warc
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_near_dup": near_dup.op8_near_dup,
         "op9_sharding": shards.op9_sharding,
         "op10_url_rules": url_rules.op10_url_rules,
+        "op11_token_alignment": align.op11_token_alignment,
     }
 
 
