@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomwise.llm import align, bpe, decontaminate, langid, line_dedup, lm_score, near_dup, shards, topk, url_rules, warc
+from loomwise.llm import align, bpe, decontaminate, divergence, fingerprint, langid, line_dedup, lm_score, near_dup, shards, topk, url_rules, warc
 
 
 def queries() -> dict:
@@ -18,6 +18,8 @@ def queries() -> dict:
         "op9_sharding": shards.op9_sharding,
         "op10_url_rules": url_rules.op10_url_rules,
         "op11_token_alignment": align.op11_token_alignment,
+        "op12_source_divergence": divergence.op12_source_divergence,
+        "op13_fingerprint": fingerprint.op13_fingerprint,
     }
 
 
@@ -30,4 +32,5 @@ def oracle_sql() -> dict:
         "op8_near_dup": near_dup.ORACLE_SQL,
         "op9_sharding": shards.ORACLE_SQL,
         "op10_url_rules": url_rules.ORACLE_SQL,
+        "op12_source_divergence": divergence.ORACLE_SQL,
     }
