@@ -276,29 +276,6 @@ def greedy_slots(df: DataFrame, slots: list[str], thresholds: list[float], sim_l
     return picked
 
 
-def best_assignment(df: DataFrame, slots: list[str], per_slot: int = 6, threshold: float = 0.25, sim_limit: float = 0.82) -> DataFrame:
-    """The best feasible set over the ``per_slot`` fittest rows of each slot, by exact search with joins.
-
-    A branch ends as soon as a row repeats, shares a cluster or is too similar. The
-    objective is the mean of match, worst-pair diversity and even light.
-    """
-    short = [cut(df.where(F.col(f"fit_{s}") >= threshold).orderBy(F.desc(f"fit_{s}"), "idx").limit(per_slot).select("idx", "v", "match", "lum01", "cluster_id")) for s in slots]
-    state = short[0].select(F.array(F.struct("idx", "v", "match", "lum01", "cluster_id")).alias("set"), F.lit(-2.0).alias("worst"))
-    for nxt in short[1:]:
-        grown = state.crossJoin(F.broadcast(nxt))
-        most = F.array_max(F.transform("set", lambda x: dot(x.v, F.col("v"))))
-        clash = F.exists("set", lambda x: (x.idx == F.col("idx")) | ((x.cluster_id >= 0) & (x.cluster_id == F.col("cluster_id"))))
-        grown = grown.where(~clash).withColumn("worst", F.greatest("worst", most)).where(F.col("worst") <= sim_limit)
-        state = grown.select(F.concat("set", F.array(F.struct("idx", "v", "match", "lum01", "cluster_id"))).alias("set"), "worst")
-    mean = lambda f: F.aggregate("set", F.lit(0.0), lambda s, x: s + f(x)) / len(slots)
-    state = state.withColumn("_m", mean(lambda x: x.lum01))
-    var = F.aggregate("set", F.lit(0.0), lambda s, x: s + F.pow(x.lum01 - F.col("_m"), 2)) / len(slots)
-    even = F.least(F.greatest(1.0 - F.sqrt(var) * 3.0, F.lit(0.0)), F.lit(1.0))
-    total = (mean(lambda x: x.match) + (1.0 - F.col("worst")) + even) / 3
-    out = state.select(F.transform("set", lambda x: x.idx).alias("seq"), total.alias("total"))
-    return out.orderBy(F.desc("total"), "seq").limit(1)
-
-
 def lookahead(df: DataFrame, predicates: list[str | None], target: int = 5) -> DataFrame:
     """The best contact sheet: from every start, each slot takes the row most like the last one.
 

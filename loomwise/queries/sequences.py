@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from itertools import permutations
+
 from pyspark.sql import functions as F
 
-from loomwise.operators import scoring, selection, store, timeline
+from loomwise.operators import assignment, scoring, selection, store, timeline
 from loomwise.plans import grading
 from loomwise.queries.grading import r6, s6
 
@@ -190,25 +192,43 @@ def greedy_slots(spark, d):
     return selection.as_frame(df, selection.greedy_slots(df, scoring.SLOTS, [0.25] * 5, 0.20), OUT).withColumn("value", F.round("value", 6))
 
 
-#: Rows of each slot, the fittest of all, that the exact search combines.
-PER_SLOT = 8
+#: Sets that the SQL's beam keeps to find a first feasible set.
+BEAM = 200
 
 
 def _best_sql(limit: float = 0.25) -> str:
-    out = _fit_sql() + "".join(f", t{k} AS (SELECT idx, v, match, lum01, cluster_id FROM fc WHERE fit_{s} >= 0.25 ORDER BY fit_{s} DESC, idx LIMIT {PER_SLOT})" for k, s in enumerate(scoring.SLOTS))
-    t = [f"t{k}" for k in range(5)]
-    pairs = [(a, b) for i, a in enumerate(t) for b in t[i + 1 :]]
-    ok = " AND ".join(f"{a}.idx <> {b}.idx AND NOT ({a}.cluster_id >= 0 AND {a}.cluster_id = {b}.cluster_id)" for a, b in pairs)
-    worst = "greatest(" + ", ".join(f"list_inner_product({a}.v, {b}.v)" for a, b in pairs) + ")"
-    lums = "[" + ", ".join(f"{x}.lum01" for x in t) + "]"
-    std = f"sqrt(list_sum(list_transform({lums}, lambda x: pow(x - list_sum({lums}) / 5, 2))) / 5)"
-    return f"""{out}, z AS (SELECT [{", ".join(f"{x}.idx" for x in t)}] AS seq, {worst} AS worst, (({" + ".join(f"{x}.match" for x in t)}) / 5 + (1.0 - {worst}) + least(greatest(1.0 - {std} * 3.0, 0.0), 1.0)) / 3 AS total FROM {", ".join(t)} WHERE {ok})
-SELECT seq, round(total, 6) AS total FROM z WHERE worst <= {limit} ORDER BY total DESC, seq LIMIT 1"""
+    """Pairs, triples and so on of all rows, cut by what a set that holds them can reach at most; a beam says what is reached."""
+    even = lambda n: f"greatest(0.0, least(1.0, 1 - 3 * sqrt(greatest(0.0, q - s * s / {n}) / 5)))"
+    reach = lambda n: f"(m + {5 - n} * (SELECT max(match) FROM r)) / 5 + 1 - greatest(worst, -0.25) + {even(n)}"
+    cut = lambda n: f"{reach(n)} >= (SELECT b FROM low)"
+    out = _fit_sql()
+    mask = " + ".join(f"(fit_{s} >= 0.25)::INT * {1 << k}" for k, s in enumerate(scoring.SLOTS))
+    out += f""", r AS MATERIALIZED (SELECT idx, v, match, lum01, cluster_id, {mask} AS mask FROM fc WHERE {mask} > 0),
+b1 AS (SELECT [idx] AS ids, [v] AS vs, [cluster_id] AS cl, -2.0 AS worst, match AS m, lum01 AS s, lum01 * lum01 AS q FROM r WHERE mask = 31)"""
+    for n in range(2, 6):
+        out += f""", b{n} AS MATERIALIZED (SELECT * FROM (SELECT list_append(ids, y.idx) AS ids, list_append(vs, y.v) AS vs, list_append(cl, y.cluster_id) AS cl, greatest(worst, list_max(list_transform(vs, lambda x: list_inner_product(x, y.v)))) AS worst, m + y.match AS m, s + y.lum01 AS s, q + y.lum01 * y.lum01 AS q
+  FROM b{n - 1} JOIN r y ON y.mask = 31 AND y.idx > ids[{n - 1}] AND NOT (y.cluster_id >= 0 AND list_contains(cl, y.cluster_id))) WHERE worst <= {limit} ORDER BY {reach(n)} DESC, ids LIMIT {BEAM})"""
+    out += f""", low AS MATERIALIZED (SELECT coalesce(max(m / 5 + 1 - worst + {even(5)}), -9.0) - 1e-9 AS b FROM b5),
+e AS MATERIALIZED (SELECT * FROM (SELECT x.idx AS a, y.idx AS b, list_inner_product(x.v, y.v) AS worst, x.match + y.match AS m, x.lum01 + y.lum01 AS s, x.lum01 * x.lum01 + y.lum01 * y.lum01 AS q, x.mask AS ak, y.mask AS bk, y.match AS bm, y.lum01 AS bl
+  FROM r x JOIN r y ON x.idx < y.idx AND NOT (x.cluster_id >= 0 AND x.cluster_id = y.cluster_id)) WHERE worst <= {limit} AND {cut(2)}),
+n2 AS (SELECT a AS i1, b AS i2, [ak, bk] AS masks, worst, m, s, q FROM e)"""
+    for n in range(3, 6):
+        ids = [f"i{j}" for j in range(1, n)]
+        out += f""", n{n}_0 AS MATERIALIZED (SELECT * FROM (SELECT {", ".join(f"p.{i}" for i in ids)}, l.b AS i{n}, list_append(p.masks, l.bk) AS masks, greatest(p.worst, l.worst) AS worst, p.m + l.bm AS m, p.s + l.bl AS s, p.q + l.bl * l.bl AS q
+  FROM n{n - 1} p JOIN e l ON l.a = p.i{n - 1}) WHERE {cut(n)})"""
+        for j in range(1, n - 1):  # one member more that the new row must have an edge with
+            out += f""", n{n}_{j} AS MATERIALIZED (SELECT * FROM (SELECT p.* EXCLUDE (worst), greatest(p.worst, f.worst) AS worst FROM n{n}_{j - 1} p JOIN e f ON f.a = p.i{j} AND f.b = p.i{n}) WHERE {cut(n)})"""
+        out += f", n{n} AS (SELECT * FROM n{n}_{n - 2})"
+    orders = "[" + ", ".join(str(list(p)) for p in permutations(range(1, 6))) + "]"
+    fits = " AND ".join(f"masks[o[{j + 1}]] // {1 << j} % 2 = 1" for j in range(5))
+    return f"""{out}, dealt AS (SELECT *, list_filter({orders}, lambda o: {fits}) AS os FROM n5),
+won AS (SELECT list_transform(os[1], lambda p: [i1, i2, i3, i4, i5][p]) AS seq, (m / 5 + 1 - worst + {even(5)}) / 3 AS total FROM dealt WHERE len(os) > 0)
+SELECT seq, round(total, 6) AS total FROM won ORDER BY round(won.total, 9) DESC, seq LIMIT 1"""
 
 
 @query("nsga_sequence", _best_sql())
 def nsga_sequence(spark, d):
-    return selection.best_assignment(fitted(spark, d), scoring.SLOTS, per_slot=PER_SLOT, sim_limit=0.25).select("seq", *r6("total"))
+    return assignment.best_assignment(fitted(spark, d), scoring.SLOTS, sim_limit=0.25).select("seq", *r6("total"))
 
 
 PREDICATES = [None, "human > 0.45 AND faces > 0", "tech > 0.55 OR comp > 0.60", "light < 0.40 OR narr < 0.50", "overall_c > 0.50 AND faces = 0"]

@@ -145,7 +145,8 @@ def test_sequences_are_unique_and_bounded(spark):
     assert all(len(set(r["seq"])) == 5 for r in selection.beam(df).collect())
     story = selection.story(df, 10).collect()
     assert len({r["idx"] for r in story}) == 10 and {r["role"] for r in story} == {"opener", "subject", "detail", "contrast", "closer"}
-    assert selection.without_repeats([3, 1, 3, 2], [9, 3, 8]) == [3, 1, 9, 2]
+    spare = spark.createDataFrame([(9, 0.9), (3, 0.8), (8, 0.7), (1, 0.2), (2, 0.1)], "idx long, score double")
+    assert selection.without_repeats(spark.createDataFrame([([3, 1, 3, 2],)], "seq array<long>"), spare).first()["seq"] == [3, 1, 9, 2]
     assert selection.portfolio(df, 5).count() == 5 and selection.story(df.limit(0)).count() == 0
     best = selection.portfolio(df, 5).first()["value"]
     assert best >= 1.0
