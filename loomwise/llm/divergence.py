@@ -1,11 +1,12 @@
 """How far the sources of a language are from each other, term by term, in exact integers.
 
-Each kept term of a language is one row with a vector of its counts by source.
-Higher-order functions turn the vector into shares and emit a contribution for
-each ordered pair of sources of which at least one has the term; an aggregation
-that begins where the rows are sums them. What the terms add that neither source
-has is the same for each of them, and is added at the end, so the work follows
-the occurrences and not terms times pairs.
+Terms are counted where the text is read. Each kept term of a language is one row
+with a vector of its counts by source. Higher-order functions turn the vector into
+shares, and a row for each source that has the term holds what the term adds to
+its divergence from each other source, and to that of a source without the term
+from it; an aggregation that begins where the rows are sums them. What the terms
+add that neither source has is the same for each, and is added at the end, so the
+work follows the occurrences and not terms times pairs.
 
 A share is p = 1 + floor(10^9 (count + smoothing) / (N + smoothing V)) and the
 divergence of p from q adds up floor((p - q)^2 / q) over the kept terms. Counts up
@@ -21,18 +22,58 @@ play no part, whatever their names.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomwise.llm.common import ascii_lower, broadcast_if_small, written
+from loomwise.llm.common import broadcast_if_small, slices, written
 
-#: Between terms: ASCII that is no letter.
-GAP = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 ONE = 1_000_000_000
 
 
-def terms_of(text: Column) -> Column:
-    return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), GAP), "")
+#: Entries of a task's counters before it hands them on.
+HELD = 400_000
+#: Sources that an aggregation has a column for, and that a row of pair sums has.
+WIDE, BLOCK = 128, 32
+#: Separators become spaces, A-Z their lower case; bytes beyond ASCII belong to terms.
+SIGNS = bytes(x + 32 if 65 <= x <= 90 else x if x >= 128 or 97 <= x <= 122 else 32 for x in range(256))
+
+
+def terms_of(text: str | None) -> list[bytes]:
+    return text.encode("utf-8").translate(SIGNS).split() if text else []
+
+
+def count_terms(docs: DataFrame) -> DataFrame:
+    """lang, source, term, c (occurrences) and docs: partial counts, several rows for a term."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[tuple, tuple[Counter, Counter]] = {}
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for (lang, source), (c, docs) in seen.items():
+                n = len(c)
+                if n:
+                    term = pa.array(list(c), pa.binary()).cast(pa.string())
+                    cols = [pa.array([lang]).take(pa.array(np.zeros(n, np.int32))), pa.array([source]).take(pa.array(np.zeros(n, np.int32))), term, pa.array(list(c.values()), pa.int64()), pa.array([docs[w] for w in c], pa.int64())]
+                    yield pa.RecordBatch.from_arrays(cols, ["lang", "source", "term", "c", "docs"])
+            seen.clear()
+
+        for whole in batches:
+            for b in slices(whole):
+                for lang, source, text in zip(*(b.column(k).to_pylist() for k in ("lang", "source", "text")), strict=True):
+                    c, held = seen.setdefault((lang or "", source or ""), (Counter(), Counter()))
+                    words = terms_of(text)
+                    c.update(words)
+                    held.update(set(words))
+                if sum(len(c) for c, _ in seen.values()) > HELD:
+                    yield from out()
+        yield from out()
+
+    return docs.select("lang", "source", "text").mapInArrow(run, "lang string, source string, term string, c long, docs long")
 
 
 def _share(x: str, total: str) -> str:
@@ -54,18 +95,19 @@ def _groups(docs: DataFrame) -> DataFrame:
 
 def term_vectors(docs: DataFrame, groups: DataFrame, least: int = 3) -> DataFrame:
     """lang, term, total and counts (by the places k of the sources) of terms in at least ``least`` documents of a language."""
-    words = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), terms_of(F.col("text")).alias("w"))
-    # a document's terms, then its distinct ones: one pass gives occurrences and documents
-    both = words.select("lang", "source", F.size("w").alias("n"), F.concat("w", F.array_distinct("w")).alias("w"))
-    each = both.select("lang", "source", "n", F.posexplode("w").alias("at", "term"))
-    here = F.col("at") < F.col("n")
-    counts = each.groupBy("lang", "source", "term").agg(F.count(F.when(here, 1)).alias("c"), F.count(F.when(~here, 1)).alias("docs"))
+    most = groups.agg(F.max("k")).first()[0]
     size = groups.groupBy("lang").agg(F.count("*").cast("int").alias("size"))
-    placed = counts.join(broadcast_if_small(groups), ["lang", "source"])
-    # a term has at most one row for each source
-    wide = placed.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("c").alias("total"), F.map_from_entries(F.collect_list(F.struct("k", "c"))).alias("m"))
-    kept = wide.where(F.col("docs") >= least).join(broadcast_if_small(size), "lang")
-    return kept.select("lang", "term", "total", F.expr("transform(sequence(0, size - 1), i -> coalesce(try_element_at(m, i), 0L))").alias("counts"))
+    # one shuffle by language and term serves both aggregations; a task hands on a term once a source
+    counts = count_terms(docs).repartition("lang", "term").groupBy("lang", "term", "source").agg(F.sum("c").alias("c"), F.sum("docs").alias("docs"))
+    placed = counts.join(broadcast_if_small(groups), ["lang", "source"]).groupBy("lang", "term")
+    sums = [F.sum("docs").alias("docs"), F.sum("c").alias("total")]
+    if most is None or most < WIDE:
+        wide = placed.agg(*sums, F.array(*[F.coalesce(F.sum(F.when(F.col("k") == i, F.col("c"))), F.lit(0)) for i in range((most or 0) + 1)]).alias("m"))
+        counts = F.slice("m", F.lit(1), F.col("size"))
+    else:
+        wide = placed.agg(*sums, F.map_from_entries(F.collect_list(F.struct("k", "c"))).alias("m"))
+        counts = F.expr("transform(sequence(0, size - 1), i -> coalesce(try_element_at(m, i), 0L))")
+    return wide.where(F.col("docs") >= least).join(broadcast_if_small(size), "lang").select("lang", "term", "total", counts.alias("counts"))
 
 
 def _totals(vectors: DataFrame, smoothing: int) -> DataFrame:
@@ -81,25 +123,32 @@ def _totals(vectors: DataFrame, smoothing: int) -> DataFrame:
 
 def pair_divergences(vectors: DataFrame, totals: DataFrame, groups: DataFrame, smoothing: int = 1) -> DataFrame:
     """lang, source, item (each other source of the language) and value, the divergence of the source from it."""
+    most = groups.agg(F.max("k")).first()[0] or 0
+    width = min(most + 1, BLOCK)
     shares = vectors.join(totals, "lang").select(
         "lang",
         "counts",
         F.expr(f"transform(counts, (c, i) -> {_share(f'c + {smoothing}L', 'ns[i] + v')})").alias("p"),
         F.expr("filter(sequence(0, size(counts) - 1), i -> counts[i] > 0)").alias("has"),
-        F.expr("sequence(0, size(counts) - 1)").alias("every"),
-    )
-    one = f"struct(CAST(i AS BIGINT) * size(p) + j AS ij, {_apart('p[i]', 'p[j]')} AS f)"
-    emitted = shares.select("lang", F.expr(f"flatten(transform(every, i -> transform(filter(if(counts[i] > 0, every, has), j -> j != i), j -> {one})))").alias("each"))
-    sums = emitted.select("lang", F.inline("each")).groupBy("lang", "ij").agg(F.sum("f").alias("f"), F.count("*").alias("n"))
-    size = groups.groupBy("lang").agg(F.count("*").alias("size"))
-    a = groups.join(size, "lang")
-    b = groups.select("lang", F.col("source").alias("item"), F.col("k").alias("j"))
-    named = a.join(b, "lang").where("k != j").select("lang", "source", "item", "k", "j", (F.col("k") * F.col("size") + F.col("j")).alias("ij"))
-    none_i, none_j = (_share(f"{smoothing}L", f"ns[{x}] + v") for x in ("k", "j"))
-    unseen = F.expr(f"(terms - coalesce(n, 0L)) * ({_apart(none_i, none_j)})")
-    return named.join(sums, ["lang", "ij"], "left").join(totals, "lang", "left").select(
-        "lang", "source", "item", F.when(F.col("terms").isNull(), 0).otherwise(F.coalesce("f", F.lit(0)) + unseen).cast("long").alias("value")
     )
+    # a row for each source that has the term, and for each block of the others
+    each = shares.select("lang", "counts", "p", F.explode("has").alias("k")).select("lang", "counts", "p", "k", F.expr("p[k]").alias("own"), F.explode(F.expr(f"sequence(0, (size(p) - 1) div {width})")).alias("b"))
+    of = [f"b * {width} + {t}" for t in range(width)]
+    each = each.select("lang", "k", "b", "own", *[F.expr(f"get(p, {x})").alias(f"p{t}") for t, x in enumerate(of)], *[F.expr(f"get(counts, {x}) = 0").alias(f"z{t}") for t, x in enumerate(of)])
+    sums = [F.expr(f"sum({_apart('own', f'p{t}')})").alias(f"x{t}") for t in range(width)]  # it has the term, whatever the other
+    sums += [F.expr(f"sum(if(z{t}, {_apart(f'p{t}', 'own')}, 0L))").alias(f"y{t}") for t in range(width)]  # the other hasn't: the other's divergence from it
+    sums += [F.count_if(F.col(f"z{t}")).alias(f"n{t}") for t in range(width)]
+    by = each.groupBy("lang", "k", "b").agg(*sums, F.count("*").alias("has"))
+    entries = F.array(*[F.struct((F.col("b") * width + t).cast("int").alias("j"), F.col(f"x{t}").alias("x"), F.col(f"y{t}").alias("y"), F.col(f"n{t}").alias("n")) for t in range(width)])
+    by = written(vectors.sparkSession, by.select("lang", "k", "has", F.inline(entries)), "pairs")
+    ahead = by.select("lang", "k", "j", "x", "has")
+    back = by.select("lang", F.col("j").alias("k"), F.col("k").alias("j"), "y", "n")
+    named = groups.join(groups.select("lang", F.col("source").alias("item"), F.col("k").alias("j")), "lang").where("k != j")
+    none_k, none_j = (_share(f"{smoothing}L", f"ns[{x}] + v") for x in ("k", "j"))
+    unseen = F.expr(f"(terms - coalesce(has, 0L) - coalesce(n, 0L)) * ({_apart(none_k, none_j)})")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    all_of = named.join(ahead, ["lang", "k", "j"], "left").join(back, ["lang", "k", "j"], "left").join(totals, "lang", "left")
+    return all_of.select("lang", "source", "item", F.when(F.col("terms").isNull(), 0).otherwise(zero("x") + zero("y") + unseen).cast("long").alias("value"))
 
 
 def leading_terms(vectors: DataFrame, totals: DataFrame, groups: DataFrame, smoothing: int = 1) -> DataFrame:
