@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomwise.functions.scalar import file_name, folder
+from loomwise.operators.quantiles import exact_quantiles
 
 GRADE_ORDER = {"Strong": 0, "Mid": 1, "Weak": 2}
 
@@ -44,12 +45,15 @@ def star_histogram(df: DataFrame) -> DataFrame:
 
 
 def score_statistics(df: DataFrame, col: str = "score") -> DataFrame:
+    """Figures of a score column in one row; the median comes from ranges, as one state of all values would not be bounded."""
     c = F.col(col)
     part = lambda cond: F.avg(cond.cast("int"))
-    return df.agg(
-        F.min(c).alias("low"), F.max(c).alias("high"), F.avg(c).alias("mean"), F.percentile(c, F.lit(0.5)).alias("median"), F.stddev_pop(c).alias("std"),
+    median = exact_quantiles(df, col, [0.5]).select(F.col("value").alias("median"))
+    one = df.agg(
+        F.min(c).alias("low"), F.max(c).alias("high"), F.avg(c).alias("mean"), F.stddev_pop(c).alias("std"),
         part(F.col("faces") > 0).alias("with_faces"), part(c > 0.65).alias("strong_frac"), part(c < 0.45).alias("weak_frac"),
     )
+    return one.join(F.broadcast(median), F.lit(True), "left")
 
 
 def parents(df: DataFrame) -> DataFrame:

@@ -7,7 +7,6 @@ with them; where a sequencer states a pool, it is bounded by the top scores
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -16,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwise.functions.vectors import dot
+from loomwise.operators.skyline import skyline
 from loomwise.session import cut, materialised
 
 #: Weights (composition, human, mood, diversity) of the narrative roles.
@@ -48,32 +48,6 @@ def _beaten(a: str, b: str, cols: list[str]) -> Column:
     return reduce(lambda x, y: x & y, [x >= -EPS for x in d]) & reduce(lambda x, y: x | y, [x > EPS for x in d])
 
 
-def pareto_front(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Rows that no other row dominates; larger is better.
-
-    Each task first drops rows that one of its own rows beats outright, which
-    nothing else can undo; only what is left is compared across tasks.
-    """
-
-    def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept = None
-        for b in batches:
-            kept = b if kept is None else pd.concat([kept, b])
-            x = kept[cols].to_numpy(float)
-            order = np.argsort(-x.sum(1), kind="stable")  # nothing beats a row with a larger sum
-            front: list[int] = []
-            for i in order:
-                f = x[front]
-                if not len(front) or not ((f >= x[i]).all(1) & (f > x[i] + EPS).any(1)).any():
-                    front.append(i)
-            kept = kept.iloc[sorted(front)]
-        if kept is not None:
-            yield kept
-
-    few = cut(df.mapInPandas(local, df.schema))
-    return few.alias("b").join(few.select(*cols).alias("a"), _beaten("a", "b", cols), "left_anti").select("b.*")
-
-
 def _front_of(df: DataFrame, cols: list[str]) -> DataFrame:
     """The front of a bounded pool by a plain anti join."""
     return df.alias("b").join(F.broadcast(df.select(*cols)).alias("a"), _beaten("a", "b", cols), "left_anti").select("b.*")
@@ -119,7 +93,7 @@ def pareto3_sequence(df: DataFrame, target: int = 5) -> list:
         worst = F.greatest(*[dot(F.col("v"), F.lit(list(r["v"]))) for r in picked]) if len(picked) > 1 else dot(F.col("v"), F.lit(list(picked[0]["v"]))) if picked else None
         div = F.lit(0.5) if worst is None else F.least(F.greatest(1.0 - worst, F.lit(0.0)), F.lit(1.0))
         obj = {"o_sem": F.col("semantic"), "o_pers": F.col("personal"), "o_div": div}
-        front = pareto_front(pool.withColumns(obj), list(obj))
+        front = skyline(pool.withColumns(obj), list(obj))
         value = sum((F.col(o) * (x / sum(w)) for o, x in zip(obj, w, strict=True)), F.lit(0.0))
         row = front.withColumn("value", value).orderBy(F.desc("value"), "idx").withColumn("slot", F.lit(name)).withColumn("pos", F.lit(slot)).first()
         if row is None:

@@ -12,28 +12,31 @@ from loomwise.session import materialised
 def segment_events(df: DataFrame, by: list[str], ts: str = "exif_ts", id_: str = "id", gap: float = 900.0) -> DataFrame:
     """Add event (from 0) within each group: a new one when more than ``gap`` seconds pass.
 
-    A group without any time stamp (all 0) is one event, as all its gaps are 0.
+    Rows are sorted by ranges of group, time and id, so a group, or one moment of
+    it, may hold all rows. Events are numbered inside each range; a table with a row
+    for each group in each range, its first and last time and its number of starts,
+    carries the numbers on from range to range. A group without any time stamp (all
+    0) is one event, as all its gaps are 0; rows without a time come first.
     """
-    w = Window.partitionBy(*by).orderBy(ts, id_)
-    starts = F.when(F.col(ts) - F.lag(ts).over(w) > gap, 1).otherwise(0)
-    return df.withColumn("_start", starts).withColumn("event", F.sum("_start").over(w)).drop("_start")
-
-
-def events_by_range(df: DataFrame, ts: str = "exif_ts", id_: str = "id", gap: float = 900.0, width: float = 86_400.0) -> DataFrame:
-    """Segment one global timeline without a window over the whole table.
-
-    Time is cut into slices; gaps inside a slice come from a window by slice, gaps
-    between slices from each slice's first and last time and its number of starts,
-    a small table with a row a slice, whose running sums are joined back.
-    """
-    sliced = df.withColumn("_slice", F.floor(F.col(ts) / width))
-    w = Window.partitionBy("_slice").orderBy(ts, id_)
-    inner = sliced.withColumn("_s", F.when(F.col(ts) - F.lag(ts).over(w) > gap, 1).otherwise(0)).withColumn("_in", F.sum("_s").over(w))
-    edge = inner.groupBy("_slice").agg(F.min(ts).alias("lo"), F.max(ts).alias("hi"), F.sum("_s").alias("n"))
-    order = Window.orderBy("_slice")  # a row for each slice of time
-    jump = F.when(F.col("lo") - F.lag("hi").over(order) > gap, 1).otherwise(0)
-    edge = edge.withColumn("_jump", jump).withColumn("_base", F.sum(F.col("_jump")).over(order) + F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return inner.join(edge.select("_slice", "_base"), "_slice").withColumn("event", F.col("_base") + F.col("_in")).drop("_slice", "_s", "_in", "_base")
+    part, start, inside, base = "_part", "_start", "_in", "_base"
+    ranged = df.repartitionByRange(*by, ts, id_).withColumn(part, F.spark_partition_id())
+    rows = materialised(ranged, "ranges")  # the ranges stay what they are when a task is run again
+    w = Window.partitionBy(part, *by).orderBy(ts, id_)
+    inner = rows.withColumn(start, F.when(F.col(ts) - F.lag(ts).over(w) > gap, 1).otherwise(0)).withColumn(inside, F.sum(start).over(w))
+    edge = inner.groupBy(part, *by).agg(F.min(ts).alias("_lo"), F.max(ts).alias("_hi"), F.sum(start).alias("_n"))
+    order = Window.partitionBy(*by).orderBy(part)  # a row a range at most
+    jump = F.when(F.col("_lo") - F.lag("_hi").over(order) > gap, 1).otherwise(0)
+    edge = edge.withColumn("_jump", jump).withColumn(base, F.sum("_jump").over(order) + F.coalesce(F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    edge = edge.select(F.col(part).alias("_p"), *[F.col(b).alias(f"_by{k}") for k, b in enumerate(by)], base)
+    same = F.col(part) == F.col("_p")
+    for k, b in enumerate(by):
+        same = same & F.col(b).eqNullSafe(F.col(f"_by{k}"))
+    return inner.join(edge, same).withColumn("event", F.col(base) + F.col(inside)).select(*df.columns, "event")
+
+
+def events_by_range(df: DataFrame, ts: str = "exif_ts", id_: str = "id", gap: float = 900.0) -> DataFrame:
+    """Segment one global timeline."""
+    return segment_events(df, [], ts, id_, gap)
 
 
 def consolidate_bursts(df: DataFrame, by: list[str], window_s: float = 30.0, limit: float = 0.6) -> DataFrame:

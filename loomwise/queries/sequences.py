@@ -6,7 +6,7 @@ from itertools import permutations
 
 from pyspark.sql import functions as F
 
-from loomwise.operators import assignment, scoring, selection, store, timeline
+from loomwise.operators import assignment, scoring, selection, skyline, store, timeline
 from loomwise.plans import grading
 from loomwise.queries.grading import r6, s6
 
@@ -43,7 +43,7 @@ def _beats(a: str, b: str, cols) -> str:
 
 @query("pareto_front", f"{G} SELECT idx, {s6('score', 'comp', 'human')} FROM g b WHERE NOT EXISTS (SELECT 1 FROM g a WHERE {_beats('a', 'b', ['score', 'comp', 'human'])})")
 def pareto_front(spark, d):
-    return selection.pareto_front(grading.graded(spark, d).select("idx", "score", "comp", "human"), ["score", "comp", "human"]).select("idx", *r6("score", "comp", "human"))
+    return skyline.skyline(grading.graded(spark, d).select("idx", "score", "comp", "human"), ["score", "comp", "human"]).select("idx", *r6("score", "comp", "human"))
 
 
 def _role(w) -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomwise.functions import scalar
-from loomwise.operators import constraints, gallery, niche, scoring, selection, similarity, store, timeline
+from loomwise.operators import constraints, gallery, niche, quantiles, scoring, selection, similarity, store, timeline
 from loomwise.plans import grading, items
 from loomwise.queries import sequences
 from loomwise.queries.grading import r6, s6
@@ -221,8 +221,15 @@ def score_stats(spark, d):
 
 @query("event_stats", "SELECT event_type, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, round(quantile_cont(value, 0.5), 6) AS median, count(*) AS n FROM events GROUP BY event_type")
 def event_stats(spark, d):
-    e = items.table(spark, d, "events").groupBy("event_type")
-    return e.agg(F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_pop("value"), 6).alias("std"), F.round(F.percentile("value", F.lit(0.5)), 6).alias("median"), F.count("*").alias("n"))
+    e = items.table(spark, d, "events").select("event_type", "value")
+    figures = e.groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_pop("value"), 6).alias("std"), F.count("*").alias("n"))
+    median = quantiles.exact_quantiles(e, "value", [0.5], ["event_type"]).select(F.col("event_type").alias("of"), F.round("value", 6).alias("median"))
+    return figures.join(median, F.col("event_type").eqNullSafe(F.col("of")), "left").select("event_type", "mean", "std", "median", "n")
+
+
+@query("event_quantiles", "SELECT event_type, CAST(p AS DOUBLE) AS p, round(quantile_cont(value, p), 6) AS value FROM events, (SELECT unnest([0.0, 0.01, 0.25, 0.9, 1.0]) AS p) GROUP BY event_type, p".replace("quantile_cont(value, p)", "CASE p " + " ".join(f"WHEN {x} THEN quantile_cont(value, {x})" for x in (0.0, 0.01, 0.25, 0.9, 1.0)) + " END"))
+def event_quantiles(spark, d):
+    return quantiles.exact_quantiles(items.table(spark, d, "events"), "value", [0.0, 0.01, 0.25, 0.9, 1.0], ["event_type"]).select("event_type", "p", F.round("value", 6).alias("value"))
 
 
 @query("parent_folders", f"{SQL_T} SELECT split_part(path, '/', 1) AS folder, min(CAST(split_part(split_part(path, '_', 2), '.', 1) AS BIGINT)) AS first FROM t GROUP BY 1")
