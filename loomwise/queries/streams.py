@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomwise.functions.scalar import file_name
-from loomwise.operators.store import Snapshots
+from loomwise.operators.gallery import feedback_pairs
+from loomwise.operators.layers import Layers
 from loomwise.plans import items
 from loomwise.session import scratch_path
 from loomwise.sources import files
-from loomwise.streaming import jobs
+from loomwise.streaming import jobs, queue
 
 QUERIES, SQL = {}, {}
 
@@ -60,9 +61,9 @@ def stream_windows(spark, d):
 @query("watch_upsert", "SELECT 'p' || event_id AS path, event_type AS grade, value AS score FROM events UNION ALL SELECT 'p' || range, 'kept', 0.5 FROM range(10000000, 10000005)")
 def watch_upsert(spark, d):
     rows = _events(spark, d).select(F.concat(F.lit("p"), "event_id").alias("path"), F.col("event_type").alias("grade"), F.col("value").alias("score"))
-    table = Snapshots(spark, scratch_path(spark, "watched"), rows.schema)
+    table = Layers(spark, scratch_path(spark, "watched"), rows.schema, "path")
     old = spark.range(10_000_000, 10_000_005).union(spark.range(3))
-    table.publish(old.select(F.concat(F.lit("p"), "id").alias("path"), F.lit("kept").alias("grade"), F.lit(0.5).alias("score")))
+    table.upsert(old.select(F.concat(F.lit("p"), "id").alias("path"), F.lit("kept").alias("grade"), F.lit(0.5).alias("score")))
     _finished(jobs.upsert_into(rows, table, scratch_path(spark, "ck")))
     return table.read()
 
@@ -70,8 +71,8 @@ def watch_upsert(spark, d):
 @query("stream_history", "SELECT user_id, list(event_id ORDER BY ts, event_id) AS items FROM (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 25) GROUP BY user_id")
 def stream_history(spark, d):
     rows = jobs.histories(_events(spark, d).withColumn("at", F.unix_micros("ts")), "user_id", "event_id", "at")
-    table = Snapshots(spark, scratch_path(spark, "history"), rows.schema)
-    _finished(jobs.upsert_into(rows, table, scratch_path(spark, "ck"), "user_id"))
+    table = Layers(spark, scratch_path(spark, "history"), rows.schema, "user_id")
+    _finished(jobs.upsert_into(rows, table, scratch_path(spark, "ck")))
     return table.read()
 
 
@@ -88,6 +89,30 @@ def stream_feedback(spark, d):
     return spark.read.parquet(out)
 
 
+@query(
+    "feedback_requeue",
+    """WITH c AS (SELECT DISTINCT 'p' || (event_id % 500) AS path, [0.28, 0.50, 0.72][event_id % 3 + 1] AS o, [0.28, 0.50, 0.72][user_id % 3 + 1] AS w FROM events)
+SELECT path, CAST(greatest(o, w) AS DOUBLE) AS winner, CAST(least(o, w) AS DOUBLE) AS loser, w > o AS upgrade, 'sent' AS state, 3 AS attempts FROM c WHERE o <> w""",
+)
+def feedback_requeue(spark, d):
+    """Pairs whose receiver fails twice: each is received once, at the third attempt."""
+    e = _events(spark, d)
+    rows = e.select(F.concat(F.lit("p"), F.col("event_id") % 500).alias("path"), (F.col("event_id") % 3).cast("int").alias("old_level"), (F.col("user_id") % 3).cast("int").alias("new_level"))
+    pairs = feedback_pairs(rows).withColumn("key", F.concat_ws("/", "path", "winner", "loser", "upgrade"))
+    received = Layers(spark, scratch_path(spark, "received"), pairs.schema, "key")
+    failures = iter([True, True])
+
+    def send(pending):
+        if next(failures, False):
+            raise ConnectionError("the receiver is away")
+        received.upsert(pending)
+
+    waiting = queue.FeedbackQueue(spark, scratch_path(spark, "queue"), pairs.schema, "key", send)
+    _finished(waiting.start(pairs, scratch_path(spark, "ck")))
+    waiting.drain()
+    return received.read().join(waiting.table.read().select("key", "state", "attempts"), "key").drop("key")
+
+
 _FILES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from loomwise.operators.gallery import feedback_pairs
-from loomwise.operators.store import Snapshots
+from loomwise.operators.layers import Layers
 
 
 def watch(spark: SparkSession, folder: str, schema: T.StructType, pattern: str = "*", files: int = 100) -> DataFrame:
@@ -19,9 +19,9 @@ def watch(spark: SparkSession, folder: str, schema: T.StructType, pattern: str =
     return spark.readStream.schema(schema).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", files).parquet(folder)
 
 
-def upsert_into(stream: DataFrame, table: Snapshots, checkpoint: str, key: str = "path") -> StreamingQuery:
-    """Merge each batch into a table of snapshots. A batch that is run again merges to the same rows."""
-    write = stream.writeStream.foreachBatch(lambda batch, _: table.upsert(batch, key)).outputMode("update")
+def upsert_into(stream: DataFrame, table: Layers, checkpoint: str) -> StreamingQuery:
+    """Merge each batch into a table of layers, which writes the batch's rows; a batch that is run again changes nothing."""
+    write = stream.writeStream.foreachBatch(lambda batch, number: table.upsert(batch, number, checkpoint)).outputMode("update")
     return write.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
