@@ -70,15 +70,29 @@ def history(df: DataFrame, keep: int = 25) -> DataFrame:
     return df.orderBy(F.desc("generated_at"), "path").limit(keep)
 
 
+def numbered_by(df: DataFrame, by: list[str], order: list[str], to: str = "n") -> DataFrame:
+    """Rows of each group numbered from 0 in an order, without one task for a group.
+
+    Rows are sorted by ranges and numbered inside each; a table with a row for each
+    group in each range says how many of the group come before.
+    """
+    ranged = materialised(df.repartitionByRange(*by, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    inside = ranged.withColumn("_in", F.row_number().over(Window.partitionBy("_part", *by).orderBy(*order)) - 1)
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a range at most
+    sizes = ranged.groupBy("_part", *by).count().withColumn("_base", F.coalesce(F.sum("count").over(before), F.lit(0)))
+    sizes = sizes.select(F.col("_part").alias("_p"), *[F.col(b).alias(f"_by{k}") for k, b in enumerate(by)], "_base")
+    same = F.col("_part") == F.col("_p")
+    for k, b in enumerate(by):
+        same = same & F.col(b).eqNullSafe(F.col(f"_by{k}"))
+    return inside.join(sizes, same).select(*df.columns, (F.col("_base") + F.col("_in")).alias(to))
+
+
 def export_paths(df: DataFrame, dest: str, grades: list[str]) -> DataFrame:
     """source and target of each row with a wanted grade; a name that is taken gets _1, _2 and so on."""
-    name, order = file_name(F.col("path")), Window.partitionBy("grade", "_name").orderBy("path")
-    stem = F.regexp_replace("_name", r"\.[^.]*$", "")
-    ext = F.regexp_extract("_name", r"(\.[^.]*)$", 1)
-    r = F.col("_r") - 1
-    final = F.when(r == 0, F.col("_name")).otherwise(F.concat(stem, F.lit("_"), r.cast("string"), ext))
-    named = df.where(F.col("grade").isin(grades)).withColumn("_name", name).withColumn("_r", F.row_number().over(order))
-    return named.select(F.col("path").alias("source"), F.concat_ws("/", F.lit(dest), "grade", final).alias("target"))
+    from loomwise.sources.export import free_names
+
+    named = free_names(df.where(F.col("grade").isin(grades)).withColumn("_name", file_name(F.col("path"))), "grade", "_name", "path")
+    return named.select(F.col("path").alias("source"), F.concat_ws("/", F.lit(dest), "grade", "final").alias("target"))
 
 
 def numbered(df: DataFrame, *order: str, to: str = "n") -> DataFrame:
@@ -134,7 +148,8 @@ class Snapshots:
         stream = self.fs.create(temp, True)
         stream.write(bytearray(json.dumps({"dir": name}).encode()))
         stream.close()
-        self.fs.rename(temp, self.hadoop.Path(f"{self.root}/pointers/p{n:08d}"))
+        if not self.fs.rename(temp, self.hadoop.Path(f"{self.root}/pointers/p{n:08d}")):
+            raise OSError(f"could not publish a version in {self.root}")
 
     def upsert(self, new: DataFrame, key: str = "path") -> None:
         self.publish(upsert(self.read(), conformed(new, self.schema, {}), key))

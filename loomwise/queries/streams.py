@@ -9,7 +9,7 @@ from loomwise.operators.gallery import feedback_pairs
 from loomwise.operators.layers import Layers
 from loomwise.plans import items
 from loomwise.session import scratch_path
-from loomwise.sources import files
+from loomwise.sources import export, files
 from loomwise.streaming import jobs, queue
 
 QUERIES, SQL = {}, {}
@@ -113,6 +113,65 @@ def feedback_requeue(spark, d):
     return received.read().join(waiting.table.read().select("key", "state", "attempts"), "key").drop("key")
 
 
+def _document_files(spark, d):
+    """Documents as files below a new folder: doc_id, text and path; names repeat from folder to folder."""
+    base = scratch_path(spark, "files")
+    path = F.concat(F.lit(f"{base}/in/d"), "doc_id", F.lit("/page_"), F.col("doc_id") % 7, F.lit(".txt"))
+    docs = items.table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), path.alias("path"))
+    return base, docs
+
+
+_EXPORTED = """WITH f AS (SELECT doc_id, text, 'd' || doc_id || '/page_' || (doc_id % 7) || '.txt' AS path, ['Strong', 'Mid', 'Weak'][doc_id % 3 + 1] AS grade, 'page_' || (doc_id % 7) AS stem FROM documents),
+n AS (SELECT *, row_number() OVER (PARTITION BY grade, stem ORDER BY path) - 1 AS r FROM f WHERE grade <> 'Weak' AND doc_id % 11 <> 0)"""
+
+
+@query(
+    "export_files",
+    f"""{_EXPORTED} SELECT f.path AS source, CASE WHEN n.r IS NOT NULL THEN f.grade || '/' || f.stem || CASE WHEN n.r = 0 THEN '' ELSE '_' || n.r END || '.txt' END AS target,
+CASE WHEN n.r IS NOT NULL THEN 'copied' WHEN f.grade = 'Weak' THEN 'skipped' ELSE 'error' END AS outcome, CASE WHEN n.r IS NOT NULL THEN sha256(coalesce(f.text, '')) END AS sha256
+FROM f LEFT JOIN n USING (doc_id)""",
+)
+def export_files(spark, d):
+    """Files copied by grade, twice over as a task that runs again would, then listed and compared; a file in eleven is missing."""
+    base, docs = _document_files(spark, d)
+    export.write_texts(docs.where("doc_id % 11 <> 0"), "path", "text").count()
+    grade = F.get(F.array(*map(F.lit, ("Strong", "Mid", "Weak"))), (F.col("doc_id") % 3).cast("int")).alias("grade")
+    report = export.export_files(docs.select("path", grade), f"{base}/out", ["Strong", "Mid"])
+    inner = lambda c, part: F.regexp_replace(c, f"^.*/{part}/", "")
+    there = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{base}/out")
+    there = there.select(inner("path", "out").alias("target"), F.sha2("content", 256).alias("sha256"))
+    told = report.select(inner("source", "in").alias("source"), inner("target", "out").alias("target"), "outcome")
+    return told.join(there, "target", "full_outer").select("source", "target", "outcome", "sha256")
+
+
+@query("content_fingerprint", "SELECT doc_id, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first FROM documents")
+def content_fingerprint(spark, d):
+    """Documents as files, and of each the first file that holds the same."""
+    base, docs = _document_files(spark, d)
+    export.write_texts(docs, "path", "text").count()
+    found = export.content_fingerprints(spark, [f"{base}/in"], ["txt"], chunk=1000)
+    of = found.select(F.regexp_extract("path", r"/d(\d+)/[^/]*$", 1).cast("long").alias("doc_id"), "size", "fingerprint")
+    first = of.groupBy("fingerprint", F.col("size").alias("s")).agg(F.min("doc_id").alias("first"))
+    return of.join(first, "fingerprint").select("doc_id", "first")
+
+
+@query(
+    "sidecar_files",
+    """SELECT doc_id, CAST(least(greatest(round_even(doc_id % 90 / 90.0 * 5, 0), 0), 5) AS INTEGER) AS rating, coalesce(lang, '') AS label, sha256(coalesce(text, '')) AS sha256 FROM documents""",
+)
+def sidecar_files(spark, d):
+    """XMP sidecars of all documents, read back field by field."""
+    base = scratch_path(spark, "sidecars")
+    docs = items.table(spark, d, "documents").select(F.concat(F.lit("in/doc"), "doc_id", F.lit(".txt")).alias("path"), (F.col("doc_id") % 90 / 90).alias("score"), F.col("lang").alias("grade"), F.col("text").alias("critique"), F.lit("{}").alias("breakdown"))
+    export.write_sidecars(docs, base).count()
+    text = spark.read.format("binaryFile").load(base).select("path", F.decode("content", "UTF-8").alias("x"))
+    field = lambda tag: F.regexp_extract("x", f"(?s)<{tag}>(.*)</{tag}>", 1)
+    plain = field("dc:description")
+    for sign, name in ((">", "&gt;"), ("<", "&lt;"), ("&", "&amp;")):
+        plain = F.replace(plain, F.lit(name), F.lit(sign))
+    return text.select(F.regexp_extract("path", r"doc(\d+)\.xmp$", 1).cast("long").alias("doc_id"), field("xmp:Rating").cast("int").alias("rating"), field("xmp:Label").alias("label"), F.sha2(plain, 256).alias("sha256"))
+
+
 _FILES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
