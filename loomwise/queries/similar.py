@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomwise.functions.vectors import cosine, doubles, fit, norm
-from loomwise.operators import niche, similarity
+from loomwise.operators import niche, quantised, similarity
 from loomwise.plans import grading, items
 from loomwise.queries.grading import r6, s6
 
@@ -222,6 +222,17 @@ def cell_search(spark, d):
     return similarity.CellIndex(u).search(u.where("id % 20 = 0"), probes=12).select("query_id", "rank", "id", *r6("cos"))
 
 
+@query(
+    "quantised_search",
+    f"""{U}, k AS (SELECT q.id AS query_id, u.id, list_inner_product(u.v, q.v) AS cos FROM u JOIN u q ON q.id % 20 = 0 AND u.id <> q.id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY cos DESC, id) AS INTEGER) AS rank, id, round(cos, 6) AS cos FROM k QUALIFY rank <= 20""",
+)
+def quantised_search(spark, d):
+    """The twenty nearest rows of each row whose id is divisible by 20, exactly, by bounds from the bytes of all cells."""
+    u = items.units(spark, d)
+    return quantised.ProductIndex(u).search(u.where("id % 20 = 0"), probes=16, rerank=None).select("query_id", "rank", "id", *r6("cos"))
+
+
 @query("kmeans_labels")
 def kmeans_labels(spark, d):
     g = grading.graded(spark, d).where("score > 0.20").select(F.col("idx").alias("id"), "v")
