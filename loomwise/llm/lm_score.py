@@ -14,8 +14,7 @@ of a class are one unit, in which words have their smoothed shares.
 What is learned grows with the corpus. Each token is an event that is dealt to a
 shard by the word before it; there is a shard for every SHARD training tokens,
 with weight rows of its own, so that rows and pairs grow with the tokens. Words
-so common that they would fill a shard are dealt to several, by the words before
-them. A shard is one task: it makes AdaGrad steps on sparse rows in numpy over
+so common that they would fill a shard are dealt to several, by the documents. A shard is one task: it makes AdaGrad steps on sparse rows in numpy over
 its training events, then diagonal Newton steps on its pairs, and then scores
 all its events. Only sums by document leave it. Events travel as packed blocks
 of a few bytes each; no task holds more than a shard.
@@ -312,9 +311,9 @@ def _deal_task(m):
                 one, two, three = _before(h, place)
                 times = np.concatenate([[1], spread[codes.unit[token]][:-1]])
                 times[place == 0] = model.first_spread
-                # a text's events after one word stay together where words before it are alike
-                other = _spread(_pair(two, three), ODD[0], 1 << 16).astype(np.int64) + doc * (place == 0)
-                shard = (_spread(one, ODD[3], 1 << 31).astype(np.int64) + other % times) % model.shards
+                # a common word's events are dealt by their documents, so that no context, as of a line in most texts, is one task
+                of_doc = _spread(part.column("key").to_numpy().astype(np.uint64).astype(np.uint32), ODD[2], 1 << 31).astype(np.int64)
+                shard = (_spread(one, ODD[3], 1 << 31).astype(np.int64) + of_doc[doc] % times) % model.shards
                 number = (doc + len(keys)).astype(np.uint16)
                 number[part.column("held_out").to_numpy(zero_copy_only=False).astype(bool)[doc]] |= np.uint16(HELD)
                 rows = [_spread(x, o, DIM).astype(np.uint16) for x, o in ((two, ODD[1]), (three, ODD[2]), (_pair(one, two), ODD[3]))]
@@ -328,6 +327,34 @@ def _deal_task(m):
     return run
 
 
+def _ordered(last: np.ndarray, rows: list[np.ndarray], unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order of events that doesn't depend on how they came; the distinct pairs (last word, unit), and each event's pair."""
+    rest = (rows[0].astype(np.uint32) * np.uint32(ODD[0]) + rows[1].astype(np.uint32) * np.uint32(ODD[1]) + rows[2].astype(np.uint32) * np.uint32(ODD[2])) >> np.uint32(UNIT)
+    key = last.astype(np.uint64) << np.uint64(32) | unit.astype(np.uint64) << np.uint64(32 - UNIT) | rest.astype(np.uint64)
+    order = np.argsort(key)
+    pair = key[order] >> np.uint64(32 - UNIT)
+    new = np.ones(len(pair), bool)
+    new[1:] = pair[1:] != pair[:-1]
+    of = np.empty(len(pair), np.int64)
+    of[order] = np.cumsum(new) - 1
+    return order, pair[new], of
+
+
+def _inside(pair: np.ndarray, n: np.ndarray, model: Model) -> np.ndarray:
+    """Log probabilities of units in their classes, by pair (last word, unit) learned from n events.
+
+    A pair without events has the weight 0, so it has its share of what its group's
+    sum leaves; a group without learned pairs has the sum 1.
+    """
+    unit = (pair & np.uint64((1 << UNIT) - 1)).astype(np.int64)
+    groups, group = np.unique((pair >> np.uint64(UNIT)) << np.uint64(16) | model.cls[unit].astype(np.uint64), return_inverse=True)
+    met, v, log_sum = n > 0, np.zeros(len(pair)), np.zeros(len(groups))
+    if met.any():
+        v[met], known = pair_weights(n[met].astype(float), model.share[unit[met]], group[met])
+        log_sum[: len(known)] = known
+    return np.log(model.share[unit]) + v - log_sum[group]
+
+
 def _shard_task(m, rate: float):
     """A shard's events to its weights, and from these to the log10 probabilities of its documents' events, by block."""
     schema = pa.schema([("block", pa.int64()), ("keys", pa.binary()), ("docs", pa.binary()), ("sums", pa.binary())])
@@ -344,15 +371,12 @@ def _shard_task(m, rate: float):
         r2, r3, rp = (np.concatenate(x) for x in zip(*rows, strict=True))
         f, cls = np.stack([_spread(last, ODD[0], DIM).astype(np.uint16), r2, r3, rp]), model.cls[unit]
         learned = np.nonzero(doc < HELD)[0]
-        mixed = np.random.default_rng(sum(sizes)).permutation(learned)
+        # what is learned, its order too, comes from the learned events alone
+        order, pair, of = _ordered(last, [r2, r3, rp], unit)
+        canon = order[(doc < HELD)[order]]
+        mixed = canon[np.random.default_rng(len(canon)).permutation(len(canon))]
         w = class_weights(model.bias, f[:, mixed], cls[mixed], rate)
-        pair, of = np.unique(last.astype(np.uint64) << np.uint64(32) | unit.astype(np.uint64), return_inverse=True)
-        n = np.bincount(of[learned], minlength=len(pair)).astype(float)
-        its = (pair & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        _, group = np.unique((pair >> np.uint64(32)) << np.uint64(16) | model.cls[its].astype(np.uint64), return_inverse=True)
-        v, log_sum = pair_weights(n, model.share[its], group)
-        inside = np.log(model.share[its]) + v - log_sum[group]
-        p = inside[of]
+        p = _inside(pair, np.bincount(of[learned], minlength=len(pair)), model)[of]
         for s in range(0, len(p), STEP):
             z, _, total = _softmax(model.bias, w, f[:, s : s + STEP].astype(np.int64))
             p[s : s + STEP] += z[np.arange(len(z)), cls[s : s + STEP]] - np.log(total)
