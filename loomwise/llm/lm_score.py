@@ -37,6 +37,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,7 +47,7 @@ from loomwise.llm.common import row_key, slices, written
 #: Stands for the end of a text; no word holds a space.
 END = b" "
 HEAD = 200_000
-CLASSES = 32
+CLASSES = 32  # 256 at most
 #: Weight rows of a shard, and the training tokens that a shard is meant for.
 DIM, SHARD = 1 << 16, 2_000_000
 #: Texts taken at once, and their bytes.
@@ -269,15 +270,19 @@ def _pack(last: np.ndarray, rows: list[np.ndarray], unit: np.ndarray, doc: np.nd
     lasts, sizes = np.repeat(last[first], runs), np.full(int(runs.sum()), 255, np.uint8)
     sizes[np.cumsum(runs) - 1] = times - 255 * (runs - 1)
     head = np.array([len(last), len(lasts)], np.uint32)
-    return b"".join([a.tobytes() for a in [head, lasts, unit.astype(np.uint32) | doc.astype(np.uint32) << np.uint32(UNIT), *rows, sizes]])
+    # the first bytes of all numbers, then the second ones and so on: these compress, the numbers themselves hardly
+    planes = [a.view(np.uint8).reshape(len(a), -1).T.tobytes() for a in [lasts, unit.astype(np.uint32) | doc.astype(np.uint32) << np.uint32(UNIT), *rows, sizes]]
+    return head.tobytes() + zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
 
 
 def _unpack(data: bytes) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
     n, m = (int(x) for x in np.frombuffer(data, np.uint32, 2))
-    at, out = 8, []
+    planes, at, out = zstandard.ZstdDecompressor().decompress(data[8:]), 0, []
     for kind, size in ((np.uint32, m), (np.uint32, n), *[(np.uint16, n)] * 3, (np.uint8, m)):
-        out.append(np.frombuffer(data, kind, size, at))
-        at += out[-1].nbytes
+        width = np.dtype(kind).itemsize
+        flat = np.frombuffer(planes, np.uint8, size * width, at).reshape(width, size)
+        out.append(np.ascontiguousarray(flat.T).reshape(-1).view(kind))
+        at += size * width
     last, both, *rows, sizes = out
     return np.repeat(last, sizes), rows, (both & np.uint32((1 << UNIT) - 1)).astype(np.int32), (both >> np.uint32(UNIT)).astype(np.uint16)
 
@@ -331,12 +336,12 @@ def _ordered(last: np.ndarray, rows: list[np.ndarray], unit: np.ndarray) -> tupl
     """An order of events that doesn't depend on how they came; the distinct pairs (last word, unit), and each event's pair."""
     rest = (rows[0].astype(np.uint32) * np.uint32(ODD[0]) + rows[1].astype(np.uint32) * np.uint32(ODD[1]) + rows[2].astype(np.uint32) * np.uint32(ODD[2])) >> np.uint32(UNIT)
     key = last.astype(np.uint64) << np.uint64(32) | unit.astype(np.uint64) << np.uint64(32 - UNIT) | rest.astype(np.uint64)
-    order = np.argsort(key)
+    order = np.argsort(key).astype(np.int32)
     pair = key[order] >> np.uint64(32 - UNIT)
     new = np.ones(len(pair), bool)
     new[1:] = pair[1:] != pair[:-1]
-    of = np.empty(len(pair), np.int64)
-    of[order] = np.cumsum(new) - 1
+    of = np.empty(len(pair), np.int32)
+    of[order] = np.cumsum(new, dtype=np.int32) - 1
     return order, pair[new], of
 
 
@@ -368,15 +373,18 @@ def _shard_task(m, rate: float):
         lasts, rows, units, docs = zip(*map(_unpack, data), strict=True)
         sizes = [len(x) for x in lasts]
         last, unit, doc = (np.concatenate(x) for x in (lasts, units, docs))
-        r2, r3, rp = (np.concatenate(x) for x in zip(*rows, strict=True))
-        f, cls = np.stack([_spread(last, ODD[0], DIM).astype(np.uint16), r2, r3, rp]), model.cls[unit]
-        learned = np.nonzero(doc < HELD)[0]
+        f = np.stack([_spread(last, ODD[0], DIM).astype(np.uint16), *(np.concatenate(x) for x in zip(*rows, strict=True))])
+        cls = model.cls[unit].astype(np.uint8)
+        del t, data, lasts, rows, units, docs
         # what is learned, its order too, comes from the learned events alone
-        order, pair, of = _ordered(last, [r2, r3, rp], unit)
-        canon = order[(doc < HELD)[order]]
+        order, pair, of = _ordered(last, f[1:], unit)
+        canon = order[doc[order] < HELD]
+        n = np.bincount(of[canon], minlength=len(pair))
         mixed = canon[np.random.default_rng(len(canon)).permutation(len(canon))]
+        del last, unit, order, canon
         w = class_weights(model.bias, f[:, mixed], cls[mixed], rate)
-        p = _inside(pair, np.bincount(of[learned], minlength=len(pair)), model)[of]
+        p = _inside(pair, n, model)[of]
+        del mixed, of, pair, n
         for s in range(0, len(p), STEP):
             z, _, total = _softmax(model.bias, w, f[:, s : s + STEP].astype(np.int64))
             p[s : s + STEP] += z[np.arange(len(z)), cls[s : s + STEP]] - np.log(total)
