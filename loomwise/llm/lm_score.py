@@ -223,6 +223,22 @@ def _softmax(bias: np.ndarray, weights: np.ndarray, f: np.ndarray) -> tuple[np.n
     return z, e, e @ np.ones(e.shape[1], np.float32)
 
 
+def _segment_sums(g: np.ndarray, of: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of g's rows ``of``, from each place in ``first`` up to the next; most are of a row or two, which need no reduction."""
+    size = np.diff(first, append=len(of))
+    out = g.take(of[first], 0)
+    two = np.nonzero((size > 1) & (size <= 3))[0]
+    out[two] += g.take(of[first[two] + 1], 0)
+    three = two[size[two] == 3]
+    out[three] += g.take(of[first[three] + 2], 0)
+    long = np.nonzero(size > 3)[0]
+    if len(long):
+        n = size[long]
+        start = np.cumsum(n) - n
+        out[long] = np.add.reduceat(g.take(of[np.repeat(first[long] - start, n) + np.arange(n.sum())], 0), start)
+    return out
+
+
 def class_weights(bias: np.ndarray, f: np.ndarray, cls: np.ndarray, rate: float, dim: int = DIM) -> np.ndarray:
     """Weights of the classes, from AdaGrad steps over tokens with the feature rows f and the classes cls."""
     w, square = np.zeros((dim, len(bias)), np.float32), np.full(dim, 1e-2, np.float32)
@@ -235,7 +251,7 @@ def class_weights(bias: np.ndarray, f: np.ndarray, cls: np.ndarray, rate: float,
         order = np.argsort(rows.astype(np.uint16) if dim <= 1 << 16 else rows, kind="stable")
         rows = rows[order]
         first = np.nonzero(np.diff(rows, prepend=-1))[0]
-        step = np.add.reduceat(g.take(order % len(g), 0), first)
+        step = _segment_sums(g, order % len(g), first)
         rows = rows[first]
         square[rows] += np.einsum("ij,ij->i", step, step) / step.shape[1]
         step *= (rate / np.sqrt(square[rows]))[:, None]

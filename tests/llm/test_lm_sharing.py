@@ -70,3 +70,13 @@ def test_one_repeated_sentence_is_dealt_to_all_shards(spark):
     for r in dealt.where("shard >= 0").collect():
         events[r["shard"]] = events.get(r["shard"], 0) + int(np.frombuffer(r["data"][:4], np.uint32)[0])
     assert sum(events.values()) == 4000 * 12 and max(events.values()) < 4 * 2000
+
+
+def test_segment_sums():
+    rng = np.random.default_rng(1)
+    g = rng.normal(size=(50, 4)).astype(np.float32)
+    for sizes in ([1, 1, 1], [1, 2, 3, 4, 9, 1], [7], [3, 3, 2, 2]):
+        of = rng.integers(0, 50, sum(sizes))
+        first = np.cumsum([0, *sizes[:-1]])
+        want = np.array([g[of[a : a + n]].sum(0) for a, n in zip(first, sizes, strict=True)])
+        assert lm_score._segment_sums(g, of, first) == pytest.approx(want, abs=1e-5)
