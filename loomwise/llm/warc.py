@@ -6,10 +6,11 @@ the same file. Of equal payloads (SHA-256 and length) of at least ``min_bytes``
 the largest page_id becomes a response, the others are revisits that refer to it.
 
 The reader works on any mix of gzip members and plain records; a member may hold
-several records, and header lines may be folded. A member that does not
-decompress, or a record whose version line, length, end or digests are wrong, is
-quarantined: the reader searches for the next valid member or version line, goes
-on there, and logs the gap of bytes with the reason. Digests are SHA-1 in base32
+several records, header lines may be folded and end without a carriage return. A
+record whose version line, length, end or digests are wrong is quarantined: the
+reader goes on at its end, or where that is not known at the next valid member or
+version line, inside the member too, and logs the gap of bytes with the reason. Of
+a member that ceases to decompress the records before that are given. Digests are SHA-1 in base32
 or hex of either case; those of other algorithms are not verified. It reads in
 chunks, and a record's digests are taken as its bytes pass, so that without
 ``payloads`` a record of any length needs no more memory than a chunk.
@@ -17,7 +18,9 @@ chunks, and a record's digests are taken as its bytes pass, so that without
 Defined results. A null html is an empty payload. A null page_id sorts lowest.
 Rows that repeat the largest page_id with the same payload are all responses.
 An empty table gives no archives and no rows; an archive that is all damage
-gives gaps only. Control characters in a URL are percent-encoded.
+gives gaps only. Control characters in a URL are percent-encoded. A URL of more
+than 64 KiB is the block of a metadata record before its page's, which names it by
+its SHA-1, as readers bound their headers.
 """
 
 from __future__ import annotations
@@ -39,8 +42,12 @@ from loomwise.session import scratch_path
 MIN_BYTES = 1000
 CHUNK = 1 << 18
 MAGIC, VERSION = b"\x1f\x8b\x08", b"WARC/1."
-#: A record's header is at most so long.
-HEADER = 1 << 20
+#: A record's header is at most so long, and a url in one of the writer's.
+HEADER, URI = 1 << 20, 1 << 16
+#: Bytes of a member's records that the reader holds before it looks for the member's end.
+HELD = 1 << 24
+BLANK = re.compile(rb"\r?\n\r?\n")
+VERSION_LINE = re.compile(rb"WARC/1\.\d\r?\n[A-Za-z-]+:")
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {}\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -70,11 +77,17 @@ def member(record: bytes, level: int = 6) -> bytes:
     return z.compress(record) + z.flush()
 
 
-def _page_record(page_id, url, html, refers) -> bytes:
+def _page_records(page_id, url, html, refers) -> list[bytes]:
+    """A page's record, after one with its url if that is too long for a header."""
     payload = (html or "").encode("utf-8")
     http = HTTP.format(len(payload)).encode()
     uri = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or "urn:x-none")
     name = "null" if page_id is None else str(page_id)
+    before = []
+    if len(uri.encode("utf-8")) > URI:  # readers bound their headers: the url becomes the block of a record of its own
+        block = uri.encode("utf-8")
+        uri = f"urn:sha1:{hashlib.sha1(block).hexdigest()}"
+        before = [record_bytes("metadata", {"WARC-Record-ID": f"<urn:x-url:{name}>", "WARC-Target-URI": uri, "WARC-Date": "2024-01-01T00:00:00Z", "Content-Type": "text/uri-list"}, block)]
     fields = {
         "WARC-Record-ID": f"<urn:x-page:{name}>",
         "WARC-Target-URI": uri,
@@ -84,8 +97,8 @@ def _page_record(page_id, url, html, refers) -> bytes:
         "X-Payload-Length": str(len(payload)),
     }
     if refers is None:
-        return record_bytes("response", fields, http + payload)
-    return record_bytes("revisit", fields | {"WARC-Profile": PROFILE, "WARC-Refers-To": f"<urn:x-page:{refers}>"}, http)
+        return [*before, record_bytes("response", fields, http + payload)]
+    return [*before, record_bytes("revisit", fields | {"WARC-Profile": PROFILE, "WARC-Refers-To": f"<urn:x-page:{refers}>"}, http)]
 
 
 def write_archives(spark: SparkSession, pages: DataFrame, folder: str, min_bytes: int = MIN_BYTES) -> DataFrame:
@@ -111,7 +124,7 @@ def write_archives(spark: SparkSession, pages: DataFrame, folder: str, min_bytes
                     out = fs.open_output_stream(temp, compression=None)
                     out.write(member(record_bytes("warcinfo", {"WARC-Record-ID": f"<urn:x-archive:{task.partitionId()}>", "WARC-Date": "2024-01-01T00:00:00Z", "Content-Type": "application/warc-fields"}, b"format: WARC File Format 1.1\r\n")))
                 known = lambda v: None if v is None or v != v else int(v)
-                out.write(member(_page_record(known(page_id), url, html, known(refers))))
+                out.write(b"".join(map(member, _page_records(known(page_id), url, html, known(refers)))))
                 count += 1
         if out is not None:
             out.close()
@@ -162,18 +175,18 @@ class _Bytes:
 
 
 class Damaged(Exception):
-    """A record or member that fails a check; ``end`` is where it ends, if that is known."""
+    """A record or member that fails a check; ``whole``: a record that is read to its end all the same."""
 
-    def __init__(self, reason: str, end: int | None = None):
+    def __init__(self, reason: str, whole: bool = False):
         super().__init__(reason)
-        self.reason, self.end = reason, end
+        self.reason, self.whole = reason, whole
 
 
 class _Window:
     """The bytes of a member as they are inflated, or of the file itself, read forward."""
 
     def __init__(self, src: _Bytes, at: int, packed: bool):
-        self.src, self.at, self.held = src, at, b""
+        self.src, self.at, self.held, self.taken = src, at, b"", 0
         self.z = zlib.decompressobj(31) if packed else None
         self.over = False
 
@@ -195,6 +208,11 @@ class _Window:
             self.over = self.z.eof
         self.held += data
 
+    def _drop(self, n: int) -> bytes:
+        out, self.held = self.held[:n], self.held[n:]
+        self.taken += len(out)
+        return out
+
     def end(self) -> int:
         """Where the bytes not yet taken begin, or, of a member, where it ends."""
         return self.at if self.z else self.at - len(self.held)
@@ -204,30 +222,55 @@ class _Window:
             self._more()
         return not self.held
 
-    def until(self, mark: bytes, most: int) -> bytes:
-        """The bytes before a mark, which is taken as well."""
-        while (stop := self.held.find(mark)) < 0:
-            if self.over or len(self.held) > most:
+    def header(self, most: int) -> bytes:
+        """The bytes before a blank line, which is taken as well."""
+        seen = 0
+        while not (found := BLANK.search(self.held, max(0, seen - 3))):
+            seen = len(self.held)
+            if self.over or seen > most:
                 raise Damaged("header does not end")
             self._more()
-        out, self.held = self.held[:stop], self.held[stop + len(mark) :]
-        return out
+        out = self._drop(found.end())
+        return out[: found.start()]
 
     def take(self, n: int) -> Iterator[bytes]:
         """The next n bytes, in pieces."""
         while n:
-            if not self.held:
-                if self.over:
-                    raise Damaged("length differs")
-                self._more()
-                continue
-            piece, self.held = self.held[:n], self.held[n:]
+            if self.empty():
+                raise Damaged("length differs")
+            piece = self._drop(n)
             n -= len(piece)
             yield piece
 
+    def starts(self, mark: bytes) -> bool:
+        """Whether the next bytes are a mark, which is taken then."""
+        while len(self.held) < len(mark) and not self.over:
+            self._more()
+        found = self.held.startswith(mark)
+        if found:
+            self._drop(len(mark))
+        return found
+
+    def to_version(self) -> None:
+        """Drop what comes before the next version line, or all there is."""
+        while not (found := VERSION_LINE.search(self.held)):
+            if self.over:
+                self._drop(len(self.held))
+                return
+            self._drop(len(self.held) - 256)
+            self._more()
+        self._drop(found.start())
+
+    def rest(self) -> None:
+        """Read to the end and keep nothing."""
+        while not self.over:
+            self._drop(len(self.held))
+            self._more()
+        self._drop(len(self.held))
+
 
 def _fields(head: bytes) -> dict[str, str]:
-    lines = re.sub(rb"\r\n[ \t]+", b" ", head).decode("utf-8", "replace").split("\r\n")
+    lines = re.split(r"\r?\n", re.sub(rb"\r?\n[ \t]+", b" ", head).decode("utf-8", "replace"))
     if not re.fullmatch(r"WARC/1\.\d", lines[0]):
         raise Damaged("no version line")
     out: dict[str, str] = {}
@@ -256,14 +299,15 @@ def sha1_of(said: str) -> str | None:
 
 def _record(src: _Window, payloads: bool) -> tuple[dict[str, str], int, str, bytes | None]:
     """The next record's fields, payload size and SHA-1, and payload if wanted, after its digests are verified."""
-    fields = _fields(src.until(b"\r\n\r\n", HEADER))
+    fields = _fields(src.header(HEADER))
     of_block, of_payload, size, kept = hashlib.sha1(), hashlib.sha1(), 0, []
     http = b"" if fields.get("content-type", "").startswith("application/http") else None
     for piece in src.take(int(fields["content-length"])):
         of_block.update(piece)
         if http is not None:  # still in the header of the response
             http += piece
-            _, blank, piece = http.partition(b"\r\n\r\n")
+            blank = BLANK.search(http)
+            piece = http[blank.end() :] if blank else b""
             if not blank:
                 if len(http) > HEADER:
                     raise Damaged("the response's header does not end")
@@ -273,57 +317,95 @@ def _record(src: _Window, payloads: bool) -> tuple[dict[str, str], int, str, byt
         size += len(piece)
         if payloads:
             kept.append(piece)
-    if b"".join(src.take(4)) != b"\r\n\r\n":
+    if not src.starts(b"\r\n\r\n") and not src.starts(b"\n\n"):
         raise Damaged("length differs")
     said = sha1_of(fields.get("warc-block-digest", ""))
     if said and said != of_block.hexdigest():
-        raise Damaged("block digest differs")
+        raise Damaged("block digest differs", True)
     said = sha1_of(fields.get("warc-payload-digest", ""))
     if fields.get("warc-type") == "response" and said and said != of_payload.hexdigest():
-        raise Damaged("payload digest differs")
+        raise Damaged("payload digest differs", True)
     return fields, size, of_payload.hexdigest(), b"".join(kept) if payloads else None
 
 
-def _member_records(src: _Bytes, at: int, payloads: bool) -> tuple[list[tuple], int]:
-    """All records of a member, and where it ends."""
-    window, out, broken = _Window(src, at, True), [], None
-    while broken is None and not window.empty():
-        try:
-            out.append(_record(window, payloads))
-        except Damaged as e:
-            if "member" in e.reason:  # no end is known
-                raise
-            broken = e.reason
-    while not window.over:  # the rest of a member that holds a broken record
-        window.held = b""
-        window._more()
-    if broken:
-        raise Damaged(broken, window.end())
-    return out, window.end()
+class _Member:
+    """What a member holds: its verified records, and the reasons why others are not given."""
+
+    def __init__(self, src: _Bytes, at: int, payloads: bool):
+        self.src, self.at, self.payloads, self.end = src, at, payloads, None
+
+    def items(self) -> Iterator[tuple]:
+        """("record", ...) and ("gap", reason); after the last one ``end`` is where the member ends, or null if nobody knows."""
+        window = _Window(self.src, self.at, True)
+        begin = 0
+        while True:
+            try:
+                if window.empty():
+                    break
+                begin = window.taken
+                yield "record", *_record(window, self.payloads)
+            except Damaged as e:
+                yield "gap", e.reason
+                if "member" in e.reason:  # nothing after this can be inflated
+                    return
+                try:
+                    if not e.whole:  # its length can't be trusted, so the next record is looked for from its first bytes on
+                        window = _Window(self.src, self.at, True)
+                        for _ in window.take(begin + 1):
+                            pass
+                    window.to_version()
+                except Damaged as broken:
+                    yield "gap", broken.reason
+                    return
+        self.end = window.end()
+
+
+def _end_of(src: _Bytes, at: int) -> int:
+    """Where a member ends, or what comes after it begins if it is broken."""
+    window = _Window(src, at, True)
+    try:
+        window.rest()
+    except Damaged:
+        return src.find(at + 1)
+    return window.end()
 
 
 def salvage(f, payloads: bool = True) -> Iterator[tuple]:
-    """("record", offset, length, fields, size, sha1, payload) and ("gap", offset, length, reason) that tile the file in order.
+    """("record", offset, length, fields, size, sha1, payload) and ("gap", offset, length, reason), in order.
 
-    The records of one member share its offset and length.
+    Offsets and lengths tile the file. All records of one member, and the reasons
+    for those of it that fail, share its offset and length. A few records are held
+    until the end of their member is known; for more, it is looked for first.
     """
     src, at = _Bytes(f), 0
     while at < src.size:
         start = src.read(at, 8)
-        try:
-            if start.startswith(MAGIC):
-                records, end = _member_records(src, at, payloads)
-            elif start.startswith(VERSION):
-                window = _Window(src, at, False)
-                records, end = [_record(window, payloads)], window.end()
-            else:
-                raise Damaged("neither a member nor a version line")
-        except Damaged as e:
-            end = e.end or src.find(at + 1)
-            yield "gap", at, end - at, e.reason
+        if start.startswith(MAGIC):
+            member, held, size, end = _Member(src, at, payloads), [], 0, None
+            for kind, *what in member.items():
+                if end is not None:
+                    yield kind, at, end - at, *what
+                    continue
+                held.append((kind, *what))
+                size += 1024 + len(what[-1] or b"") if kind == "record" else 1024
+                if size > HELD:
+                    end = _end_of(src, at)
+                    yield from ((k, at, end - at, *w) for k, *w in held)
+                    held = []
+            if end is None:
+                end = member.end or src.find(at + 1)
+                yield from ((k, at, end - at, *w) for k, *w in held)
         else:
-            for r in records:
-                yield "record", at, end - at, *r
+            window = _Window(src, at, False)
+            try:
+                if not start.startswith(VERSION):
+                    raise Damaged("neither a member nor a version line")
+                record = _record(window, payloads)
+                end = window.end()
+                yield "record", at, end - at, *record
+            except Damaged as e:
+                end = window.end() if e.whole else src.find(at + 1)
+                yield "gap", at, end - at, e.reason
         at = end
 
 
