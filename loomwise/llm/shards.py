@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomwise.llm.common import fresh
 from loomwise.session import scratch_path
 
 #: Times that a commit is tried, and the seconds that vacuum leaves alone.
@@ -135,13 +136,17 @@ class ShardStore:
         self._change(lambda now: now | {"schema": self._with(now["schema"], arrival.schema), "runs": now["runs"] + [run] * (run is not None)})
 
     def read(self, version: int | None = None) -> DataFrame:
-        """The rows of a version, with the column _shard: the run and file that hold the row."""
+        """The rows of a version and in a last column the run and file that hold the row: _shard, or with more underscores if the rows have that."""
         now = self.manifest(version)
         schema = T.StructType.fromJson(now["schema"]) if now["schema"] else T.StructType()
         paths = [f"{self.root}/runs/{r['name']}" for r in now["runs"]]
+        (shard,) = fresh(schema.names, "_shard")
         if not paths:
-            return self.spark.createDataFrame([], schema).withColumn("_shard", F.lit(None).cast("string"))
-        return self.spark.read.schema(schema).parquet(*paths).withColumn("_shard", F.element_at(F.split("_metadata.file_path", "/runs/"), -1))
+            return self.spark.createDataFrame([], schema).withColumn(shard, F.lit(None).cast("string"))
+        rows = self.spark.read.schema(schema).parquet(*paths)
+        # rows may have a column _metadata of their own
+        file = rows.metadataColumn("_metadata")["file_path"]
+        return rows.withColumn(shard, F.element_at(F.split(file, "/runs/"), -1))
 
     def _mergeable(self, runs: list[dict]) -> list[dict]:
         by: dict[int, list[dict]] = {}
