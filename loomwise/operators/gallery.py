@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwise.functions.scalar import file_name, folder
+from loomwise.functions.scalar import file_name, folder, grade_level
+from loomwise.functions.vectors import fit
 from loomwise.operators.quantiles import exact_quantiles
 
 GRADE_ORDER = {"Strong": 0, "Mid": 1, "Weak": 2}
@@ -21,6 +22,48 @@ def rows(df: DataFrame) -> DataFrame:
     return df.withColumns({"filename": file_name(F.col("path")), "score": F.round("score", 3), "reject": reject})
 
 
+def projection(df: DataFrame, aspects: str) -> DataFrame:
+    """All columns that a gallery shows, from :func:`rows` with v, personal, exif_ts and a map of further breakdown entries."""
+    r3 = lambda c: F.round(F.col(c), 3)
+    own = F.create_map(F.lit("Aesthetic"), r3("score"), F.lit("Personal"), r3("personal"))
+    more = F.transform_values(F.coalesce(F.col(aspects), F.create_map().cast("map<string,double>")), lambda k, v: F.round(v, 3))
+    # an entry of the aspects stands over one of the same name
+    breakdown = F.map_concat(F.map_filter(own, lambda k, v: ~F.map_contains_key(more, k)), more)
+    return df.select(
+        F.col("path").alias("id"), "path", "filename", "grade", r3("score").alias("score"), r3("score").alias("overall_score"), r3("score").alias("rating"),
+        r3("personal").alias("human_perception"), r3("personal").alias("personal_score"), F.col("v").alias("embedding"), breakdown.alias("breakdown"),
+        F.lit("").alias("critique"), F.lit("").alias("reasoning_log"), F.lit(False).alias("is_verified"), F.coalesce("exif_ts", F.lit(0.0)).alias("exif_ts"),
+        F.coalesce("stars", F.lit(0)).alias("stars"), "reject", "sim_flag", "cluster_id",
+    )
+
+
+def unified(stored: DataFrame, cache: DataFrame, dims: int = 1152) -> DataFrame:
+    """One row for each stored path, field by field from the cache, then the stored row, then a default; origin says which.
+
+    stored has path, embedding, score, grade, quality, personal_score and exif_ts; cache
+    has path, score, grade, critique and faces. Empty grades and personal scores of 0
+    count as absent. Vectors of any length are filled up or cut to ``dims``; level is
+    the grade's. Rows without a path are left out; of a path that the cache has more
+    than once the greatest row stands.
+    """
+    rest = [c for c in ("grade", "score", "critique", "faces")]
+    c = cache.groupBy("path").agg(F.max(F.struct(*rest)).alias("_c")).select(F.col("path").alias("_path"), *[F.col(f"_c.{x}").alias(f"_{x}") for x in rest])
+    both = stored.where("path IS NOT NULL").join(c, F.col("path") == F.col("_path"), "left")
+    some = lambda x, empty: F.when(x != empty, x)
+    choice = {
+        "grade": [("cache", some(F.col("_grade"), "")), ("stored", some(F.col("grade"), "")), ("default", F.lit(""))],
+        "score": [("cache", F.col("_score").cast("double")), ("stored", F.col("score").cast("double")), ("default", F.lit(0.0))],
+        "critique": [("cache", F.col("_critique")), ("default", F.lit(""))],
+        "faces": [("cache", F.col("_faces")), ("default", F.lit(0))],
+        "exif_ts": [("stored", F.col("exif_ts").cast("double")), ("default", F.lit(0.0))],
+        "personal_score": [("stored", F.coalesce(some(F.col("quality").cast("double"), 0), some(F.col("personal_score").cast("double"), 0))), ("default", F.lit(0.5))],
+    }
+    value = {n: F.coalesce(*[v for _, v in of]).alias(n) for n, of in choice.items()}
+    origin = F.struct(*[F.coalesce(*[F.when(v.isNotNull(), F.lit(who)) for who, v in of]).alias(n) for n, of in choice.items()]).alias("origin")
+    vector = fit(F.col("embedding").cast("array<double>"), dims).alias("vector")
+    return both.select("path", vector, *value.values(), origin).withColumn("level", grade_level(F.col("grade")))
+
+
 def visible(df: DataFrame, grades: list[str] | None = None, min_stars: int = 0, hide_duplicates: bool = True) -> DataFrame:
     """Rows a gallery shows: members of a sequence always, if no grade is asked for."""
     ok = F.lit(True)

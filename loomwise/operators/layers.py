@@ -132,6 +132,17 @@ class Layers:
             self.fs.delete(p, True)
         return len(gone)
 
+    def recreate_unless(self, column: str, dims: int) -> bool:
+        """Drop all rows if a stored vector of ``column`` has another length than ``dims``, and say so: rows of an older model are of no use.
+
+        Nulls fit any length. The runs stay on disk until :meth:`vacuum`.
+        """
+        state = self.state()
+        if self.read().where(F.size(column) != dims).limit(1).count() == 0:
+            return False
+        self._commit(state | {"runs": []})
+        return True
+
     def bytes(self) -> int:
         """Bytes of all files below the folder, live or not."""
         return self.fs.getContentSummary(self.hadoop.Path(self.root)).getLength()

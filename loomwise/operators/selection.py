@@ -136,26 +136,48 @@ def _slot_fit(slot: int) -> Column:
     return F.when(F.expr(need), fit).otherwise(F.greatest(F.lit(0.0), fit - penalty))
 
 
-def viterbi(df: DataFrame, flow: float, div: float, time: float, n_valid: int, target: int = 5, block: int = 1024) -> DataFrame:
+def _classed(rows: DataFrame, by: str, n: int, block: int, up: bool) -> tuple[DataFrame, list]:
+    """rows with place, their block, and a row for each class of values of ``by``, in order: least, most and blocks up to its end.
+
+    Quantiles cut the values into classes, 256 at most, and each class is dealt into
+    blocks of about ``block`` rows; blocks are numbered from class to class.
+    """
+    classes = max(1, min(256, -(-n // block)))
+    marks = rows.select(F.percentile_approx(by, [k / classes for k in range(1, classes)], 100 * classes)).first()[0] if classes > 1 else None
+    marks = F.array(*map(F.lit, sorted(set(marks or [])))).cast("array<double>")
+    at = F.size(F.filter(marks, (lambda m: m <= F.col(by)) if up else (lambda m: m > F.col(by))))
+    rows = rows.withColumn("class", at)
+    sizes = sorted(rows.groupBy("class").agg(F.min(by).alias("least"), F.max(by).alias("most"), F.ceil(F.count("*") / block).cast("int").alias("n")).collect())  # a row a class
+    ends = np.cumsum([r["n"] for r in sizes]).tolist()
+    table = rows.sparkSession.createDataFrame([(r["class"], e - r["n"], r["n"], k) for k, (r, e) in enumerate(zip(sizes, ends, strict=True))], "class int, first int, blocks int, rank int")
+    placed = rows.join(F.broadcast(table), "class").withColumn("place", F.col("first") + F.pmod(F.xxhash64("idx"), F.col("blocks")).cast("int"))
+    return placed.drop("class", "first", "blocks"), [(r["least"], r["most"], e) for r, e in zip(sizes, ends, strict=True)]
+
+
+def viterbi(df: DataFrame, flow: float, div: float, time: float, n_valid: int, target: int = 5, block: int = 1024, leaders: int = 64, seen: list | None = None) -> DataFrame:
     """The best assignment of rows to slots (seq, total); neighbours differ, later repeats are allowed.
 
     df has pos, the place among all valid rows. In each slot every row looks for
-    its best predecessor among all rows, in pairs of blocks that are one group
-    each; a row's bests of the blocks are then compared. Ties go to the smaller place.
+    its best predecessor. The ``leaders``, the rows with the largest totals, give each
+    row a floor that its best reaches. A predecessor whose total with the largest
+    possible bonus is below a row's floor can't be its best; so rows are classed by
+    floor and predecessors by total, and only classes that can matter to each other
+    meet, in pairs of blocks that are one group each. ``seen`` gets the pairs compared
+    and all pairs of each slot. Ties go to the smaller place.
     """
     own = lambda s: (_slot_fit(s) * 0.25 + F.col("score") * 0.10).alias("x")
-    n = max(1, -(-n_valid // block))
-    of = F.pmod(F.xxhash64("idx"), F.lit(n)).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    def bonus(sims, near, light):
+        return sims * flow + (1.0 - sims) * div + (1.0 - near / max(n_valid - 1, 1)) * time + light * 0.05
 
     def best(g: pd.DataFrame) -> pd.DataFrame:
         now, last = g[g["is_now"]], g[~g["is_now"]].sort_values("pos")
         if now.empty or last.empty:
-            return pd.DataFrame({"idx": [], "total": [], "before": [], "o": []})
+            return pd.DataFrame({c: pd.Series(dtype=t) for c, t in (("idx", "int64"), ("total", float), ("before", "int64"), ("o", "int64"))})
         sims = np.stack(now["v"].to_numpy()) @ np.stack(last["v"].to_numpy()).T
         at = lambda c: (now[c].to_numpy()[:, None], last[c].to_numpy()[None, :])
         (x, old), (pos, p_pos), (light, p_light), (idx, p_idx) = (at(c) for c in ("x", "pos", "light", "idx"))
-        step = old + x + sims * flow + (1.0 - sims) * div + (1.0 - np.abs(p_pos - pos) / max(n_valid - 1, 1)) * time + np.abs(light - p_light) * 0.05
+        step = old + x + bonus(sims, np.abs(p_pos - pos), np.abs(light - p_light))
         step[idx == p_idx] = -np.inf
         j = step.argmax(1)
         top = step[np.arange(len(now)), j]
@@ -164,11 +186,40 @@ def viterbi(df: DataFrame, flow: float, div: float, time: float, n_valid: int, t
 
     cols = ["idx", "pos", "v", "light", "x"]
     state = cut(df.select("idx", "pos", F.array("idx").alias("seq"), own(0).alias("total")))
+    limits = df.agg(F.max(dot(F.col("v"), F.col("v"))).alias("size"), (F.max("light") - F.min("light")).alias("light")).first()
+    if limits["size"] is None:
+        return state.select("seq", "total")
+    most = div + limits["size"] * abs(flow - div) + max(time, 0.0) + 0.05 * limits["light"] + 1e-9
     for s in range(1, target):
-        now = df.select("idx", "pos", "v", "light", own(s)).select(*cols, F.lit(True).alias("is_now"), of.alias("p"), every.alias("q"))
-        last = df.select("idx", "pos", "v", "light").join(state.select("idx", F.col("total").alias("x")), "idx")
-        last = last.select(*cols, F.lit(False).alias("is_now"), every.alias("p"), of.alias("q"))
-        found = now.unionByName(last).groupBy("p", "q").applyInPandas(best, "idx long, total double, before long, o long")
+        last = materialised(df.select("idx", "pos", "v", "light").join(state.select("idx", F.col("total").alias("x")), "idx"), "last")
+        lead = last.orderBy(F.desc("x"), "pos").limit(leaders).toPandas()  # ``leaders`` rows
+        if lead.empty:
+            return state.select("seq", "total").limit(0)
+
+        def floors(batches, lead=lead):
+            v, old, pos, light, idx = (np.stack(lead["v"].to_numpy()), *(lead[c].to_numpy() for c in ("x", "pos", "light", "idx")))
+            for b in batches:
+                if len(b):
+                    step = old + bonus(np.stack(b["v"].to_numpy()) @ v.T, np.abs(b["pos"].to_numpy()[:, None] - pos), np.abs(b["light"].to_numpy()[:, None] - light))
+                    step[b["idx"].to_numpy()[:, None] == idx] = -np.inf
+                    yield b.assign(floor=np.maximum(step.max(1) - 1e-9, -1e300))
+
+        kinds = ", ".join(f"{c} {t}" for c, t in df.select(*cols[:-1], own(s)).dtypes)
+        now = materialised(df.select(*cols[:-1], own(s)).mapInPandas(floors, f"{kinds}, floor double"), "now")
+        n = last.count()
+        now, lows = _classed(now, "floor", now.count(), block, True)
+        old, highs = _classed(last, "x", n, block, False)
+        # of each class of rows the classes of predecessors that reach its least floor, the first ones; and the other way round
+        needs = [sum(high + most >= low for _, high, _ in highs) for low, _, _ in lows]
+        upto = [highs[k - 1][2] if k else 0 for k in needs]
+        back = [max((e for (_, _, e), k in zip(lows, needs, strict=True) if k > q), default=0) for q in range(len(highs))]
+        if seen is not None:
+            seen.append((sum(u * (e - b) for u, (_, _, e), b in zip(upto, lows, [0, *(e for _, _, e in lows[:-1])], strict=True)), highs[-1][2] * lows[-1][2]))
+        of = lambda ends: F.get(F.array(*map(F.lit, ends)), F.col("rank"))
+        spread = lambda rows, ends: rows.where(of(ends) > 0).withColumn("other", F.explode(F.sequence(F.lit(0), of(ends) - 1)))
+        one = spread(now, upto).select(*cols, F.lit(True).alias("is_now"), F.col("place").alias("p"), F.col("other").alias("q"))
+        two = spread(old, back).select(*cols, F.lit(False).alias("is_now"), F.col("other").alias("p"), F.col("place").alias("q"))
+        found = one.unionByName(two).groupBy("p", "q").applyInPandas(best, "idx long, total double, before long, o long")
         won = found.groupBy("idx").agg(F.max(F.struct("total", "o", "before")).alias("m")).select("idx", "m.*")
         before = state.select(F.col("idx").alias("before"), "seq")
         state = cut(won.join(before, "before").select("idx", F.concat("seq", F.array("idx")).alias("seq"), "total").join(df.select("idx", "pos"), "idx"))
@@ -391,32 +442,57 @@ def portfolio_baseline(df: DataFrame, n: int = 5) -> DataFrame:
     return df.orderBy(F.desc("level"), F.desc("personal"), "idx").limit(n)
 
 
-def portfolio(df: DataFrame, n: int = 5, pool: int = 400) -> DataFrame:
-    """idx of a set of n with the largest mean of score, personal and 1 less the mean cosine: greedy, then swaps."""
+def _portfolio_value(a_sum, cos_sum, k: int):
+    """Mean of what the rows bring and, for more than one, 1 less the mean cosine of their pairs."""
+    return a_sum / k + (1 - cos_sum / (k * (k - 1) / 2) if k > 1 else 0)
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("idx").reset_index(drop=True)
-        v, a = np.stack(g["v"].to_numpy()), (g["score"] + g["personal"]).to_numpy()
-        cos, m = v @ v.T, min(n, len(g))
-
-        def value(s: list[int]) -> float:
-            k = len(s)
-            pairs = (cos[np.ix_(s, s)].sum() - cos[s, s].sum()) / max(1, k * (k - 1))
-            return a[s].mean() + (1 - pairs if k > 1 else 0)
-
-        s: list[int] = []
-        while len(s) < m:
-            s.append(max((i for i in range(len(g)) if i not in s), key=lambda i: (value([*s, i]), -i)))
-        better = True
-        while better:
-            better, now = False, value(s)
-            for at in range(m):
-                for i in range(len(g)):
-                    t = [*s[:at], i, *s[at + 1 :]]
-                    if i not in s and value(t) > now + 1e-9:
-                        s, now, better = t, value(t), True
-        return pd.DataFrame({"idx": g["idx"].to_numpy()[sorted(s)], "value": value(s)})
-
-    best = (0.6 * F.col("score") / F.lit(1.0) + 0.4 * F.col("personal")).alias("o")
-    few = df.select("idx", "v", "score", "personal", best).orderBy(F.desc("o"), "idx").limit(pool)
-    return few.withColumn("_g", F.lit(0)).groupBy("_g").applyInPandas(run, "idx long, value double")
+
+def portfolio(df: DataFrame, n: int = 5) -> DataFrame:
+    """idx, value and bound of a set of n rows with a large mean of score and personal and 1 less the mean cosine.
+
+    All rows of the table are searched, each step by one scan whose tasks hand on
+    their best row: greedy choice first, then the best exchange of one row for
+    another until none makes the set better. No set is better than ``bound``: the n
+    largest sums, and vectors as far apart as n vectors can be. Ties go to the
+    smaller idx; rows with a null take no part.
+    """
+    rows = df.select(F.col("idx").cast("long").alias("idx"), "v", (F.col("score") + F.col("personal")).alias("a")).na.drop()
+    rows = materialised(rows, "rows")
+
+    def best(sets: list[list]) -> list:
+        """For each set of rows the largest value with one row more, that row and its set's number."""
+        k = len(sets[0]) + 1
+        known = [([r["idx"] for r in s], np.array([r["v"] for r in s]), sum(r["a"] for r in s)) for s in sets]
+        pairs = [float(np.triu(v @ v.T, 1).sum()) if len(v) else 0.0 for _, v, _ in known]
+
+        def run(batches):
+            for b in batches:
+                if b.empty:
+                    continue
+                v, a, idx = np.stack(b["v"].to_numpy()), b["a"].to_numpy(), b["idx"].to_numpy()
+                for number, ((ids, held, total), pair) in enumerate(zip(known, pairs, strict=True)):
+                    value = _portfolio_value(total + a, pair + ((v @ held.T).sum(1) if len(held) else 0.0), k)
+                    value = np.where(np.isin(idx, ids), -np.inf, value)
+                    i = np.lexsort((idx, -np.round(value, 9)))[0]
+                    if np.isfinite(value[i]):
+                        yield pd.DataFrame({"number": [number], "value": [value[i]], "idx": [idx[i]], "v": [v[i]], "a": [a[i]]})
+
+        found = rows.mapInPandas(run, "number int, value double, idx long, v array<double>, a double")
+        top = F.min(F.struct((-F.round("value", 9)).alias("o"), "idx", "value", "v", "a")).alias("m")
+        return found.groupBy("number").agg(top).select("number", "m.*").orderBy("number").collect()  # a row a set
+
+    chosen: list = []
+    while len(chosen) < n and (found := best([chosen])):
+        chosen.append(found[0])
+    value = chosen[-1]["value"] if chosen else 0.0
+    while len(chosen) > 1:
+        found = best([[r for r in chosen if r is not gone] for gone in chosen])
+        new = min(found, key=lambda r: (-round(r["value"], 9), r["idx"]), default=None)
+        if new is None or new["value"] <= value + 1e-9:
+            break
+        chosen[new["number"]], value = new, new["value"]
+    most = rows.orderBy(F.desc("a"), "idx").limit(n).agg(F.avg("a").alias("a")).first()["a"]
+    size = rows.agg(F.max(dot(F.col("v"), F.col("v"))).alias("s")).first()["s"]
+    k = len(chosen)
+    bound = (most + (1 + size / (k - 1) if k > 1 else 0)) if k else 0.0
+    return df.sparkSession.createDataFrame([(r["idx"], float(value), float(bound)) for r in sorted(chosen, key=lambda r: r["idx"])], "idx long, value double, bound double")

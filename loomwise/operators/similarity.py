@@ -34,7 +34,7 @@ def _products(g: pd.DataFrame, least: float, further: str | None = None, scale:
     """Pairs a < b of a block pair with a dot product, less a scaled difference of another column, above ``least``."""
     l, r = g[g["is_left"]], g[~g["is_left"]]
     if l.empty or r.empty:
-        return pd.DataFrame({"a": [], "b": [], "va": [], "vb": []})
+        return pd.DataFrame({c: pd.Series(dtype=t) for c, t in (("a", "int64"), ("b", "int64"), ("va", object), ("vb", object))})
     sims = np.stack(l["v"].to_numpy()) @ np.stack(r["v"].to_numpy()).T
     if further:
         sims -= np.abs(l[further].to_numpy()[:, None] - r[further].to_numpy()[None, :]) / scale
@@ -102,7 +102,7 @@ def edges(df: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
     of cells too far apart for the threshold never meet. A margin below the
     threshold is kept and decided by the sequential dot product, as SQL would.
     """
-    rows = materialised(df.select("id", "v"), "vectors")
+    rows = materialised(df.select("id", "v").where("v IS NOT NULL"), "vectors")
     n = rows.count()
     if n >= 2 * block and threshold > 0:
         groups = _cells(rows, n, threshold, block).groupBy("cell", "probe", "p", "q")
@@ -160,21 +160,24 @@ def with_clusters(df: DataFrame, labels: DataFrame) -> DataFrame:
     return df.join(got, df.id == F.col("_i"), "left").withColumn("cluster_id", F.coalesce("cluster", F.lit(-1))).drop("_i", "cluster")
 
 
+def _bests(df: DataFrame, *columns: str) -> DataFrame:
+    """_c, _n and the best row's columns of each cluster: by score, then the smaller id; an aggregate, so a cluster may hold most rows."""
+    best = F.max(F.struct(F.col("score").alias("s"), (-F.col("id")).alias("o"), *[F.col(c).alias(f"_{c}") for c in columns])).alias("m")
+    return df.where("cluster_id >= 0").groupBy(F.col("cluster_id").alias("_c")).agg(F.count("*").alias("_n"), best).select("_c", "_n", F.col("m.s").alias("_s"), (-F.col("m.o")).alias("_i"), *[F.col(f"m._{c}") for c in columns])
+
+
 def duplicate_flags(df: DataFrame) -> DataFrame:
     """Add sim_flag within each cluster: the best row, or a duplicate and by how much; needs path, score and id."""
-    by = Window.partitionBy("cluster_id").orderBy(F.desc_nulls_last("score"), "id")
-    whole = Window.partitionBy("cluster_id")
-    best, top = F.first("path").over(by), F.first("score").over(by)
-    rank, n = F.row_number().over(by), F.count("*").over(whole)
-    text = F.when(rank == 1, F.format_string("Best of %d similar (score %.2f)", n, F.col("score"))).otherwise(F.format_string("Duplicate: %s is better (+%.2f)", file_name(best), top - F.col("score")))
-    alone = df.where("cluster_id < 0").withColumn("sim_flag", F.lit(""))
-    return df.where("cluster_id >= 0").withColumn("sim_flag", F.when(n > 1, text).otherwise("")).unionByName(alone)
+    best = _bests(df, "path")
+    mine = F.col("id") == F.col("_i")
+    text = F.when(mine, F.format_string("Best of %d similar (score %.2f)", "_n", F.col("score"))).otherwise(F.format_string("Duplicate: %s is better (+%.2f)", file_name(F.col("_path")), F.col("_s") - F.col("score")))
+    flag = F.when(F.col("_n") > 1, text).otherwise("").alias("sim_flag")
+    return df.join(best, df.cluster_id == F.col("_c"), "left").select(*[df[c] for c in df.columns if c != "sim_flag"], flag)
 
 
 def best_of_cluster(df: DataFrame) -> DataFrame:
     """Rows in no cluster, and of each cluster the row with the best score (ties: the smallest id)."""
-    by = Window.partitionBy("cluster_id").orderBy(F.desc_nulls_last("score"), "id")
-    best = df.where("cluster_id >= 0").withColumn("_r", F.row_number().over(by)).where("_r = 1").drop("_r")
+    best = df.where("cluster_id >= 0").join(_bests(df).select("_c", "_i"), (F.col("cluster_id") == F.col("_c")) & (F.col("id") == F.col("_i")), "left_semi")
     return df.where("cluster_id < 0").unionByName(best)
 
 
@@ -337,7 +340,9 @@ def lsh_edges(df: DataFrame, threshold: float, tables: int = 8, length: float =
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
 
-    d = df.select("id", "v", array_to_vector("v").alias("f"))
+    d = df.select("id", "v", array_to_vector("v").alias("f")).where("v IS NOT NULL")
+    if d.isEmpty():
+        return df.sparkSession.createDataFrame([], "a long, b long, cos double")
     lsh = BucketedRandomProjectionLSH(inputCol="f", outputCol="h", bucketLength=length, numHashTables=tables, seed=seed).fit(d)
     far = float(np.sqrt(2 - 2 * threshold))
     got = lsh.approxSimilarityJoin(d, d, far, "dist").where(F.col("datasetA.id") < F.col("datasetB.id"))
@@ -356,19 +361,24 @@ class CellIndex:
         from pyspark.ml.clustering import KMeans
         from pyspark.ml.functions import array_to_vector
 
+        rows = rows.where("v IS NOT NULL")
         few = rows.orderBy(F.xxhash64("id"), "id").limit(sample).select(array_to_vector("v").alias("features"))
-        self.centres = np.stack(KMeans(k=cells, seed=seed).fit(few).clusterCenters())
+        n = few.limit(cells).count()
+        # k-means needs two rows; one row, or none, is one cell
+        self.centres = np.stack(KMeans(k=n, seed=seed).fit(few).clusterCenters()) if n > 1 else np.zeros((1, 1))
         self.centres /= np.linalg.norm(self.centres, axis=1, keepdims=True) + TINY
-        self.rows = materialised(rows.select("id", "v", self._nearest(1)[0].alias("cell")), "cells")
+        self.rows = materialised(rows.select("id", "v", (self._nearest(1)[0] if n > 1 else F.lit(0)).alias("cell")), "cells")
 
     def _nearest(self, n: int) -> Column:
         """The numbers of the n nearest centres of v; the centres are a literal of a few vectors."""
+        if len(self.centres) == 1:
+            return F.array(F.lit(0))
         entry = [F.struct((-dot(F.col("v"), F.lit(c.tolist()))).alias("o"), F.lit(k).alias("k")) for k, c in enumerate(self.centres)]
         return F.transform(F.slice(F.array_sort(F.array(*entry)), 1, n), lambda x: x.k)
 
     def search(self, queries: DataFrame, k: int = 20, probes: int = 10) -> DataFrame:
         """query_id, rank, id and cos of the k best other rows in the probed cells, for queries (id, v)."""
-        asked = queries.select(F.col("id").alias("query_id"), "v").withColumn("cell", F.explode(self._nearest(probes))).withColumnRenamed("v", "q")
+        asked = queries.where("v IS NOT NULL").select(F.col("id").alias("query_id"), "v").withColumn("cell", F.explode(self._nearest(probes))).withColumnRenamed("v", "q")
         # a window group limit keeps k rows a query in each task before anything is dealt out by query
         found = asked.join(self.rows, "cell").where("id <> query_id").select("query_id", "id", dot(F.col("q"), F.col("v")).alias("cos"))
         order = Window.partitionBy("query_id").orderBy(F.desc("cos"), "id")
@@ -394,6 +404,8 @@ def preference_rank(pairs: DataFrame, items: DataFrame, seed: int = 42) -> DataF
 
     w, l = items.select(F.col("id").alias("winner"), F.col("v").alias("vw")), items.select(F.col("id").alias("loser"), F.col("v").alias("vl"))
     diff = pairs.join(w, "winner").join(l, "loser").select(F.zip_with("vw", "vl", lambda x, y: x - y).alias("d"))
+    if diff.isEmpty():  # nothing is preferred
+        return items.select("id", F.lit(0.5).alias("personal_score"))
     train = diff.select("d", F.lit(1.0).alias("label")).union(diff.select(scaled(F.col("d"), F.lit(-1.0)), F.lit(0.0)))
     model = LogisticRegression(regParam=0.1, fitIntercept=False).fit(train.select(array_to_vector("d").alias("features"), "label"))
     weights = F.array(*[F.lit(float(x)) for x in model.coefficients])

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomwise.operators import constraints, scoring, selection, similarity
+from loomwise.operators import constraints, direction, scoring, selection
 from loomwise.plans import grading, items
 from loomwise.queries import tables
 from loomwise.queries.grading import BRIEF, r6, s6
-from loomwise.session import cut
+from loomwise.session import materialised, scratch_path
+from loomwise.sources import export
 
 QUERIES, SQL = {}, {}
 
@@ -92,40 +93,39 @@ def catalog_rows(spark, d):
     return files.read_catalog(spark, at).select("path", "grade", "score")
 
 
-def directed(df, brief: str, near: float, frames: int = 5):
-    """pos, idx, role and score of a story for a brief: gates, dedup, penalty, rescoring, selection and order.
-
-    df is graded, with gate, sharp and the people similarity in sims. A brief without
-    people drops rows of a hard gate, and rows where people show lose nine tenths.
-    """
-    spark = df.sparkSession
-    low = brief.lower()
-    empty = any(w in low for w in constraints.EMPTY)
-    rows = df.where(F.col("sharp") & (F.lit(not empty) | (F.col("gate") != "hard")))
-    rows = cut(rows.withColumnRenamed("idx", "id"))
-    rows = similarity.greedy_dedup(spark, rows, near).withColumnRenamed("id", "idx")
-    if empty:
-        rows = rows.withColumn("score", scoring.intrusion_penalty(F.col("score"), F.get("sims", F.lit(35)), F.col("human")))
-    weights = scoring.brief_weights(brief, no_people=empty)
-    return selection.story(rows.withColumn("score", scoring.brief_score(F.col("score"), weights)), frames)
+def _directable(spark, d):
+    """Graded rows with the gates as the direction sets them."""
+    g = _gated(spark, d)
+    box = F.array(F.struct("conf", F.lit(0.5).alias("x"), F.lit(0.5).alias("y"), "w", "h", F.col("blum").alias("lum")))
+    return g.withColumn("gate", scoring.people_gate(box, F.col("lum"), F.col("lum_std"), min_area=direction.AREA))
 
 
 @query("creative_direction")
 def creative_direction(spark, d):
-    return directed(_gated(spark, d), BRIEF, 0.35)
-
-
-_POOL = f"""{_GATED.replace("WITH", "WITH RECURSIVE", 1)},
-po AS (SELECT *, row_number() OVER (ORDER BY score DESC, idx) AS r FROM gt WHERE sharp AND gate <> 'hard'),
+    """A brief's story, and its files copied in order: the files that stand for pictures hold their notes."""
+    base = scratch_path(spark, "direction")
+    files = F.concat(F.lit(f"{base}/in/"), "path", F.lit(".jpg"))
+    g = materialised(_directable(spark, d).withColumn("path", files), "directable")
+    export.write_texts(g, "path", "log").count()
+    rules = direction.settings(spark, BRIEF)
+    out = direction.finished(direction.directed(g, rules, 0.35, 5), g, rules, f"{base}/Final_Portfolio")
+    written = spark.read.format("binaryFile").load(f"{base}/Final_Portfolio").select(F.regexp_extract("path", r"([^/]*)$", 1).alias("file"), F.decode("content", "UTF-8").alias("note"))
+    return out.withColumn("file", F.regexp_extract("target", r"([^/]*)$", 1)).join(written, "file").select("pos", "idx", "role", *r6("score"), "file", "outcome", "note", "log")
+
+
+#: Whether the brief's rules want no people; its words of emptiness cost rows with people their score in any case.
+_HARD = any(w in BRIEF.lower() for _, _, value, words in constraints.BRIEF_RULES if value == "no people" for w in words)
+_POOL = f"""{_GATED.replace("WITH", "WITH RECURSIVE", 1).replace("w * h >= 0.0008", "w * h >= 0.0005")},
+po AS (SELECT *, row_number() OVER (ORDER BY score DESC, idx) AS r FROM gt WHERE sharp{" AND gate <> 'hard'" if _HARD else ''}),
 wk AS (SELECT CAST(0 AS BIGINT) AS r, CAST([] AS BIGINT[]) AS kept UNION ALL
   SELECT wk.r + 1, CASE WHEN EXISTS (SELECT 1 FROM po k WHERE list_contains(wk.kept, k.idx) AND list_inner_product(k.v, p.v) > 0.35) THEN wk.kept ELSE list_append(wk.kept, p.idx) END FROM wk JOIN po p ON p.r = wk.r + 1),
 kp AS (SELECT unnest(kept) AS idx FROM wk WHERE r = (SELECT max(r) FROM wk)),
-rs AS (SELECT *, least(greatest(0.60 * CASE WHEN sims[36] > 0.40 OR human > 0.55 THEN score * 0.10 ELSE score END + 0.40 * ({" + ".join(f"{a} * CAST({w} AS DOUBLE)" for a, w in scoring.brief_weights(BRIEF, True).items())}) / CAST({sum(scoring.brief_weights(BRIEF, True).values())} AS DOUBLE), 0.0), 1.0) AS aligned FROM po JOIN kp USING (idx))"""
+rs AS (SELECT *, least(greatest(0.60 * CASE WHEN sims[36] > 0.40 OR human > 0.55 THEN score * 0.10 ELSE score END + 0.40 * ({" + ".join(f"{a} * CAST({w} AS DOUBLE)" for a, w in scoring.brief_weights(BRIEF, _HARD).items())}) / CAST({sum(scoring.brief_weights(BRIEF, _HARD).values())} AS DOUBLE), 0.0), 1.0) AS aligned FROM po JOIN kp USING (idx))"""
 
 
 @query("direction_pool", f"{_POOL} SELECT idx, round(aligned, 6) AS score, CAST(row_number() OVER (ORDER BY aligned DESC, idx) AS INTEGER) AS rank FROM rs ORDER BY aligned DESC, idx LIMIT 40")
 def direction_pool(spark, d):
     """The forty rows that a story is picked from, as the creative direction gives them."""
-    rows = directed(_gated(spark, d), BRIEF, 0.35, frames=40)
+    rows = direction.directed(_directable(spark, d), direction.settings(spark, BRIEF), 0.35, frames=40)
     order = selection.Window.orderBy(F.desc("score"), "idx")  # over forty rows
     return rows.withColumn("rank", F.row_number().over(order)).select("idx", *r6("score"), "rank")

@@ -281,7 +281,7 @@ def story_select(spark, d):
 
 @query("portfolio_topn")
 def portfolio_topn(spark, d):
-    return selection.portfolio(grading.graded(spark, d))
+    return selection.portfolio(grading.graded(spark, d)).select("idx", *r6("value", "bound"))
 
 
 @query("portfolio_baseline", f"{G} SELECT idx, personal, CASE grade WHEN 'Strong' THEN 2 WHEN 'Mid' THEN 1 ELSE 0 END AS level FROM g ORDER BY level DESC, personal DESC, idx LIMIT 5")

@@ -186,6 +186,23 @@ def scan_fingerprint(spark, d):
     return files.fingerprint(files.scan(spark, [d], ["parquet"], recursive=True)).select(file_name(F.col("path")).alias("name"), "fingerprint")
 
 
+@query(
+    "sqlite_import",
+    """SELECT 'p' || vec_id AS path, CASE WHEN vec_id % 6 > 1 THEN vec_id % 6 / 6.0 ELSE 0.5 END::DOUBLE AS score, CASE WHEN vec_id % 4 > 1 THEN 'Strong' ELSE 'Mid' END AS grade,
+CASE WHEN vec_id % 5 > 0 THEN vec_id ELSE 0 END::DOUBLE AS exif_ts, len(embedding) AS dims, round(list_sum(CAST(embedding AS DOUBLE[])), 6) AS total FROM embeddings""",
+)
+def sqlite_import(spark, d):
+    """Embeddings as SQLite files, a file a task, read back with the defaults for nulls, zeros and empty texts."""
+    e = items.table(spark, d, "embeddings").selectExpr(
+        "concat('p', vec_id) AS path", "embedding", "CASE WHEN vec_id % 6 > 1 THEN vec_id % 6 / 6D WHEN vec_id % 6 = 1 THEN 0D END AS score",
+        "CASE WHEN vec_id % 4 > 1 THEN 'Strong' WHEN vec_id % 4 = 1 THEN '' END AS grade", "CASE WHEN vec_id % 5 > 0 THEN CAST(vec_id AS DOUBLE) END AS exif_ts",
+    )
+    at = scratch_path(spark, "sqlite").removeprefix("file://").removeprefix("file:")
+    found = files.sqlite_folder(spark, files.write_sqlite(e.repartition(3), at, "embeddings"), "embeddings")
+    total = F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda x, y: x + y)
+    return found.select("path", "score", "grade", "exif_ts", F.size("embedding").alias("dims"), F.round(total, 6).alias("total"))
+
+
 @query("positional_zip", "SELECT vec_id AS pos, 'p' || doc_id AS path FROM embeddings LEFT JOIN labels ON doc_id = vec_id")
 def positional_zip(spark, d):
     # the metadata as parallel arrays for a hundred positions each

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomwise.functions import scalar
-from loomwise.operators import constraints, gallery, niche, quantiles, scoring, selection, similarity, store, timeline
+from loomwise.operators import constraints, gallery, layers, niche, quantiles, scoring, selection, similarity, store, timeline
 from loomwise.plans import grading, items
 from loomwise.queries import sequences
 from loomwise.queries.grading import r6, s6
-from loomwise.session import cut, scratch_path
+from loomwise.session import cut, materialised, scratch_path
 
 QUERIES, SQL = {}, {}
 
@@ -57,6 +57,22 @@ def upsert(spark, d):
     return store.upsert(*stored(spark, d))
 
 
+@query("dimension_change", "SELECT count(*) AS before, 0 AS dropped, count(*) FILTER (WHERE vec_id % 2 = 0) AS after FROM embeddings")
+def dimension_change(spark, d):
+    """Rows of a table of vectors, what is left of them when a model of another length comes, and the rows that it grades anew."""
+    rows = items.table(spark, d, "embeddings").select(F.concat(F.lit("p"), "vec_id").alias("path"), F.col("embedding").alias("v"), "vec_id")
+    table = layers.Layers(spark, scratch_path(spark, "vectors"), rows.select("path", "v").schema, "path")
+    table.upsert(rows)
+    table.recreate_unless("v", 64)
+    counted = lambda name: table.read().agg(F.count("*").alias(name))
+    before = materialised(counted("before"), "counted")
+    table.recreate_unless("v", 128)
+    dropped = materialised(counted("dropped"), "counted")
+    table.upsert(rows.where("vec_id % 2 = 0").withColumn("v", F.concat("v", "v")))
+    table.recreate_unless("v", 128)
+    return before.crossJoin(dropped).crossJoin(counted("after"))
+
+
 @query("snapshot_upsert", f"{SQL_T} SELECT * FROM n UNION ALL SELECT * FROM t WHERE path NOT IN (SELECT path FROM n)")
 def snapshot_upsert(spark, d):
     t, n = stored(spark, d)
@@ -148,18 +164,18 @@ def sidecar_rating(spark, d):
 
 @query(
     "story_manifest",
-    f"""{SQL_T}, x AS (SELECT path, 'Role' || (CAST(round(score * 100) AS INTEGER) % 5) AS role, CAST(round(score * 100) AS INTEGER) % 5 AS rp FROM t WHERE score > 0.95)
+    f"""{SQL_T}, x AS (SELECT path, 'Role' || (CAST(round(score * 100) AS INTEGER) % 5) AS role, CAST(round(score * 100) AS INTEGER) % 5 AS rp FROM t)
 SELECT path, printf('%02d_%s_%s', row_number() OVER (ORDER BY rp, path), lower(role), string_split(path, '/')[-1]) AS name FROM x""",
 )
 def story_manifest(spark, d):
-    t = stored(spark, d)[0].where("score > 0.95")
+    t = stored(spark, d)[0]
     rp = F.round(F.col("score") * 100).cast("int") % 5
     return store.story_names(t.select("path", F.concat(F.lit("Role"), rp).alias("role"), rp.alias("rp"), F.lit(True).alias("ok")), "rp")
 
 
-@query("tokenize_candidates", f"{SQL_T} SELECT path, score, printf('IMG_%02d', row_number() OVER (ORDER BY path) - 1) AS token FROM t WHERE score > 0.8")
+@query("tokenize_candidates", f"{SQL_T} SELECT path, score, printf('IMG_%02d', row_number() OVER (ORDER BY path) - 1) AS token FROM t")
 def tokenize_candidates(spark, d):
-    return store.tokens(stored(spark, d)[0].where("score > 0.8").select("path", "score"))
+    return store.tokens(stored(spark, d)[0].select("path", "score"))
 
 
 # -- gallery ------------------------------------------------------------------
@@ -174,9 +190,42 @@ def _gallery(spark, d):
 SQL_G = f"{G}, gal AS (SELECT *, CASE WHEN idx % 5 = 0 THEN idx % 50 ELSE -1 END AS cluster_id, CASE WHEN idx % 10 = 0 THEN 'Best of 2' ELSE 'Duplicate' END AS sim_flag, CASE WHEN idx % 7 <> 0 THEN CAST(idx % 6 AS INTEGER) END AS stars, idx % 31 = 0 AS in_sequence FROM g), gr AS (SELECT *, cluster_id >= 0 AND NOT starts_with(sim_flag, 'Best') AS reject FROM gal)"
 
 
-@query("gallery_rows", f"{SQL_G} SELECT path, path AS filename, reject, grade, stars FROM gr")
+@query(
+    "gallery_rows",
+    f"""{SQL_G} SELECT path AS id, path, path AS filename, grade, round(score, 3) AS score, round(score, 3) AS overall_score, round(score, 3) AS rating, round(personal, 3) AS human_perception, round(personal, 3) AS personal_score,
+ round(list_sum(v), 6) AS embedding_sum, list_transform(list_sort(map_entries(map(['Aesthetic', 'Personal', 'tech', 'comp'], [round(score, 3), round(personal, 3), round(tech, 3), round(comp, 3)]))), lambda e: e.key || '=' || printf('%.3f', e.value)) AS breakdown,
+ '' AS critique, '' AS reasoning_log, false AS is_verified, exif_ts, coalesce(stars, 0) AS stars, reject, sim_flag, cluster_id FROM gr""",
+)
 def gallery_rows(spark, d):
-    return gallery.rows(_gallery(spark, d)).select("path", "filename", "reject", "grade", "stars")
+    g = _gallery(spark, d).withColumn("aspects", F.create_map(F.lit("tech"), "tech", F.lit("comp"), "comp"))
+    shown = F.transform(F.array_sort(F.map_entries("breakdown")), lambda e: F.concat(e.key, F.lit("="), F.format_string("%.3f", e.value)))
+    out = gallery.projection(gallery.rows(g), "aspects").withColumn("breakdown", shown)
+    return out.withColumn("embedding_sum", F.round(F.aggregate("embedding", F.lit(0.0), lambda x, y: x + y), 6)).drop("embedding")
+
+
+#: The two sources that are unified: stored rows of all embeddings, and a cache of the labels.
+_SOURCES = """WITH db AS (SELECT 'p' || vec_id AS path, len(embedding) AS dims, CASE WHEN vec_id % 3 = 0 THEN (vec_id % 10) / 10.0 END AS quality, CASE WHEN vec_id % 4 = 0 THEN 0.9 END AS personal_score,
+ CAST(vec_id AS DOUBLE) AS exif_ts, CASE WHEN vec_id % 5 <> 0 THEN (vec_id % 8) / 8.0 END AS score, CASE WHEN vec_id % 7 = 0 THEN 'Mid' END AS grade FROM embeddings),
+c AS (SELECT 'p' || doc_id AS path, ['Strong', '', '0.5', NULL][doc_id % 4 + 1] AS grade, CASE WHEN doc_id % 2 = 0 THEN (doc_id % 16) / 16.0 END AS score, CASE WHEN doc_id % 3 = 0 THEN 'seen ' || doc_id END AS critique, doc_id % 5 AS faces FROM labels)"""
+
+
+@query(
+    "unify_sources",
+    f"""{_SOURCES}, u AS (SELECT db.path, CASE WHEN c.grade <> '' THEN c.grade WHEN db.grade <> '' THEN db.grade ELSE '' END AS grade, coalesce(c.score, db.score, 0.0) AS score, coalesce(c.critique, '') AS critique, coalesce(c.faces, 0) AS faces, exif_ts,
+ CASE WHEN quality <> 0 THEN quality WHEN personal_score <> 0 THEN personal_score ELSE 0.5 END AS personal_score, 1152 AS dims,
+ CASE WHEN c.grade <> '' THEN 'cache' WHEN db.grade <> '' THEN 'stored' ELSE 'default' END AS grade_from, CASE WHEN c.score IS NOT NULL THEN 'cache' WHEN db.score IS NOT NULL THEN 'stored' ELSE 'default' END AS score_from FROM db LEFT JOIN c USING (path))
+SELECT path, CAST(CASE WHEN contains(grade, 'Strong') THEN 2 WHEN contains(grade, 'Mid') THEN 1 WHEN contains(grade, 'Weak') THEN 0 WHEN TRY_CAST(grade AS DOUBLE) >= 0.7 THEN 2 WHEN TRY_CAST(grade AS DOUBLE) >= 0.4 THEN 1 WHEN TRY_CAST(grade AS DOUBLE) IS NOT NULL THEN 0 ELSE 1 END AS INTEGER) AS level,
+ grade, CAST(score AS DOUBLE) AS score, critique, faces, exif_ts, CAST(personal_score AS DOUBLE) AS personal_score, dims, grade_from, score_from FROM u""",
+)
+def unify_sources(spark, d):
+    e, n = items.table(spark, d, "embeddings"), items.table(spark, d, "labels")
+    db = e.selectExpr(
+        "concat('p', vec_id) AS path", "embedding", "CASE WHEN vec_id % 3 = 0 THEN vec_id % 10 / 10 END AS quality", "CASE WHEN vec_id % 4 = 0 THEN 0.9D END AS personal_score",
+        "CAST(vec_id AS DOUBLE) AS exif_ts", "CASE WHEN vec_id % 5 <> 0 THEN vec_id % 8 / 8 END AS score", "CASE WHEN vec_id % 7 = 0 THEN 'Mid' END AS grade",
+    )
+    cache = n.selectExpr("concat('p', doc_id) AS path", "array('Strong', '', '0.5', NULL)[int(doc_id % 4)] AS grade", "CASE WHEN doc_id % 2 = 0 THEN doc_id % 16 / 16 END AS score", "CASE WHEN doc_id % 3 = 0 THEN concat('seen ', doc_id) END AS critique", "doc_id % 5 AS faces")
+    u = gallery.unified(db, cache)
+    return u.select("path", "level", "grade", "score", "critique", "faces", "exif_ts", "personal_score", F.size("vector").alias("dims"), F.col("origin.grade").alias("grade_from"), F.col("origin.score").alias("score_from"))
 
 
 @query("gallery_filter", f"{SQL_G} SELECT path FROM gr WHERE (NOT reject AND coalesce(stars, 0) >= 2) OR in_sequence")
@@ -238,10 +287,10 @@ def parent_folders(spark, d):
     return gallery.parents(stored(spark, d)[0].withColumn("pos", pos))
 
 
-@query("left_enrich", f"{SQL_T}, s AS (SELECT path FROM n WHERE score > 0.4) SELECT s.path, t.score, t.personal FROM s LEFT JOIN t USING (path)")
+@query("left_enrich", f"{SQL_T}, s AS (SELECT path FROM n) SELECT s.path, t.score, t.personal FROM s LEFT JOIN t USING (path)")
 def left_enrich(spark, d):
     t, n = stored(spark, d)
-    return gallery.enrich(n.where("score > 0.4").select("path"), t)
+    return gallery.enrich(n.select("path"), t)
 
 
 @query("precedence_merge", f"{SQL_T} SELECT n.path, coalesce(CASE WHEN n.score > 0.3 THEN n.score END, t.score) AS score, coalesce(t.personal, 0.5) AS personal FROM n LEFT JOIN t USING (path)")

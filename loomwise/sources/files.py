@@ -141,10 +141,26 @@ def flags(spark: SparkSession, path: str) -> DataFrame:
     return one.select(F.explode(kinds).alias("k")).select(F.explode("k.paths").alias("path"), "k.flag")
 
 
+#: What is read of a row, with the defaults for what is null, 0 or empty.
+_SQLITE = "SELECT path, embedding, coalesce(nullif(score, 0), 0.5), coalesce(nullif(grade, ''), 'Mid'), coalesce(exif_ts, 0.0) FROM \"{}\""
+_STORED = "path string, embedding array<float>, score double, grade string, exif_ts double"
+
+
+def _sqlite_rows(path: str, query: str, *args) -> Iterator[pd.DataFrame]:
+    import sqlite3
+
+    import numpy as np
+
+    with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as db:
+        rows = db.execute(query, args)
+        while some := rows.fetchmany(1000):
+            yield pd.DataFrame([(p, None if e is None else np.frombuffer(e, "<f4"), s, g, t) for p, e, s, g, t in some], columns=["path", "embedding", "score", "grade", "exif_ts"])
+
+
 def sqlite(spark: SparkSession, path: str, table: str, parts: int = 8) -> DataFrame:
     """path, embedding, score, grade and exif_ts of a SQLite table on storage that all machines share.
 
-    Ranges of row ids are read side by side. Defaults: 0.5, Mid and 0.0; blobs are float32.
+    Ranges of row ids are read side by side. Defaults for null, 0 and empty: 0.5, Mid and 0.0; blobs are float32.
     """
     import sqlite3
 
@@ -154,16 +170,57 @@ def sqlite(spark: SparkSession, path: str, table: str, parts: int = 8) -> DataFr
     step = max(1, -(-(high - low + 1) // parts))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import numpy as np
-
         for b in batches:
             for k in b["id"]:
-                with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as db:
-                    rows = db.execute(f'SELECT path, embedding, coalesce(score, 0.5), coalesce(grade, \'Mid\'), coalesce(exif_ts, 0.0) FROM "{table}" WHERE rowid BETWEEN ? AND ?', (low + int(k) * step, low + (int(k) + 1) * step - 1))
-                    while some := rows.fetchmany(1000):
-                        yield pd.DataFrame([(p, None if e is None else np.frombuffer(e, "<f4"), s, g, t) for p, e, s, g, t in some], columns=["path", "embedding", "score", "grade", "exif_ts"])
+                yield from _sqlite_rows(path, _SQLITE.format(table) + " WHERE rowid BETWEEN ? AND ?", low + int(k) * step, low + (int(k) + 1) * step - 1)
+
+    return spark.range(0, parts, 1, parts).mapInPandas(run, _STORED)
+
+
+def sqlite_folder(spark: SparkSession, files: DataFrame, table: str) -> DataFrame:
+    """The same of a table in many SQLite files (path); a task reads a file as a whole."""
 
-    return spark.range(0, parts, 1, parts).mapInPandas(run, "path string, embedding array<float>, score double, grade string, exif_ts double")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for p in b["path"]:
+                yield from _sqlite_rows(p, _SQLITE.format(table))
+
+    return files.select("path").repartition(max(1, files.count())).mapInPandas(run, _STORED)
+
+
+def write_sqlite(df: DataFrame, folder: str, table: str) -> DataFrame:
+    """Write rows (path, embedding, score, grade, exif_ts) as SQLite files, one a task, into a folder that all machines have mounted: path, rows.
+
+    A file is written under its attempt's name and renamed when it is whole.
+    """
+    import os
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import sqlite3
+
+        import numpy as np
+        from pyspark import TaskContext
+
+        task, n, db = TaskContext.get(), 0, None
+        name = f"{folder}/part-{task.partitionId():06d}.db"
+        temp = f"{name}.{task.taskAttemptId()}.tmp"
+        plain = lambda v: None if v is None or v != v else v
+        for b in batches:
+            if db is None:
+                os.makedirs(folder, exist_ok=True)
+                db = sqlite3.connect(temp)
+                db.execute(f'CREATE TABLE "{table}" (path TEXT, embedding BLOB, score REAL, grade TEXT, exif_ts REAL)')
+            rows = ((p, None if e is None else np.asarray(e, "<f4").tobytes(), plain(s), g, plain(t)) for p, e, s, g, t in zip(b["path"], b["embedding"], b["score"], b["grade"], b["exif_ts"], strict=True))
+            n += db.executemany(f'INSERT INTO "{table}" VALUES (?, ?, ?, ?, ?)', rows).rowcount
+        if db is not None:
+            db.commit()
+            db.close()
+            os.replace(temp, name)
+            yield pd.DataFrame({"path": [name], "rows": [n]})
+
+    from loomwise.session import materialised
+
+    return materialised(df.select("path", F.col("embedding").cast("array<float>"), F.col("score").cast("double"), "grade", F.col("exif_ts").cast("double")).mapInPandas(run, "path string, rows long"), "sqlite")
 
 
 def zipped(vectors: DataFrame, metadata: DataFrame, columns: list[str]) -> DataFrame:

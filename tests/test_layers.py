@@ -84,6 +84,17 @@ def test_repeated_batches_null_keys_and_other_writers(spark):
     assert rows(table) == {1: ("a", 1.0)}
 
 
+def test_rows_of_another_length_are_dropped(spark):
+    kind = T.StructType([T.StructField("path", T.StringType()), T.StructField("v", T.ArrayType(T.DoubleType()))])
+    table = Layers(spark, scratch_path(spark, "layers"), kind, "path")
+    assert not table.recreate_unless("v", 3)
+    table.upsert(spark.createDataFrame([("a", [1.0, 2.0]), ("b", None)], kind))
+    assert not table.recreate_unless("v", 2) and table.read().count() == 2
+    assert table.recreate_unless("v", 3) and table.read().count() == 0 and table.vacuum() == 1
+    table.upsert(spark.createDataFrame([("a", [1.0, 2.0, 3.0])], kind))
+    assert not table.recreate_unless("v", 3) and table.read().count() == 1
+
+
 def test_no_pair_is_lost_or_doubled_when_the_receiver_fails_twice(spark):
     schema = T.StructType([T.StructField("key", T.StringType()), T.StructField("v", T.LongType())])
     received, calls = Layers(spark, scratch_path(spark, "received"), schema, "key"), []

@@ -41,9 +41,10 @@ def test_query_equals_sql(spark, duck, name):
     assert mine == sorted(repr([plain(row[k]) for k in at]) for row in r.fetchall())
 
 
+#: Queries without SQL; their values are tested elsewhere.
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_query_runs(spark, name):
-    assert QUERIES[name](spark, SF).count() >= 0
+    assert QUERIES[name](spark, SF).count() > 0
 
 
 def test_entry(spark):
