@@ -73,9 +73,8 @@ def products(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
-def _matrix(column: pa.ChunkedArray, dims: int) -> np.ndarray:
+def _matrix(lists: pa.ListArray, dims: int) -> np.ndarray:
     """floor(64 x) as float64, one row for each vector, filled up with zeros."""
-    lists = column.combine_chunks()
     sizes = np.asarray(lists.value_lengths())
     flat = np.floor(64 * np.asarray(lists.flatten(), np.float64))
     out = np.zeros((len(sizes), dims))
@@ -147,11 +146,18 @@ def _group(k: int):
         ids, floors = t.column("id").to_numpy(), t.column("floor").fill_null(NONE).to_numpy()
         if is_query.all() or not is_query.any():
             return schema.empty_table()
-        dims = max(1, pa.compute.max(pa.compute.list_value_length(t.column("v"))).as_py())
-        x = _matrix(t.column("v"), dims)
-        q, c, qid, cid = x[is_query], x[~is_query], ids[is_query], ids[~is_query]
-        rows, scores, found = _best(q, qid, floors[is_query], c, cid, k)
-        return pa.table([qid[rows], found, scores], schema=schema)
+        # vectors of like length are padded to the longest of them; beyond a query's or a candidate's end products are 0
+        column = t.column("v").combine_chunks()
+        size = np.asarray(column.value_lengths())
+        like = np.ceil(np.log2(np.maximum(size, 1))).astype(int)
+        out = []
+        classes = [[(at, _matrix(column.take(pa.array(at)), max(1, int(size[at].max())))) for kind in np.unique(like[side]) for at in [np.nonzero(side & (like == kind))[0]]] for side in (is_query, ~is_query)]
+        for q_at, q in classes[0]:
+            for c_at, c in classes[1]:
+                dims = min(q.shape[1], c.shape[1])
+                rows, scores, found = _best(q[:, :dims], ids[q_at], floors[q_at], c[:, :dims], ids[c_at], k)
+                out.append(pa.table([ids[q_at][rows], found, scores], schema=schema))
+        return pa.concat_tables(out)
 
     return run
 

@@ -44,3 +44,20 @@ def test_blocks_of_long_vectors_take_no_longer_than_their_products():
     began = time.time()
     topk._best(x[:1000], np.arange(1000), np.full(1000, topk.NONE), x, np.arange(3000), 20)
     assert time.time() - began < 20
+
+
+def test_one_long_vector_among_short_ones(spark):
+    """Each class of lengths has a matrix of its own, so the short rows are not padded to the long one."""
+    rng = np.random.default_rng(5)
+    rows = [(k, rng.normal(size=1 + k % 9).tolist()) for k in range(2000)] + [(2000, rng.normal(size=100_000).tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    topk.exact_top_k(spark, df.where("vec_id < 40"), F.col("vec_id") % 20 == 0, k=3).collect()
+    began = time.time()
+    got = {}
+    for r in topk.exact_top_k(spark, df, F.col("vec_id") % 20 == 0, k=6).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    assert time.time() - began < 15
+    pad = [(i, x + [0.0] * (9 - len(x)) if i < 2000 else x[:9]) for i, x in rows]
+    want = brute(pad, 6)
+    assert all(got[q] == want[q] for q in want if q < 2000) and len(got[2000]) == 6
+    assert [v for v, _ in got[2000]] == [v for v, _ in want[2000]]
