@@ -139,15 +139,21 @@ class WordBpe:
         return known
 
     def encode_word(self, word: str) -> tuple[int, ...]:
-        s = "".join([self.bytes[b] for b in word.encode("utf-8")])
+        # printable ASCII stands for itself
+        s = word if word.isascii() and word.isprintable() else "".join([self.bytes[b] for b in word.encode("utf-8")])
         s = s[:-1] + chr(ord(s[-1]) + END)
         last: list[tuple[int, int] | None] = [None] * (len(s) + 1)
+        known = self.fits.get
         for end, (token, size) in self.automaton.iter(s):
             end += 1
             if last[end] is None:
                 start = end - size
-                if start == 0 or self.side_by_side(last[start][0], token):
-                    last[end] = (token, start)
+                if start:
+                    pair = (last[start][0], token)
+                    fits = known(pair)
+                    if not (self.side_by_side(*pair) if fits is None else fits):
+                        continue
+                last[end] = (token, start)
         ids, end = [], len(s)
         while end:
             token, end = last[end]
@@ -155,7 +161,8 @@ class WordBpe:
         return tuple(reversed(ids))
 
     def _encode_chunk(self, chunk: str) -> tuple[int, ...]:
-        text = unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()  # capital sigma: never the final form
+        # capital sigma: never the final form
+        text = chunk.lower() if chunk.isascii() else unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
         return tuple(chain.from_iterable([self.words[w] for w in self.word.findall(text)]))
 
     def encode(self, text: str) -> list[int]:
