@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from loomwise.functions.scalar import file_name
@@ -203,6 +205,40 @@ def sqlite_import(spark, d):
     return found.select("path", "score", "grade", "exif_ts", F.size("embedding").alias("dims"), F.round(total, 6).alias("total"))
 
 
+@query(
+    "saved_documents",
+    """SELECT 'sequence' AS kind, 'c' || conv_id AS name, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) - 1 AS INTEGER) AS pos, 't' || turn || '/' || role AS path, CAST(NULL AS DOUBLE) AS weight FROM conversations
+UNION ALL SELECT 'used', NULL, NULL, 'p' || doc_id, NULL FROM labels WHERE toxic = 1
+UNION ALL SELECT 'locked', NULL, NULL, 'p' || doc_id, NULL FROM labels WHERE quality = 1
+UNION ALL SELECT 'preset', 'u' || user_id, NULL, event_type, round(sum(value), 4) FROM events GROUP BY user_id, event_type""",
+)
+def saved_documents(spark, d):
+    """Sequences, used and locked paths and presets, written as JSON documents of a hundred entries and read back."""
+    base = scratch_path(spark, "documents")
+    hundred = lambda c: F.floor(F.col(c) / 100)
+    turns = items.table(spark, d, "conversations")
+    frames = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda t: F.concat(F.lit("t"), t.turn, F.lit("/"), t.role))
+    one = turns.groupBy("conv_id").agg(F.struct(F.concat(F.lit("c"), "conv_id").alias("name"), frames.alias("paths")).alias("s"))
+    sequences = one.groupBy(hundred("conv_id").alias("k")).agg(F.to_json(F.struct(F.collect_list("s").alias("sequences"))).alias("doc"))
+    labels = items.table(spark, d, "labels").withColumn("path", F.concat(F.lit("p"), "doc_id")).groupBy(hundred("doc_id").alias("k"))
+    chosen = lambda c: F.collect_list(F.when(F.col(c) == 1, F.col("path")))
+    used = labels.agg(F.to_json(chosen("toxic")).alias("doc"))
+    flags = labels.agg(F.to_json(F.struct(chosen("quality").alias("locked"), F.array().cast("array<string>").alias("used"))).alias("doc"))
+    sums = items.table(spark, d, "events").groupBy("user_id", "event_type").agg(F.round(F.sum("value"), 4).alias("w"))
+    weights = sums.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "w"))).alias("m"))
+    presets = weights.groupBy(hundred("user_id").alias("k")).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("u"), "user_id"), "m")))).alias("doc"))
+    for kind, docs in (("sequences", sequences), ("used", used), ("flags", flags), ("presets", presets)):
+        export.write_texts(docs.withColumn("path", F.concat(F.lit(f"{base}/{kind}/"), "k", F.lit(".json"))), "path", "doc").count()
+    none = lambda kind: F.lit(None).cast(kind)
+    parts = [
+        files.saved_sequences(spark, f"{base}/sequences").select(F.lit("sequence").alias("kind"), "name", "pos", "path", none("double").alias("weight")),
+        files.used_paths(spark, f"{base}/used").select(F.lit("used").alias("kind"), none("string").alias("name"), none("int").alias("pos"), "path", none("double").alias("weight")),
+        files.flags(spark, f"{base}/flags").select(F.col("flag").alias("kind"), none("string").alias("name"), none("int").alias("pos"), "path", none("double").alias("weight")),
+        files.presets(spark, f"{base}/presets").select(F.lit("preset").alias("kind"), "name", none("int").alias("pos"), F.col("key").alias("path"), F.col("weight")),
+    ]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 @query("positional_zip", "SELECT vec_id AS pos, 'p' || doc_id AS path FROM embeddings LEFT JOIN labels ON doc_id = vec_id")
 def positional_zip(spark, d):
     # the metadata as parallel arrays for a hundred positions each

@@ -141,6 +141,36 @@ def flags(spark: SparkSession, path: str) -> DataFrame:
     return one.select(F.explode(kinds).alias("k")).select(F.explode("k.paths").alias("path"), "k.flag")
 
 
+def _there(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def _documents(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """doc, one value of a type for each JSON document at a path or below it; none where nothing is there, null for a damaged one."""
+    if not _there(spark, path):
+        return spark.createDataFrame([], f"doc {kind}")
+    return spark.read.text(path, wholetext=True).select(F.from_json("value", kind).alias("doc"))
+
+
+def saved_sequences(spark: SparkSession, path: str) -> DataFrame:
+    """name, pos and path of the frames of saved sequences; of a document {"sequences": [{"name", "paths"}]}."""
+    docs = _documents(spark, path, "struct<sequences:array<struct<name:string,paths:array<string>>>>")
+    each = docs.select(F.explode("doc.sequences").alias("s"))
+    return each.select("s.name", F.posexplode("s.paths").alias("pos", "path"))
+
+
+def presets(spark: SparkSession, path: str) -> DataFrame:
+    """name, key and weight of presets; of a document {name: {key: weight}}."""
+    docs = _documents(spark, path, "map<string,map<string,double>>")
+    return docs.select(F.explode("doc").alias("name", "weights")).select("name", F.explode("weights").alias("key", "weight"))
+
+
+def used_paths(spark: SparkSession, path: str) -> DataFrame:
+    """The distinct paths of documents that are lists of paths."""
+    return _documents(spark, path, "array<string>").select(F.explode("doc").alias("path")).where("path IS NOT NULL").distinct()
+
+
 #: What is read of a row, with the defaults for what is null, 0 or empty.
 _SQLITE = "SELECT path, embedding, coalesce(nullif(score, 0), 0.5), coalesce(nullif(grade, ''), 'Mid'), coalesce(exif_ts, 0.0) FROM \"{}\""
 _STORED = "path string, embedding array<float>, score double, grade string, exif_ts double"

@@ -7,7 +7,7 @@ import xml.etree.ElementTree as ET
 from pyspark.sql import functions as F
 
 from loomwise.operators import store
-from loomwise.sources import export
+from loomwise.sources import export, files
 
 
 def put(folder, files):
@@ -85,3 +85,23 @@ def test_fingerprints_follow_content_alone(spark, tmp_path):
         assert len(set(got.values())) == 4 and len(got) == 5
     twice = export.content_fingerprints(spark, [str(tmp_path / "a"), str(tmp_path / "a")], ["bin"])
     assert twice.count() == 1
+
+
+def test_documents_that_are_missing_or_damaged(spark, tmp_path):
+    gone = str(tmp_path / "none.json")
+    assert files.saved_sequences(spark, gone).count() == files.presets(spark, gone).count() == files.used_paths(spark, gone).count() == 0
+    put(tmp_path, {"s/1.json": b'{"sequences": [{"name": "a", "paths": ["x", "y"]}, {"name": "b", "paths": []}]}', "s/2.json": b'{"sequences": [', "u/1.json": b'["p", "q", null, "p"]', "u/2.json": b"no list", "w/1.json": b'{"slow": {"flow": 0.5, "time": 1}, "none": {}}'})
+    assert sorted(tuple(r) for r in files.saved_sequences(spark, str(tmp_path / "s")).collect()) == [("a", 0, "x"), ("a", 1, "y")]
+    assert sorted(r["path"] for r in files.used_paths(spark, str(tmp_path / "u")).collect()) == ["p", "q"]
+    assert sorted(tuple(r) for r in files.presets(spark, str(tmp_path / "w")).collect()) == [("slow", "flow", 0.5), ("slow", "time", 1.0)]
+
+
+def test_sqlite_files_of_many_tasks(spark, tmp_path):
+    rows = [(f"p{i}", [float(i), 0.5], [None, 0.0, 0.7][i % 3], [None, "", "Strong"][i % 3], None if i % 2 else float(i)) for i in range(40)]
+    df = spark.createDataFrame([*rows, ("null", None, None, None, None)], "path string, embedding array<float>, score double, grade string, exif_ts double").repartition(4)
+    told = files.write_sqlite(df, str(tmp_path / "db"), "e")
+    assert sum(r["rows"] for r in told.collect()) == 41 and sorted(os.listdir(tmp_path / "db")) == [f"part-{k:06d}.db" for k in range(4)]
+    got = {r["path"]: r for r in files.sqlite_folder(spark, told, "e").collect()}
+    assert len(got) == 41 and got["null"]["embedding"] is None
+    for p, e, s, g, t in rows:
+        assert (got[p]["embedding"], got[p]["score"], got[p]["grade"], got[p]["exif_ts"]) == (e, s or 0.5, g or "Mid", t or 0.0)
