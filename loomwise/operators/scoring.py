@@ -340,6 +340,37 @@ def technical_score(sharpness: Column, exposure: Column, noise: Column, midtone:
     return clip(0.30 * sharpness + 0.28 * exposure + 0.22 * (1 - noise) + 0.20 * midtone, 0.0, 1.0)
 
 
+def pixel_technical() -> Column:
+    """Technical score of pixel statistics: sharpness less what exposure, noise and a want of midtones take away.
+
+    Columns: sharp (the best focus measure), blur_cv, noise (mean of the shadows), blown
+    and blocked (shares of pixels), midtones (share) and chiaroscuro. Soft focus with
+    grain and an even blur counts as meant.
+    """
+    c = F.col
+    sharp = F.least(c("sharp") / 400.0, F.lit(1.0))
+    meant = (c("sharp") < 250) & (c("blur_cv") < 0.55) & (c("noise") > 1.5) & (c("sharp") > 8)
+    sharp = F.when(c("sharp") >= 60, sharp).when(meant, F.greatest(sharp, F.lit(0.38))).otherwise(F.least(sharp, F.lit(0.18)))
+    clipped = F.least(F.least(c("blown") * 4.0, F.lit(0.60)) + F.least(c("blocked") * 3.0, F.lit(0.40)), F.lit(0.70))
+    exposure = F.when(c("chiaroscuro"), F.least(c("blown") * 2.0, F.lit(0.15))).otherwise(clipped)
+    noise = F.least(c("noise") / 12.0, F.lit(0.50))
+    return clip(sharp * (1.0 - exposure * 0.55) * (1.0 - noise * 0.35) * (0.80 + 0.20 * F.least(c("midtones") / 0.65, F.lit(1.0))), 0.0, 1.0)
+
+
+def pixel_lighting() -> Column:
+    """Lighting score of pixel statistics: mean, centre, std, local_std, mood and chiaroscuro; bands of brightness end at 40 and 210."""
+    c = F.col
+    dark, bright = c("mean") / 40.0 * 0.45, F.greatest(F.lit(0.0), (255 - c("mean")) / 45.0) * 0.45
+    exposure = (
+        F.when(c("chiaroscuro"), clip(1.0 - F.abs(c("centre") - 110) / 120.0, 0.0, 1.0))
+        .when(c("mean") < 40, dark)
+        .when(c("mean") > 210, bright)
+        .otherwise(1.0 - F.abs(c("mean") - 118) / 170.0)
+    )
+    contrast, local = F.least(c("std") / 52.0, F.lit(1.0)), F.least(F.coalesce(c("local_std") / 38.0, F.lit(0.4)), F.lit(1.0))
+    return clip(0.30 * exposure + 0.28 * contrast + 0.22 * local + 0.20 * clip(c("mood"), 0.0, 1.0), 0.0, 1.0)
+
+
 def people_gate(boxes: Column, lum: Column, std: Column, min_conf: float = 0.35, min_area: float = 0.0008) -> Column:
     """hard, soft or pass for a brief without people; boxes have conf, w, h and lum."""
     seen = F.exists(F.coalesce(boxes, F.array().cast(_BOXES)), lambda b: (b.conf >= min_conf) & (b.w * b.h >= min_area) & (b.lum >= 15))

@@ -138,6 +138,28 @@ def confidence_gates(spark, d):
     )
 
 
+#: Pixel statistics that stand for an item's.
+_PIXELS = {
+    "sharp": "CAST((idx * 17) % 500 AS DOUBLE)", "blur_cv": "CAST(idx % 10 AS DOUBLE) / 10", "noise": "CAST((idx * 7) % 80 AS DOUBLE) / 10", "blown": "CAST(idx % 13 AS DOUBLE) / 50",
+    "blocked": "CAST(idx % 11 AS DOUBLE) / 40", "midtones": "CAST((idx * 3) % 100 AS DOUBLE) / 100", "mean": "lum", "centre": "CAST((idx * 29) % 256 AS DOUBLE)", "std": "lum_std",
+    "local_std": "CASE WHEN idx % 9 > 0 THEN CAST(idx % 60 AS DOUBLE) END", "mood": "CAST((idx * 5) % 130 AS DOUBLE) / 100 - 0.1", "chiaroscuro": "lum < 35 AND lum_std > 35",
+}
+
+
+@query(
+    "pixel_scores",
+    f"""{grading.SQL}, px AS (SELECT path, {', '.join(f'{x} AS {n}' for n, x in _PIXELS.items())} FROM g),
+py AS (SELECT *, CASE WHEN sharp >= 60 THEN least(sharp / 400.0, 1.0) WHEN sharp < 250 AND blur_cv < 0.55 AND noise > 1.5 AND sharp > 8 THEN greatest(sharp / 400.0, 0.38) ELSE least(sharp / 400.0, 0.18) END AS s,
+ CASE WHEN chiaroscuro THEN least(blown * 2, 0.15) ELSE least(least(blown * 4, 0.60) + least(blocked * 3, 0.40), 0.70) END AS e,
+ CASE WHEN chiaroscuro THEN least(greatest(1 - abs(centre - 110) / 120, 0), 1) WHEN mean < 40 THEN mean / 40 * 0.45 WHEN mean > 210 THEN greatest(0, (255 - mean) / 45) * 0.45 ELSE 1 - abs(mean - 118) / 170 END AS x FROM px)
+SELECT path, round(least(greatest(s * (1 - e * 0.55) * (1 - least(noise / 12, 0.50) * 0.35) * (0.80 + 0.20 * least(midtones / 0.65, 1.0)), 0.0), 1.0), 6) AS technical,
+ round(least(greatest(0.30 * x + 0.28 * least(std / 52, 1.0) + 0.22 * least(coalesce(local_std / 38, 0.4), 1.0) + 0.20 * least(greatest(mood, 0.0), 1.0), 0.0), 1.0), 6) AS lighting FROM py""",
+)
+def pixel_scores(spark, d):
+    g = grading.graded(spark, d).selectExpr("path", *[f"{x} AS {n}" for n, x in _PIXELS.items()])
+    return g.select("path", F.round(scoring.pixel_technical(), 6).alias("technical"), F.round(scoring.pixel_lighting(), 6).alias("lighting"))
+
+
 @query(
     "feature_scores",
     f"""{grading.SQL} SELECT path, round(least(greatest((lum / 32 - 4.0) / 3.5, 0.0), 1.0), 6) AS aesthetic,
