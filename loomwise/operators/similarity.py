@@ -13,8 +13,8 @@ from loomwise.operators.store import numbered
 from loomwise.session import forget, materialised, remove_path, scratch_path
 
 
-#: Rows of a block, cells that a similarity join makes at most, and rows of a bank that is broadcast.
-BLOCK, CELLS, BANK_ROWS = 1024, 512, 4096
+#: Rows of a block, gatherings of a similarity join and cells of one at most, and rows of a bank that is broadcast.
+BLOCK, CELLS, INNER, BANK_ROWS = 1024, 512, 64, 4096
 
 
 def _paired(rows: DataFrame, block: int, *by: str) -> DataFrame:
@@ -48,40 +48,80 @@ def _products(g: pd.DataFrame, least: float, further: str | None = None, scale:
     return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "va": va, "vb": vb})
 
 
+def _angles(v: pd.Series | np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    x = v if isinstance(v, np.ndarray) else np.stack(v.to_numpy())
+    return np.arccos(np.clip(x @ pivots.T / (np.linalg.norm(x, axis=1, keepdims=True) + TINY), -1, 1))
+
+
+def _pivots(rows: pd.DataFrame) -> np.ndarray:
+    x = np.stack(rows["v"].to_numpy())
+    return x / (np.linalg.norm(x, axis=1, keepdims=True) + TINY)
+
+
 def _cells(rows: DataFrame, n: int, threshold: float, block: int) -> DataFrame:
     """Block pairs like :func:`_paired` for rows around pivots, without pairs of cells too far apart to hold an edge.
 
-    Every row's home is the cell of its nearest pivot, of n / block pivots (CELLS at
-    most) with the smallest hashes. By the triangle inequality of angles a row can
-    only have an edge into a cell whose pivot is within the cell's radius and the
-    threshold's angle; it probes those of smaller number, and no others. Cells and
-    their probes are cut into blocks of bounded size.
+    Every row is gathered around its nearest pivot, of n / block pivots (CELLS at
+    most) with the smallest hashes, and where that leaves a gathering of many blocks
+    around the nearest of up to INNER pivots of its own: that is its home cell. By
+    the triangle inequality of angles a row can only have an edge into a cell whose
+    pivot is within the cell's radius and the threshold's angle, and only where the
+    same holds of the gathering; it probes those of smaller number, and no others.
+    Cells and their probes are cut into blocks of bounded size.
     """
     k = min(CELLS, n // block)
-    near = rows.orderBy(F.xxhash64("id"), "id").limit(k).toPandas()  # the pivots: CELLS rows at most
-    pivots = np.stack(near["v"].to_numpy())
-    pivots /= np.linalg.norm(pivots, axis=1, keepdims=True) + TINY
+    outer = _pivots(rows.orderBy(F.xxhash64("id"), "id").limit(k).toPandas())  # CELLS rows at most
     reach = float(np.arccos(min(1.0, threshold))) + 1e-6
 
-    def angles(v: pd.Series) -> np.ndarray:
-        x = np.stack(v.to_numpy())
-        return np.arccos(np.clip(x @ pivots.T / (np.linalg.norm(x, axis=1, keepdims=True) + TINY), -1, 1))
+    def gather(batches):
+        for b in batches:
+            if len(b):
+                x = _angles(b["v"], outer)
+                yield b.assign(part=x.argmin(1), far=x.min(1))
+
+    gathered = materialised(rows.mapInPandas(gather, "id long, v array<double>, part int, far double"), "gathered")
+    sizes = gathered.groupBy("part").agg(F.count("*").alias("n"), F.max("far").alias("r"))  # a row a gathering
+    far = np.full(k, -np.inf)
+    wanted = np.ones(k, int)
+    for r in sizes.collect():
+        far[r["part"]], wanted[r["part"]] = r["r"], min(INNER, max(1, r["n"] // block))
+    more = F.get(F.array(*map(F.lit, wanted.tolist())), F.col("part"))
+    # a window group limit keeps INNER rows a gathering in each task
+    first = gathered.withColumn("r", F.row_number().over(Window.partitionBy("part").orderBy(F.xxhash64("id"), "id"))).where(F.col("r") <= INNER)
+    inner = first.where((F.col("r") <= more) & (more > 1)).select("part", "r", "v").orderBy("part", "r").toPandas()  # CELLS * INNER rows at most
+    own = {int(c): _pivots(g) for c, g in inner.groupby("part")} if len(inner) else {}
+    pivots = [own.get(c, outer[c : c + 1]) for c in range(k)]
+    start = np.cumsum([0, *map(len, pivots)])
 
     def homes(batches):
         for b in batches:
-            x = angles(b["v"])
-            yield b.assign(cell=x.argmin(1), angle=x.min(1))
-
-    home = materialised(rows.mapInPandas(homes, "id long, v array<double>, cell int, angle double"), "homes")
-    radius = np.full(k, -np.inf)
+            if b.empty:
+                continue
+            x, part = np.stack(b["v"].to_numpy()), b["part"].to_numpy()
+            cell, angle = np.zeros(len(b), np.int64), np.zeros(len(b))
+            for c in np.unique(part):
+                at = np.nonzero(part == c)[0]
+                a = _angles(x[at], pivots[c])
+                cell[at], angle[at] = start[c] + a.argmin(1), a.min(1)
+            yield b.drop(columns=["far"]).assign(cell=cell, angle=angle)
+
+    home = materialised(gathered.mapInPandas(homes, "id long, v array<double>, part int, cell int, angle double"), "homes")
+    radius = np.full(start[-1], -np.inf)
     for r in home.groupBy("cell").agg(F.max("angle").alias("r")).collect():  # a row a cell
         radius[r["cell"]] = r["r"]
+    forget(gathered)
 
     def probes(batches):
         for b in batches:
-            near = (angles(b["v"]) <= radius + reach) & (np.arange(k) < b["cell"].to_numpy()[:, None])
-            row, cell = np.nonzero(near)
-            yield pd.DataFrame({"id": b["id"].to_numpy()[row], "v": b["v"].to_numpy()[row], "cell": cell})
+            if b.empty:
+                continue
+            x, cell = np.stack(b["v"].to_numpy()), b["cell"].to_numpy()
+            near = (_angles(x, outer) <= far + reach) & (start[:-1] < cell[:, None])
+            for c in np.nonzero(near.any(0))[0]:
+                at = np.nonzero(near[:, c])[0]
+                numbers = np.arange(start[c], start[c + 1])
+                row, inside = np.nonzero((_angles(x[at], pivots[c]) <= radius[numbers] + reach) & (numbers < cell[at, None]))
+                yield pd.DataFrame({"id": b["id"].to_numpy()[at[row]], "v": b["v"].to_numpy()[at[row]], "cell": numbers[inside]})
 
     probe = materialised(home.mapInPandas(probes, "id long, v array<double>, cell int"), "probes")
     inside = _paired(home.select("id", "v", "cell"), block, "cell").withColumn("probe", F.lit(False))

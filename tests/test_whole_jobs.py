@@ -69,6 +69,25 @@ def test_edges_around_pivots_lose_no_pair(spark, threshold):
         assert probes < 300 * 14 / 4
 
 
+@pytest.mark.parametrize("threshold", [0.5, 0.97])
+def test_large_gatherings_have_cells_of_their_own(spark, threshold, monkeypatch):
+    monkeypatch.setattr(similarity, "CELLS", 4)
+    monkeypatch.setattr(similarity, "INNER", 6)
+    v = clustered(500, seed=9)
+    v[:80] = v[0]  # equal rows
+    df = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "id long, v array<double>")
+    cos = v @ v.T
+    want = {(int(a), int(b)) for a, b in zip(*np.nonzero(np.triu(cos > threshold, 1)), strict=True)}
+    got = [(r["a"], r["b"]) for r in similarity.edges(df, threshold, block=16).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    cells = similarity._cells(df, 500, threshold, 16)
+    assert cells.where("NOT probe").select("cell").distinct().count() > 4
+    if threshold > 0.9:  # fewer pairs of blocks meet than with the gatherings alone
+        inner = cells.select("cell", "probe", "p", "q").distinct().count()
+        monkeypatch.setattr(similarity, "INNER", 1)
+        assert inner < similarity._cells(df, 500, threshold, 16).select("cell", "probe", "p", "q").distinct().count()
+
+
 def test_bank_of_any_size(spark):
     v = clustered(120)
     rows = [(k, x.tolist()) for k, x in enumerate(v)]
