@@ -46,7 +46,6 @@ def test_recall_on_vectors_without_structure(spark, table, vectors):
     want = brute(vectors, asked, 20)
     got = index.search(table.where("id % 20 = 0"), probes=10).collect()
     assert all(r["cos"] == pytest.approx(vectors[r["query_id"]] @ vectors[r["id"]]) for r in got)
-    print('recall', recall(got, want))
     assert recall(got, want) >= 0.9
     index.close()
 
