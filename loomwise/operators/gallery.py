@@ -128,11 +128,11 @@ def argmax_dimension(df: DataFrame, dims: list[str]) -> DataFrame:
 
 
 def aspect_bars(breakdown: Column, known: list[str], meta: list[str]) -> Column:
-    """Entries of a map by value, largest first: known keys with default 0, meta keys left out."""
+    """Entries of a map by value before it is rounded, largest first: known keys with default 0, meta keys left out."""
     full = F.map_zip_with(F.map_from_arrays(F.array(*map(F.lit, known)), F.array_repeat(F.lit(0.0), len(known))), breakdown, lambda k, a, b: F.coalesce(b, a))
     shown = F.map_filter(full, lambda k, v: ~k.isin(meta))
     ordered = F.array_sort(F.transform(F.map_entries(shown), lambda e: F.struct((-e.value).alias("o"), e.key.alias("k"))))
-    return F.transform(ordered, lambda e: F.concat_ws("=", e.k, F.format_string("%.3f", -e.o)))
+    return F.transform(ordered, lambda e: F.concat_ws("=", e.k, F.format_string("%.3f", F.bround(-e.o, 3))))
 
 
 def feedback(df: DataFrame) -> DataFrame:
