@@ -179,7 +179,7 @@ _FILES = "region nation customer supplier part orders lineitem events documents
 
 @query("folder_scan", "SELECT * FROM (VALUES " + ", ".join(f"('{n}.parquet')" for n in _FILES) + ") t(name)")
 def folder_scan(spark, d):
-    found = files.scan(spark, [d, d], ["parquet"])
+    found = files.scan(spark, [d, d], ["parquet"], bundles=True)
     return files.listing(found).select("name")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import struct
 from collections.abc import Iterator
 from functools import reduce
@@ -19,14 +20,25 @@ GRADED = ["jpg", "jpeg", "png", "webp", "tif", "tiff", "bmp"]
 SHOWN = [*GRADED, "gif", "heic", "heif", "cr2", "cr3", "nef", "arw", "dng", "orf", "rw2", "raf", "pef", "srw"]
 
 
-def scan(spark: SparkSession, folders: list[str], extensions: list[str] = GRADED, recursive: bool = False) -> DataFrame:
+def scan(spark: SparkSession, folders: list[str], extensions: list[str] = GRADED, recursive: bool = False, bundles: bool = False) -> DataFrame:
     """path, modified and size of the files with one of the extensions; a file in two folders counts once.
 
-    Only names and sizes are read: the content column is pruned.
+    With ``bundles`` a folder whose own name has one of the extensions, as a table of
+    many files, is one row beside the files, with its newest time and whole size. Only
+    names and sizes are read: the content column is pruned.
     """
-    parts = [spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(f) for f in folders]
-    found = reduce(DataFrame.unionByName, parts).select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("size"))
-    return found.where(extension(F.col("path")).isin(extensions)).dropDuplicates(["path"])
+    parts = [spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive or bundles).lower()).load(f).select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("size")) for f in folders]
+    if not bundles:
+        return reduce(DataFrame.unionByName, parts).where(extension(F.col("path")).isin(extensions)).dropDuplicates(["path"])
+    placed = []
+    for part, f in zip(parts, folders, strict=True):
+        root = "/" + re.sub(r"^[A-Za-z0-9]+:/*", "", f).strip("/") + "/"
+        start = F.locate(root, F.col("path")) + len(root)
+        top = F.substring_index(F.substring("path", start, F.length("path")), "/", 1)
+        deep = F.when(F.lit(recursive) & extension(F.col("path")).isin(extensions), F.col("path"))
+        placed.append(part.withColumn("entry", F.when(extension(top).isin(extensions), F.concat(F.substring("path", F.lit(1), start - 1), top)).otherwise(deep)))
+    found = reduce(DataFrame.unionByName, placed).where("entry IS NOT NULL").dropDuplicates(["path"])
+    return found.groupBy(F.col("entry").alias("path")).agg(F.max("modified").alias("modified"), F.sum("size").alias("size"))
 
 
 def listing(found: DataFrame) -> DataFrame:
