@@ -41,7 +41,7 @@ def scored(spark, d):
 
 def clustered(spark, d):
     df = scored(spark, d)
-    return similarity.with_clusters(df, similarity.components(spark, similarity.edges(df, NEAR)))
+    return similarity.with_clusters(df, similarity.components(spark, similarity.forest(df, NEAR)))
 
 
 @query("sim_edges", f"{U}, {EDGES} SELECT a, b, round(cos, 6) AS cos FROM e")
