@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwise.functions.vectors import dot
+from loomwise.operators.similarity import block_rows
 from loomwise.operators.skyline import skyline
 from loomwise.session import cut, materialised
 
@@ -35,6 +36,8 @@ ROLES3 = {
     "closer": (0.35, 0.35, 0.30),
 }
 EPS = 1e-9
+#: Pairs of rows that a task compares at once.
+PAIRS = 1 << 20
 
 
 def top(df: DataFrame, k: int, score: str = "score") -> DataFrame:
@@ -147,14 +150,14 @@ def _classed(rows: DataFrame, by: str, n: int, block: int, up: bool) -> tuple[Da
     marks = F.array(*map(F.lit, sorted(set(marks or [])))).cast("array<double>")
     at = F.size(F.filter(marks, (lambda m: m <= F.col(by)) if up else (lambda m: m > F.col(by))))
     rows = rows.withColumn("class", at)
-    sizes = sorted(rows.groupBy("class").agg(F.min(by).alias("least"), F.max(by).alias("most"), F.ceil(F.count("*") / block).cast("int").alias("n")).collect())  # a row a class
+    sizes = sorted(rows.groupBy("class").agg(F.min(by).alias("least"), F.max(by).alias("most"), F.ceil(F.count("*") / (1.1 * block)).cast("int").alias("n")).collect())  # a row a class
     ends = np.cumsum([r["n"] for r in sizes]).tolist()
     table = rows.sparkSession.createDataFrame([(r["class"], e - r["n"], r["n"], k) for k, (r, e) in enumerate(zip(sizes, ends, strict=True))], "class int, first int, blocks int, rank int")
     placed = rows.join(F.broadcast(table), "class").withColumn("place", F.col("first") + F.pmod(F.xxhash64("idx"), F.col("blocks")).cast("int"))
     return placed.drop("class", "first", "blocks"), [(r["least"], r["most"], e) for r, e in zip(sizes, ends, strict=True)]
 
 
-def viterbi(df: DataFrame, flow: float, div: float, time: float, n_valid: int, target: int = 5, block: int = 1024, leaders: int = 64, seen: list | None = None) -> DataFrame:
+def viterbi(df: DataFrame, flow: float, div: float, time: float, n_valid: int, target: int = 5, block: int | None = None, leaders: int = 64, seen: list | None = None) -> DataFrame:
     """The best assignment of rows to slots (seq, total); neighbours differ, later repeats are allowed.
 
     df has pos, the place among all valid rows. In each slot every row looks for
@@ -162,7 +165,8 @@ def viterbi(df: DataFrame, flow: float, div: float, time: float, n_valid: int, t
     row a floor that its best reaches. A predecessor whose total with the largest
     possible bonus is below a row's floor can't be its best; so rows are classed by
     floor and predecessors by total, and only classes that can matter to each other
-    meet, in pairs of blocks that are one group each. ``seen`` gets the pairs compared
+    meet, in pairs of blocks that are one group each; a table has twelve blocks, of
+    BLOCK rows at least, so that its copies grow as it does. ``seen`` gets the pairs compared
     and all pairs of each slot. Ties go to the smaller place.
     """
     own = lambda s: (_slot_fit(s) * 0.25 + F.col("score") * 0.10).alias("x")
@@ -174,13 +178,15 @@ def viterbi(df: DataFrame, flow: float, div: float, time: float, n_valid: int, t
         now, last = g[g["is_now"]], g[~g["is_now"]].sort_values("pos")
         if now.empty or last.empty:
             return pd.DataFrame({c: pd.Series(dtype=t) for c, t in (("idx", "int64"), ("total", float), ("before", "int64"), ("o", "int64"))})
-        sims = np.stack(now["v"].to_numpy()) @ np.stack(last["v"].to_numpy()).T
-        at = lambda c: (now[c].to_numpy()[:, None], last[c].to_numpy()[None, :])
-        (x, old), (pos, p_pos), (light, p_light), (idx, p_idx) = (at(c) for c in ("x", "pos", "light", "idx"))
-        step = old + x + bonus(sims, np.abs(p_pos - pos), np.abs(light - p_light))
-        step[idx == p_idx] = -np.inf
-        j = step.argmax(1)
-        top = step[np.arange(len(now)), j]
+        v, w = np.stack(now["v"].to_numpy()), np.stack(last["v"].to_numpy()).T
+        j, top, few = np.empty(len(now), np.int64), np.empty(len(now)), max(1, PAIRS // len(last))
+        for a in range(0, len(now), few):
+            at = lambda c, a=a: (now[c].to_numpy()[a : a + few, None], last[c].to_numpy()[None, :])
+            (x, old), (pos, p_pos), (light, p_light), (idx, p_idx) = (at(c) for c in ("x", "pos", "light", "idx"))
+            step = old + x + bonus(v[a : a + few] @ w, np.abs(p_pos - pos), np.abs(light - p_light))
+            step[idx == p_idx] = -np.inf
+            j[a : a + few] = step.argmax(1)
+            top[a : a + few] = step.max(1)
         out = pd.DataFrame({"idx": now["idx"].to_numpy(), "total": top, "before": last["idx"].to_numpy()[j], "o": -last["pos"].to_numpy()[j]})
         return out[np.isfinite(top)]
 
@@ -206,9 +212,9 @@ def viterbi(df: DataFrame, flow: float, div: float, time: float, n_valid: int, t
 
         kinds = ", ".join(f"{c} {t}" for c, t in df.select(*cols[:-1], own(s)).dtypes)
         now = materialised(df.select(*cols[:-1], own(s)).mapInPandas(floors, f"{kinds}, floor double"), "now")
-        n = last.count()
-        now, lows = _classed(now, "floor", now.count(), block, True)
-        old, highs = _classed(last, "x", n, block, False)
+        n, n_now = last.count(), now.count()
+        now, lows = _classed(now, "floor", n_now, block or block_rows(n_now, 12), True)
+        old, highs = _classed(last, "x", n, block or block_rows(n, 12), False)
         # of each class of rows the classes of predecessors that reach its least floor, the first ones; and the other way round
         needs = [sum(high + most >= low for _, high, _ in highs) for low, _, _ in lows]
         upto = [highs[k - 1][2] if k else 0 for k in needs]
