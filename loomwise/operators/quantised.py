@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwise.functions.vectors import dot
+from loomwise.operators.similarity import dots
 from loomwise.session import forget, materialised
 
 #: Vectors of a stored block, and queries that meet it at once.
@@ -46,10 +47,13 @@ class ProductIndex:
     table for each part; the ``rerank`` best by it get their exact products. With
     ``rerank=None`` all rows are re-ranked that the k best could hold, as a product is
     off by no more than the length of the query times what the bytes are off, so the
-    result is exact in the probed cells, and exact with all cells probed.
+    result is exact in the probed cells, and exact with all cells probed. That happens
+    where the block is read, from a second copy of the blocks that has the vectors
+    beside the bytes and is made for the first such search; a block hands on its k
+    best rows of a query alone.
     """
 
-    def __init__(self, rows: DataFrame, cells: int = 16, parts: int = 16, codes: int = 256, copies: int = 2, sample: int = 20_000, seed: int = 42, block: int = BLOCK):
+    def __init__(self, rows: DataFrame, cells: int = 16, parts: int = 16, codes: int = 256, copies: int = 2, sample: int = 20_000, seed: int = 42, block: int | None = None):
         if codes > 256:
             raise ValueError("a part has one byte")
         spark = rows.sparkSession
@@ -59,7 +63,7 @@ class ProductIndex:
         fit = few.withColumn("g", F.lit(0)).groupBy("g").applyInPandas(lambda g: pd.DataFrame({"c": [x.tolist() for x in lloyd(np.stack(g["v"].to_numpy()), cells, seed)]}), "c array<double>")
         self.centres = np.array([r["c"] for r in fit.collect()]).reshape(-1, max(1, self._size()))
         self.copies = min(copies, max(1, len(self.centres)))
-        self.blocks, self.books, self.spans = None, [], []
+        self.blocks, self.exact, self.books, self.spans = None, None, [], []
         if not len(self.centres):
             return
         d = self.centres.shape[1]
@@ -82,7 +86,9 @@ class ProductIndex:
 
         found = few.mapInPandas(residuals, "part int, x array<double>").groupBy("part").applyInPandas(book, "part int, c array<double>").collect()
         self.books = [np.array(r["c"]).reshape(-1, e - s) for r, (s, e) in zip(sorted(found), spans, strict=True)]
-        self.blocks = self._stored(spark, block)
+        # four blocks a cell, so that their number doesn't grow with the rows
+        self.block = block or min(8 * BLOCK, max(BLOCK, -(-self.rows.count() * self.copies // (4 * len(self.centres)))))
+        self.blocks, self.exact = self._stored(spark, self.block), None
 
     def _size(self) -> int:
         one = self.rows.select(F.size("v").alias("n")).first()
@@ -92,7 +98,8 @@ class ProductIndex:
     def bytes_a_vector(self) -> int:
         return self.copies * (12 + self.parts)
 
-    def _stored(self, spark, block: int) -> DataFrame:
+    def _stored(self, spark, block: int, vectors: bool = False) -> DataFrame:
+        """Blocks of a cell: ids, bytes and errors, and if asked for the vectors themselves."""
         centres, books, spans, copies = self.centres, self.books, self.spans, self.copies
 
         def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -108,18 +115,18 @@ class ProductIndex:
                     for j, (s, e) in enumerate(spans):
                         code[:, j] = _nearest(rest[:, s:e], books[j])
                         off += ((rest[:, s:e] - books[j][code[:, j]]) ** 2).sum(1)
-                    yield pd.DataFrame({"cell": near[:, c].astype(np.int32), "id": b["id"].to_numpy(), "code": [r.tobytes() for r in code], "off": np.sqrt(off)})
+                    yield pd.DataFrame({"cell": near[:, c].astype(np.int32), "id": b["id"].to_numpy(), "code": [r.tobytes() for r in code], "off": np.sqrt(off)} | ({"v": b["v"].to_numpy()} if vectors else {}))
 
-        coded = materialised(self.rows.mapInPandas(encode, "cell int, id long, code binary, off double"), "codes")
+        coded = materialised(self.rows.mapInPandas(encode, "cell int, id long, code binary, off double" + ", v array<double>" * vectors), "codes")
         sizes = coded.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("n"))  # a row a cell
         dealt = coded.join(F.broadcast(sizes), "cell").withColumn("block", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
 
         def pack(g: pd.DataFrame) -> pd.DataFrame:
             # rounded up, so that the bound holds
             off = np.nextafter(g["off"].to_numpy().astype(np.float32), np.float32(np.inf)) + np.float32(1e-6)
-            return pd.DataFrame({"cell": [g["cell"].iloc[0]], "ids": [g["id"].to_numpy().astype("<i8").tobytes()], "codes": [b"".join(g["code"])], "off": [off.astype("<f4").tobytes()]})
+            return pd.DataFrame({"cell": [g["cell"].iloc[0]], "ids": [g["id"].to_numpy().astype("<i8").tobytes()], "codes": [b"".join(g["code"])], "off": [off.astype("<f4").tobytes()]} | ({"vs": [np.stack(g["v"].to_numpy()).astype("<f8").tobytes()]} if vectors else {}))
 
-        out = materialised(dealt.groupBy("cell", "block").applyInPandas(pack, "cell int, ids binary, codes binary, off binary"), "blocks")
+        out = materialised(dealt.groupBy("cell", "block").applyInPandas(pack, "cell int, ids binary, codes binary, off binary" + ", vs binary" * vectors), "blocks")
         forget(coded)
         return out
 
@@ -154,35 +161,58 @@ class ProductIndex:
                     for j, (s, e) in enumerate(spans):
                         about += (q[:, s:e] @ books[j].T)[:, code[:, j]]
                     about[who[:, None] == ids[None]] = -np.inf
-                    slack = np.linalg.norm(q, axis=1)[:, None] * off[None]
-                    if rerank is None:
-                        low = np.where(np.isfinite(about), about - slack, -np.inf)
-                        kth = -np.partition(-low, k - 1, axis=1)[:, k - 1 : k] if len(ids) > k else np.full((len(who), 1), -np.inf)
-                        i, j = np.nonzero((about + slack >= kth) & np.isfinite(about))
-                    else:
-                        top = np.argpartition(-about, min(rerank, len(ids)) - 1, axis=1)[:, :rerank]
-                        i, j = np.repeat(np.arange(len(who)), top.shape[1]), top.reshape(-1)
-                        keep = np.isfinite(about[i, j])
-                        i, j = i[keep], j[keep]
-                    yield pd.DataFrame({"query_id": who[i], "id": ids[j], "about": about[i, j], "slack": slack[i, j]})
-
-        near = packed.join(self.blocks, "cell").mapInPandas(scored, "query_id long, id long, about double, slack double")
-        # a row stored in two cells comes twice; its better estimate stands
-        near = near.groupBy("query_id", "id").agg(F.max("about").alias("about"), F.max(F.col("about") - F.col("slack")).alias("low"), F.min(F.col("about") + F.col("slack")).alias("high"))
+                    top = np.argpartition(-about, min(rerank, len(ids)) - 1, axis=1)[:, :rerank]
+                    i, j = np.repeat(np.arange(len(who)), top.shape[1]), top.reshape(-1)
+                    keep = np.isfinite(about[i, j])
+                    i, j = i[keep], j[keep]
+                    yield pd.DataFrame({"query_id": who[i], "id": ids[j], "about": about[i, j]})
+
+        def settled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            """The k best rows of a block for each query, exactly: those best by their bytes set a limit that the bounds of all others are held against."""
+            for b in batches:
+                for r in b.itertuples():
+                    ids, who = np.frombuffer(r.ids, "<i8"), np.frombuffer(r.queries, "<i8")
+                    code, off = np.frombuffer(r.codes, np.uint8).reshape(-1, parts), np.frombuffer(r.off, "<f4").astype(float)
+                    q, v = np.frombuffer(r.qs, "<f8").reshape(len(who), -1), np.frombuffer(r.vs, "<f8").reshape(len(ids), -1)
+                    base, tables, size = q @ centres[r.cell], [q[:, s:e] @ books[j].T for j, (s, e) in enumerate(spans)], np.linalg.norm(q, axis=1)
+                    asks, rows = [], []
+                    for i in range(len(who)):
+                        about = np.full(len(ids), base[i])
+                        for j, t in enumerate(tables):
+                            about += t[i][code[:, j]]
+                        own = ids == who[i]
+                        about[own] = -np.inf
+                        at = np.flatnonzero(~own)
+                        if len(at) > k:
+                            first = np.argpartition(-about, k - 1)[:k]
+                            least = (v[first] @ q[i]).min()
+                            at = np.flatnonzero((about + size[i] * off >= least - 1e-9) & ~own)
+                            exact = v[at] @ q[i]
+                            at = at[exact >= -np.partition(-exact, k - 1)[k - 1] - 1e-9] if len(at) > k else at
+                        asks.append(np.full(len(at), i))
+                        rows.append(at)
+                    i, j = np.concatenate(asks), np.concatenate(rows)
+                    yield pd.DataFrame({"query_id": who[i], "id": ids[j], "cos": dots(q, i, v, j)})
+
         if rerank is None:
-            near = materialised(near, "near")
-            order = Window.partitionBy("query_id").orderBy(F.desc("low"))
-            least = near.select("query_id", "low", F.row_number().over(order).alias("r")).where(F.col("r") <= k).where(F.col("r") == k).select("query_id", F.col("low").alias("least"))
-            few = near.join(least, "query_id", "left").where(F.col("least").isNull() | (F.col("high") >= F.col("least")))
-        else:
-            order = Window.partitionBy("query_id").orderBy(F.desc("about"), "id")
-            few = near.withColumn("r", F.row_number().over(order)).where(F.col("r") <= rerank)
+            if self.exact is None:
+                self.exact = self._stored(queries.sparkSession, self.block, vectors=True)
+            found = packed.join(self.exact, "cell").mapInPandas(settled, "query_id long, id long, cos double")
+            # a row stored in two cells comes twice
+            found = found.groupBy("query_id", "id").agg(F.max("cos").alias("cos"))
+            last = Window.partitionBy("query_id").orderBy(F.desc("cos"), "id")
+            return found.withColumn("rank", F.row_number().over(last)).where(F.col("rank") <= k).select("query_id", "rank", "id", "cos")
+        near = packed.join(self.blocks, "cell").mapInPandas(scored, "query_id long, id long, about double")
+        # a row stored in two cells comes twice; its better estimate stands
+        near = near.groupBy("query_id", "id").agg(F.max("about").alias("about"))
+        order = Window.partitionBy("query_id").orderBy(F.desc("about"), "id")
+        few = near.withColumn("r", F.row_number().over(order)).where(F.col("r") <= rerank)
         exact = few.select("query_id", "id").join(self.rows, "id").join(own, "query_id").select("query_id", "id", dot(F.col("q"), F.col("v")).alias("cos"))
         last = Window.partitionBy("query_id").orderBy(F.desc("cos"), "id")
         return exact.withColumn("rank", F.row_number().over(last)).where(F.col("rank") <= k).select("query_id", "rank", "id", "cos")
 
     def close(self) -> None:
         """Delete the stored tables."""
-        forget(self.rows, *([self.blocks] if self.blocks is not None else []))
+        forget(self.rows, *(t for t in (self.blocks, self.exact) if t is not None))
 
 
