@@ -3,8 +3,8 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from loomwise.operators import quantised, selection, similarity
-from loomwise.queries import streams, tables
+from loomwise.operators import quantised, selection, similarity, timeline
+from loomwise.queries import similar, streams, tables
 
 
 def test_a_table_of_many_files_is_one_entry_of_a_folder(spark, tmp_path):
@@ -102,3 +102,20 @@ def test_viterbi_deals_a_fixed_number_of_blocks(spark):
     rows = df.sparkSession.range(30_000).select(F.col("id").alias("idx"), F.rand(1).alias("x"))
     placed, ends = selection._classed(rows, "x", 30_000, similarity.block_rows(30_000, 12), True)
     assert ends[-1][2] <= 13
+
+
+def test_long_chains_are_settled_range_by_range(spark, monkeypatch):
+    n = 200  # each row is near the next one alone, so that a round over rows settles two of them
+    v = [[float(np.cos(0.5 * i)), float(np.sin(0.5 * i))] for i in range(n)]
+    df = spark.createDataFrame([(i, "a", 0, v[i], 10.0 * (i + 1), 0.5) for i in range(n)], "id long, label string, event int, v array<double>, exif_ts double, score double")
+    rounds = []
+    was = similarity.materialised
+    monkeypatch.setattr(similarity, "materialised", lambda rows, name: rounds.append(name) or was(rows, name))
+    got = timeline.consolidate_bursts(df, ["label", "event"], window_s=100.0, limit=0.25)
+    assert {r["id"]: r["burst_size"] for r in got.collect()} == {i: 2 for i in range(0, n, 2)}
+    assert len(rounds) < 20
+
+
+def test_prototypes_read_rows_whose_lineage_is_cut(spark):
+    text = similar.prototype_classify(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "_s0" not in text and "events" not in text and len(text) < 20_000
