@@ -45,19 +45,22 @@ def consolidate_bursts(df: DataFrame, by: list[str], window_s: float = 30.0, lim
     Distance is 1 - cos plus the time difference over ``window_s`` (without time
     stamps: no time part). df has id, v, exif_ts, score and the group's columns.
     The first rows of bursts are those that no earlier first row is near; they are
-    found in rounds over the near pairs, and every other row goes to the earliest
+    found in rounds over ranges of time, and every other row goes to the earliest
     first row near it. Near pairs come from blocks, so a group may be of any size.
     """
     timed = df.groupBy(*by).agg((F.max("exif_ts") > 0).alias("_timed"))
     gap = F.when(F.col("_timed") & F.lit(window_s > 0), F.col("exif_ts")).otherwise(0.0)
-    rows = materialised(df.join(timed, by).select(*by, "id", "v", "exif_ts", "score", gap.alias("t")), "rows")
+    ranged = df.join(timed, by).select(*by, "id", "v", "exif_ts", "score", gap.alias("t")).repartitionByRange(*by, "exif_ts", "id")
+    rows = materialised(ranged.withColumn("part", F.spark_partition_id()), "rows")
     near = similarity.near_pairs(rows, by, limit, window_s or 1.0)
     order = lambda s: F.struct(F.col(f"ts_{s}"), F.col(s))
-    times = rows.select("id", "exif_ts")
-    timed = near.join(times.withColumnsRenamed({"id": "a", "exif_ts": "ts_a"}), "a").join(times.withColumnsRenamed({"id": "b", "exif_ts": "ts_b"}), "b")
+    times = lambda s: rows.select(F.col("id").alias(s), F.col("exif_ts").alias(f"ts_{s}"), F.col("part").alias(f"part_{s}"))
+    timed = near.join(times("a"), "a").join(times("b"), "b")
     first = order("a") < order("b")
-    both = materialised(timed.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("better"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("worse"), F.least("ts_a", "ts_b").alias("ts")), "near")
-    heads = similarity.first_come(df.sparkSession, rows.select("id"), both.select("better", "worse"))
+    early = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
+    both = timed.select(early("a", "b").alias("better"), early("b", "a").alias("worse"), early("ts_a", "ts_b").alias("ts"), early("ts_b", "ts_a").alias("at"), early("part_a", "part_b").alias("better_part"), early("part_b", "part_a").alias("worse_part"))
+    both = materialised(both, "near")
+    heads = similarity.first_in_order(rows, both.drop("ts"))
     taken = both.join(heads.select(F.col("id").alias("better")), "better", "left_semi").groupBy(F.col("worse").alias("id")).agg(F.min(F.struct("ts", "better")).alias("m")).select("id", F.col("m.better").alias("head"))
     taken = taken.join(heads, "id", "left_anti").unionByName(heads.select("id", F.col("id").alias("head")))
     best = F.max(F.struct("score", (-F.col("id")).alias("o"))).alias("m")
