@@ -3,16 +3,17 @@
 A set of one row for each slot is feasible if every row is fit for its slot, no two
 rows share a cluster and no two are too much alike. Its value is the mean of mean
 match, worst-pair diversity and even light, which does not depend on who stands in
-which slot; so sets are searched once each, in ascending order of idx, and slots
+which slot; so sets are searched once each, in descending order of match, and slots
 are dealt at the end.
 
 A beam first finds a good feasible set. No set whose bound is below its value can
-be the best: the bound adds the largest match for the open places, takes the worst
-pair so far, and lets the light spread as far as it does already. Rows are cut by
-it, then pairs, which are looked for only among rows of similar light, in blocks.
-The pairs that are left are the edges of a graph; larger sets are grown by joins
-with the edges, and cut by the bound after each join. The better the beam's set,
-which gets closer to the bound the more rows there are, the fewer rows remain.
+be the best: no open place matches better than the place before it, the worst pair
+is no better than the pairs so far and than what their sum leaves for the open ones,
+and the light spreads as far as it does already. A task has a share of the rows as
+first members and all rows that the bound leaves as later ones; it goes down from one
+first member at a time and raises its own floor by what it finds. So no pairs or
+larger sets are written: what is shuffled is the rows, PARTS times at most, and a task
+holds these rows, about 0.6 KB each, and one path.
 
 Ties go to the smaller sequence. Rows that have a null anywhere take no part.
 """
@@ -20,10 +21,12 @@ Ties go to the smaller sequence. Rows that have a null anywhere take no part.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import permutations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,8 +34,8 @@ from loomwise.functions.vectors import dot
 from loomwise.session import forget, materialised
 
 EPS = 1e-9
-#: Rows of a block in which pairs are compared.
-BLOCK = 1024
+#: Rows that a task has as first members, up to PARTS tasks, and how many of them are compared at once.
+BLOCK, PARTS, CHUNK = 1024, 24, 64
 
 
 def _even(s, q, n: int, k: int):
@@ -47,7 +50,8 @@ def _bound(n: int, k: int, most: float, least: float) -> Column:
     return (F.col("m") + (k - n) * most) / k + 1 - F.greatest(F.col("worst"), F.lit(least)) + even
 
 
-def _dealt(masks: np.ndarray) -> bool:
+@lru_cache(maxsize=None)
+def _dealt(masks: tuple[int, ...]) -> bool:
     k = len(masks)
     return any(all(masks[p] >> j & 1 for j, p in enumerate(order)) for order in permutations(range(k)))
 
@@ -96,51 +100,96 @@ def beam_value(rows: DataFrame, k: int, most: float, least: float, sim_limit: fl
             "q": add("q", lum * lum),
         }
     value = state["m"] / k + 1 - state["worst"] + _even(state["s"], state["q"], k, k)
-    return max((x for x, mask in zip(value, state["mask"], strict=True) if _dealt(mask)), default=-np.inf)
-
-
-def _pairs(rows: DataFrame, k: int, most: float, least: float, sim_limit: float, floor: float, block: int) -> DataFrame:
-    """Edges (a, b, cos and what both bring), a below b, whose bound reaches the floor."""
-    # what the light of two rows may differ by: beyond it they alone cost more than there is to spare
-    spare = most + 2 - least - floor
-    apart = spare * np.sqrt(2 * k) / 3 + EPS if spare < 1 else None
-    bin_ = F.floor(F.col("lum01") / apart) if apart else F.lit(0).cast("long")
-    rows = rows.withColumn("b", bin_)
-    sizes = materialised(rows.groupBy("b").agg(F.ceil(F.count("*") / block).cast("int").alias("nb")), "bins")
-    around = sizes.join(sizes.select((F.col("b") - 1).alias("b"), F.col("nb").alias("after")), "b", "left").join(sizes.select((F.col("b") + 1).alias("b"), F.col("nb").alias("before")), "b", "left")
-    placed = rows.join(around, "b").withColumn("part", F.pmod(F.xxhash64("idx"), F.col("nb")).cast("int"))
-    beside = lambda n, b: F.expr(f"if({n} IS NULL, array(), transform(sequence(0, {n} - 1), t -> struct({b} AS b, t AS part)))")
-    first = F.concat(F.expr("transform(sequence(part, nb - 1), t -> struct(b, t AS part))"), beside("after", "b + 1"))
-    second = F.concat(F.expr("transform(sequence(0, part), t -> struct(b, t AS part))"), beside("before", "b - 1"))
-    cols = ["idx", "v", "match", "lum01", "cluster_id", "mask"]
-    key = ["b1", "p1", "b2", "p2"]
-    one = placed.select(*cols, F.col("b").alias("b1"), F.col("part").alias("p1"), F.explode(first).alias("o")).select(*cols, "b1", "p1", F.col("o.b").alias("b2"), F.col("o.part").alias("p2"))
-    two = placed.select(*cols, F.col("b").alias("b2"), F.col("part").alias("p2"), F.explode(second).alias("o")).select(*cols, F.col("o.b").alias("b1"), F.col("o.part").alias("p1"), "b2", "p2")
-    two = two.select(*[F.col(c).alias(f"{c}_") for c in two.columns])
-
-    def near(where: tuple, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        y = y.rename(columns=lambda c: c[:-1])
-        if x.empty or y.empty:
-            return pd.DataFrame({c: pd.Series(dtype=t) for c, t in zip(["a", "b", "cos", "am", "al", "ak", "bm", "bl", "bk"], ["int64", "int64", *["float64"] * 3, "int32", "float64", "float64", "int32"], strict=True)})
-        cos = np.stack(x["v"].to_numpy()) @ np.stack(y["v"].to_numpy()).T
-        xi, yi, xc, yc = x["idx"].to_numpy()[:, None], y["idx"].to_numpy()[None], x["cluster_id"].to_numpy()[:, None], y["cluster_id"].to_numpy()[None]
-        xm, ym, xl, yl = (t[c].to_numpy() for c in ("match", "lum01") for t in (x, y))
-        value = (xm[:, None] + ym[None] + (k - 2) * most) / k + 1 - np.maximum(cos, least) + _even(xl[:, None] + yl[None], xl[:, None] ** 2 + yl[None] ** 2, 2, k)
-        ok = (value >= floor) & (cos <= sim_limit) & ~((xc >= 0) & (xc == yc))
-        ok &= (xi < yi) if where[:2] == where[2:] else (xi != yi)
-        i, j = np.nonzero(ok)
-        turn = x["idx"].to_numpy()[i] > y["idx"].to_numpy()[j]
-        of = lambda c: (x[c].to_numpy()[i], y[c].to_numpy()[j])
-        out = {"cos": cos[i, j]}
-        for c, name in (("idx", ""), ("match", "m"), ("lum01", "l"), ("mask", "k")):
-            p, q = of(c)
-            out |= {f"a{name}": np.where(turn, q, p), f"b{name}": np.where(turn, p, q)}
-        return pd.DataFrame(out)
-
-    kind = "a long, b long, cos double, am double, al double, ak int, bm double, bl double, bk int"
-    out = materialised(one.groupBy(*key).cogroup(two.groupBy(*[f"{c}_" for c in key])).applyInPandas(near, kind), "edges")
-    forget(sizes)
-    return out
+    return max((x for x, mask in zip(value, state["mask"], strict=True) if _dealt(tuple(sorted(mask.tolist())))), default=-np.inf)
+
+
+def _reach(m, last, n: int, k: int, worst, cos, s, q, least: float, size: float):
+    """Three times what sets of k can reach that hold n members; the others match no better than ``last``, and ``cos`` is the sum over the pairs so far."""
+    pairs, left = n * (n - 1) // 2, (k * (k - 1) - n * (n - 1)) // 2
+    if left:  # the sum of k vectors has no length below 0, so the pairs that are open can't all be very unlike
+        worst = np.maximum(np.maximum(worst, least) if pairs else least, -(k * size / 2 + cos) / left)
+    return (m + (k - n) * last) / k + 1 - worst + _even(s, q, n, k)
+
+
+class _Search:
+    """Depth-first search for the best sets among rows in descending order of match, from first members on; it holds the rows and one path."""
+
+    def __init__(self, v: np.ndarray, cols: dict[str, np.ndarray], k: int, least: float, size: float, sim_limit: float, floor: float):
+        self.v, self.cols, self.k, self.least, self.size, self.limit, self.floor = v, cols, k, least, size, sim_limit, floor
+        self.found: list[tuple[float, list[int], float]] = []
+
+    def first(self, starts: np.ndarray) -> None:
+        v32 = self.v.astype("float32")
+        match, k = self.cols["match"], self.k
+        for at in range(0, len(starts), CHUNK):
+            part = starts[at : at + CHUNK]
+            after = part[0] + 1
+            near = v32[part] @ v32[after:].T
+            for row, a in zip(near, part.tolist(), strict=True):
+                if self.bound(a) < self.floor:
+                    return  # no later first member can do better
+                # single precision leaves out what is far from the floor
+                may = row <= np.float32((k - 1) / k * match[a] + 2 - self.floor + 1e-4) + (match[after:] / k).astype("float32")
+                rest = np.flatnonzero(may) + after
+                self.member([a], rest[rest > a], np.full(1, -np.inf), 0.0, None, None)
+
+    def bound(self, a: int) -> float:
+        return self.cols["match"][a] + 2 - max(self.least, -self.size / (self.k - 1))
+
+    def member(self, ids: list[int], rest: np.ndarray, worst, cos, near, sums) -> None:
+        """Go on with the set ``ids`` and the later rows ``rest``; near and sums are the largest and the summed cosines of these with all members but the last."""
+        c, k, n = self.cols, self.k, len(ids)
+        i = ids[-1]
+        own = self.v[rest] @ self.v[i]
+        near, sums = (own, own) if near is None else (np.maximum(near, own), sums + own)
+        m, s, q = (sum(float(c[x][j]) ** e for j in ids) for x, e in (("match", 1), ("lum01", 1), ("lum01", 2)))
+        together = np.maximum(worst, near)
+        match, lum = c["match"][rest], c["lum01"][rest]
+        one = (s + lum, q + lum * lum)
+        top = _reach(m + match, c["match"][i], n + 1, k, together, cos + sums, *one, self.least, self.size)
+        ok = (top >= self.floor) & (together <= self.limit) & (c["idx"][rest] != c["idx"][i])
+        if c["cluster_id"][i] >= 0:
+            ok &= c["cluster_id"][rest] != c["cluster_id"][i]
+        ok = np.flatnonzero(ok)
+        if len(ok) < k - n:
+            return
+        rest, near, sums, together, match = (x[ok] for x in (rest, near, sums, together, match))
+        one = tuple(x[ok] for x in one)
+        # the bound of the set with each row as its next member: all others match no better than that
+        reach = _reach(m + match, match, n + 1, k, together, cos + sums, *one, self.least, self.size)
+        for j in np.flatnonzero(reach >= self.floor).tolist():
+            if n + 1 < k:
+                if reach[j] >= self.floor:
+                    self.member([*ids, int(rest[j])], rest[j + 1 :], together[j], cos + sums[j], near[j + 1 :], sums[j + 1 :])
+            elif _dealt(tuple(sorted(int(c["mask"][x]) for x in [*ids, int(rest[j])]))):
+                self.found.append((float(reach[j]), [*ids, int(rest[j])], float(together[j])))
+                self.floor = max(self.floor, float(reach[j]) - 1e-8)  # sets that are equal to nine digits are kept
+
+
+def _sets(rows: DataFrame, k: int, least: float, size: float, sim_limit: float, floor: float, parts: int) -> DataFrame:
+    """Feasible sets (ids, masks, worst, m, s, q) with the best one among them, each found by the task that has its best match."""
+
+    def search(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("match", "descending"), ("idx", "ascending")]).combine_chunks()
+        v = t.column("v").combine_chunks()
+        v = v.values.to_numpy().reshape(len(v), -1) if len(v) else np.empty((0, 1))
+        c = {x: t.column(x).to_numpy() for x in ("idx", "match", "lum01", "cluster_id", "mask", "first")}
+        todo = _Search(v, c, k, least, size, sim_limit, floor)
+        todo.first(np.flatnonzero(c["first"]))
+        out = {"ids": [], "masks": [], "worst": [], "m": [], "s": [], "q": []}
+        for value, at, worst in todo.found:
+            if value >= todo.floor:
+                at = sorted(at, key=lambda x: c["idx"][x])
+                lum = c["lum01"][at]
+                for name, x in zip(out, (c["idx"][at].tolist(), c["mask"][at].tolist(), worst, float(c["match"][at].sum()), float(lum.sum()), float((lum * lum).sum())), strict=True):
+                    out[name].append(x)
+        kinds = [pa.list_(pa.int64()), pa.list_(pa.int32()), *[pa.float64()] * 4]
+        return pa.table({name: pa.array(x, kind) for (name, x), kind in zip(out.items(), kinds, strict=True)})
+
+    part = F.pmod(F.xxhash64("idx"), F.lit(parts)).cast("int")
+    first = (F.col("part") == F.col("own")) & (F.col("match") + 2 - least >= floor)
+    dealt = rows.withColumn("own", part).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumn("first", first.cast("int")).drop("own")
+    return dealt.groupBy("part").applyInArrow(search, "ids array<long>, masks array<int>, worst double, m double, s double, q double")
 
 
 def best_assignment(df: DataFrame, slots: list[str], threshold: float = 0.25, sim_limit: float = 0.82, width: int = 256, block: int = BLOCK) -> DataFrame:
@@ -153,34 +202,22 @@ def best_assignment(df: DataFrame, slots: list[str], threshold: float = 0.25, si
     fit = [F.coalesce(F.col(f"fit_{s}") >= threshold, F.lit(False)).cast("int") * (1 << j) for j, s in enumerate(slots)]
     rows = df.select("idx", "v", "match", "lum01", F.col("cluster_id").cast("long").alias("cluster_id"), sum(fit, F.lit(0)).alias("mask")).where("mask > 0").na.drop()
     rows = materialised(rows, "rows")
-    top = rows.agg(F.max("match").alias("match"), F.max(dot(F.col("v"), F.col("v"))).alias("size")).first()
+    top = rows.agg(F.max("match").alias("match"), F.max(dot(F.col("v"), F.col("v"))).alias("size"), F.count("*").alias("n")).first()
     empty = df.sparkSession.createDataFrame([], "seq array<long>, total double")
     if top["match"] is None:
         return empty
     most = float(top["match"])
     least = -max(1.0, float(top["size"])) / (k - 1)  # of k vectors two are at least so much alike
+    size = max(1.0, float(top["size"]))
     floor = beam_value(rows, k, most, least, sim_limit, width) - EPS
+    # a set that is good enough may hold these rows at most
     rows1 = rows.where((F.col("match") + (k - 1) * most) / k + 2 - least >= floor)
-    edges = _pairs(rows1, k, most, least, sim_limit, floor, block)
-    state = edges.select(
-        F.array("a", "b").alias("ids"), F.array("ak", "bk").alias("masks"), F.col("cos").alias("worst"), F.expr("am + bm").alias("m"), F.expr("al + bl").alias("s"), F.expr("al * al + bl * bl").alias("q")
-    )
-    written = []
-    for n in range(2, k):
-        grown = state.join(edges.select("a", F.col("b").alias("c"), "cos", "bm", "bl", "bk"), F.element_at("ids", -1) == F.col("a"))
-        grown = grown.select(
-            "ids", "c", F.array_append("masks", F.col("bk")).alias("masks"), F.greatest("worst", "cos").alias("worst"), F.expr("m + bm").alias("m"), F.expr("s + bl").alias("s"), F.expr("q + bl * bl").alias("q")
-        ).where(_bound(n + 1, k, most, least) >= floor)
-        for place in range(n - 1):
-            again = edges.select(F.col("a").alias("a2"), F.col("b").alias("c2"), "cos")
-            grown = grown.join(again, (F.get("ids", F.lit(place)) == F.col("a2")) & (F.col("c") == F.col("c2"))).select("ids", "c", "masks", F.greatest("worst", "cos").alias("worst"), "m", "s", "q")
-            grown = grown.where(_bound(n + 1, k, most, least) >= floor)
-        state = materialised(grown.select(F.array_append("ids", F.col("c")).alias("ids"), "masks", "worst", "m", "s", "q"), f"sets{n + 1}")
-        written.append(state)
+    parts = min(PARTS, -(-int(top["n"]) // block))
+    state = materialised(_sets(rows1, k, least, size, sim_limit, floor, parts), "sets")
     orders = "array(" + ", ".join(f"array({', '.join(map(str, p))})" for p in permutations(range(k))) + ")"
     # orders are sorted and ids ascend, so the first that fits is the smallest sequence
     whole = state.withColumn("o", F.expr(f"filter({orders}, o -> forall(sequence(0, {k - 1}), j -> shiftright(masks[o[j]], j) % 2 = 1))")).where("size(o) > 0")
     seq = F.expr("transform(o[0], p -> ids[p])").alias("seq")
     out = materialised(whole.select(seq, (_bound(k, k, most, -1e9) / 3).alias("total")).orderBy(F.desc(F.round("total", 9)), "seq").limit(1), "best")
-    forget(rows, edges, *written)
+    forget(rows, state)
     return out

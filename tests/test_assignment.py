@@ -71,3 +71,19 @@ def test_nulls_and_no_rows(spark):
     odd = [(99, None, 1.0, 0.5, -1, 0.9, 0.9, 0.9), (98, [1.0] + [0.0] * 5, None, 0.5, -1, 0.9, 0.9, 0.9), (97, [1.0] + [0.0] * 5, 1.0, 0.5, -1, None, None, None)]
     assert found(spark, rows + odd) == brute(rows)
     assert found(spark, rows[:0]) is None and found(spark, rows[:2]) is None
+
+
+def test_writes_no_pairs_or_growing_sets(spark, monkeypatch):
+    """A table of random vectors has far more pairs within the bound than rows; none of them is written."""
+    sizes = {}
+    write = assignment.materialised
+
+    def counted(df, name):
+        out = write(df, name)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(assignment, "materialised", counted)
+    rows = table(5, 150, 24)
+    assert found(spark, rows, sim_limit=0.25, width=4) == brute(rows, limit=0.25)
+    assert max(sizes.values()) <= len(rows), sizes
