@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from loomwise.operators import quantised, selection, similarity, timeline
+from loomwise.operators import constraints, quantised, selection, similarity, timeline
 from loomwise.queries import similar, streams, tables
 
 
@@ -119,3 +119,10 @@ def test_long_chains_are_settled_range_by_range(spark, monkeypatch):
 def test_prototypes_read_rows_whose_lineage_is_cut(spark):
     text = similar.prototype_classify(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "_s0" not in text and "events" not in text and len(text) < 20_000
+
+
+def test_a_prompt_is_lowered_once_for_all_words(spark):
+    """role_shift and others look for some fifty words in texts of any length."""
+    df = spark.createDataFrame([("A DARK noir Portrait in 12 frames",)], "p string").select(constraints.direction(F.col("p"))["moods"].alias("moods"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("lower(") <= 1
+    assert df.collect()[0]["moods"] == ["melancholic", "cinematic"]
