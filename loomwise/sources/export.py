@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwise.functions.scalar import file_name
+from loomwise.functions.scalar import extension, file_name
 from loomwise.operators.store import numbered_by
 from loomwise.session import forget, materialised
-from loomwise.sources.files import scan
 
 COPIED, SKIPPED, ERROR = "copied", "skipped", "error"
 #: Bytes that a task holds of a file, and of a leaf of a fingerprint.
@@ -177,8 +177,12 @@ def write_sidecars(df: DataFrame, dest: str, kind: str = "xmp") -> DataFrame:
     else:
         text = F.to_json(F.struct("path", "score", "grade", "critique", "breakdown"), {"ignoreNullFields": "false"})
     name = F.concat(F.regexp_replace(file_name(F.col("path")), r"\.[^.]*$", ""), F.lit(f".{kind}"))
-    named = free_names(df.select("path", text.alias("content"), name.alias("name"), F.lit("").alias("folder")), "folder", "name", "path")
-    return _put(named.select(F.col("path").alias("source"), F.concat_ws("/", F.lit(dest.rstrip("/")), "final").alias("target"), "content"), F.lit(True))
+    rows = df.select("path", text.alias("content"), name.alias("name"), F.lit("").alias("folder")).withColumn("_row", F.monotonically_increasing_id())
+    rows = materialised(rows, "sidecars")
+    # names are settled without the texts, which are written and shuffled once
+    named = free_names(rows.drop("content"), "folder", "name", "path").select("_row", "final")
+    out = rows.join(named, "_row").select(F.col("path").alias("source"), F.concat_ws("/", F.lit(dest.rstrip("/")), "final").alias("target"), "content")
+    return _put(out, F.lit(True))
 
 
 def content_fingerprints(spark: SparkSession, folders: list[str], extensions: list[str], recursive: bool = True, chunk: int = CHUNK) -> DataFrame:
@@ -190,16 +194,15 @@ def content_fingerprints(spark: SparkSession, folders: list[str], extensions: li
     leaves out files without a byte. The driver holds
     sizes that occur twice, as Spark's own listing holds all files there.
     """
-    found = materialised(scan(spark, folders, extensions, recursive).select("path", "size"), "found")
+    # loaded once: each load lists all files, and the driver gets the list
+    files = reduce(DataFrame.unionByName, [spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(f) for f in folders])
+    found = files.where(extension(F.col("path")).isin(extensions)).select("path", F.col("length").alias("size")).dropDuplicates(["path"])
+    found = materialised(found, "found")
     twice = [r["size"] for r in found.groupBy("size").count().where("count > 1").select("size").collect()]
     alone = found.join(F.broadcast(spark.createDataFrame([(s,) for s in twice], "size long")), "size", "left_anti") if twice else found
     out = alone.select("path", "size", F.concat(F.lit("size-"), "size").alias("fingerprint"))
     if not twice:
         return out
-    files = None
-    for f in folders:
-        one = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(f)
-        files = one if files is None else files.unionByName(one)
     # a filter on the length is pushed into the scan, so the content of other files is never read
     same = files.where(F.col("length").isin(twice)).select("path", F.col("length").alias("size"), "content").join(found.select("path"), "path", "left_semi")
     last = F.floor((F.greatest(F.length("content"), F.lit(1)) - 1) / chunk).cast("int")

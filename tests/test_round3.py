@@ -1,10 +1,12 @@
 """Cases that failed in the third round's larger runs."""
 
 import numpy as np
+from pyspark.sql import DataFrameReader
 from pyspark.sql import functions as F
 
 from loomwise.operators import constraints, quantised, selection, similarity, timeline
 from loomwise.queries import similar, streams, tables
+from loomwise.sources import export
 
 
 def test_a_table_of_many_files_is_one_entry_of_a_folder(spark, tmp_path):
@@ -126,3 +128,23 @@ def test_a_prompt_is_lowered_once_for_all_words(spark):
     df = spark.createDataFrame([("A DARK noir Portrait in 12 frames",)], "p string").select(constraints.direction(F.col("p"))["moods"].alias("moods"))
     assert df._jdf.queryExecution().optimizedPlan().toString().count("lower(") <= 1
     assert df.collect()[0]["moods"] == ["melancholic", "cinematic"]
+
+
+def test_names_of_sidecars_are_settled_without_their_texts(spark, tmp_path, monkeypatch):
+    seen = []
+    names = export.free_names
+    monkeypatch.setattr(export, "free_names", lambda df, *a: seen.append(df.columns) or names(df, *a))
+    rows = spark.createDataFrame([(f"{k}/p.jpg", 0.5, "Mid", "é" * k, "{}") for k in range(4)], "path string, score double, grade string, critique string, breakdown string")
+    out = export.write_sidecars(rows, f"file://{tmp_path}/s").collect()
+    assert "content" not in seen[0]
+    assert sorted(r["target"].rsplit("/", 1)[1] for r in out) == ["p.xmp", "p_1.xmp", "p_2.xmp", "p_3.xmp"]
+    assert all(r["outcome"] == "copied" for r in out)
+
+
+def test_fingerprints_list_a_folder_once(spark, tmp_path, monkeypatch):
+    for n in "abc":
+        (tmp_path / f"{n}.bin").write_bytes(b"x" if n < "c" else b"yy")
+    loads = []
+    load = DataFrameReader.load
+    monkeypatch.setattr(DataFrameReader, "load", lambda self, *a, **k: loads.append(a) or load(self, *a, **k))
+    assert export.content_fingerprints(spark, [str(tmp_path)], ["bin"]).count() == 3 and len(loads) == 1
