@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+import re
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pyarrow as pa
@@ -17,6 +19,35 @@ from loomwise.session import forget, materialised
 COPIED, SKIPPED, ERROR = "copied", "skipped", "error"
 #: Bytes that a task holds of a file, and of a leaf of a fingerprint.
 CHUNK = 1 << 20
+#: Files that a task copies or reads at most, names that it hands on at once, and what the names of files being written begin with.
+FILES, NAMES, WRITING = 2000, 10_000, ".writing-"
+
+
+def _places() -> Callable[[str], tuple]:
+    """A function from a path, with or without a scheme, to its file system and the path there.
+
+    Names are taken as they are, whatever signs of an URI they hold; a file system is
+    opened once a scheme and host.
+    """
+    from pyarrow import fs
+
+    known: dict[str, tuple] = {}
+
+    def place(path: str) -> tuple:
+        scheme, host, rest = re.fullmatch(r"(?:([A-Za-z][A-Za-z0-9+.-]*):(?://([^/]*))?)?(/.*)?", path, re.DOTALL).groups()
+        root = f"{scheme or 'file'}://{host or ''}/"
+        if root not in known:
+            known[root] = fs.FileSystem.from_uri(root)
+        of, base = known[root]
+        return of, base.rstrip("/") + (rest or "/")
+
+    return place
+
+
+def spread(df: DataFrame, by: str) -> DataFrame:
+    """Rows that name files, dealt to tasks by their number: such rows are few bytes, and by bytes a task would get them all."""
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // FILES))
+    return df.repartition(tasks, by)
 
 
 def _put(rows: DataFrame, wanted: Column) -> DataFrame:
@@ -24,27 +55,32 @@ def _put(rows: DataFrame, wanted: Column) -> DataFrame:
 
     A task writes a file under a name of its own attempt and renames it when it is
     whole. An attempt that is repeated renames the same bytes to the same place, so
-    one copy is left, and a file is never seen in part.
+    one copy is left, and a file is never seen in part. Where a task writes several
+    files to a folder, it does so in a folder of its own inside, as tasks that make
+    names in one folder wait for each other.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
-        attempt = TaskContext.get().taskAttemptId()
-        made: set[str] = set()
+        place, mine = _places(), f"{WRITING}{TaskContext.get().taskAttemptId()}"
+        made: dict[str, str] = {}  # folder to where its files are written
+        own: list[tuple] = []
 
         def write(source: str | None, target: str, content: str | None) -> None:
-            to, path = fs.FileSystem.from_uri(target)
-            folder, _, name = path.rpartition("/")
+            to, path = place(target)
+            folder = path.rpartition("/")[0]
             if folder not in made:
                 to.create_dir(folder, recursive=True)
-                made.add(folder)
-            temp = f"{folder}/.{name}.{attempt}"
+                made[folder] = f"{folder}/{mine}"
+            elif made[folder] == f"{folder}/{mine}":
+                to.create_dir(f"{folder}/{mine}.d")
+                own.append((to, f"{folder}/{mine}.d"))
+                made[folder] = f"{folder}/{mine}.d/file"
+            temp = made[folder]
             with to.open_output_stream(temp) as out:
                 if content is not None:
                     out.write(content.encode("utf-8"))
                 else:
-                    of, at = fs.FileSystem.from_uri(source)
+                    of, at = place(source)
                     with of.open_input_stream(at) as data:
                         while part := data.read(CHUNK):
                             out.write(part)
@@ -62,6 +98,8 @@ def _put(rows: DataFrame, wanted: Column) -> DataFrame:
                     outcome.append(ERROR)
                     error.append(f"{type(e).__name__}: {e}"[:300])
             yield pa.RecordBatch.from_arrays([b.column("source"), b.column("target"), pa.array(outcome), pa.array(error, pa.string())], ["source", "target", "outcome", "error"])
+        for to, folder in own:
+            to.delete_dir(folder)
 
     text = F.col("content") if "content" in rows.columns else F.lit(None).cast("string")
     done = rows.select("source", "target", text.alias("content"), wanted.alias("wanted")).mapInArrow(run, "source string, target string, outcome string, error string")
@@ -72,13 +110,12 @@ def _there(df: DataFrame, path: str) -> DataFrame:
     """df with ``there``, whether the file at ``path`` exists."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
+        place = _places()
         for b in batches:
             found = []
             for p in b.column(path).to_pylist():
                 try:
-                    of, at = fs.FileSystem.from_uri(p)
+                    of, at = place(p)
                     found.append(of.get_file_info(at).is_file)
                 except Exception:  # no such place
                     found.append(False)
@@ -88,6 +125,56 @@ def _there(df: DataFrame, path: str) -> DataFrame:
     return df.mapInArrow(run, f"{kinds}, there boolean")
 
 
+def listed(spark: SparkSession, folders: list[str]) -> DataFrame:
+    """path and size of all files below folders; files that are being written are left out, and a folder that isn't there is empty.
+
+    Folders are listed in tasks, a level at a time: a folder is one call of its file
+    system, so a task holds the names of one folder (0.4 KB a file), the driver none.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        place = _places()
+        for b in batches:
+            for folder in b.column("path").to_pylist():
+                of, at = place(folder)
+                found = of.get_file_info(fs.FileSelector(at, allow_not_found=True))
+                for k in range(0, len(found), NAMES):
+                    part = [f for f in found[k : k + NAMES] if not f.base_name.startswith(WRITING)]
+                    names = pa.array([f"{folder.rstrip('/')}/{f.base_name}" for f in part], pa.string())
+                    yield pa.RecordBatch.from_arrays([names, pa.array([f.size if f.is_file else None for f in part], pa.int64())], ["path", "size"])
+
+    level, files = spark.range(1).select(F.explode(F.array(*map(F.lit, folders)).cast("array<string>")).alias("path")), []
+    while True:
+        # names are few bytes, so the number of tasks is set
+        here = materialised(level.repartition(spark.sparkContext.defaultParallelism, "path").mapInArrow(run, "path string, size long"), "listed")
+        files.append(here.where("size IS NOT NULL"))
+        level = here.where("size IS NULL").select("path")
+        if level.isEmpty():
+            return reduce(DataFrame.unionByName, files)
+
+
+def digests(df: DataFrame, path: str = "path") -> DataFrame:
+    """df with ``sha256`` of the file at ``path``, read in chunks; a task reads FILES of them at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = _places()
+        for b in batches:
+            out = []
+            for p in b.column(path).to_pylist():
+                of, at = place(p)
+                total = hashlib.sha256()
+                with of.open_input_stream(at) as data:
+                    while part := data.read(CHUNK):
+                        total.update(part)
+                out.append(total.hexdigest())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], [*b.schema.names, "sha256"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    return spread(df, path).mapInArrow(run, f"{kinds}, sha256 string")
+
+
 def free_names(df: DataFrame, folder: str, name: str, order: str, taken: DataFrame | None = None) -> DataFrame:
     """df with ``final``, a name that no other row of its folder has: the first by ``order`` keeps its own, others get _1, _2 and so on.
 
@@ -120,20 +207,15 @@ def export_files(df: DataFrame, dest: str, grades: list[str]) -> DataFrame:
     Rows of other grades are skipped; a missing file, or one that can't be copied,
     is an error. No file that is there is overwritten.
     """
-    spark = df.sparkSession
     rows = df.select(F.col("path").alias("source"), "grade", F.col("grade").isin(grades).alias("_w"))
     rows = materialised(_there(rows.withColumn("_w", F.coalesce("_w", F.lit(False))), "source"), "found")
     good = rows.where("_w AND there").select("source", "grade", file_name(F.col("source")).alias("name"))
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    fs = hadoop.Path(dest).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    taken = None
-    if fs.exists(hadoop.Path(dest)):
-        old = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(dest).select("path")
-        taken = old.select(F.element_at(F.split("path", "/"), -2).alias("folder"), file_name(F.col("path")).alias("name"))
+    old = listed(df.sparkSession, [f"{dest.rstrip('/')}/{g}" for g in dict.fromkeys(grades)])
+    taken = old.select(F.element_at(F.split("path", "/"), -2).alias("folder"), file_name(F.col("path")).alias("name"))
     named = free_names(good, "grade", "name", "source", taken)
     target = F.concat_ws("/", F.lit(dest.rstrip("/")), "grade", "final").alias("target")
     none = F.lit(None).cast("string")
-    done = _put(named.select("source", target), F.lit(True))
+    done = _put(spread(named.select("source", target), "target"), F.lit(True))
     rest = rows.where("NOT (_w AND there)").select("source", none.alias("target"), F.when(F.col("_w"), ERROR).otherwise(SKIPPED).alias("outcome"), F.when(F.col("_w"), F.lit("no such file")).alias("error"))
     return done.unionByName(rest)
 

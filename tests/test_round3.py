@@ -1,5 +1,8 @@
 """Cases that failed in the third round's larger runs."""
 
+import hashlib
+import os
+
 import numpy as np
 from pyspark.sql import DataFrameReader
 from pyspark.sql import functions as F
@@ -148,3 +151,41 @@ def test_fingerprints_list_a_folder_once(spark, tmp_path, monkeypatch):
     load = DataFrameReader.load
     monkeypatch.setattr(DataFrameReader, "load", lambda self, *a, **k: loads.append(a) or load(self, *a, **k))
     assert export.content_fingerprints(spark, [str(tmp_path)], ["bin"]).count() == 3 and len(loads) == 1
+
+
+def test_files_are_dealt_to_tasks_by_their_number(spark, tmp_path, monkeypatch):
+    """Paths are few bytes, so that one task copied all files of an export."""
+    (tmp_path / "in").mkdir()
+    for k in range(60):
+        (tmp_path / f"in/{k}.txt").write_text(str(k))
+    tasks = []
+    put = export._put
+    monkeypatch.setattr(export, "_put", lambda rows, wanted: tasks.append(rows.rdd.getNumPartitions()) or put(rows, wanted))
+    df = spark.range(60).select(F.concat(F.lit(f"{tmp_path}/in/"), "id", F.lit(".txt")).alias("path"), F.lit("Mid").alias("grade"))
+    report = export.export_files(df, f"{tmp_path}/out", ["Mid"])
+    assert tasks[0] >= spark.sparkContext.defaultParallelism
+    got = {r["path"].rsplit("/", 1)[1]: r["sha256"] for r in export.digests(export.listed(spark, [f"{tmp_path}/out"])).collect()}
+    assert report.where("outcome = 'copied'").count() == 60
+    assert got == {f"{k}.txt": hashlib.sha256(str(k).encode()).hexdigest() for k in range(60)}
+    assert sorted(os.listdir(tmp_path / "out/Mid")) == sorted(got)  # nothing that a task wrote under another name
+
+
+def test_names_with_signs_of_uris_and_hidden_names_are_copied_as_they_are(spark, tmp_path):
+    names = ["a b.jpg", "c#1.jpg", "d%41.jpg", "e?f.jpg", ".g.jpg", "_h.jpg"]
+    (tmp_path / "in").mkdir()
+    for n in names:
+        (tmp_path / "in" / n).write_text(n)
+    df = spark.createDataFrame([(f"file://{tmp_path}/in/{n}", "Mid") for n in names], "path string, grade string")
+    for _ in range(2):
+        assert {r["outcome"] for r in export.export_files(df, f"file://{tmp_path}/out", ["Mid"]).collect()} == {"copied"}
+    found = {n: (tmp_path / "out/Mid" / n).read_text() for n in os.listdir(tmp_path / "out/Mid")}
+    assert found == {n: n for n in names} | {n.rsplit(".", 1)[0] + "_1.jpg": n for n in names}
+
+
+def test_folders_are_listed_in_tasks_level_by_level(spark, tmp_path, monkeypatch):
+    for n in ("a/b/c.txt", "a/d.txt", f"a/{export.WRITING}7/e.txt"):
+        (tmp_path / n).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / n).write_text("xyz")
+    monkeypatch.setattr(DataFrameReader, "format", None)
+    got = {(r["path"], r["size"]) for r in export.listed(spark, [str(tmp_path), f"{tmp_path}/none"]).collect()}
+    assert got == {(f"{tmp_path}/a/b/c.txt", 3), (f"{tmp_path}/a/d.txt", 3)}
