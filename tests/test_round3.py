@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import DataFrameReader
 from pyspark.sql import functions as F
 
-from loomwise.operators import constraints, quantised, selection, similarity, timeline
+from loomwise.operators import constraints, direction, quantised, selection, similarity, timeline
 from loomwise.queries import similar, streams, tables
 from loomwise.sources import export
 
@@ -189,3 +189,29 @@ def test_folders_are_listed_in_tasks_level_by_level(spark, tmp_path, monkeypatch
     monkeypatch.setattr(DataFrameReader, "format", None)
     got = {(r["path"], r["size"]) for r in export.listed(spark, [str(tmp_path), f"{tmp_path}/none"]).collect()}
     assert got == {(f"{tmp_path}/a/b/c.txt", 3), (f"{tmp_path}/a/d.txt", 3)}
+
+
+def test_a_direction_writes_no_more_rows_than_its_table_grows(spark, monkeypatch):
+    """Pairs of near rows grow with the square of a table, and at 0.35 most rows are near others."""
+    written = []
+    was = similarity.materialised
+
+    def counted(df, name):
+        out = was(df, name)
+        written[-1] += out.count()
+        return out
+
+    monkeypatch.setattr(similarity, "materialised", counted)
+    rules, stories = direction.settings(spark, "street"), []
+    for n in (5_000, 10_000):
+        written.append(0)
+        x, df = vectors(spark, n, near=0.0)
+        aspects = [((F.col("id") * k) % 97 / 97).alias(a) for k, a in ((31, "tech"), (13, "comp"), (7, "light"), (5, "narr"), (3, "human"))]
+        df = df.select(F.col("id").alias("idx"), "v", ((F.col("id") * 7919) % 9973 / 9973).alias("score"), *aspects, F.lit(90.0).alias("lum"), F.lit("pass").alias("gate"), F.lit(True).alias("sharp"), F.array_repeat(F.lit(0.1), 36).alias("sims"))
+        stories.append({r["idx"] for r in direction.directed(df, rules, 0.35, frames=40).collect()})
+        order, kept = np.lexsort((np.arange(n), -((np.arange(n) * 7919) % 9973))), []
+        for i in order:
+            if not kept or (x[kept] @ x[i]).max() <= 0.35:
+                kept.append(i)
+        assert stories[-1] and stories[-1] <= set(kept)
+    assert written[1] <= 2.2 * written[0] and written[1] <= 10 * 10_000
