@@ -165,7 +165,7 @@ def sidecar_files(spark, d):
     base = scratch_path(spark, "sidecars")
     docs = items.table(spark, d, "documents").select(F.concat(F.lit("in/doc"), "doc_id", F.lit(".txt")).alias("path"), (F.col("doc_id") % 90 / 90).alias("score"), F.col("lang").alias("grade"), F.col("text").alias("critique"), F.lit("{}").alias("breakdown"))
     export.write_sidecars(docs, base).count()
-    text = spark.read.format("binaryFile").load(base).select("path", F.decode("content", "UTF-8").alias("x"))
+    text = export.contents(export.listed(spark, [base])).select("path", F.decode("content", "UTF-8").alias("x"))
     field = lambda tag: F.regexp_extract("x", f"(?s)<{tag}>(.*)</{tag}>", 1)
     plain = field("dc:description")
     for sign, name in ((">", "&gt;"), ("<", "&lt;"), ("&", "&amp;")):

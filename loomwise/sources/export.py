@@ -21,6 +21,8 @@ COPIED, SKIPPED, ERROR = "copied", "skipped", "error"
 CHUNK = 1 << 20
 #: Files that a task copies or reads at most, names that it hands on at once, and what the names of files being written begin with.
 FILES, NAMES, WRITING = 2000, 10_000, ".writing-"
+#: Bytes of files' contents that a task hands on at once, if a file is no larger.
+HELD = 16 * CHUNK
 
 
 def _places() -> Callable[[str], tuple]:
@@ -155,24 +157,41 @@ def listed(spark: SparkSession, folders: list[str]) -> DataFrame:
             return reduce(DataFrame.unionByName, files)
 
 
-def digests(df: DataFrame, path: str = "path") -> DataFrame:
-    """df with ``sha256`` of the file at ``path``, read in chunks; a task reads FILES of them at most."""
+def _of_files(df: DataFrame, path: str, name: str, kind: pa.DataType, value: Callable) -> DataFrame:
+    """df with a column of what ``value`` makes of the file at ``path``, given open; a task has FILES of them, and hands on HELD bytes at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = _places()
         for b in batches:
-            out = []
-            for p in b.column(path).to_pylist():
+            out, held = [], 0
+            for k, p in enumerate(b.column(path).to_pylist()):
                 of, at = place(p)
-                total = hashlib.sha256()
                 with of.open_input_stream(at) as data:
-                    while part := data.read(CHUNK):
-                        total.update(part)
-                out.append(total.hexdigest())
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], [*b.schema.names, "sha256"])
+                    out.append(value(data))
+                held += len(out[-1])
+                if held >= HELD or k == b.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays([*b.slice(k + 1 - len(out), len(out)).columns, pa.array(out, kind)], [*b.schema.names, name])
+                    out, held = [], 0
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return spread(df, path).mapInArrow(run, f"{kinds}, sha256 string")
+    return spread(df, path).mapInArrow(run, f"{kinds}, {name} {kind}")
+
+
+def digests(df: DataFrame, path: str = "path") -> DataFrame:
+    """df with ``sha256`` of the file at ``path``, which is read in chunks."""
+
+    def total(data) -> str:
+        out = hashlib.sha256()
+        while part := data.read(CHUNK):
+            out.update(part)
+        return out.hexdigest()
+
+    return _of_files(df, path, "sha256", pa.string(), total)
+
+
+def contents(df: DataFrame, path: str = "path") -> DataFrame:
+    """df with ``content``, the bytes of the file at ``path``."""
+    return _of_files(df, path, "content", pa.binary(), lambda data: data.read())
 
 
 def free_names(df: DataFrame, folder: str, name: str, order: str, taken: DataFrame | None = None) -> DataFrame:

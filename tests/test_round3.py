@@ -215,3 +215,14 @@ def test_a_direction_writes_no_more_rows_than_its_table_grows(spark, monkeypatch
                 kept.append(i)
         assert stories[-1] and stories[-1] <= set(kept)
     assert written[1] <= 2.2 * written[0] and written[1] <= 10 * 10_000
+
+
+def test_files_are_read_back_in_tasks_of_many(spark, tmp_path, monkeypatch):
+    """Spark's reader of files takes a task for every 32 small ones."""
+    rows = spark.range(90).select(F.concat(F.lit(f"{tmp_path}/f/"), "id", F.lit(".txt")).alias("path"), F.repeat(F.lit("é"), F.col("id").cast("int")).alias("text"))
+    assert export.counts(export.write_texts(rows, "path", "text")).first()["copied"] == 90
+    for held in (50, export.HELD):
+        monkeypatch.setattr(export, "HELD", held)
+        got = export.contents(export.listed(spark, [f"{tmp_path}/f"]))
+        assert got.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+        assert {r["path"].rsplit("/", 1)[1]: r["content"].decode() for r in got.collect()} == {f"{k}.txt": "é" * k for k in range(90)}
