@@ -131,7 +131,7 @@ def listed(spark: SparkSession, folders: list[str]) -> DataFrame:
     """path and size of all files below folders; files that are being written are left out, and a folder that isn't there is empty.
 
     Folders are listed in tasks, a level at a time: a folder is one call of its file
-    system, so a task holds the names of one folder (0.4 KB a file), the driver none.
+    system, so a task holds the names of one folder, the driver none.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
