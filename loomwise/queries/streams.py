@@ -147,11 +147,19 @@ def export_files(spark, d):
 
 @query("content_fingerprint", "SELECT doc_id, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first FROM documents")
 def content_fingerprint(spark, d):
-    """Documents as files, and of each the first file that holds the same."""
-    base, docs = _document_files(spark, d)
-    export.write_texts(docs, "path", "text").count()
-    found = export.content_fingerprints(spark, [f"{base}/in"], ["txt"], chunk=1000)
-    of = found.select(F.regexp_extract("path", r"/d(\d+)/[^/]*$", 1).cast("long").alias("doc_id"), "size", "fingerprint")
+    """Documents as files, and of each the first file that holds the same; rows that repeat an id with other text have files of their own."""
+    base = f"{scratch_path(spark, 'files')}/in"
+    text = F.coalesce("text", F.lit(""))
+    path = F.concat(F.lit(f"{base}/d"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("_"), F.xxhash64(text), F.lit("/page.txt"))
+    docs = items.table(spark, d, "documents").select("doc_id", text.alias("text"), path.alias("path"))
+    told = export.write_texts(docs, "path", "text")
+    lost = export.counts(told).first()["errors"]
+    if lost:
+        raise OSError(f"{lost} documents were not written")
+    found = export.fingerprints(export.listed(spark, [base]), chunk=1000)
+    # a row for each document, and not for each file, which rows that repeat as a whole share
+    of = told.select(F.col("target").alias("path"), F.regexp_extract("target", r"/d(-?\d*)_[^/]*/[^/]*$", 1).alias("d")).join(found, "path")
+    of = of.select(F.when(F.col("d") != "", F.col("d").cast("long")).alias("doc_id"), "size", "fingerprint")
     first = of.groupBy("fingerprint", F.col("size").alias("s")).agg(F.min("doc_id").alias("first"))
     return of.join(first, "fingerprint").select("doc_id", "first")
 

@@ -286,26 +286,36 @@ def write_sidecars(df: DataFrame, dest: str, kind: str = "xmp") -> DataFrame:
     return _put(out, F.lit(True))
 
 
-def content_fingerprints(spark: SparkSession, folders: list[str], extensions: list[str], recursive: bool = True, chunk: int = CHUNK) -> DataFrame:
-    """path, size and fingerprint of files by what they hold, whatever their names and times.
+def fingerprints(found: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """path, size and fingerprint of the files of rows (path, size) by what they hold, whatever their names and times.
 
     Only files that share their size with another are read: a size that no other
-    file has tells a file apart by itself. Their content is hashed in chunks in the
-    JVM where it lies, and the chunks' hashes are hashed in order. Spark's reader
-    leaves out files without a byte. The driver holds
-    sizes that occur twice, as Spark's own listing holds all files there.
+    file has tells a file apart by itself, and files without a byte are alike. The
+    others' content is hashed in chunks in tasks, and the chunks' hashes are hashed
+    in order. The driver holds neither names nor sizes.
+    """
+
+    def total(data) -> str:
+        out = hashlib.sha256()
+        while part := data.read(chunk):
+            while len(part) < chunk and (more := data.read(chunk - len(part))):  # a stream may give less than it is asked for
+                part += more
+            out.update(hashlib.sha256(part).hexdigest().encode())
+        return out.hexdigest()
+
+    found = materialised(found.select("path", "size").dropDuplicates(["path"]), "found")
+    sizes = found.groupBy("size").count().select("size", ((F.col("count") > 1) & (F.col("size") > 0)).alias("_read"))
+    found = materialised(found.join(sizes, "size").select("path", "size", "_read"), "found")
+    alone = found.where("NOT _read").select("path", "size", F.concat(F.lit("size-"), "size").alias("fingerprint"))
+    return alone.unionByName(_of_files(found.where("_read").select("path", "size"), "path", "fingerprint", pa.string(), total))
+
+
+def content_fingerprints(spark: SparkSession, folders: list[str], extensions: list[str], recursive: bool = True, chunk: int = CHUNK) -> DataFrame:
+    """:func:`fingerprints` of the files below folders that Spark's reader finds.
+
+    It leaves out files without a byte and hidden ones, and lists in the driver, which
+    holds all files' statuses; ``listed`` finds all files, in tasks.
     """
     # loaded once: each load lists all files, and the driver gets the list
     files = reduce(DataFrame.unionByName, [spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(f) for f in folders])
-    found = files.where(extension(F.col("path")).isin(extensions)).select("path", F.col("length").alias("size")).dropDuplicates(["path"])
-    found = materialised(found, "found")
-    twice = [r["size"] for r in found.groupBy("size").count().where("count > 1").select("size").collect()]
-    alone = found.join(F.broadcast(spark.createDataFrame([(s,) for s in twice], "size long")), "size", "left_anti") if twice else found
-    out = alone.select("path", "size", F.concat(F.lit("size-"), "size").alias("fingerprint"))
-    if not twice:
-        return out
-    # a filter on the length is pushed into the scan, so the content of other files is never read
-    same = files.where(F.col("length").isin(twice)).select("path", F.col("length").alias("size"), "content").join(found.select("path"), "path", "left_semi")
-    last = F.floor((F.greatest(F.length("content"), F.lit(1)) - 1) / chunk).cast("int")
-    leaves = F.transform(F.sequence(F.lit(0), last), lambda i: F.sha2(F.substring(F.col("content"), i * chunk + 1, F.lit(chunk)), 256))
-    return out.unionByName(same.select("path", "size", F.sha2(F.array_join(leaves, ""), 256).alias("fingerprint")).dropDuplicates(["path"]))
+    return fingerprints(files.where(extension(F.col("path")).isin(extensions)).select("path", F.col("length").alias("size")), chunk)
