@@ -2,6 +2,9 @@
 
 import os
 
+from pyspark.sql.classic.dataframe import DataFrame
+from pyspark.sql.readwriter import DataFrameReader
+
 from loomwise.queries import streams
 from loomwise.sources import export
 
@@ -24,3 +27,15 @@ def test_files_without_a_byte_are_alike(spark, tmp_path):
     got = {r["path"].rsplit("/", 1)[1]: r["fingerprint"] for r in export.fingerprints(export.listed(spark, [str(tmp_path / "in")]), chunk=1).collect()}
     assert len(got) == 6 and got["a"] == got["b"] == "size-0" and got["c"] == "size-1"
     assert got["d"] == got["e"] != got["_f"]
+
+
+def test_documents_files_are_not_listed_in_the_driver(spark, tmp_path, monkeypatch):
+    """Spark's reader sends every file's status to the driver, and sizes that occur twice went there, too."""
+    spark.createDataFrame([(k, "x" * (k // 2)) for k in range(40)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    kinds, rows = [], []
+    kind, collect = DataFrameReader.format, DataFrame.collect
+    monkeypatch.setattr(DataFrameReader, "format", lambda self, source: kinds.append(source) or kind(self, source))
+    monkeypatch.setattr(DataFrame, "collect", lambda self: rows.append(collect(self)) or rows[-1])
+    found = streams.content_fingerprint(spark, str(tmp_path))
+    assert "binaryFile" not in kinds and all(len(r) <= 1 for r in rows)
+    assert {tuple(r) for r in collect(found)} == {(k, k // 2 * 2) for k in range(40)}
