@@ -87,3 +87,35 @@ def test_writes_no_pairs_or_growing_sets(spark, monkeypatch):
     rows = table(5, 60, 24)
     assert found(spark, rows, sim_limit=0.25, width=4) == brute(rows, limit=0.25)
     assert max(sizes.values()) <= len(rows), sizes
+
+
+@pytest.mark.parametrize("seed", [1, 6])
+def test_rows_with_the_best_match_are_searched_first(spark, seed, monkeypatch):
+    """Two rounds: the first gives the floor of the second, and the best set may come from either."""
+    floors = []
+    sets = assignment._sets
+    monkeypatch.setattr(assignment, "LEAD", 4)
+    monkeypatch.setattr(assignment, "_sets", lambda *a: floors.append(a[5]) or sets(*a))
+    rows = table(seed)
+    assert found(spark, rows, sim_limit=0.5, width=1, block=7) == brute(rows, limit=0.5)
+    assert len(floors) == 2 and floors[0] <= floors[1]
+
+
+def test_pairs_are_compared_in_blocks(monkeypatch):
+    """Each second member was a call of its own; now a bound is taken a few times a first member."""
+    rng = np.random.default_rng(3)
+    n, k = 1200, 5
+    v = rng.normal(size=(n, 16))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    cols = {"idx": np.arange(n), "match": np.sort(rng.random(n) * 0.4)[::-1], "lum01": rng.random(n), "cluster_id": rng.integers(-9, 9, n), "mask": np.full(n, 31)}
+    calls = []
+    reach = assignment._reach
+    monkeypatch.setattr(assignment, "_reach", lambda *a: calls.append(1) or reach(*a))
+    floor = 2.3
+    search = assignment._Search(v, cols, k, -1 / (k - 1), 1.0, 0.25, floor)
+    search.first(np.arange(n))
+    assert len(calls) < 12 * n
+    value, ids, worst = max(search.found)
+    cos = v[ids] @ v[ids].T
+    assert worst == pytest.approx(cos[np.triu_indices(k, 1)].max()) and len({c for c in cols["cluster_id"][ids] if c >= 0}) == sum(cols["cluster_id"][ids] >= 0)
+    assert value == pytest.approx(cols["match"][ids].mean() + 1 - worst + max(0, 1 - 3 * cols["lum01"][ids].std()))
