@@ -11,11 +11,13 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwise.functions.vectors import dot
-from loomwise.operators.similarity import block_rows
+from loomwise.operators.similarity import _paired, block_rows
 from loomwise.operators.skyline import skyline
 from loomwise.session import cut, materialised
 
@@ -38,6 +40,8 @@ ROLES3 = {
 EPS = 1e-9
 #: Pairs of rows that a task compares at once.
 PAIRS = 1 << 20
+#: Rows from which on all pairs are compared once for bounds before sequences are searched.
+MANY = 4096
 
 
 def top(df: DataFrame, k: int, score: str = "score") -> DataFrame:
@@ -157,12 +161,78 @@ def _classed(rows: DataFrame, by: str, n: int, block: int, up: bool) -> tuple[Da
     return placed.drop("class", "first", "blocks"), [(r["least"], r["most"], e) for r, e in zip(sizes, ends, strict=True)]
 
 
+def _bonus(sims, near, light, weights: tuple[float, float, float], n_valid: int):
+    """What two rows next to each other bring, by their cosine and how far apart their places and lights are."""
+    flow, div, time = weights
+    return sims * flow + (1.0 - sims) * div + (1.0 - near / max(n_valid - 1, 1)) * time + light * 0.05
+
+
+def _most_bonus(df: DataFrame, weights: tuple[float, float, float], n_valid: int, block: int | None) -> DataFrame:
+    """idx and most, the largest bonus of a row with any other, in single precision: each pair of rows is compared once, in twelve blocks."""
+
+    def each(t: pa.Table) -> pa.Table:
+        side = []
+        for is_left in (True, False):
+            x = t.filter(pc.equal(t.column("is_left"), is_left)).combine_chunks()
+            v = x.column("v").combine_chunks()
+            side.append((v.values.to_numpy().reshape(len(x), -1) if len(x) else np.empty((0, 1), "float32"), *(x.column(c).to_numpy().astype(k) for c, k in (("pos", "float32"), ("light", "float32"), ("id", "int64")))))
+        (v, pos, light, idx), (w, p_pos, p_light, p_idx) = side
+        if not len(v) or not len(w):
+            return pa.table({"idx": pa.array([], pa.int64()), "most": pa.array([], pa.float32())})
+        same = t.column("p")[0] == t.column("q")[0]
+        top, p_top = np.full(len(v), -np.inf, "float32"), np.full(len(w), -np.inf, "float32")
+        few = max(1, PAIRS // 1024)
+        for a in range(0, len(v), 1024):
+            i = slice(a, a + 1024)
+            for b in range(0, len(w), few):
+                j = slice(b, b + few)
+                found = _bonus(v[i] @ w[j].T, np.abs(pos[i, None] - p_pos[j]), np.abs(light[i, None] - p_light[j]), weights, n_valid)
+                if same:  # rows of an idx are in one block
+                    found[idx[i, None] == p_idx[j]] = -np.inf
+                np.maximum(top[i], found.max(1), out=top[i])
+                np.maximum(p_top[j], found.max(0), out=p_top[j])
+        return pa.table({"idx": np.concatenate([idx, p_idx]), "most": np.concatenate([top, p_top])})
+
+    rows = df.select(F.col("idx").alias("id"), F.col("v").cast("array<float>").alias("v"), F.col("pos").cast("double").alias("pos"), F.col("light").cast("double").alias("light"))
+    return _paired(rows, block, blocks=12).groupBy("p", "q").applyInArrow(each, "idx long, most float").groupBy("idx").agg(F.max("most").cast("double").alias("most"))
+
+
+def _may_lead(df: DataFrame, own: list[Column], weights: tuple[float, float, float], n_valid: int, size: float, leaders: int, block: int | None) -> DataFrame:
+    """The rows that can be in a best assignment.
+
+    A step brings no more than the mean of what its two rows can bring at most, so a
+    row in a slot has a bound: its own value and its share of the steps beside it,
+    with the largest such values of all other slots. The best assignment of the
+    ``leaders`` of each slot, by these values, is a floor; rows below it in all slots go.
+    """
+    k = len(own)
+    steps = [(s > 0) / 2 + (s < k - 1) / 2 for s in range(k)]
+    rows = df.join(_most_bonus(df, weights, n_valid, block), "idx")
+    rows = materialised(rows.select("idx", "pos", "v", "light", *[x.alias(f"x{s}") for s, x in enumerate(own)], *[(x + F.col("most") * steps[s]).alias(f"f{s}") for s, x in enumerate(own)]), "bounds")
+    lead = reduce(DataFrame.unionByName, [rows.orderBy(F.desc(f"f{s}"), "pos").limit(leaders) for s in range(k)]).toPandas().drop_duplicates("pos")  # ``leaders`` rows a slot
+    if lead.empty:
+        return df
+    v, pos, light, idx = (np.stack(lead["v"].to_numpy()), *(lead[c].to_numpy() for c in ("pos", "light", "idx")))
+    step = _bonus(v @ v.T, np.abs(pos[:, None] - pos), np.abs(light[:, None] - light), weights, n_valid)
+    step[idx[:, None] == idx] = -np.inf
+    total = lead["x0"].to_numpy()
+    for s in range(1, k):
+        total = (step + total).max(1) + lead[f"x{s}"].to_numpy()
+    most = rows.agg(*[F.max(f"f{s}") for s in range(k)]).first()
+    floor = float(total.max()) - 1e-5 * max(1.0, size)
+    may = reduce(lambda a, b: a | b, [F.col(f"f{s}") + (sum(most) - most[s]) >= floor for s in range(k)])
+    return materialised(df.join(rows.where(may).select("idx"), "idx", "left_semi"), "rows")
+
+
 def viterbi(df: DataFrame, flow: float, div: float, time: float, n_valid: int, target: int = 5, block: int | None = None, leaders: int = 64, seen: list | None = None) -> DataFrame:
     """The best assignment of rows to slots (seq, total); neighbours differ, later repeats are allowed.
 
-    df has pos, the place among all valid rows. In each slot every row looks for
-    its best predecessor. The ``leaders``, the rows with the largest totals, give each
-    row a floor that its best reaches. A predecessor whose total with the largest
+    df has pos, the place among all valid rows. From MANY rows on, all pairs are
+    compared once in single precision, which leaves the rows that a best assignment
+    may hold; the rest is done with these.
+
+    In each slot every row looks for its best predecessor. The ``leaders``, the rows
+    with the largest totals, give each row a floor that its best reaches. A predecessor whose total with the largest
     possible bonus is below a row's floor can't be its best; so rows are classed by
     floor and predecessors by total, and only classes that can matter to each other
     meet, in pairs of blocks that are one group each; a table has twelve blocks, of
@@ -172,7 +242,7 @@ def viterbi(df: DataFrame, flow: float, div: float, time: float, n_valid: int, t
     own = lambda s: (_slot_fit(s) * 0.25 + F.col("score") * 0.10).alias("x")
 
     def bonus(sims, near, light):
-        return sims * flow + (1.0 - sims) * div + (1.0 - near / max(n_valid - 1, 1)) * time + light * 0.05
+        return _bonus(sims, near, light, (flow, div, time), n_valid)
 
     def best(g: pd.DataFrame) -> pd.DataFrame:
         now, last = g[g["is_now"]], g[~g["is_now"]].sort_values("pos")
@@ -191,8 +261,10 @@ def viterbi(df: DataFrame, flow: float, div: float, time: float, n_valid: int, t
         return out[np.isfinite(top)]
 
     cols = ["idx", "pos", "v", "light", "x"]
+    limits = df.agg(F.max(dot(F.col("v"), F.col("v"))).alias("size"), (F.max("light") - F.min("light")).alias("light"), F.count("*").alias("n")).first()
+    if limits["n"] >= MANY:
+        df = _may_lead(df, [own(s) for s in range(target)], (flow, div, time), n_valid, limits["size"], leaders, block)
     state = cut(df.select("idx", "pos", F.array("idx").alias("seq"), own(0).alias("total")))
-    limits = df.agg(F.max(dot(F.col("v"), F.col("v"))).alias("size"), (F.max("light") - F.min("light")).alias("light")).first()
     if limits["size"] is None:
         return state.select("seq", "total")
     most = div + limits["size"] * abs(flow - div) + max(time, 0.0) + 0.05 * limits["light"] + 1e-9

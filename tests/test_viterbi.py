@@ -57,3 +57,23 @@ def test_few_rows(spark):
     one = spark.createDataFrame(table(1), KIND)
     assert selection.viterbi(one, 0.5, 0.3, 0.2, 1).count() == 0
     assert selection.viterbi(one.limit(0), 0.5, 0.3, 0.2, 0).count() == 0
+
+
+@pytest.mark.parametrize("weights,block,few", [((0.5, 0.3, 0.2), 90, True), ((0.1, 0.8, 0.0), None, False)])
+def test_few_rows_of_many_are_left_by_their_bounds(spark, weights, block, few, monkeypatch):
+    """All pairs are compared once and not in each slot; sequences are searched among the rows that may be in the best one."""
+    left = []
+    may = selection._may_lead
+    monkeypatch.setattr(selection, "MANY", 100)
+    monkeypatch.setattr(selection, "_may_lead", lambda *a: left.append(may(*a)) or left[-1])
+    rows = table(500, seed=7)
+    got = selection.viterbi(spark.createDataFrame(rows, KIND).repartition(3), *weights, 500, block=block, leaders=8).first()
+    assert (got["seq"], got["total"]) == brute(rows, *weights, 500)
+    assert left[0].count() < 250 or not few
+
+
+def test_rows_that_tie_are_all_left(spark, monkeypatch):
+    monkeypatch.setattr(selection, "MANY", 2)
+    rows = [(k, k, [1.0, 0.0], 0.5, 0.5, 0.5, 0.5, 0.5, 0.5) for k in range(30)]
+    got = selection.viterbi(spark.createDataFrame(rows, KIND).repartition(3), 0.5, 0.3, 0.0, 30, block=7, leaders=3).first()
+    assert (got["seq"], got["total"]) == brute(rows, 0.5, 0.3, 0.0, 30)
