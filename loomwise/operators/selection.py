@@ -181,16 +181,27 @@ def _most_bonus(df: DataFrame, weights: tuple[float, float, float], n_valid: int
             return pa.table({"idx": pa.array([], pa.int64()), "most": pa.array([], pa.float32())})
         same = t.column("p")[0] == t.column("q")[0]
         top, p_top = np.full(len(v), -np.inf, "float32"), np.full(len(w), -np.inf, "float32")
-        few = max(1, PAIRS // 1024)
-        for a in range(0, len(v), 1024):
-            i = slice(a, a + 1024)
-            for b in range(0, len(w), few):
-                j = slice(b, b + few)
-                found = _bonus(v[i] @ w[j].T, np.abs(pos[i, None] - p_pos[j]), np.abs(light[i, None] - p_light[j]), weights, n_valid)
+        # weights go into the rows, and a block is worked on where it lies, as passes over it take most of the time
+        flow, div, time = weights
+        far, v = np.float32(abs(time) / max(n_valid - 1, 1)), v * np.float32(flow - div)
+        pos, p_pos, light, p_light = pos * far, p_pos * far, light * np.float32(0.05), p_light * np.float32(0.05)
+        add = np.subtract if time >= 0 else np.add
+        held = np.empty((2, 256 * 1024), "float32")
+        for a in range(0, len(v), 256):
+            i = slice(a, a + 256)
+            for b in range(0, len(w), 1024):
+                j = slice(b, b + 1024)
+                shape = (len(pos[i]), len(p_pos[j]))
+                found, apart = (x[: shape[0] * shape[1]].reshape(shape) for x in held)
+                np.matmul(v[i], w[j].T, out=found)
+                for x, y, put in ((pos, p_pos, add), (light, p_light, np.add)):
+                    np.abs(np.subtract(x[i, None], y[j], out=apart), out=apart)
+                    put(found, apart, out=found)
                 if same:  # rows of an idx are in one block
                     found[idx[i, None] == p_idx[j]] = -np.inf
                 np.maximum(top[i], found.max(1), out=top[i])
                 np.maximum(p_top[j], found.max(0), out=p_top[j])
+        top, p_top = top + np.float32(div + time), p_top + np.float32(div + time)
         return pa.table({"idx": np.concatenate([idx, p_idx]), "most": np.concatenate([top, p_top])})
 
     rows = df.select(F.col("idx").alias("id"), F.col("v").cast("array<float>").alias("v"), F.col("pos").cast("double").alias("pos"), F.col("light").cast("double").alias("light"))
